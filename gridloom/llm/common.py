@@ -19,6 +19,10 @@ SPACES = " \t\n\x0b\x0c\r"
 OTHER_SPACES = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
 def words_of(text: str) -> list[str]:
     """The maximal runs of characters outside SPACES."""
     for c in OTHER_SPACES[:4] if text.isascii() else OTHER_SPACES:
