@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
+
+import gridloom
 
 #: Characters of text that one call of a text function gets at most, besides one whole text.
 CHUNK_CHARS = 4_000_000
@@ -59,6 +66,17 @@ def text_chunks(ids: list, texts: list) -> Iterator[tuple[list, list[str]]]:
         yield part_ids, part
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable for Python workers that don't find it themselves."""
+    root = Path(gridloom.__file__).parent
+    sc = spark.sparkContext
+    if not root.is_dir() or str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or "gridloom.zip" in "".join(sc._python_includes):
+        return
+    d = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(f"{d}/gridloom", "zip", root.parent, root.name))  # the driver serves it to all executors
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list[str]], dict[str, list]]],
@@ -73,9 +91,7 @@ def map_texts(
     """
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = StructType.fromDDL(schema)
-    full = StructType([source.schema["id"], *out.fields])
-    full[0].name = id_col
-    full.names[0] = id_col
+    full = StructType([StructField(id_col, source.schema["id"].dataType), *out.fields])
     arrow = to_arrow_schema(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,6 +102,7 @@ def map_texts(
                 cols = [pa.array(ids, arrow.field(0).type), *(pa.array(got[f.name], f.type) for f in list(arrow)[1:])]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
+    ship(df.sparkSession)
     return source.mapInArrow(run, full)
 
 
@@ -103,6 +120,7 @@ def map_column(df: DataFrame, make: Callable[[], Callable[[list[str]], list[str]
             cols = [pa.array(new, arrow.field(at).type) if k == at else b.column(k).cast(arrow.field(k).type) for k in range(b.num_columns)]
             yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 
