@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.bpe import bpe_encode
 from gridloom.llm.common import documents
+from gridloom.llm.token_counts import count_tokens
 
 
 def word_bpe() -> str:
@@ -18,8 +19,13 @@ def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(documents(spark, sf_dir), word_bpe(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op7_resync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), word_bpe())
+
+
 QUERIES = {
     "op4_bpe_trie": op4_bpe_trie,
+    "op7_resync_counts": op7_resync_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
