@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.bpe import bpe_encode
 from gridloom.llm.common import documents
+from gridloom.llm.secrets import scan_secrets
 from gridloom.llm.token_counts import count_tokens
 
 
@@ -15,6 +16,10 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
 def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(documents(spark, sf_dir), word_bpe(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -24,6 +29,7 @@ def op7_resync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_secret_guess_cost": op3_secret_guess_cost,
     "op4_bpe_trie": op4_bpe_trie,
     "op7_resync_counts": op7_resync_counts,
 }
