@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.bpe import bpe_encode
 from gridloom.llm.common import documents
+from gridloom.llm.pii import find_pii
 from gridloom.llm.secrets import scan_secrets
 from gridloom.llm.token_counts import count_tokens
 
@@ -16,6 +17,10 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir))
+
+
 def op3_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
@@ -29,6 +34,7 @@ def op7_resync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_semi_markov": op1_pii_semi_markov,
     "op3_secret_guess_cost": op3_secret_guess_cost,
     "op4_bpe_trie": op4_bpe_trie,
     "op7_resync_counts": op7_resync_counts,
