@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.bpe import bpe_encode
 from gridloom.llm.common import documents
+from gridloom.llm.decontaminate import find_leaks
 from gridloom.llm.pii import find_pii
+from gridloom.llm.quality import fit_quality, score_quality
 from gridloom.llm.secrets import scan_secrets
 from gridloom.llm.token_counts import count_tokens
 
@@ -29,15 +31,26 @@ def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(documents(spark, sf_dir), word_bpe(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_resync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), word_bpe())
 
 
+def op8_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_quality(docs, fit_quality(docs, labels))
+
+
 QUERIES = {
     "op1_pii_semi_markov": op1_pii_semi_markov,
     "op3_secret_guess_cost": op3_secret_guess_cost,
     "op4_bpe_trie": op4_bpe_trie,
+    "op6_spaced_seeds": op6_spaced_seeds,
     "op7_resync_counts": op7_resync_counts,
+    "op8_quality_ftrl": op8_quality_ftrl,
 }
 
 ORACLE_SQL: dict[str, str] = {}
