@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
+import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import regex
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from gridloom.llm.common import map_texts, words_of
 
 #: Distinct words whose encodings a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 def _byte_chars() -> list[str]:
@@ -55,6 +58,8 @@ class TrieBpe:
         if not self.end:
             self.final = self.inner
         self.longest = max(max(map(len, self.inner)), max(map(len, self.final)))
+        self.made_of = {new: (a, b, rank) for (a, b), (rank, new) in self.merges.items()}
+        self.edges: tuple[dict, dict] = ({}, {})
         self.alone: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
         self.pieces_done: dict[str, tuple[int, ...]] = {}
@@ -85,12 +90,36 @@ class TrieBpe:
             known = self.alone[token] = self.merged(self.symbols(token)) == [token]
         return known
 
+    def edge(self, token: int, right: bool) -> list[tuple[int, float]]:
+        """The tokens that stand at one edge while ``token`` is merged, with the rank at which each is merged away."""
+        known = self.edges[right].get(token)
+        if known is None:
+            known = [(token, math.inf)]
+            while made := self.made_of.get(known[-1][0]):
+                known.append((made[right], made[2]))
+            self.edges[right][token] = known
+        return known
+
     def may_follow(self, a: int, b: int) -> bool:
+        """Whether merging the symbols of a and b together leaves just these two.
+
+        Ranks rise in the course of merging, so a merge across the border happens if its
+        rank comes before both of its parts are merged away to their own side; of equal
+        ranks the leftmost goes first.
+        """
         key = a << 20 | b
         if (known := self.pairs.get(key)) is None:
             if len(self.pairs) > 2_000_000:
                 self.pairs.clear()
-            known = self.pairs[key] = self.is_alone(b) and self.merged(self.symbols(a) + self.symbols(b)) == [a, b]
+            known = self.is_alone(b)
+            if known:
+                merges, rights = self.merges, self.edge(b, False)
+                for x, x_goes in self.edge(a, True):
+                    for y, y_goes in rights:
+                        m = merges.get((x, y))
+                        if m and m[0] < x_goes and m[0] <= y_goes:
+                            known = False
+            self.pairs[key] = known
         return known
 
     # -- the trie -------------------------------------------------------------
@@ -150,11 +179,13 @@ class TrieBpe:
                 elif p:
                     parts += self.split_word(p)
             return parts
-        if not word.isascii():
+        if word.isascii():
+            word = word.lower()
+            if word.isalpha():
+                return [word]
+        else:
             word = unicodedata.normalize("NFC", word)
             word = "".join(c.lower() for c in word) if "Σ" in word else word.lower()
-        else:
-            word = word.lower()
         return [p.encode().decode("latin-1").translate(self.byte_table) for p in self.pieces(word)]
 
     def learn(self, words: set[str]) -> None:
@@ -174,7 +205,7 @@ class TrieBpe:
                     ids += self.pieces_done[p]
                 else:
                     ids.append(p)
-            self.words_done[w] = (b"".join(i.to_bytes(4, "little") for i in ids), " ".join(map(self.tokens.__getitem__, ids)))
+            self.words_done[w] = (array("I", ids).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(4, "little") for i in ids), " ".join(map(self.tokens.__getitem__, ids)))
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Ids as little-endian 32-bit integers, and the decoded text, of each text."""
