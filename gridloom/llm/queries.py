@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.bpe import bpe_encode
 from gridloom.llm.common import documents
 from gridloom.llm.decontaminate import find_leaks
+from gridloom.llm.near_dups import find_near_duplicates
 from gridloom.llm.pii import find_pii
 from gridloom.llm.quality import fit_quality, score_quality
 from gridloom.llm.secrets import scan_secrets
@@ -44,6 +45,10 @@ def op8_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, labels))
 
 
+def op9_fast_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_near_duplicates(documents(spark, sf_dir), width=4)
+
+
 QUERIES = {
     "op1_pii_semi_markov": op1_pii_semi_markov,
     "op3_secret_guess_cost": op3_secret_guess_cost,
@@ -51,6 +56,7 @@ QUERIES = {
     "op6_spaced_seeds": op6_spaced_seeds,
     "op7_resync_counts": op7_resync_counts,
     "op8_quality_ftrl": op8_quality_ftrl,
+    "op9_fast_similarity": op9_fast_similarity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
