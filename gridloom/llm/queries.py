@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.bpe import bpe_encode
 from gridloom.llm.common import documents
 from gridloom.llm.decontaminate import find_leaks
+from gridloom.llm.mixing_lm import score_documents
 from gridloom.llm.near_dups import find_near_duplicates
 from gridloom.llm.pii import find_pii
 from gridloom.llm.quality import fit_quality, score_quality
@@ -32,6 +33,10 @@ def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(documents(spark, sf_dir), word_bpe(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op1_pii_semi_markov": op1_pii_semi_markov,
     "op3_secret_guess_cost": op3_secret_guess_cost,
     "op4_bpe_trie": op4_bpe_trie,
+    "op5_context_mixing": op5_context_mixing,
     "op6_spaced_seeds": op6_spaced_seeds,
     "op7_resync_counts": op7_resync_counts,
     "op8_quality_ftrl": op8_quality_ftrl,
