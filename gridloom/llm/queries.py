@@ -11,6 +11,7 @@ from gridloom.llm.mixing_lm import score_documents
 from gridloom.llm.near_dups import find_near_duplicates
 from gridloom.llm.pii import find_pii
 from gridloom.llm.quality import fit_quality, score_quality
+from gridloom.llm.quality_rules import apply_quality_rules
 from gridloom.llm.secrets import scan_secrets
 from gridloom.llm.token_counts import count_tokens
 
@@ -25,6 +26,11 @@ def op1_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir))
 
 
+def op2_importance_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    return apply_quality_rules(documents(spark, sf_dir), trusted)
+
+
 def op3_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
@@ -56,6 +62,7 @@ def op9_fast_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii_semi_markov": op1_pii_semi_markov,
+    "op2_importance_ratio": op2_importance_ratio,
     "op3_secret_guess_cost": op3_secret_guess_cost,
     "op4_bpe_trie": op4_bpe_trie,
     "op5_context_mixing": op5_context_mixing,
