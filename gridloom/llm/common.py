@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -129,11 +130,29 @@ def crc_mod(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(n)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write and cut lineage in the shared folder that the session names; set one only where there is none."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; in tests, where none is named, a local one."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or "/tmp/gridloom-checkpoints")
+    have = sc._jsc.sc().getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if where is None:
+        where = "/tmp/gridloom-checkpoints" if have.isEmpty() else have.get()
+    if have.isEmpty():
+        sc.setCheckpointDir(where)
+    return where
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write rows and cut lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same by a compressed table, for larger results; it goes when the session's file system closes."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/gridloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)

@@ -25,8 +25,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-from gridloom.llm.common import ascii_lower, checkpoint, crc_mod, ship, text_chunks, words_of
+from gridloom.llm.common import ascii_lower, crc_mod, ship, stored, text_chunks, words_of
 
 #: Contexts in bytes back from the coded one; 0 is the whole prefix.  Hash bits of each table.
 ORDERS, BITS = (1, 2, 3, 4, 6, 0), (16, 18, 20, 20, 20, 21)
@@ -250,6 +252,10 @@ class MixingModel:
         return out
 
 
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) >> 1
+
+
 def word_counts(docs: DataFrame, id_col: str, text_col: str, held_out: int, modulus: int) -> DataFrame:
     """(word, n): occurrences in training texts, 0 for words of other texts only; '' counts training texts."""
     ship(docs.sparkSession)
@@ -391,7 +397,7 @@ def score_documents(
     """
     spark = docs.sparkSession
     ship(spark)
-    vocabulary = checkpoint(word_counts(docs, id_col, text_col, held_out, modulus))
+    vocabulary = stored(word_counts(docs, id_col, text_col, held_out, modulus))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     ends = (vocabulary.where("word = ''").agg(F.sum("n")).first()[0]) or 0
     model = spark.sparkContext.broadcast(fit(vocabulary))
@@ -400,28 +406,30 @@ def score_documents(
 
     def scored(batches):
         for raw, counts in gathered(batches, TASK_WORDS // 4):
-            h = np.array([xxhash.xxh3_64_intdigest(w) for w in raw], np.uint64).view(np.int64)
+            h = np.array([word_hash(w) for w in raw], np.int64)
             lp = model.value.log10(raw) + math.log10(1 - end_share)
             for k in range(0, len(raw), 20_000):
                 part = slice(k, k + 20_000)
                 yield pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in raw[part]]), "n": pa.array(counts[part].astype(np.int64)), "h": pa.array(h[part]), "lp": pa.array(lp[part])})
 
-    table = checkpoint(vocabulary.where("word <> ''").mapInArrow(scored, "word string, n long, h long, lp double"))
+    table = stored(vocabulary.where("word <> ''").mapInArrow(scored, "word string, n long, h long, lp double"))
     least = max(1, -(-int(total) // hot_words))
     hot_rows = table.where((F.col("n") > least)).toPandas()
     base_of = lambda n: np.log10((n + 1.0) / divisor)
     hot = spark.sparkContext.broadcast((dict(zip(hot_rows["word"], range(len(hot_rows)), strict=True)), base_of(hot_rows["n"].to_numpy(np.float64)), hot_rows["lp"].to_numpy(np.float64)))
     end_base, end_lp = math.log10((ends + 1) / divisor), math.log10(end_share)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = source.schema["id"].dataType.simpleString()
-    arrow_id = pa.field("id", pa.string() if id_type == "string" else pa.int64() if id_type == "bigint" else pa.int32())
+    stats = StructType.fromDDL("n_tokens long, n_known long, base double, lp double, bytes long, copies long")
+    schema = StructType([StructField("id", source.schema["id"].dataType), *StructType.fromDDL("row long, h long").fields, StructField("stats", stats)])
+    arrow = to_arrow_schema(schema)
 
     def parts(batches):
+        """For each text one row with what its hot words give, and a row for each other word."""
         number, base, lp = hot.value
-        known: dict[str, int] = {}  # hot words by their number, other words by ~hash
+        known: dict[str, int] = {}  # hot words by their number, other words by -1 - hash
         for b in batches:
             for ids, texts in text_chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                heads, tails, owner = [], [], []
+                heads, rows, tails, owner = [], [], [], []
                 for k, t in enumerate(texts):
                     words = words_of(t)
                     if len(known) > 500_000:
@@ -429,38 +437,38 @@ def score_documents(
                     for w in set(words).difference(known):
                         low = ascii_lower(w)
                         at = number.get(low)
-                        known[w] = at if at is not None else -1 - (xxhash.xxh3_64_intdigest(low.encode()))
-                    got = [known[w] for w in words]
-                    at = np.array([g for g in got if g >= 0], np.int64)
-                    rest = [-1 - g for g in got if g < 0]
-                    n_bytes = len(t.encode()) if t.isascii() else sum(len(w.encode()) for w in words)
-                    n_bytes = sum(map(len, words)) if t.isascii() else n_bytes
-                    row = xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63)
-                    heads.append((row, len(words) + 1, len(at) + (ends > 0), float(base[at].sum()) + end_base, float(lp[at].sum()) + end_lp, n_bytes + len(words) + 1))
-                    tails += rest
-                    owner += [k] * len(rest)
-                row = np.array([x[0] for x in heads], np.int64)
-                arrow_ids = pa.array(ids, arrow_id.type)
-                none = lambda n, kind: pa.nulls(n, kind)
+                        known[w] = at if at is not None else -1 - word_hash(low.encode())
+                    got = np.array([known[w] for w in words], np.int64)
+                    at, rest = got[got >= 0], -1 - got[got < 0]
+                    raw = t.encode()
+                    blanks = len(t) - sum(map(len, words))
+                    rows.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
+                    heads.append({"n_tokens": len(words) + 1, "n_known": len(at) + (ends > 0), "base": float(base[at].sum()) + end_base, "lp": float(lp[at].sum()) + end_lp, "bytes": len(raw) - blanks + len(words) + 1, "copies": 1})
+                    tails.append(rest)
+                    owner.append(np.full(len(rest), k))
+                arrow_ids, row = pa.array(ids, arrow.field(0).type), np.array(rows, np.int64)
                 n = len(heads)
-                cols = [arrow_ids, pa.array(row), none(n, pa.int64())]
-                cols += [pa.array([x[k] for x in heads], kind) for k, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64()), (5, pa.int64()))]
-                names = ["id", "row", "h", "n_tokens", "n_known", "base", "lp", "bytes"]
-                yield pa.RecordBatch.from_arrays(cols, names)
-                if tails:
-                    own = np.array(owner, np.int64)
-                    h = np.array(tails, np.uint64).view(np.int64)
-                    m = len(own)
-                    yield pa.RecordBatch.from_arrays([arrow_ids.take(pa.array(own)), pa.array(row[own]), pa.array(h), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), none(m, pa.int64())], names)
-
-    emitted = checkpoint(source.mapInArrow(parts, f"id {id_type}, row long, h long, n_tokens long, n_known long, base double, lp double, bytes long"))
+                spread = np.array([-1 - word_hash(repr(i).encode()) for i in ids], np.int64)  # joins nothing
+                yield pa.RecordBatch.from_arrays([arrow_ids, pa.array(row), pa.array(spread), pa.array(heads, arrow.field(3).type)], schema=arrow)
+                own, h = np.concatenate(owner), np.concatenate(tails)
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([arrow_ids.take(pa.array(own)), pa.array(row[own]), pa.array(h), pa.nulls(len(own), arrow.field(3).type)], schema=arrow)
+
+    emitted = source.mapInArrow(parts, schema)
     cold = table.where(F.col("n") <= least).select(F.col("h").alias("word_h"), (F.col("n") > 0).cast("long").alias("known"), F.log10((F.col("n") + 1.0) / F.lit(float(divisor))).alias("word_base"), F.col("lp").alias("word_lp"))
-    tails = emitted.where("h is not null").select("id", "row", "h")
-    joined = tails.join(cold, tails["h"] == cold["word_h"]).groupBy("id", "row").agg(F.sum("known").alias("n_known"), F.sum("word_base").alias("base"), F.sum("word_lp").alias("lp"))
     zero = F.lit(0).cast("long")
-    heads = emitted.where("h is null")
-    every = heads.select("id", "row", "n_tokens", "n_known", "base", "lp", "bytes", F.lit(1).cast("long").alias("copies")).unionAll(joined.select("id", "row", zero, "n_known", "base", "lp", zero, zero))
-    sums = every.groupBy("id", "row").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "lp", "bytes", "copies")))
+    sums = (
+        emitted.join(cold, emitted["h"] == cold["word_h"], "left")
+        .groupBy("id", "row")
+        .agg(
+            F.sum("stats.n_tokens").alias("n_tokens"),
+            F.sum(F.coalesce("stats.n_known", "known", zero)).alias("n_known"),
+            F.sum(F.coalesce("stats.base", "word_base")).alias("base"),
+            F.sum(F.coalesce("stats.lp", "word_lp")).alias("lp"),
+            F.sum("stats.bytes").alias("bytes"),
+            F.sum("stats.copies").alias("copies"),
+        )
+    )
     whole = lambda c: (F.col(c) / F.col("copies")).cast("long")
     score = F.col("lp") / F.col("copies")
     return sums.select(

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.bpe import bpe_encode
 from gridloom.llm.common import documents
 from gridloom.llm.decontaminate import find_leaks
+from gridloom.llm import licenses
+from gridloom.llm.licenses import document_files, scan_licenses
 from gridloom.llm.mixing_lm import score_documents
 from gridloom.llm.near_dups import find_near_duplicates
 from gridloom.llm.pii import find_pii
@@ -60,6 +62,10 @@ def op9_fast_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_near_duplicates(documents(spark, sf_dir), width=4)
 
 
+def op10_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(document_files(documents(spark, sf_dir)), license_file_col="is_license_file")
+
+
 QUERIES = {
     "op1_pii_semi_markov": op1_pii_semi_markov,
     "op2_importance_ratio": op2_importance_ratio,
@@ -70,6 +76,9 @@ QUERIES = {
     "op7_resync_counts": op7_resync_counts,
     "op8_quality_ftrl": op8_quality_ftrl,
     "op9_fast_similarity": op9_fast_similarity,
+    "op10_license_tfidf": op10_license_tfidf,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_license_tfidf": licenses.ORACLE,
+}
