@@ -1,3 +1,17 @@
 """Gap-filled gridded surfaces from scattered points, as Spark DataFrame plans."""
 
+from gridloom.functions.transforms import PercentileTransform, make_transform, transforms
+from gridloom.operators.calibrate import calibrate_fill_cap, choose_transform
+from gridloom.operators.cells import bin_points, box_count, downsample_sum, upsample_bilinear, upsample_nearest
+from gridloom.operators.surface import pull_push_frames, surface
+from gridloom.plans.pipeline import Pipeline, run
+from gridloom.spec import NODATA, GridSpec, pad_to_pyramid
+
 __version__ = "0.1.0"
+
+#: The pyramid interpolation under its usual name.
+pull_push = pull_push_frames
+
+__all__ = [
+    "NODATA", "GridSpec", "PercentileTransform", "Pipeline", "bin_points", "box_count", "calibrate_fill_cap", "choose_transform", "downsample_sum", "make_transform", "pad_to_pyramid", "pull_push", "pull_push_frames", "run", "surface", "transforms", "upsample_bilinear", "upsample_nearest",
+]

@@ -209,29 +209,29 @@ def q18_transform_validity(spark, sf_dir):
     return spark.createDataFrame([(t.name, bool(t.valid(least))) for t in transforms()], "name string, ok boolean")
 
 
-@query(with_views("SELECT scale, round(icc, 6) AS icc FROM (" + " UNION ALL ".join(oracle.icc(s) for s in calibrate.SCALES) + ")", "p_li"))
+@query(with_views("SELECT scale, round(icc, 6) + 0e0 AS icc FROM (" + " UNION ALL ".join(oracle.icc(s) for s in calibrate.SCALES) + ")", "p_li"))
 def q19_icc(spark, sf_dir):
     p = views.lineitem(spark, sf_dir)
     x0, y0 = p.agg(F.min("x"), F.min("y")).first()
-    return calibrate.icc_table(p, (x0, y0)).select("scale", F.round("icc", 6).alias("icc"))
+    return calibrate.icc_table(p, (x0, y0)).select("scale", (F.round("icc", 6) + 0.0).alias("icc"))
 
 
 _TV = f", {oracle.knots('p_li', 1001)}, tv AS (SELECT x, y, v AS t0, log10(v) AS t1, sqrt(v) AS t2, pct AS t3 FROM ({oracle.ranked('p_li', 'v', 't.x, t.y, t.v')}))"
 _SCORES = _TV + ", scores AS (" + " UNION ALL ".join(f"SELECT {k} AS ordinal, '{n}' AS name, * FROM ({oracle.icc(s, 'tv', f't{k}')})" for k, n in enumerate(("identity", "log10", "sqrt", "percentile")) for s in calibrate.SCALES) + ")"
 
 
-@query(with_views(f"{_SCORES} SELECT name, scale, round(icc, 5) AS icc FROM scores", "p_li"))
+@query(with_views(f"{_SCORES} SELECT name, scale, round(icc, 5) + 0e0 AS icc FROM scores", "p_li"))
 def q20_transform_scores(spark, sf_dir):
     table, _ = calibrate.transform_scores(views.lineitem(spark, sf_dir))
-    return table.select("name", "scale", F.round("icc", 5).alias("icc"))
+    return table.select("name", "scale", (F.round("icc", 5) + 0.0).alias("icc"))
 
 
-@query(with_views(f"{_SCORES} SELECT name, round(avg(icc), 5) AS score FROM scores GROUP BY ordinal, name ORDER BY round(avg(icc), 9) DESC, ordinal LIMIT 1", "p_li"))
+@query(with_views(f"{_SCORES} SELECT name, round(avg(icc), 5) + 0e0 AS score FROM scores GROUP BY ordinal, name ORDER BY round(avg(icc), 9) DESC, ordinal LIMIT 1", "p_li"))
 def q21_choose_transform(spark, sf_dir):
     table, _ = calibrate.transform_scores(views.lineitem(spark, sf_dir))
     score = F.avg("icc")
     best = table.groupBy("ordinal", "name").agg(score.alias("score")).orderBy(F.round("score", 9).desc(), "ordinal").limit(1)
-    return best.select("name", F.round("score", 5).alias("score"))
+    return best.select("name", (F.round("score", 5) + 0.0).alias("score"))
 
 
 def hashed_folds(points: DataFrame, block_m: float, n_folds: int = 4) -> DataFrame:
