@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hash space of the n-grams; pseudo-count of every bucket in both multinomials.
-BUCKETS, PRIOR = 10_000, 1.0
+#: Hash space of the n-grams; pseudo-count of every bucket in both multinomials; bound of
+#: the trusted documents that the target multinomial is fitted on.
+BUCKETS, PRIOR, TARGET_ROWS = 10_000, 1.0, 5_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -25,7 +26,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_column(text: Column) -> Column:
     """All maximal runs outside the six separators."""
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return let(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"[\x20\x09-\x0D]+")))
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -34,33 +35,37 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
+def cover(places: Column) -> Column:
+    """Words under 3-word windows at sorted places: each adds three, or the distance to the next if that is less."""
+    return F.coalesce(F.aggregate(F.transform(places, lambda p, i: F.least(F.coalesce(F.get(places, i + 1), p + 3) - p, F.lit(3))), F.lit(0), lambda a, x: a + x), F.lit(0))
+
+
 def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more, each counted once.
 
-    Windows are compared by a 64-bit hash.  Sorting (hash, position) brings equal windows
-    together; sorting the positions of repeated ones lets their cover be added up:
-    each adds at most three words, and at most the distance to the next.
+    Windows are compared by a 64-bit hash.  A set tells the texts that repeat nothing; in
+    the others sorting brings equal hashes together.  Where few windows repeat, the places
+    are found by looking through these few, else by sorting (hash, place) pairs.
     """
-    n = F.size(words)
 
-    def cover(windows: Column) -> Column:
-        repeated = F.filter(
-            F.transform(windows, lambda w, i: F.when((w["h"] == F.get(windows, i - 1)["h"]) | (w["h"] == F.get(windows, i + 1)["h"]), w["p"])),
-            lambda p: p.isNotNull(),
-        )
-        return let(F.sort_array(repeated), lambda s: F.coalesce(F.aggregate(F.transform(s, lambda p, i: F.least(F.coalesce(F.get(s, i + 1), p + 3) - p, F.lit(3))), F.lit(0), lambda a, x: a + x), F.lit(0)))
+    def from_pairs(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        places = let(pairs, lambda s: F.filter(F.transform(s, lambda w, i: F.when((w["h"] == F.get(s, i - 1)["h"]) | (w["h"] == F.get(s, i + 1)["h"]), w["p"])), lambda p: p.isNotNull()))
+        return let(F.sort_array(places), cover)
 
-    def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")))
+    def from_few(h: Column, few: Column) -> Column:
+        places = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(few, x), i)), lambda p: p.isNotNull())
+        return let(places, cover)
 
-    def count(w: Column) -> Column:
-        # most texts repeat nothing: a set of the hashes tells that without a sort
-        return let(
-            windows(w),
-            lambda x: F.when(F.size(F.array_distinct(F.transform(x, lambda y: y["h"]))) == F.size(x), F.lit(0)).otherwise(let(F.sort_array(x), cover)),
-        )
+    def count(h: Column) -> Column:
+        repeats = let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - 1))))
+        some = let(repeats, lambda few: F.when(F.size(few) <= 24, from_few(h, few)).otherwise(from_pairs(h)))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(some)
 
-    return F.when(n < 3, F.lit(0)).otherwise(count(words))
+    def windows(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+    return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(windows(words), count))
 
 
 def grams(words: Column, buckets: int) -> Column:
@@ -74,37 +79,35 @@ def grams(words: Column, buckets: int) -> Column:
     return let(words, both)
 
 
-def bare_words(words: Column) -> Column:
-    """What the n-grams are made of: a word's class of case and its trailing marks, and the word if it is short.
+def shaped(text: Column) -> Column:
+    """The text with long words as "~" and words in capitals as "^".
 
-    Long words are mostly unique; what sets good text apart is how words are written and
-    which short ones occur.
+    Long words are mostly unique; what sets good text apart is how words are written, which
+    marks they carry and which short ones occur.
     """
+    return F.regexp_replace(F.regexp_replace(text, r"\p{Lu}{2,}", "^"), r"[\p{L}\p{N}]{5,}", "~")
+
 
-    def shape(w: Column) -> Column:
-        core = F.regexp_replace(w, r"[^\p{L}\p{N}]+$", "")
-        marks = F.substring(w, F.length(core) + 1, 3)
-        case = F.when(core == "", "-").when(core == F.lower(core), "a").when((F.length(core) > 1) & (core == F.upper(core)), "A").otherwise("Aa")
-        return F.concat(F.when(F.length(core) <= 4, F.lower(core)).otherwise("~"), F.lit("/"), case, marks)
+def text_grams(text: Column, buckets: int) -> Column:
+    return grams(words_column(shaped(text)), buckets)
 
-    return F.transform(words, shape)
 
+def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, target_rows: int, id_col: str, text_col: str) -> list[float]:
+    """log-likelihood ratio of every bucket, from one pass over all documents that adds up map-side first.
 
-def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str, text_col: str) -> list[float]:
-    """log-likelihood ratio of every bucket; counts cover all documents, added up map-side first."""
-    good = trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("good", F.lit(1))
+    The raw multinomial counts every document; the target one at most ``target_rows``
+    trusted ids, the first by a hash of the id, which bounds the broadcast.
+    """
+    good = trusted.select(F.col(id_col).alias("good")).where("good is not null").distinct().orderBy(F.xxhash64("good"), "good").limit(target_rows)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.explode(grams(bare_words(words_column(text)), buckets)).alias("g"))
-    all_counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    target = docs.join(good, docs[id_col] == good["id"], "left_semi")
-    target_counts = target.select(F.explode(grams(bare_words(words_column(text)), buckets)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    both = all_counts.select("g", F.col("n").alias("raw"), F.lit(0).cast("long").alias("good")).unionAll(target_counts.select("g", F.lit(0).cast("long"), F.col("n")))
-    raw, good_n = [PRIOR] * buckets, [PRIOR] * buckets
-    for r in both.groupBy("g").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():  # at most one row per bucket
+    marked = docs.join(F.broadcast(good), docs[id_col] == good["good"], "left")
+    rows = marked.select(F.col("good").isNotNull().cast("long").alias("good"), F.explode(text_grams(text, buckets)).alias("g"))
+    raw, target = [PRIOR] * buckets, [PRIOR] * buckets
+    for r in rows.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")).collect():  # at most one row per bucket
         raw[r["g"]] += r["raw"]
-        good_n[r["g"]] += r["good"]
-    a, b = math.log(sum(good_n)), math.log(sum(raw))
-    return [(math.log(g) - a) - (math.log(x) - b) for g, x in zip(good_n, raw, strict=True)]
+        target[r["g"]] += r["good"]
+    a, b = math.log(sum(target)), math.log(sum(raw))
+    return [(math.log(g) - a) - (math.log(x) - b) for g, x in zip(target, raw, strict=True)]
 
 
 def apply_quality_rules(
@@ -112,6 +115,7 @@ def apply_quality_rules(
     trusted: DataFrame,
     threshold: float = -0.25,
     buckets: int = BUCKETS,
+    target_rows: int = TARGET_ROWS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -122,13 +126,13 @@ def apply_quality_rules(
     threshold.  Without trusted documents the target multinomial is uniform.
     The usual edge cases; a null or empty text has no words and fails the base rules.
     """
-    ratios = ratio_table(docs, trusted, buckets, id_col, text_col)
+    ratios = ratio_table(docs, trusted, buckets, target_rows, id_col, text_col)
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded to a constant
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = docs.select(F.col(id_col), text.alias("text"), words_column(text).alias("w"))
     mean = let(
         table,
-        lambda t: let(bare_words(F.col("w")), lambda s: let(grams(s, buckets), lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(t, x)) / F.greatest(F.size(g), F.lit(1)))),
+        lambda t: let(text_grams(F.col("text"), buckets), lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(t, x)) / F.greatest(F.size(g), F.lit(1))),
     )
     counted = words.select(
         F.col(id_col),
