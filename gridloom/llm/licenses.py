@@ -9,23 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Short notices of common licences.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0. You may obtain a copy of the License at apache.org.",
-    "BSD-2-Clause": "Licensed under the BSD 2-Clause License. Redistribution and use in source and binary forms are permitted.",
-    "BSD-3-Clause": "Licensed under the BSD 3-Clause License. Redistribution and use in source and binary forms are permitted without endorsement.",
-    "CC-BY-4.0": "Licensed under Creative Commons Attribution CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under Creative Commons CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under Creative Commons CC BY-SA 4.0.",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "ISC": "Released under the ISC License. Permission to use, copy, modify and distribute is granted.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License. Permission is hereby granted, free of charge.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+#: Sentences of common licences' notices.
+TEMPLATES = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify and distribute this software for any purpose is hereby granted."),
+    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+)
 #: A sentence with one of these is a notice.
 CUES = ("licen", "copyright", "spdx", "cc by", "cc0", "permission is hereby", "redistribution", "public domain")
 CUE = "|".join(CUES)
@@ -43,15 +46,15 @@ def terms(text: Column) -> Column:
 
 
 def match_notices(notices: DataFrame, least_cosine: float) -> DataFrame:
-    """(notice, license, cosine): the best template of each distinct notice.
+    """(notice, license, cosine): the best template sentence of each distinct notice.
 
     ``notices`` has distinct notices with their counts n.  Document frequencies count every
     notice as often as it occurs, and every template once.  Ties go to the first name.
     """
     spark = notices.sparkSession
-    sheet = spark.createDataFrame(list(TEMPLATES.items()), "license string, body string")
+    sheet = spark.createDataFrame(list(TEMPLATES), "license string, body string")
     have = notices.select("notice", "n", F.explode(terms(F.col("notice"))).alias("term")).groupBy("notice", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    model = sheet.select("license", F.explode(terms(F.col("body"))).alias("term")).groupBy("license", "term").agg(F.count(F.lit(1)).alias("tf"))
+    model = sheet.select("license", "body", F.explode(terms(F.col("body"))).alias("term")).groupBy("license", "body", "term").agg(F.count(F.lit(1)).alias("tf"))
     total = notices.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("units")).select((F.col("units") + len(TEMPLATES)).alias("units"))
     frequency = have.select("term", "n").unionAll(model.select("term", F.lit(1).cast("long"))).groupBy("term").agg(F.sum("n").alias("df"))
     units = total.first()[0]
@@ -59,9 +62,9 @@ def match_notices(notices: DataFrame, least_cosine: float) -> DataFrame:
     left = have.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
     right = model.join(idf, "term").withColumn("y", F.col("tf") * F.col("idf"))
     left_norm = left.groupBy("notice").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
-    right_norm = right.groupBy("license").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("ny"))
-    weights = right.join(right_norm, "license").select("license", "term", (F.col("y") / F.col("ny")).alias("y"))
-    dot = left.join(F.broadcast(weights), "term").groupBy("notice", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    right_norm = right.groupBy("body").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("ny"))
+    weights = right.join(right_norm, "body").select("license", "body", "term", (F.col("y") / F.col("ny")).alias("y"))
+    dot = left.join(F.broadcast(weights), "term").groupBy("notice", "license", "body").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     scored = dot.join(left_norm, "notice").select("notice", "license", F.round(F.col("dot") / F.col("nx"), 6).alias("cosine")).where(F.col("cosine") >= least_cosine)
     best = scored.groupBy("notice").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), F.col("license"))).alias("b"))
     return best.select("notice", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("cosine"))
@@ -135,7 +138,7 @@ def document_files(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(".txt"))).alias("path"), F.col("text").rlike(r"(?i)\A[^\n]{0,200}licen[cs]e").alias("is_license_file"))
 
 
-_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES)
 _HINT = " OR ".join(f"contains(lower(text), '{c}')" for c in CUES)
 ORACLE = rf"""
 WITH docs AS (
@@ -149,16 +152,16 @@ dist AS (SELECT notice, count(*) AS n FROM found GROUP BY notice),
 sheet(license, body) AS (VALUES {_VALUES}),
 have AS (SELECT notice, n, term, count(*) AS tf FROM (
   SELECT notice, n, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) AS term FROM dist) GROUP BY ALL),
-model AS (SELECT license, term, count(*) AS tf FROM (
-  SELECT license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM sheet) GROUP BY ALL),
+model AS (SELECT license, body, term, count(*) AS tf FROM (
+  SELECT license, body, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM sheet) GROUP BY ALL),
 freq AS (SELECT term, sum(n) AS df FROM (SELECT term, n FROM have UNION ALL SELECT term, 1 FROM model) GROUP BY term),
 idf AS (SELECT term, ln(((SELECT coalesce(sum(n), 0) FROM dist) + {len(TEMPLATES)} + 1e0) / (df + 1)) + 1 AS idf FROM freq),
 lft AS (SELECT notice, term, tf * idf AS x FROM have JOIN idf USING (term)),
-rgt AS (SELECT license, term, tf * idf AS y FROM model JOIN idf USING (term)),
+rgt AS (SELECT license, body, term, tf * idf AS y FROM model JOIN idf USING (term)),
 ln_ AS (SELECT notice, sqrt(sum(x * x)) AS nx FROM lft GROUP BY notice),
-rn AS (SELECT license, sqrt(sum(y * y)) AS ny FROM rgt GROUP BY license),
+rn AS (SELECT body, sqrt(sum(y * y)) AS ny FROM rgt GROUP BY body),
 sim AS (SELECT notice, license, round(sum(x * (y / ny)) / any_value(nx), 6) AS cosine
-        FROM lft JOIN rgt USING (term) JOIN rn USING (license) JOIN ln_ USING (notice) GROUP BY notice, license),
+        FROM lft JOIN rgt USING (term) JOIN rn USING (body) JOIN ln_ USING (notice) GROUP BY notice, license, body),
 best AS (SELECT notice, license, cosine FROM sim WHERE cosine >= 5e-1
          QUALIFY row_number() OVER (PARTITION BY notice ORDER BY cosine DESC, license) = 1),
 own AS (SELECT id, license AS own_license, cosine, n_notices FROM (

@@ -119,7 +119,7 @@ def events(words: list[bytes]) -> Events:
         h = np.full(len(new), order + 1, np.uint64)
         if order:
             for j in range(1, order + 1):
-                h = (h + np.where(pos < j, np.uint64(0), last[new - j])) * _C
+                h = (h + np.where(pos < j, np.uint64(0), last[np.maximum(new - j, 0)])) * _C
                 h ^= h >> np.uint64(29)
         else:  # a polynomial over the prefix, by running sums modulo 2 ** 64
             power = np.cumprod(np.full(int(size.max()), _P), dtype=np.uint64)

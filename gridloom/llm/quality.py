@@ -142,7 +142,7 @@ def score_quality(
 ) -> DataFrame:
     """held_out, score and predicted (1 if score >= threshold) of every whole text, as sparse dot products.
 
-    The usual edge cases; an empty text is scored by the bias alone.
+    The usual edge cases; an empty text is scored by the bias alone, and a null id is not held out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -160,7 +160,7 @@ def score_quality(
         return apply
 
     scored = map_texts(docs, make, "score double", id_col, text_col)
-    return scored.select(id_col, (crc_mod(id_col, 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(id_col, F.coalesce(crc_mod(id_col, 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def filter_quality(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3, bits: int = BITS, text_col: str = "text") -> DataFrame:

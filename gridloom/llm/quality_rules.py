@@ -100,8 +100,9 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, target_rows:
     """
     good = trusted.select(F.col(id_col).alias("good")).where("good is not null").distinct().orderBy(F.xxhash64("good"), "good").limit(target_rows)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.join(F.broadcast(good), docs[id_col] == good["good"], "left")
-    rows = marked.select(F.col("good").isNotNull().cast("long").alias("good"), F.explode(text_grams(text, buckets)).alias("g"))
+    bare = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    marked = bare.join(F.broadcast(good), F.col("id") == F.col("good"), "left")
+    rows = marked.select(F.col("good").isNotNull().cast("long").alias("good"), F.explode(text_grams(F.col("text"), buckets)).alias("g"))
     raw, target = [PRIOR] * buckets, [PRIOR] * buckets
     for r in rows.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")).collect():  # at most one row per bucket
         raw[r["g"]] += r["raw"]
