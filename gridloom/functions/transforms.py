@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: knots of the percentile table.
@@ -75,13 +75,47 @@ class PercentileTransform(Transform):
 
 
 def quantiles(values: DataFrame, column: str, knots: int = KNOTS, accuracy: int | None = None) -> np.ndarray:
-    """Evenly spaced quantiles of a column with linear interpolation: one aggregate."""
-    shares = F.array(*(F.lit(i / (knots - 1)) for i in range(knots))) if knots <= 101 else F.split(F.lit(",".join(repr(i / (knots - 1)) for i in range(knots))), ",").cast("array<double>")
-    v = F.col(column).cast("double")
-    got = values.agg(F.percentile_approx(v, shares, accuracy) if accuracy else F.percentile(v, shares)).first()[0]
-    if got is None:
+    """Evenly spaced quantiles of a column with linear interpolation, exact unless ``accuracy`` is given.
+
+    Approximate quantiles only part the values into buckets.  Each bucket ranks its distinct
+    values, offset by the counts of the buckets before, and a value tells by arithmetic which
+    knots its ranks hold; so no task sees more than a bucket, and the driver gets the knots.
+    """
+    v = values.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / (knots - 1) for i in range(knots)] if accuracy else [(i + 1) / parts for i in range(parts - 1)] or [0.5]
+    table = F.split(F.lit(",".join(map(repr, shares))), ",").cast("array<double>")
+    n, bounds = v.agg(F.count("v"), F.percentile_approx("v", table, accuracy or 10_000)).first()
+    if not n:
         raise ValueError("No valid points to fit quantiles on")
-    return np.array(got, np.float64)
+    if accuracy:
+        return np.array(bounds, np.float64)
+    edges = np.array(sorted(set(bounds)))
+
+    @F.pandas_udf("int")
+    def bucket(s: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, s), dtype="int32")
+
+    counted = v.groupBy("v").agg(F.count(F.lit(1)).alias("c")).withColumn("bucket", bucket("v"))
+    sizes = {r["bucket"]: r["c"] for r in counted.groupBy("bucket").agg(F.sum("c").alias("c")).collect()}
+    before = np.concatenate([[0], np.cumsum([sizes.get(k, 0) for k in range(len(edges) + 1)])])
+    offset = F.split(F.lit(",".join(map(str, before.tolist()))), ",").cast("array<long>")
+    ranked = counted.withColumn("hi", F.get(offset, "bucket") + F.sum("c").over(Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    last, k = n - 1, knots - 1
+    if not last:
+        return np.full(knots, v.first()[0])
+    # ranks lo..hi-1 hold the lower end of knots from..to, and the upper end of others
+    own = ranked.select("v", (F.col("hi") - F.col("c")).alias("lo"), "hi")
+    ceil = f"(({{0}} * {k}L + {last - 1}L) div {last}L)"
+    lower = own.select("v", F.expr(f"{ceil.format('lo')} as a"), F.expr(f"least({ceil.format('hi')} - 1, {k}L) as b"), F.lit(True).alias("low"))
+    upper = own.select("v", F.expr(f"if(lo = 0, 0L, ((lo - 1) * {k}L) div {last}L + 1) as a"), F.expr(f"((hi - 1) * {k}L) div {last}L as b"), F.lit(False).alias("low"))
+    ends = lower.unionAll(upper).where("a <= b").select("v", "low", F.explode(F.sequence("a", "b")).alias("knot"))
+    rows = ends.groupBy("knot").agg(F.max(F.when(F.col("low"), F.col("v"))).alias("low"), F.max(F.when(~F.col("low"), F.col("v"))).alias("high")).collect()
+    out = np.zeros(knots)
+    for r in rows:
+        share = r["knot"] * last % k / k
+        out[r["knot"]] = r["low"] + (r["high"] - r["low"]) * share
+    return out
 
 
 def strictly_rising(q: np.ndarray) -> np.ndarray:

@@ -53,9 +53,9 @@ def transform_scores(points: DataFrame, scales: Sequence[float] = SCALES) -> tup
     values = points.select("x", "y", *(fitted[n].fwd(F.col("v")).alias(n) for n in names))
     finite = values.agg(*(F.min(F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf"))).alias(n) for n in names)).first()
     names = [n for n in names if finite[n]]
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("ordinal"), F.lit(n).alias("name"), F.col(n).alias("tv")) for k, n in enumerate(names)))).alias("t")
-    stacked = values.select("x", "y", pairs).select("x", "y", "t.ordinal", "t.name", "t.tv")
-    return icc_table(stacked, (x0, y0), scales, "tv", ["ordinal", "name"]), fitted
+    stacked = values.select("x", "y", F.posexplode(F.array(*(F.col(n) for n in names))).alias("ordinal", "tv"))
+    table = icc_table(stacked, (x0, y0), scales, "tv", ["ordinal"])
+    return table.withColumn("name", F.get(F.array(*(F.lit(n) for n in names)), "ordinal")), fitted
 
 
 def choose_transform(points: DataFrame, scales: Sequence[float] = SCALES) -> tuple[Transform, list[tuple[str, float, dict[float, float]]]]:

@@ -123,3 +123,12 @@ def test_one_block_gives_the_default(spark):
 def test_cap_rule(spark, rows, want):
     curve = spark.createDataFrame([tuple(map(float, r)) for r in rows], "hi_km double, block_km double, ci_lo double")
     assert calibrate.cap_from_curve(curve).first()[0] == want
+
+
+@pytest.mark.parametrize("v", [[5.0], [1.0, 2.0], [3.0] * 40 + [1.0, 9.0], list(np.random.default_rng(9).normal(size=5000)), list(np.arange(1001.0)), [0.0] * 5 + [2.0] * 700])
+@pytest.mark.parametrize("knots", [11, 1001])
+def test_quantiles_equal_numpy(spark, v, knots):
+    from gridloom.functions.transforms import quantiles
+
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double").repartition(3)
+    assert np.allclose(quantiles(df, "v", knots), np.quantile(v, np.linspace(0, 1, knots)), rtol=0, atol=1e-9)
