@@ -93,14 +93,13 @@ class Pipeline:
 
     def calibrated(self) -> dict:
         n = self.extent[4]
-        sample = self.points
-        if n > self.calib_max_points:
-            sample = self.points.withColumn("turn", F.rand(0)).orderBy("turn").limit(self.calib_max_points).drop("turn").persist()
+        share = self.calib_max_points / n
+        sample = self.points if share >= 1 else self.points.sample(share, seed=0).persist()
         best, scores = choose_transform(sample)
         cap, detail = calibrate_fill_cap(sample.select("x", "y", best.fwd(F.col("v")).alias("v")), **(self.calibration_options or {}))
         return {
             "transform": best.name,
-            "n_calibration_points": min(n, self.calib_max_points),
+            "n_calibration_points": n if share >= 1 else sample.count(),
             "transform_scores": {name: {"mean": mean, **per} for name, mean, per in scores},
             "transform_state": best.state(),
             "percentile_quantiles": PercentileTransform().fit(self.points, "v").quantiles.tolist(),

@@ -198,3 +198,9 @@ def test_stream_of_points_keeps_cells(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(0, 0, 7.0, 3)]
+
+
+def test_calibration_of_a_sample(spark, csv, tmp_path):
+    p = Pipeline(spark, csv, out=str(tmp_path), calib_max_points=200, calibration_options={"blocks_km": (20.0,), "levels": 3, "n_boot": 5, "min_n": 10}, **COLS)
+    p.ingest()
+    assert 120 < p.calibrate()["n_calibration_points"] < 280
