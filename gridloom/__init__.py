@@ -1,17 +1,23 @@
 """Gap-filled gridded surfaces from scattered points, as Spark DataFrame plans."""
 
-from gridloom.functions.transforms import PercentileTransform, make_transform, transforms
-from gridloom.operators.calibrate import calibrate_fill_cap, choose_transform
-from gridloom.operators.cells import bin_points, box_count, downsample_sum, upsample_bilinear, upsample_nearest
-from gridloom.operators.surface import pull_push_frames, surface
-from gridloom.plans.pipeline import Pipeline, run
-from gridloom.spec import NODATA, GridSpec, pad_to_pyramid
+from importlib import import_module
 
 __version__ = "0.1.0"
 
-#: The pyramid interpolation under its usual name.
-pull_push = pull_push_frames
+#: Public names by module; they load on first use, so that Python workers load only what they run.
+_MODULES = {
+    "gridloom.functions.transforms": ("PercentileTransform", "make_transform", "transforms"),
+    "gridloom.operators.calibrate": ("calibrate_fill_cap", "choose_transform"),
+    "gridloom.operators.cells": ("bin_points", "box_count", "downsample_sum", "upsample_bilinear", "upsample_nearest"),
+    "gridloom.operators.surface": ("pull_push", "pull_push_frames", "surface"),
+    "gridloom.plans.pipeline": ("Pipeline", "run"),
+    "gridloom.spec": ("NODATA", "GridSpec", "pad_to_pyramid"),
+}
+_WHERE = {name: module for module, names in _MODULES.items() for name in names}
+__all__ = sorted(_WHERE)
 
-__all__ = [
-    "NODATA", "GridSpec", "PercentileTransform", "Pipeline", "bin_points", "box_count", "calibrate_fill_cap", "choose_transform", "downsample_sum", "make_transform", "pad_to_pyramid", "pull_push", "pull_push_frames", "run", "surface", "transforms", "upsample_bilinear", "upsample_nearest",
-]
+
+def __getattr__(name: str):
+    if name not in _WHERE:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    return getattr(import_module(_WHERE[name]), name)
