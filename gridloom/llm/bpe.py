@@ -18,13 +18,18 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
 from gridloom.llm.common import map_texts, words_of
 
-#: Distinct words whose encodings a worker keeps.
-CACHE_WORDS = 500_000
+#: Distinct words whose encodings a worker keeps in each of two generations; twice as many token pairs.
+CACHE_WORDS = 200_000
+
+
+def packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(4, "little") for i in ids)
 
 
 def _byte_chars() -> list[str]:
@@ -62,8 +67,10 @@ class TrieBpe:
         self.edges: tuple[dict, dict] = ({}, {})
         self.alone: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
-        self.pieces_done: dict[str, tuple[int, ...]] = {}
-        self.words_done: dict[str, tuple[bytes, str]] = {}
+        self.names = np.array([self.tokens.get(i, "") for i in range(max(self.tokens) + 1)], object)
+        self.pieces_done: dict[str, bytes] = {}
+        self.words_done: dict[str, bytes] = {}
+        self.old: dict[str, dict] = {"pairs": {}, "pieces_done": {}, "words_done": {}}
 
     # -- pairs ---------------------------------------------------------------
     def symbols(self, token: int) -> list[int]:
@@ -109,8 +116,8 @@ class TrieBpe:
         """
         key = a << 20 | b
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
+            known = self.pairs[key] = self.old["pairs"].get(key)
+        if known is None:
             known = self.is_alone(b)
             if known:
                 merges, rights = self.merges, self.edge(b, False)
@@ -123,14 +130,14 @@ class TrieBpe:
         return known
 
     # -- the trie -------------------------------------------------------------
-    def walk(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Encode distinct byte-character words.
+    def walk(self, words: list[str]) -> list[bytes]:
+        """Encode distinct byte-character words to little-endian 32-bit ids.
 
         Sorted order is the depth-first order of their trie.  ``last[i]`` and ``size[i]``
         hold the state of the node at depth i on the current path; entering a word keeps
         the states of the prefix that it shares with the word before.
         """
-        out: list[tuple[int, ...]] = [()] * len(words)
+        out = [b""] * len(words)
         inner, final, longest, pairs, may_follow = self.inner, self.final, self.longest, self.pairs, self.may_follow
         last, size, known, before = [0], [0], 0, ""
         for at in sorted(range(len(words)), key=words.__getitem__):
@@ -164,7 +171,8 @@ class TrieBpe:
             while i:
                 ids.append(last[i])
                 i -= size[i]
-            out[at] = tuple(reversed(ids))
+            ids.reverse()
+            out[at] = packed(ids)
             known, before = n - 1, w
         return out
 
@@ -188,44 +196,42 @@ class TrieBpe:
             word = "".join(c.lower() for c in word) if "Σ" in word else word.lower()
         return [p.encode().decode("latin-1").translate(self.byte_table) for p in self.pieces(word)]
 
+    def turn(self) -> None:
+        """Make full caches the old generation; what is still in use comes back from there."""
+        for name, most in (("pairs", 2 * CACHE_WORDS), ("pieces_done", CACHE_WORDS), ("words_done", CACHE_WORDS)):
+            if len(getattr(self, name)) > most:
+                self.old[name] = getattr(self, name)
+                setattr(self, name, {})
+
+    def known(self, name: str, wanted: set[str]) -> set[str]:
+        """Bring what the old generation has into the cache; the rest is returned."""
+        new, old = getattr(self, name), self.old[name]
+        missing = wanted.difference(new)
+        found = missing.intersection(old)
+        new.update((k, old[k]) for k in found)
+        return missing - found
+
     def learn(self, words: set[str]) -> None:
         """Encode words that the cache lacks."""
-        if len(self.words_done) + len(words) > CACHE_WORDS:
-            self.words_done.clear()
         split = {w: self.split_word(w) for w in words}
-        new = list({p for parts in split.values() for p in parts if isinstance(p, str) and p not in self.pieces_done})
-        if len(self.pieces_done) + len(new) > CACHE_WORDS:
-            self.pieces_done.clear()
-            new = list({p for parts in split.values() for p in parts if isinstance(p, str)})
+        new = list(self.known("pieces_done", {p for parts in split.values() for p in parts if isinstance(p, str)}))
         self.pieces_done.update(zip(new, self.walk(new), strict=True))
+        done = self.pieces_done
         for w, parts in split.items():
-            ids: list[int] = []
-            for p in parts:
-                if isinstance(p, str):
-                    ids += self.pieces_done[p]
-                else:
-                    ids.append(p)
-            self.words_done[w] = (array("I", ids).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(4, "little") for i in ids), " ".join(map(self.tokens.__getitem__, ids)))
+            self.words_done[w] = done[parts[0]] if len(parts) == 1 and isinstance(parts[0], str) else b"".join([done[p] if isinstance(p, str) else packed([p]) for p in parts])
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Ids as little-endian 32-bit integers, and the decoded text, of each text."""
+        self.turn()
         split = [blank_split(t) for t in texts]
-        missing: set[str] = set()
+        distinct: set[str] = set()
         for words in split:
-            missing.update(words)
-        missing.difference_update(self.words_done)
-        if missing:
-            kept = len(self.words_done)
+            distinct.update(words)
+        if missing := self.known("words_done", distinct):
             self.learn(missing)
-            if len(self.words_done) < kept + len(missing):  # the cache was emptied meanwhile
-                self.learn({w for words in split for w in words if w not in self.words_done})
-        ids, decoded = [], []
         done = self.words_done
-        for words in split:
-            got = [done[w] for w in words]
-            ids.append(b"".join([g[0] for g in got]))
-            decoded.append(" ".join([g[1] for g in got if g[1]]))
-        return ids, decoded
+        ids = [b"".join([done[w] for w in words]) for words in split]
+        return ids, [" ".join(self.names[np.frombuffer(i, "<i4")].tolist()) for i in ids]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.tokens[i] for i in ids)
@@ -279,8 +285,6 @@ def bpe_encode(
         enc = encoder(spec.value)
 
         def apply(texts: list[str]) -> dict[str, list]:
-            import numpy as np
-
             ids, decoded = enc.encode(texts)
             out: dict[str, list] = {"n_tokens": [len(b) // 4 for b in ids]}
             if "ids" in want:

@@ -32,7 +32,7 @@ _MARKS = re.compile(r"[\W_]+")
 class WordNumbers:
     """64-bit hashes of words without case and marks; words of marks only vanish."""
 
-    def __init__(self, kept: int = 500_000) -> None:
+    def __init__(self, kept: int = 250_000) -> None:
         self.kept = kept
         self.known: dict[str, int] = {}
 

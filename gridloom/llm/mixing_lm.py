@@ -44,7 +44,7 @@ TASK_WORDS, HOT_WORDS = 500_000, 200_000
 #: The prefix context keeps prefixes that are this share of training or more (twice at least).
 PREFIX_SHARE = 1 / (1 << 20)
 #: Bytes that are coded at once, and distinct words that a counting task holds.
-BATCH_BYTES, HELD_WORDS = 150_000, 1_000_000
+BATCH_BYTES, HELD_WORDS = 150_000, 400_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 _P = np.uint64(0xD1342543DE82EF95)
 
@@ -432,7 +432,7 @@ def score_documents(
                 heads, rows, tails, owner = [], [], [], []
                 for k, t in enumerate(texts):
                     words = words_of(t)
-                    if len(known) > 500_000:
+                    if len(known) > 250_000:
                         known.clear()
                     for w in set(words).difference(known):
                         low = ascii_lower(w)

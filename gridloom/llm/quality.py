@@ -26,7 +26,7 @@ class Hasher:
     A token followed by itself counts as the n-gram "repeat" besides its bigram.
     """
 
-    def __init__(self, bits: int = BITS, kept: int = 400_000) -> None:
+    def __init__(self, bits: int = BITS, kept: int = 150_000) -> None:
         self.bits, self.kept = bits, kept
         self.known: dict[str, np.ndarray] = {}
         self.empty = np.zeros(0, np.uint64)

@@ -9,18 +9,23 @@ overlap is widened, and in the end the two chunks are encoded as one.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.bpe import blank_split
 from gridloom.llm.common import map_texts
 
 #: Characters of a chunk, and of the first overlap that is tried.
 CHUNK, OVERLAP = 16_384, 256
 BLANKS = " \t\n\r"
+#: Distinct words whose counts a worker keeps.
+CACHE_WORDS = 300_000
 
 
 class JsonEncoder:
@@ -33,15 +38,48 @@ class JsonEncoder:
         self.tokenizer = Tokenizer.from_str(blob.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.apart = blanks_part_words(json.loads(blob))
+        self.known: dict[str, int] = {}
 
     def counts(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def short_counts(self, texts: list[str]) -> list[int]:
+        """Counts of texts of one chunk; where every blank is a stable boundary, distinct words are encoded once."""
+        if not self.apart:
+            return self.counts(texts)
+        known = self.known
+        split = [blank_split(t) for t in texts]
+        new = list({w for words in split for w in words}.difference(known))
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = list({w for words in split for w in words})
+        known.update(zip(new, self.counts(new), strict=True))
+        return [sum([known[w] for w in words]) for words in split]
+
     def offsets(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [(np.array(e.ids, np.int64), np.array(e.offsets, np.int64).reshape(-1, 2)) for e in got]
 
 
+def blanks_part_words(spec: dict) -> bool:
+    """Whether no token can hold white space: the first split drops what its pattern leaves out, and that is all of it.
+
+    Normalisation to NFC never joins across white space, and special tokens must hold none.
+    """
+    steps = spec.get("pre_tokenizer") or {}
+    first = (steps.get("pretokenizers") or [steps])[0]
+    dropped = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
+    pattern = first.get("pattern", {}).get("Regex", "")
+    probe = re.compile("|".join(p for p in pattern.split("|") if "\\p" not in p) or "(?!)")
+    classes = [p for p in pattern.split("|") if "\\p" in p]
+    blank_free = all(p.startswith(("[^\\s", "[\\p{L}", "[\\p{N}")) for p in classes) and not any(probe.search(b) for b in BLANKS)
+    normal = spec.get("normalizer") or {}
+    known = {n.get("type") for n in normal.get("normalizers", [normal])} <= {"NFC", "Replace", "Lowercase", None}
+    lone = all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec.get("added_tokens", []))
+    return dropped and bool(pattern) and blank_free and known and lone
+
+
 class PieceEncoder:
     """The same by sentencepiece; its pieces cross white space only at their start."""
 
@@ -52,6 +90,9 @@ class PieceEncoder:
         size = self.model.get_piece_size()
         self.crossing = any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(size))
 
+    def short_counts(self, texts: list[str]) -> list[int]:
+        return self.counts(texts)
+
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.model.encode(texts, num_threads=1)]
 
@@ -159,7 +200,7 @@ def count_tokens(
         def apply(texts: list[str]) -> dict[str, list]:
             short = [k for k, t in enumerate(texts) if len(t) <= chunk]
             n = [0] * len(texts)
-            for k, c in zip(short, encoder.counts([texts[k] for k in short]), strict=True):
+            for k, c in zip(short, encoder.short_counts([texts[k] for k in short]), strict=True):
                 n[k] = c
             for k, t in enumerate(texts):
                 if len(t) > chunk:

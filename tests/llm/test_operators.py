@@ -215,6 +215,17 @@ def test_chunked_counts_equal_whole_ones(file, texts):
         assert token_counts.count_long(e, t, 1000, 20) == e.counts([t])[0]
 
 
+def test_counts_by_words_equal_whole_ones(texts, monkeypatch):
+    import public_tokenizers
+
+    encoders = {f: token_counts.JsonEncoder(open(public_tokenizers.path(f), "rb").read()) for f in ("word_bpe_49k.json", "byte_bpe_50k.json")}
+    assert encoders["word_bpe_49k.json"].apart and not encoders["byte_bpe_50k.json"].apart
+    monkeypatch.setattr(token_counts, "CACHE_WORDS", 300)
+    for e in encoders.values():
+        for part in (list(texts.values()), ODD):
+            assert e.short_counts(part) == e.counts(part)
+
+
 def test_token_counts(spark, docs, texts, library):
     got = token_counts.count_tokens(docs, word_bpe(), chunk=2000, overlap=64).collect()
     for r in got:
