@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-LONG = "the quick (brown) fox 12 jumps. " * 20_000
+LONG = "the quick (brown) fox 12 jumps. " * 5_000
 ROWS = [
     (None, "a text without an id", "en", "s", 1),
     (1, None, None, None, None),
@@ -20,7 +20,7 @@ ROWS = [
     (4, LONG, "en", "s", len(LONG)),
     (5, "twice the same row and the same id", "en", "s", 5),
     (5, "twice the same row and the same id", "en", "s", 5),
-    (6, "x" * 400_000, "en", "s", 400_000),
+    (6, "x" * 100_000, "en", "s", 100_000),
     (7, "tied tied tied tied", "en", "s", 7),
     (8, "tied tied tied tied", "en", "s", 8),
 ]
@@ -84,7 +84,7 @@ def test_defined_results(spark):
     lm = {r.doc_id: r for r in mixing_lm.score_documents(docs).collect()}
     assert len(lm) == 9 and lm[1].n_tokens == lm[2].n_tokens == 1 and lm[5].n_tokens == 9  # equal rows are one
     rules = {r.doc_id: r for r in quality_rules.apply_quality_rules(docs, labels(spark)).collect()}
-    assert rules[1].base_failed and rules[1].n_words == 0 and rules[4].n_repeat_words == 120_000
+    assert rules[1].base_failed and rules[1].n_words == 0 and rules[4].n_repeat_words == 30_000
 
 
 def test_stages_on_hard_rows(spark, tmp_path):
