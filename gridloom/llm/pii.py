@@ -149,26 +149,44 @@ def regions(text: str) -> list[tuple[int, int]]:
 
 
 def candidates(text: str, a: int, b: int, taken: list[tuple[int, int, int]]) -> tuple[list[int], list[tuple[int, int]]]:
-    """Atom borders of text[a:b], and candidate segments as pairs of border numbers."""
+    """Atom borders of text[a:b], and candidate segments as pairs of border numbers.
+
+    A candidate holds an at sign (or its spelling in brackets), or else only digits and
+    their usual separators: seven digits, or four with three dots.  No entity of the four
+    kinds has less.
+    """
     borders = [a, *(m.end() for m in _ATOM.finditer(text, a, b))]
-    blank = [text[x].isspace() for x in borders[:-1]]
-    trigger = [text[x].isdigit() or text[x] == "@" or (text[x] in "([{<" and bool(_AT.match(text, x))) for x in borders[:-1]]
-    seen = [0]
-    for t in trigger:
-        seen.append(seen[-1] + t)
-    blocked = sorted((s, e) for _, s, e in taken if s < b and a < e)
-    out = []
     n = len(borders) - 1
+    blank, digits, other, ats, dots = [], [0], [0], [0], [0]
+    for x, y in zip(borders, borders[1:], strict=False):
+        c = text[x]
+        blank.append(c.isspace())
+        digits.append(digits[-1] + (y - x if "0" <= c <= "9" else 0))
+        other.append(other[-1] + (not ("0" <= c <= "9" or c in " -.()/+[]") or (c == " " and y - x > 2)))
+        ats.append(ats[-1] + (c == "@" or (c in "([{<" and bool(_AT.match(text, x)))))
+        dots.append(dots[-1] + (c == "."))
+    out: list[tuple[int, int]] = []
+    if not ats[-1] and digits[-1] < 4:
+        return borders, out
+    blocked = sorted((s, e) for _, s, e in taken if s < b and a < e)
+    free = 0
     for i in range(n):
-        if blank[i] or (i and text[borders[i] - 1].isalnum() and text[borders[i]].isalnum()):
-            continue
         start = borders[i]
-        stop = min([s if s > start else start for s, e in blocked if e > start], default=b)
-        for j in range(i + 1, min(n, i + MOST_ATOMS) + 1):
+        most = min(n, i + MOST_ATOMS)
+        if blank[i] or (ats[most] == ats[i] and digits[most] - digits[i] < 4) or (start and text[start - 1].isalnum() and text[start].isalnum()):
+            continue
+        while free < len(blocked) and blocked[free][1] <= start:
+            free += 1
+        stop = max(start, blocked[free][0]) if free < len(blocked) else b
+        for j in range(i + 1, most + 1):
             end = borders[j]
             if end > stop or end - start > MOST_CHARS:
                 break
-            if end - start < LEAST_CHARS or blank[j - 1] or seen[j] == seen[i] or (end < len(text) and text[end - 1].isalnum() and text[end].isalnum()):
+            if ats[j] == ats[i]:
+                d = digits[j] - digits[i]
+                if d < 4 or other[j] > other[i] or (d < 7 and dots[j] - dots[i] < 3):
+                    continue
+            if end - start < LEAST_CHARS or blank[j - 1] or (end < len(text) and text[end - 1].isalnum() and text[end].isalnum()):
                 continue
             out.append((i, j))
     return borders, out
