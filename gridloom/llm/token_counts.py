@@ -24,8 +24,8 @@ from gridloom.llm.common import map_texts
 #: Characters of a chunk, and of the first overlap that is tried.
 CHUNK, OVERLAP = 16_384, 256
 BLANKS = " \t\n\r"
-#: Distinct words whose counts a worker keeps.
-CACHE_WORDS = 300_000
+#: Distinct words whose counts a worker keeps in each of two generations.
+CACHE_WORDS = 200_000
 
 
 class JsonEncoder:
@@ -40,6 +40,7 @@ class JsonEncoder:
         self.tokenizer.no_padding()
         self.apart = blanks_part_words(json.loads(blob))
         self.known: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def counts(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -48,18 +49,19 @@ class JsonEncoder:
         """Counts of texts of one chunk; where every blank is a stable boundary, distinct words are encoded once."""
         if not self.apart:
             return self.counts(texts)
-        known = self.known
+        if len(self.known) > CACHE_WORDS:  # what is still in use comes back from the old generation
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
         split = [blank_split(t) for t in texts]
-        new = list({w for words in split for w in words}.difference(known))
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list({w for words in split for w in words})
+        missing = {w for words in split for w in words}.difference(known)
+        known.update((w, old[w]) for w in missing.intersection(old))
+        new = list(missing.difference(old))
         known.update(zip(new, self.counts(new), strict=True))
         return [sum([known[w] for w in words]) for words in split]
 
-    def offsets(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def chunks(self, texts: list[str], at: list[int]) -> list[LibraryTokens]:
         got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [(np.array(e.ids, np.int64), np.array(e.offsets, np.int64).reshape(-1, 2)) for e in got]
+        return [LibraryTokens(e, a, len(t)) for e, a, t in zip(got, at, texts, strict=True)]
 
 
 def blanks_part_words(spec: dict) -> bool:
@@ -96,31 +98,83 @@ class PieceEncoder:
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.model.encode(texts, num_threads=1)]
 
-    def offsets(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def chunks(self, texts: list[str], at: list[int]) -> list[ArrayTokens]:
         out = []
-        for t in texts:
+        for t, a in zip(texts, at, strict=True):
             p = self.model.encode(t, return_type="proto")
             lead = (np.frombuffer(t.encode(), np.uint8) & 0xC0) != 0x80  # offsets count bytes
             chars = np.concatenate([[0], np.cumsum(lead)])
-            at = np.array([(x.begin, x.end) for x in p.pieces], np.int64).reshape(-1, 2)
-            out.append((np.array([x.id for x in p.pieces], np.int64), np.where(at < len(lead), chars[np.minimum(at, len(lead))], len(t))))
+            ends = np.array([(x.begin, x.end) for x in p.pieces], np.int64).reshape(-1, 2)
+            ends = np.where(ends < len(lead), chars[np.minimum(ends, len(lead))], len(t)) + a
+            out.append(ArrayTokens([x.id for x in p.pieces], ends[:, 0], ends[:, 1]))
         return out
 
 
-def splice_at(text: str, left: tuple, left_at: int, right: tuple, right_at: int, low: int, high: int) -> int:
-    """A stable common boundary in [low, high), or -1.
+class ArrayTokens:
+    """Tokens of a chunk with their places in the whole text."""
 
-    left, right: ids and offsets of chunks that start at left_at and right_at.  Tried from
-    the middle of the overlap outwards is not needed: any agreeing boundary is exact, so
-    the last one with a whole word to either side is taken.
-    """
-    starts_l, ends_l = left[1][:, 0] + left_at, left[1][:, 1] + left_at
-    starts_r, ends_r = right[1][:, 0] + right_at, right[1][:, 1] + right_at
+    def __init__(self, ids: list[int], starts: np.ndarray, ends: np.ndarray) -> None:
+        self.ids, self.starts, self.ends = ids, starts, ends
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def first(self, p: int) -> int:
+        """Number of the first token from p on."""
+        return int(np.searchsorted(self.starts, p))
+
+    def window(self, a: int, b: int) -> list[tuple[int, int, int]]:
+        """(id, start, end) of the tokens that begin in [a, b)."""
+        return [(self.ids[k], int(self.starts[k]), int(self.ends[k])) for k in range(self.first(a), self.first(b))]
+
+    def cut(self, p: int) -> bool:
+        """Whether a token lies across p."""
+        return bool(((self.starts < p) & (self.ends > p)).any())
+
+
+class LibraryTokens:
+    """The same over an encoding of the tokenizers library, asked only for the tokens near a border."""
+
+    def __init__(self, encoding, at: int, size: int) -> None:
+        self.encoding, self.at, self.size, self.ids = encoding, at, size, None
+
+    def __len__(self) -> int:
+        return len(self.encoding)
 
-    def within(ids, starts, ends, a, b):
-        k = np.flatnonzero((ends > a) & (starts < b))
-        return [(int(ids[i]), max(int(starts[i]), a), int(ends[i])) for i in k]
+    def first(self, p: int) -> int:
+        for c in range(max(0, p - self.at), self.size):
+            k = self.encoding.char_to_token(c)
+            if k is not None:
+                while k and self.place(k - 1)[0] >= p:  # tokens of one character share its place
+                    k -= 1
+                return k if self.place(k)[0] >= p else k + 1
+        return len(self)
 
+    def place(self, k: int) -> tuple[int, int]:
+        a, b = self.encoding.token_to_chars(k)
+        return a + self.at, b + self.at
+
+    def window(self, a: int, b: int) -> list[tuple[int, int, int]]:
+        if self.ids is None:
+            self.ids = self.encoding.ids
+        out = []
+        for k in range(self.first(a), len(self)):
+            s, e = self.place(k)
+            if s >= b:
+                break
+            out.append((self.ids[k], s, e))
+        return out
+
+    def cut(self, p: int) -> bool:
+        k = self.encoding.char_to_token(p - 1 - self.at) if p > self.at else None
+        return k is not None and self.place(k)[1] > p
+
+
+def splice_at(text: str, left, right, low: int, high: int) -> int:
+    """A stable common boundary of two chunks' tokens in [low, high), or -1.
+
+    Any agreeing boundary is exact, so the last one with a whole word to either side is taken.
+    """
     # p: just before a blank that follows a word; q: end of the word after it
     q = high
     while True:
@@ -138,7 +192,7 @@ def splice_at(text: str, left: tuple, left_at: int, right: tuple, right_at: int,
             start -= 1
         if start <= low:
             return -1
-        if within(left[0], starts_l, ends_l, start, p) == within(right[0], starts_r, ends_r, start, p) and within(left[0], starts_l, ends_l, p, q) == within(right[0], starts_r, ends_r, p, q) and not ((starts_l < p) & (ends_l > p)).any() and not ((starts_r < p) & (ends_r > p)).any():
+        if left.window(start, q) == right.window(start, q) and not any(x.cut(at) for x in (left, right) for at in (start, p, q)):
             return p
         q = p
 
@@ -150,24 +204,23 @@ def count_long(encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -
         return encoder.counts([text])[0]
     begins = list(range(0, n - overlap, chunk - overlap))
     spans = [(b, min(n, b + chunk)) for b in begins]
-    coded = encoder.offsets([text[a:b] for a, b in spans])
+    coded = encoder.chunks([text[a:b] for a, b in spans], begins)
     total, start = 0, 0
     (a, e), left = spans[0], coded[0]
-    for k in range(1, len(spans)):
-        (b, f), right = spans[k], coded[k]
+    for (b, f), right in zip(spans[1:], coded[1:], strict=True):
         width = overlap
-        while (p := splice_at(text, left, a, right, b, max(b, start), e)) < 0:
+        while (p := splice_at(text, left, right, max(b, start), e)) < 0:
             width *= 2
             if e - width <= max(a, start):  # nothing left to widen: one chunk of both
-                left, e = encoder.offsets([text[a:f]])[0], f
+                left, e = encoder.chunks([text[a:f]], [a])[0], f
                 break
             b = e - width
-            right = encoder.offsets([text[b:f]])[0]
+            right = encoder.chunks([text[b:f]], [b])[0]
         if p < 0:
             continue
-        total += int(((left[1][:, 0] + a >= start) & (left[1][:, 1] + a <= p)).sum())
+        total += left.first(p) - left.first(start)
         start, a, e, left = p, b, f, right
-    return total + int((left[1][:, 0] + a >= start).sum())
+    return total + len(left) - left.first(start)
 
 
 @lru_cache(maxsize=2)
