@@ -13,9 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hash space of the n-grams; pseudo-count of every bucket in both multinomials; bound of
-#: the trusted documents that the target multinomial is fitted on.
-BUCKETS, PRIOR, TARGET_ROWS = 10_000, 1.0, 5_000
+#: Hash space of the n-grams; pseudo-count of every bucket in both multinomials.
+BUCKETS, PRIOR = 10_000, 1.0
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -92,16 +91,17 @@ def text_grams(text: Column, buckets: int) -> Column:
     return grams(words_column(shaped(text)), buckets)
 
 
-def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, target_rows: int, id_col: str, text_col: str) -> list[float]:
+def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str, text_col: str) -> list[float]:
     """log-likelihood ratio of every bucket, from one pass over all documents that adds up map-side first.
 
-    The raw multinomial counts every document; the target one at most ``target_rows``
-    trusted ids, the first by a hash of the id, which bounds the broadcast.
+    The raw multinomial counts every document, the target one every trusted one.  Trusted
+    ids grow with the corpus, so a merge join marks the documents at every size, which
+    shuffles the texts once.
     """
-    good = trusted.select(F.col(id_col).alias("good")).where("good is not null").distinct().orderBy(F.xxhash64("good"), "good").limit(target_rows)
+    good = trusted.select(F.col(id_col).alias("good")).where("good is not null").distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    marked = bare.join(F.broadcast(good), F.col("id") == F.col("good"), "left")
+    marked = bare.join(good.hint("merge"), F.col("id") == F.col("good"), "left")
     rows = marked.select(F.col("good").isNotNull().cast("long").alias("good"), F.explode(text_grams(F.col("text"), buckets)).alias("g"))
     raw, target = [PRIOR] * buckets, [PRIOR] * buckets
     for r in rows.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")).collect():  # at most one row per bucket
@@ -116,7 +116,6 @@ def apply_quality_rules(
     trusted: DataFrame,
     threshold: float = -0.25,
     buckets: int = BUCKETS,
-    target_rows: int = TARGET_ROWS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -127,7 +126,7 @@ def apply_quality_rules(
     threshold.  Without trusted documents the target multinomial is uniform.
     The usual edge cases; a null or empty text has no words and fails the base rules.
     """
-    ratios = ratio_table(docs, trusted, buckets, target_rows, id_col, text_col)
+    ratios = ratio_table(docs, trusted, buckets, id_col, text_col)
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded to a constant
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = docs.select(F.col(id_col), text.alias("text"), words_column(text).alias("w"))

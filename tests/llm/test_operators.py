@@ -130,6 +130,14 @@ def test_quality_ratio_separates(spark, docs):
     assert np.mean(right) > 0.95
 
 
+def test_every_trusted_document_counts(spark):
+    n = 6000
+    docs = spark.range(2 * n).selectExpr("id doc_id", f"if(id < {n}, 'good', 'poor') text")
+    trusted = spark.range(n).selectExpr("id doc_id")
+    best = quality_rules.apply_quality_rules(docs, trusted).agg({"ratio": "max"}).first()[0]
+    assert best == pytest.approx(math.log((n + 1) / (n + quality_rules.BUCKETS)) - math.log((n + 1) / (2 * n + quality_rules.BUCKETS)))
+
+
 # -- secrets --------------------------------------------------------------------------
 def secrets_brute(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
