@@ -114,28 +114,39 @@ class Seeds:
                 out.update((int(item), int(pos) - int(offset)) for item, offset in self.places[a:b])
         return out
 
-    def verify(self, words: np.ndarray, item: int, start: int, least_share: float) -> tuple[int, int, int]:
+    def verify(self, words: np.ndarray, item: int, start: int, least_words: int, least_share: float) -> tuple[int, int, int]:
         """Best overlap on one diagonal: (equal words, length, document word at which it begins).
 
         The segment of greatest sum with +1 for an equal word and a penalty for a substituted
-        one that makes any share of equal words below ``least_share`` lose.
+        one that makes any share of equal words below ``least_share`` lose.  If that has fewer
+        than ``least_words`` equal words, the segment of most equal words whose sum isn't
+        negative: to each end belongs the earliest begin whose prefix sum isn't above its own.
         """
         own = self.words[item]
         a, b = max(0, -start), min(len(own), len(words) - start)
         same = own[a:b] == words[start + a : start + b]
+        if same.sum() < least_words:
+            return 0, 0, start + a
         gain = np.where(same, 1.0, -least_share / (1.0 - least_share))
         total = np.concatenate([[0.0], np.cumsum(gain)])
         floor = np.minimum.accumulate(total)
         end = int(np.argmax(total - floor))
         begin = int(np.flatnonzero(total[: end + 1] == floor[end])[0])
+        if same[begin:end].sum() < least_words:
+            begins = np.searchsorted(-floor, -total - 1e-9)
+            equal = np.concatenate([[0], np.cumsum(same)])
+            end = int(np.argmax(equal - equal[begins]))
+            begin = int(begins[end])
+            begin += int(np.argmax(same[begin:end]))  # substituted words at its begin don't belong to it, and argmax leaves none at its end
         return int(same[begin:end].sum()), end - begin, start + a + begin
 
     def found(self, words: np.ndarray, least_words: int, least_share: float) -> dict[int, tuple[int, int, int]]:
         """Best verified overlap of each item that the document holds."""
         out: dict[int, tuple[int, int, int]] = {}
         for item, start in self.hits(words):
-            same, length, at = self.verify(words, item, start, least_share)
-            if same >= min(least_words, len(self.words[item])) and same >= least_share * length:
+            least = min(least_words, len(self.words[item]))
+            same, length, at = self.verify(words, item, start, least, least_share)
+            if same >= least and same >= least_share * length - 1e-9:
                 out[item] = max(out.get(item, (0, 0, 0)), (same, -length, -at))
         return {k: (same, -length, -at) for k, (same, length, at) in out.items()}
 

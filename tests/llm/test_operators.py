@@ -308,6 +308,24 @@ def test_leaks_tolerate_substitutions(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(20)} and all(r.n_equal < r.n_words for r in got)
 
 
+def test_every_segment_of_a_diagonal_counts(spark):
+    item = [f"w{k}" for k in range(15)]
+    copy = [w if k not in (2, 12) else "other" for k, w in enumerate(item)]  # its best segment has 9 equal words of 9
+    numbers = decontaminate.WordNumbers()
+    docs, bench = spark.createDataFrame([(1, " ".join(copy))], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert [(r.n_equal, r.n_words, r.at) for r in decontaminate.find_leaks(docs, bench).collect()] == [(13, 15, 0)]
+    assert decontaminate.drop_leaks(docs, bench).count() == 0
+    r = random.Random(7)
+    for _ in range(2000):
+        item = [f"w{k}" for k in range(r.randint(10, 40))]
+        same = [r.random() < 0.75 for _ in item]
+        seeds = decontaminate.Seeds.build([(1, " ".join(item))])
+        words = numbers.of(" ".join(w if s else "other" for w, s in zip(item, same, strict=True)))
+        n, length, at = seeds.verify(words, 0, 0, 10, 0.7)
+        fits = any(sum(same[a:b]) >= 10 and 10 * sum(same[a:b]) >= 7 * (b - a) for a in range(len(item)) for b in range(a + 1, len(item) + 1))
+        assert fits == (n >= 10) and (not fits or (n == sum(same[at : at + length]) and 10 * n >= 7 * length and same[at] and same[at + length - 1]))
+
+
 def test_short_items_match_whole(spark):
     bench = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, ""), (4, None)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x Alpha, BETA y"), (2, "alpha x beta"), (3, "gamma!")], "doc_id long, text string")
