@@ -80,6 +80,9 @@ _AT = re.compile(r"[(\[{<]\s?at\s?[)\]}>]", re.IGNORECASE)
 _TRIGGER = re.compile(r"[0-9@]|[(\[{<]\s?at\s?[)\]}>]", re.IGNORECASE)
 _DOT = re.compile(r"[(\[{<]\s?dot\s?[)\]}>]|\sdot\s|\.", re.IGNORECASE)
 _SEPARATORS = re.compile(r"[^0-9]+")
+#: Separators that features tell apart; other dashes and blanks within a line count as "-" and " ".
+_MARKS = frozenset(" -.()/:@+\t\n_")
+_ALIKE = str.maketrans(dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d", "-") | dict.fromkeys("\u00a0\u1680\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))), " "))
 #: Words before an entity of each kind.
 CONTEXT = {
     "email": ("email", "e-mail", "mail", "contact"),
@@ -98,7 +101,7 @@ def features(text: str, a: int, b: int) -> list[str]:
     s = text[a:b]
     groups = [g for g in _SEPARATORS.split(s) if g]
     digits = "".join(groups)
-    seps = set(re.sub(r"[0-9A-Za-z]", "", s))
+    seps = set(re.sub(r"[0-9A-Za-z]", "", s.translate(_ALIKE)))
     letters = sum(c.isalpha() for c in s)
     n = len(digits)
     out = [
@@ -112,7 +115,7 @@ def features(text: str, a: int, b: int) -> list[str]:
         f"after:{_side(text[b : b + 1])}",
         f"letters:{0 if not letters else 1 if letters < 4 else 2}",
         f"length:{len(s) // 6}",
-        "seps:" + "".join(sorted(seps & set(" -.()/:@+"))) + ("?" if seps - set(" -.()/:@+") else ""),
+        "seps:" + "".join(sorted(seps & _MARKS)) + ("?" if seps - _MARKS else ""),
     ]
     if 13 <= n <= 19 and not letters:
         out.append(f"luhn:{luhn(digits)}")
@@ -152,8 +155,8 @@ def candidates(text: str, a: int, b: int, taken: list[tuple[int, int, int]]) ->
     """Atom borders of text[a:b], and candidate segments as pairs of border numbers.
 
     A candidate holds an at sign (or its spelling in brackets), or else only digits and
-    their usual separators: seven digits, or four with three dots.  No entity of the four
-    kinds has less.
+    marks or blanks of any kind: seven digits, or four with three dots.  No entity of the
+    four kinds has less.
     """
     borders = [a, *(m.end() for m in _ATOM.finditer(text, a, b))]
     n = len(borders) - 1
@@ -162,7 +165,7 @@ def candidates(text: str, a: int, b: int, taken: list[tuple[int, int, int]]) ->
         c = text[x]
         blank.append(c.isspace())
         digits.append(digits[-1] + (y - x if "0" <= c <= "9" else 0))
-        other.append(other[-1] + (not ("0" <= c <= "9" or c in " -.()/+[]") or (c == " " and y - x > 2)))
+        other.append(other[-1] + (c.isalnum() and not "0" <= c <= "9"))
         ats.append(ats[-1] + (c == "@" or (c in "([{<" and bool(_AT.match(text, x)))))
         dots.append(dots[-1] + (c == "."))
     out: list[tuple[int, int]] = []
@@ -336,9 +339,37 @@ def examples(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[int, int
     return out
 
 
+def parted_examples(n: int = 300, seed: int = 8) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Training sentences with cards, phones and other numbers whose groups are parted by no-break spaces, dashes, tabs, line breaks or underscores."""
+    r = random.Random(seed)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    w = lambda: "".join(r.choice("abcdefghilmnoprstuvz") for _ in range(r.randint(2, 9)))
+
+    def card(right: bool) -> list[str]:
+        body = r.choice("3456") + d(14)
+        body += next(c for c in "0123456789" if luhn(body + c) == right)
+        return [body[k : k + 4] for k in range(0, 16, 4)]
+
+    out = []
+    for _ in range(n):
+        kind = r.choice((2, 3, 3, None))
+        if kind == 2:
+            groups = card(True)
+        elif kind == 3:
+            groups = r.choice([[d(3), d(3), d(4)], [f"({d(3)})", d(3), d(4)], ["1", d(3), d(3), d(4)], [f"+{r.randint(1, 99)}", d(3), d(3), d(4)], [f"0{d(4)}", d(6)], [f"00{r.randint(11, 99)}", d(3), d(7)]])
+        else:
+            groups = r.choice([card(False), [str(r.randint(1950, 2030)), str(r.randint(1950, 2030))], [d(r.randint(1, 5)) for _ in range(r.randint(4, 7))], [d(3)] * 3, [d(5), d(5)], [str(r.randint(1950, 2030)), d(2), d(2)]])
+        text = " ".join(w() for _ in range(r.randint(1, 3))) + " "
+        if kind and r.random() < 0.4:
+            text += r.choice(CONTEXT[KINDS[kind]]) + r.choice([": ", " ", " is "])
+        s = r.choice("\u00a0\u2013\u2011\t\n_").join(groups)
+        out.append((text + s + r.choice(["", "", ".", ","]) + " " + w(), [(kind, len(text), len(text) + len(s))] if kind else []))
+    return out
+
+
 @lru_cache(maxsize=1)
 def trained() -> SemiMarkovField:
-    return SemiMarkovField().fit(examples())
+    return SemiMarkovField().fit([*parted_examples(), *examples()])
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]], field: SemiMarkovField) -> list[tuple[int, int, int]]:

@@ -79,6 +79,15 @@ def test_field_finds_unseen_examples():
     assert hit > 20 * (wrong + missed)
 
 
+def test_field_finds_entities_with_other_separators():
+    field = pii.trained()
+    for sep in "\u00a0\u202f\u2013\u2011\t\n_":
+        for kind, groups, before in ((3, ("212", "555", "0199"), "tel "), (2, ("4111", "1111", "1111", "1111"), "card: ")):
+            s = sep.join(groups)
+            assert (kind, len(before), len(before) + len(s)) in field.spans(f"{before}{s} and so on", []), (sep, kind)
+    assert not field.spans("from 1950\u20131990 on", [])
+
+
 def test_decoding_is_the_best_of_all_segmentations():
     field = pii.trained()
     r = random.Random(5)
