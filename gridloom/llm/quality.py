@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import crc_mod, map_texts, text_chunks
+from gridloom.llm.common import Memo, crc_mod, filter_texts, map_texts, parts, prepare
 
 #: Hash space of the features; bound of the labelled rows that training reads.
 BITS, TRAIN_ROWS = 18, 6000
@@ -27,30 +27,21 @@ class Hasher:
     """
 
     def __init__(self, bits: int = BITS, kept: int = 150_000) -> None:
-        self.bits, self.kept = bits, kept
-        self.known: dict[str, np.ndarray] = {}
-        self.empty = np.zeros(0, np.uint64)
-
-    def tokens(self, word: str) -> np.ndarray:
-        """Hashes of the tokens of one blank-free word."""
-        if len(self.known) >= self.kept:
-            self.known.clear()
-        got = self.known[word] = np.array([zlib.crc32(t.encode()) + 1 for t in self.parts(word)], np.uint64)
-        return got
+        self.bits = bits
+        self.known = Memo(lambda word: np.array([zlib.crc32(t.encode()) + 1 for t in self.tokens(word)], np.uint64), kept)
 
     @staticmethod
-    def parts(word: str) -> list[str]:
-        """Tokens, with the case of a word reduced to lower, Capital or UPPER."""
+    def tokens(word: str) -> list[str]:
+        """Tokens of a blank-free word, their case reduced to lower, Capital or UPPER."""
         return [p.lower() if p.islower() or len(p) < 2 else ("^" if p.isupper() else "'") + p.lower() for p in _TOKEN.findall(word)]
 
     def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Sorted feature numbers below 2 ** bits and their values: root counts scaled to length 1."""
         known = self.known
-        words = text.split()
-        parts = [known[w] if w in known else self.tokens(w) for w in words]
-        if not parts:
+        hashes = [known[w] for w in text.split()]
+        if not hashes:
             return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        h = np.concatenate(parts)
+        h = np.concatenate(hashes)
         again = np.zeros(int((h[:-1] == h[1:]).sum()), np.uint64)
         mixed = np.concatenate([h, (h[:-1] * _ODD) ^ h[1:], again]) * _ODD
         at, count = np.unique((mixed >> np.uint64(64 - self.bits)).astype(np.int64), return_counts=True)
@@ -111,23 +102,23 @@ def fit_quality(
     """Train on a bounded sample of labelled rows; features are hashed by the executors.
 
     The sample is at most ``rows`` labelled ids (the bound of all that is broadcast and
-    collected: a row has at most 2 ** bits features).  Without usable labels every score is 0.5.
+    collected: a row has at most 2 ** bits features), a document that occurs several times
+    once per different text.  Without usable labels every score is 0.5.  The usual edge
+    cases; labels that are null or neither 0 nor 1 are left out, and of several labels of an
+    id the least counts.
     """
-    from gridloom.llm.common import ship
-
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     sample = training_rows(docs, labels, rows, id_col, text_col, label_col).select("turn", "id", "label", "text")
 
     def hashed(batches):
         hasher = Hasher(bits)
         for b in batches:
-            kept = [b.column(k).to_pylist() for k in range(3)]
-            texts = [t for _, part in text_chunks(kept[0], b.column(3).to_pylist()) for t in part]
-            got = [np.rec.fromarrays(hasher.features(t), _PAIR) for t in texts]
-            yield pa.RecordBatch.from_pydict({"turn": kept[0], "id": kept[1], "label": pa.array(kept[2], pa.int32()), "features": pa.array([g.tobytes() for g in got], pa.binary())})
+            for part, texts in parts(b, 3):
+                got = [np.rec.fromarrays(hasher.features(t), _PAIR).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(got, pa.binary())], ["turn", "id", "label", "features"])
 
     id_type = sample.schema["id"].dataType.simpleString()
-    got = sample.mapInArrow(hashed, f"turn long, id {id_type}, label int, features binary").toPandas().sort_values(["turn", "id", "features"])
+    got = sample.mapInArrow(hashed, f"turn long, id {id_type}, label int, features binary").toPandas().drop_duplicates().sort_values(["turn", "id", "features"])
     pairs = [np.frombuffer(f, _PAIR) for f in got["features"]]
     return train_ftrl([((p["at"].astype(np.int64), p["value"]), int(y)) for p, y in zip(pairs, got["label"], strict=True)], bits)
 
@@ -164,25 +155,16 @@ def score_quality(
 
 
 def filter_quality(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3, bits: int = BITS, text_col: str = "text") -> DataFrame:
-    """All columns of the rows whose text is predicted 1: one pass without a join."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    from gridloom.llm.common import ship
+    """All columns of the rows whose text is predicted 1, in one pass without a join.
 
-    ship(docs.sparkSession)
+    The usual edge cases; an empty text is judged by the bias alone.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    arrow = to_arrow_schema(docs.schema)
-    at = docs.columns.index(text_col)
     least = math.log(threshold / (1 - threshold))
 
-    def run(batches):
+    def make():
         weights, bias = sent.value
         hasher = Hasher(bits)
-        for b in batches:
-            keep = []
-            for t in b.column(at).to_pylist():
-                keep.append(dot(weights, bias, hasher.features(t or "")) >= least)
-            kept = b.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(k).cast(arrow.field(k).type) for k in range(kept.num_columns)], schema=arrow)
+        return lambda texts: [dot(weights, bias, hasher.features(t)) >= least for t in texts]
 
-    return docs.mapInArrow(run, docs.schema)
+    return filter_texts(docs, make, text_col)
