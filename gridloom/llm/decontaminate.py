@@ -20,39 +20,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from gridloom.llm.common import ship
+from gridloom.llm.common import Memo, filter_texts, parts, prepare
 
 #: Fixed masks: each has six compared positions, laid out so that close substitutions spoil few of them.
 MASKS = ("1110111", "11011011", "110100111", "1011001101", "11100010011")
 #: Words of a benchmark block: what one broadcast holds at most, give or take one item.
 BLOCK_WORDS = 2_000_000
+#: Diagonals of one document that are remembered as verified.
+SEEN = 500_000
 _MARKS = re.compile(r"[\W_]+")
 
 
-class WordNumbers:
-    """64-bit hashes of words without case and marks; words of marks only vanish."""
+def word_number(word: str) -> int:
+    """64-bit hash of a word without case and marks; 0 for a word of marks only."""
+    w = _MARKS.sub("", word).lower()
+    return xxhash.xxh3_64_intdigest(w) >> 1 or 1 if w else 0
+
 
-    def __init__(self, kept: int = 250_000) -> None:
-        self.kept = kept
-        self.known: dict[str, int] = {}
+class WordNumbers:
+    """The numbers of a text's words; words of marks only vanish."""
 
-    def __missing(self, word: str) -> int:
-        w = _MARKS.sub("", word).lower()
-        return xxhash.xxh3_64_intdigest(w) >> 1 or 1 if w else 0
+    def __init__(self, kept: int = 200_000) -> None:
+        self.known = Memo(word_number, kept)
 
     def of(self, text: str) -> np.ndarray:
         known = self.known
-        words = text.split()
-        for w in set(words).difference(known):
-            if len(known) >= self.kept:
-                known.clear()
-                return self.of_uncached(words)
-            known[w] = self.__missing(w)
-        h = np.array([known[w] for w in words], np.uint64)
-        return h[h > 0]
-
-    def of_uncached(self, words: list[str]) -> np.ndarray:
-        h = np.array([self.__missing(w) for w in words], np.uint64)
+        h = np.array([known[w] for w in text.split()], np.uint64)
         return h[h > 0]
 
 
@@ -101,18 +94,26 @@ class Seeds:
         bitmap[h >> np.uint64(42)] = True
         return cls(ids, words, masks, h[order], p[order], bitmap)
 
-    def hits(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item, start of the item along the document) of all seed hits; the start may be negative."""
-        out: set[tuple[int, int]] = set()
+    def hits(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, start of the item along the document) of all seed hits; the start may be negative.
+
+        A pair comes once, or again after SEEN others: what is remembered of a repetitive
+        text against many alike items stays bounded.
+        """
+        seen: set[tuple[int, int]] = set()
         for mask in self.masks:
             h = window_hashes(words, mask)
             at = np.flatnonzero(self.bitmap[h >> np.uint64(42)])
             if not len(at):
                 continue
             low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-            for pos, a, b in zip(at[high > low], low[high > low], high[high > low], strict=True):
-                out.update((int(item), int(pos) - int(offset)) for item, offset in self.places[a:b])
-        return out
+            for pos, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+                for item, offset in self.places[a:b].tolist():
+                    if (pair := (item, pos - offset)) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(pair)
+                        yield pair
 
     def verify(self, words: np.ndarray, item: int, start: int, least_words: int, least_share: float) -> tuple[int, int, int]:
         """Best overlap on one diagonal: (equal words, length, document word at which it begins).
@@ -140,16 +141,24 @@ class Seeds:
             begin += int(np.argmax(same[begin:end]))  # substituted words at its begin don't belong to it, and argmax leaves none at its end
         return int(same[begin:end].sum()), end - begin, start + a + begin
 
-    def found(self, words: np.ndarray, least_words: int, least_share: float) -> dict[int, tuple[int, int, int]]:
-        """Best verified overlap of each item that the document holds."""
-        out: dict[int, tuple[int, int, int]] = {}
+    def overlaps(self, words: np.ndarray, least_words: int, least_share: float) -> Iterator[tuple[int, int, int, int]]:
+        """(item, equal words, length, begin) of each verified diagonal."""
         for item, start in self.hits(words):
             least = min(least_words, len(self.words[item]))
             same, length, at = self.verify(words, item, start, least, least_share)
             if same >= least and same >= least_share * length - 1e-9:
-                out[item] = max(out.get(item, (0, 0, 0)), (same, -length, -at))
+                yield item, same, length, at
+
+    def found(self, words: np.ndarray, least_words: int, least_share: float) -> dict[int, tuple[int, int, int]]:
+        """Best verified overlap of each item that the document holds."""
+        out: dict[int, tuple[int, int, int]] = {}
+        for item, same, length, at in self.overlaps(words, least_words, least_share):
+            out[item] = max(out.get(item, (0, 0, 0)), (same, -length, -at))
         return {k: (same, -length, -at) for k, (same, length, at) in out.items()}
 
+    def any(self, words: np.ndarray, least_words: int, least_share: float) -> bool:
+        return next(self.overlaps(words, least_words, least_share), None) is not None
+
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple]]:
     """The benchmark in blocks of bounded size, one at a time on the driver."""
@@ -181,7 +190,7 @@ def find_leaks(
     size are taken in broadcast blocks of bounded size, each against all documents.
     The usual edge cases; empty texts and items overlap nothing.
     """
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     bench = benchmark.select(F.col(item_col).alias("item"))
     full = StructType([StructField(id_col, source.schema["id"].dataType), StructField(item_col, bench.schema["item"].dataType), *StructType.fromDDL("n_equal long, n_words long, at long").fields])
@@ -193,11 +202,14 @@ def find_leaks(
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             seeds, numbers = sent.value, WordNumbers()
             for b in batches:
-                rows = []
-                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for item, best in sorted(seeds.found(numbers.of(t or ""), least_words, least_share).items()):
-                        rows.append((i, seeds.ids[item], *best))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
+                for part, texts in parts(b, 1):
+                    rows, at = [], []
+                    for k, t in enumerate(texts):
+                        for item, best in sorted(seeds.found(numbers.of(t), least_words, least_share).items()):
+                            rows.append((seeds.ids[item], *best))
+                            at.append(k)
+                    ids = part.column(0).take(pa.array(at, pa.int64())).cast(arrow.field(0).type)
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(arrow)[1:]))], schema=arrow)
 
         got = source.mapInArrow(run, full)
         out = got if out is None else out.unionAll(got)
@@ -215,18 +227,12 @@ def drop_leaks(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """All columns of the documents that overlap no benchmark item; see find_leaks."""
-    ship(docs.sparkSession)
-    arrow = to_arrow_schema(docs.schema)
-    at = docs.columns.index(text_col)
     for items in blocks(benchmark, item_col, item_text_col, block_words):
         sent = docs.sparkSession.sparkContext.broadcast(Seeds.build(items))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def make(sent=sent):
             seeds, numbers = sent.value, WordNumbers()
-            for b in batches:
-                keep = [not seeds.found(numbers.of(t or ""), least_words, least_share) for t in b.column(at).to_pylist()]
-                kept = b.filter(pa.array(keep, pa.bool_()))
-                yield pa.RecordBatch.from_arrays([kept.column(k).cast(arrow.field(k).type) for k in range(kept.num_columns)], schema=arrow)
+            return lambda texts: [not seeds.any(numbers.of(t), least_words, least_share) for t in texts]
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = filter_texts(docs, make, text_col)
     return docs
