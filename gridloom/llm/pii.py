@@ -138,12 +138,10 @@ def features(text: str, a: int, b: int) -> list[str]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Parts of a text that can hold an entity: every trigger with 40 characters around it."""
+    """Parts of a text that can hold an entity: every trigger with the length of the longest segment to either side."""
     out: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
-        if out and m.end() + 40 <= out[-1][1]:
-            continue
-        a, b = max(0, m.start() - 40), min(len(text), m.end() + 40)
+        a, b = max(0, m.start() - MOST_CHARS), min(len(text), m.end() + MOST_CHARS)
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], b)
         else:
@@ -221,7 +219,9 @@ class SemiMarkovField:
             borders, segments = candidates(text, 0, len(text), [])
             rows = self.rows(text, borders, segments, grow=True)
             at = {(borders[i], borders[j]): k for k, (i, j) in enumerate(segments)}
-            ready.append((len(borders) - 1, segments, rows, [(at[a, b], kind) for kind, a, b in gold if (a, b) in at]))
+            if lost := [g for g in gold if g[1:] not in at]:
+                raise ValueError(f"no candidate segment for {lost} of {text!r}")
+            ready.append((len(borders) - 1, segments, rows, [(at[a, b], kind) for kind, a, b in gold]))
         self.weights = np.zeros((len(KINDS), len(self.index)))
         square = np.full_like(self.weights, 1e-6)
         for _ in range(epochs):
@@ -424,7 +424,7 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of ``df``, with personal data in the text replaced; a null text becomes empty."""
+    """All columns of ``df``, with personal data in the text replaced; the usual edge cases, a null text becomes empty."""
     model = df.sparkSession.sparkContext.broadcast(trained())
 
     def make():
