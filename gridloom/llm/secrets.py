@@ -1,8 +1,15 @@
-"""Secret scanning: fixed patterns, and a guess-cost estimate of credential-context values."""
+"""Secret scanning: fixed patterns, and a guess-cost estimate of credential-context values.
+
+The cost of a value is that of its cheapest segmentation into dictionary words, dates,
+repeats, keyboard walks and brute-force spans.  Words, dates and walks are bounded in length
+and brute force costs the same for each character, so one pass over a value of any length
+finds it in linear time.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterable
@@ -19,18 +26,15 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Contexts in which a value is taken for a credential, beyond the fixed pattern.
 CONTEXT = re.compile(
-    r"""(?:(?ai:\b(passwords?|passwd|pwd|passphrase|passcode|secret|secret[_\x20-]key|token|auth[_-]token|api[_\x20-]?key|access[_\x20-]key|private[_\x20-]key|client[_-]secret|credentials?))["'\])]?\x20*(?:(?ai:is|are|was)\x20*:?|[:=]>?|->)\x20*|(?ai:\bbearer\x20+))["'(<]?([^\s"'<>]{6,128})"""
+    r"""(?:(?ai:\b(passwords?|passwd|pwd|passphrase|passcode|secret|secret[_\x20-]key|token|auth[_-]token|api[_\x20-]?key|access[_\x20-]key|private[_\x20-]key|client[_-]secret|credentials?))["'\])]?\x20*(?:(?ai:is|are|was)\x20*:?|[:=]>?|->)\x20*|(?ai:\bbearer\x20+))["'(<]?([^\s"'<>]{6,})"""
 )
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer")
 
-#: Common passwords and password words, commonest first.
+#: Common passwords and words in them, commonest first; the other words come from a vocabulary.
 COMMON = """password qwerty admin letmein welcome monkey dragon master login princess abc iloveyou
 sunshine football shadow superman michael baseball trustno hello freedom whatever ninja mustang access
 secret summer winter spring autumn batman love test user root guest default changeme example sample
-dummy foobar foo bar qazwsx pass token key server system computer internet google orange apple banana
-cookie flower killer soccer hockey jordan hunter pepper ginger cheese maggie buster charlie thomas daniel
-george robert jessica ashley amanda matthew joshua andrew cat dog house red blue green black white one two
-three the and you this that with from have for not are was but all can out new""".split()
+dummy foobar foo bar qazwsx pass token key server system computer internet google""".split()
 
 #: Rows of a keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -45,8 +49,29 @@ def _neighbours() -> set[tuple[str, str]]:
 
 
 NEAR = _neighbours()
-RANK = {w: k + 1 for k, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
+#: Characters of the longest dictionary word and of the longest walk that count as one segment.
+LONGEST, LONGEST_WALK, LONGEST_PERIOD = 24, 32, 8
+
+
+def ranks(vocabulary_path: str | None = None) -> dict[str, int]:
+    """Words with their ranks: the common passwords, then the whole words of a tokenizer's vocabulary.
+
+    A BPE vocabulary (tokenizers JSON with word ends) lists words in the order in which
+    merging met them, the more frequent first.  The table is as large as the vocabulary.
+    """
+    words = dict.fromkeys(COMMON)
+    if vocabulary_path:
+        with open(vocabulary_path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        end = model["end_of_word_suffix"]
+        for t in sorted(model["vocab"], key=model["vocab"].__getitem__):
+            w = t[: -len(end)]
+            if t.endswith(end) and 3 <= len(w) <= LONGEST and w.isascii() and w.isalpha():
+                words.setdefault(w)
+    return {w: k + 1 for k, w in enumerate(words)}
+
+
+RANK = ranks()
 
 
 def per_character(value: str) -> float:
@@ -59,49 +84,68 @@ def per_character(value: str) -> float:
 
 
 def _segments(value: str, words: dict[str, int], unit: float) -> Iterable[tuple[int, int, float, str]]:
-    """Candidate segments (start, end, log10 guesses, kind), brute force aside."""
+    """Candidate segments (start, end, log10 guesses, kind) by start, brute force aside."""
     low = value.lower()
+    if len(low) != len(value):  # a letter whose lower case is longer
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
     n = len(value)
+    # how far the text goes on repeating itself with each period, from each place
+    alike = []
+    for period in range(1, min(LONGEST_PERIOD, n) + 1):
+        run = [0] * (n + 1)
+        for k in range(n - period - 1, -1, -1):
+            run[k] = run[k + 1] + 1 if value[k] == value[k + period] else 0
+        alike.append(run)
     for i in range(n):
-        for j in range(i + 3, min(n, i + max(LONGEST, 16)) + 1):
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
             for s, more in ((low[i:j], 0.0), (plain[i:j], 1.0)):
                 if (rank := words.get(s)) is not None:
                     case = 0.0 if value[i:j] == s or more else 0.5
                     yield i, j, math.log10(rank) + case + more, "word"
                     break
-        k = i
-        while k + 1 < n and (low[k], low[k + 1]) in NEAR:
-            k += 1
-        for j in range(i + 3, k + 2):
-            turns = sum((ord(low[m + 1]) - ord(low[m])) != (ord(low[m + 2]) - ord(low[m + 1])) for m in range(i, j - 2))
-            yield i, j, math.log10(47 * (j - i)) + 0.7 * turns, "walk"
+        turns, step = 0, 0
+        for j in range(i + 2, min(n, i + LONGEST_WALK) + 1):
+            if (low[j - 2], low[j - 1]) not in NEAR:
+                break
+            was, step = step, ord(low[j - 1]) - ord(low[j - 2])
+            turns += j > i + 2 and step != was
+            if j >= i + 3:
+                yield i, j, math.log10(47 * (j - i)) + 0.7 * turns, "walk"
         if m := DATE.match(value, i):
             yield i, m.end(), math.log10(365 * 60 if len(m[0]) > 4 else 120), "date"
-        if (m := REPEAT.match(value, i)) and m.end() - i >= 3:
-            yield i, m.end(), len(m[1]) * unit + math.log10((m.end() - i) // len(m[1])), "repeat"
+        for period, run in enumerate(alike, 1):
+            if run[i] >= period:
+                times = run[i] // period + 1
+                if period * times >= 3:
+                    yield i, i + period * times, period * unit + math.log10(times), "repeat"
+                break
 
 
 def guess_cost(value: str, words: dict[str, int] | None = None) -> tuple[float, list[tuple[int, int, str]]]:
     """The least log10 guesses over all segmentations, and the segments of the cheapest one.
 
     best[j] is the least cost of the first j characters; a further segment costs log10(2)
-    more, for the guess of where it starts.  Values are cut into at most 128 characters by
-    the context pattern, which bounds the table.
+    more, for the guess of where it starts.  A brute-force span that reaches j either goes
+    on from j - 1 or starts there, so values of any length take linear time.
     """
-    words = RANK if words is None else RANK | words
-    n, unit = len(value), per_character(value)
-    by_end: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
+    words = RANK if words is None else words
+    n, unit, start = len(value), per_character(value), math.log10(2)
+    by_start: dict[int, list[tuple[int, float, str]]] = {}
     for i, j, cost, kind in _segments(value, words, unit):
-        by_end[j].append((i, cost, kind))
-    best = [0.0] + [math.inf] * n
-    back: list[tuple[int, str]] = [(0, "")] * (n + 1)
-    for j in range(1, n + 1):
-        options = by_end[j] + [(i, (j - i) * unit, "brute") for i in range(j)]
-        for i, cost, kind in options:
-            c = best[i] + cost + (math.log10(2) if i else 0.0)
-            if c < best[j] - 1e-12:
+        by_start.setdefault(i, []).append((j, cost, kind))
+    best, back = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
+    brute, since = math.inf, 0  # the cheapest way that ends here inside a brute-force span, and where that began
+    for i in range(n + 1):
+        if i and brute < best[i] - 1e-12:
+            best[i], back[i] = brute, (since, "brute")
+        more = start if i else 0.0
+        for j, cost, kind in by_start.get(i, ()):
+            if (c := best[i] + cost + more) < best[j] - 1e-12:
                 best[j], back[j] = c, (i, kind)
+        if best[i] + more < brute - 1e-12:
+            brute, since = best[i] + more, i
+        brute += unit
     parts, j = [], n
     while j:
         i, kind = back[j]
@@ -123,7 +167,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def context_spans(text: str, taken: list[tuple[int, int, int]], least_cost: float, words: dict[str, int] | None) -> list[tuple[int, int, int, float]]:
-    """Credential-context values of at least ``least_cost`` log10 guesses outside ``taken``."""
+    """Whole credential-context values of at least ``least_cost`` log10 guesses that no span of ``taken`` covers."""
     low = text.lower()
     if not any(k in low for k in CONTEXT_WORDS):
         return []
@@ -131,8 +175,7 @@ def context_spans(text: str, taken: list[tuple[int, int, int]], least_cost: floa
     for m in CONTEXT.finditer(text):
         value = m[2].rstrip(".,;:!?)]}*#%&$|")
         a, b = m.start(2), m.start(2) + len(value)
-        mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-        if len(value) < 6 or not mixed or any(s < b and a < e for _, s, e in taken):
+        if len(value) < 6 or any(s <= a and b <= e for _, s, e in taken):
             continue
         if (cost := guess_cost(value, words)[0]) >= least_cost:
             out.append((0, m.start(), b, cost))
@@ -156,17 +199,22 @@ def scan_secrets(
     describe the fixed patterns; ``spans`` joins all spans likewise; n_method counts the
     added ones and ``strongest`` is the greatest log10 guess cost among the values of all
     credential contexts (null if there is none).  An added span has kind ``assign`` and
-    covers the context keyword and its value.  ``words``: more dictionary words with ranks.
+    covers the context keyword and its value to the value's end, however long it is; it may
+    overlap a fixed pattern's span that covers only a part of the value.  ``words``: the
+    dictionary with ranks, by default a few common passwords (see ``ranks``); it is broadcast.
     The usual edge cases; an empty text has no spans.
     """
+    sent = df.sparkSession.sparkContext.broadcast(RANK if words is None else words)
 
     def make():
+        words = sent.value
+
         def apply(texts: list[str]) -> dict[str, list]:
             out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_method", "strongest")}
             for t in texts:
                 base = sorted(base_spans(t), key=lambda s: (s[1], s[0]))
                 more = context_spans(t, base, least_cost, words)
-                costs = [c for *_, c in more] + [guess_cost(m[2][:128], words)[0] for k, a, b in base if k == 0 and (m := ASSIGN.match(t, a))]
+                costs = [c for *_, c in more] + [guess_cost(m[2], words)[0] for k, a, b in base if k == 0 and (m := ASSIGN.match(t, a))]
                 for k, n in enumerate(("n_assign", "n_access", "n_hex")):
                     out[n].append(sum(s[0] == k for s in base))
                 out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
