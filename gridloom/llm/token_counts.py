@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import blank_split
-from gridloom.llm.common import map_texts
+from gridloom.llm.common import MEMO_CHARS, map_texts
 
 #: Characters of a chunk, and of the first overlap that is tried.
 CHUNK, OVERLAP = 16_384, 256
 BLANKS = " \t\n\r"
-#: Distinct words whose counts a worker keeps in each of two generations.
+_BLANK = re.compile(f"[{BLANKS}]")
+#: Distinct words of at most MEMO_CHARS whose counts a worker keeps in each of two generations.
 CACHE_WORDS = 200_000
 
 
@@ -57,17 +58,24 @@ class JsonEncoder:
         known.update((w, old[w]) for w in missing.intersection(old))
         new = list(missing.difference(old))
         known.update(zip(new, self.counts(new), strict=True))
-        return [sum([known[w] for w in words]) for words in split]
+        out = [sum([known[w] for w in words]) for words in split]
+        for w in [w for w in new if len(w) > MEMO_CHARS]:
+            del known[w]
+        return out
+
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.known, self.old = {}, {}
 
-    def chunks(self, texts: list[str], at: list[int]) -> list[LibraryTokens]:
-        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [LibraryTokens(e, a, len(t)) for e, a, t in zip(got, at, texts, strict=True)]
+    def chunk(self, text: str, at: int) -> LibraryTokens:
+        return LibraryTokens(self.tokenizer.encode(text, add_special_tokens=False), at, len(text))
 
 
 def blanks_part_words(spec: dict) -> bool:
     """Whether no token can hold white space: the first split drops what its pattern leaves out, and that is all of it.
 
-    Normalisation to NFC never joins across white space, and special tokens must hold none.
+    Normalisation to NFC never joins across white space, a replacement may only make runs of
+    white space one blank, and special tokens must hold none.
     """
     steps = spec.get("pre_tokenizer") or {}
     first = (steps.get("pretokenizers") or [steps])[0]
@@ -77,7 +85,8 @@ def blanks_part_words(spec: dict) -> bool:
     classes = [p for p in pattern.split("|") if "\\p" in p]
     blank_free = all(p.startswith(("[^\\s", "[\\p{L}", "[\\p{N}")) for p in classes) and not any(probe.search(b) for b in BLANKS)
     normal = spec.get("normalizer") or {}
-    known = {n.get("type") for n in normal.get("normalizers", [normal])} <= {"NFC", "Replace", "Lowercase", None}
+    steps = normal.get("normalizers", [normal])
+    known = all(n.get("type") in ("NFC", "Lowercase", None) or (n["type"] == "Replace" and n.get("content") == " " and n.get("pattern") == {"Regex": "\\s+"}) for n in steps)
     lone = all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec.get("added_tokens", []))
     return dropped and bool(pattern) and blank_free and known and lone
 
@@ -98,16 +107,16 @@ class PieceEncoder:
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.model.encode(texts, num_threads=1)]
 
-    def chunks(self, texts: list[str], at: list[int]) -> list[ArrayTokens]:
-        out = []
-        for t, a in zip(texts, at, strict=True):
-            p = self.model.encode(t, return_type="proto")
-            lead = (np.frombuffer(t.encode(), np.uint8) & 0xC0) != 0x80  # offsets count bytes
-            chars = np.concatenate([[0], np.cumsum(lead)])
-            ends = np.array([(x.begin, x.end) for x in p.pieces], np.int64).reshape(-1, 2)
-            ends = np.where(ends < len(lead), chars[np.minimum(ends, len(lead))], len(t)) + a
-            out.append(ArrayTokens([x.id for x in p.pieces], ends[:, 0], ends[:, 1]))
-        return out
+    def forget(self) -> None:
+        pass
+
+    def chunk(self, text: str, at: int) -> ArrayTokens:
+        p = self.model.encode(text, return_type="proto")
+        lead = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80  # offsets count bytes
+        chars = np.concatenate([[0], np.cumsum(lead)])
+        ends = np.array([(x.begin, x.end) for x in p.pieces], np.int64).reshape(-1, 2)
+        ends = np.where(ends < len(lead), chars[np.minimum(ends, len(lead))], len(text)) + at
+        return ArrayTokens([x.id for x in p.pieces], ends[:, 0], ends[:, 1])
 
 
 class ArrayTokens:
@@ -173,53 +182,54 @@ class LibraryTokens:
 def splice_at(text: str, left, right, low: int, high: int) -> int:
     """A stable common boundary of two chunks' tokens in [low, high), or -1.
 
-    Any agreeing boundary is exact, so the last one with a whole word to either side is taken.
+    Candidates are the ends of words before white space.  Any at which both encodings agree
+    on the word and white space to either side is exact, so the last one is taken.
     """
-    # p: just before a blank that follows a word; q: end of the word after it
-    q = high
-    while True:
-        while q > low and not (text[q - 1] not in BLANKS and q < high and text[q] in BLANKS):
-            q -= 1
-        if q <= low:
-            return -1
-        p = q
-        while p > low and text[p - 1] not in BLANKS:
-            p -= 1
-        while p > low and text[p - 1] in BLANKS:
-            p -= 1
-        start = p
-        while start > low and text[start - 1] not in BLANKS:
-            start -= 1
-        if start <= low:
-            return -1
+
+    def word_end(at: int) -> int:
+        """The last end of a word before white space below ``at``, or ``low``."""
+        at -= 1
+        while at > low and (text[at] not in BLANKS or text[at - 1] in BLANKS):
+            at -= 1
+        return at
+
+    q = word_end(high)
+    p = word_end(q)
+    while (start := word_end(p)) > low:
         if left.window(start, q) == right.window(start, q) and not any(x.cut(at) for x in (left, right) for at in (start, p, q)):
             return p
-        q = p
+        q, p = p, start
+    return -1
 
 
 def count_long(encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a text by overlapping chunks; equal to encoding it whole."""
+    """Tokens of a text by overlapping chunks; equal to encoding it whole.
+
+    Two chunks are held at a time.  Where widening the overlap finds no boundary, the left
+    chunk is encoded anew up to a chunk beyond the next white space, but at least to twice
+    its length, so that all chunks together stay in proportion to the text.  Only a run
+    without white space is ever encoded as one: nothing proves a boundary inside it.
+    """
     n = len(text)
     if n <= chunk or getattr(encoder, "crossing", False):
         return encoder.counts([text])[0]
-    begins = list(range(0, n - overlap, chunk - overlap))
-    spans = [(b, min(n, b + chunk)) for b in begins]
-    coded = encoder.chunks([text[a:b] for a, b in spans], begins)
-    total, start = 0, 0
-    (a, e), left = spans[0], coded[0]
-    for (b, f), right in zip(spans[1:], coded[1:], strict=True):
-        width = overlap
-        while (p := splice_at(text, left, right, max(b, start), e)) < 0:
+    total, start, a, e = 0, 0, 0, chunk
+    left = encoder.chunk(text[:e], 0)
+    while e < n:
+        width, p = overlap, -1
+        some = _BLANK.search(text, max(a, start), e)
+        while p < 0 and some and e - width > max(a, start):
+            b, f = e - width, min(n, e - width + max(chunk, 2 * width))
+            right = encoder.chunk(text[b:f], b)
+            p = splice_at(text, left, right, max(b, start), e)
             width *= 2
-            if e - width <= max(a, start):  # nothing left to widen: one chunk of both
-                left, e = encoder.chunks([text[a:f]], [a])[0], f
-                break
-            b = e - width
-            right = encoder.chunks([text[b:f]], [b])[0]
-        if p < 0:
-            continue
-        total += left.first(p) - left.first(start)
-        start, a, e, left = p, b, f, right
+        if p < 0:  # nothing left to widen
+            blank = _BLANK.search(text, e)
+            e = min(n, max(2 * e - a, (blank.end() if blank else n) + chunk))
+            left = encoder.chunk(text[a:e], a)
+        else:
+            total += left.first(p) - left.first(start)
+            start, a, e, left = p, b, f, right
     return total + len(left) - left.first(start)
 
 
@@ -260,6 +270,7 @@ def count_tokens(
                     n[k] = count_long(encoder, t, chunk, overlap)
             return {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": n}
 
+        apply.cache = encoder
         return apply
 
     counted = map_texts(df, make, "n_bytes long, n_tokens long", id_col, text_col)
