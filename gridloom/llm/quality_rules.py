@@ -7,14 +7,17 @@ is its mean log-likelihood ratio per n-gram, and a fixed threshold decides.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import stored
+
 #: Hash space of the n-grams; pseudo-count of every bucket in both multinomials.
-BUCKETS, PRIOR = 10_000, 1.0
+BUCKETS, PRIOR = 1 << 18, 1
+#: A bigram's hash is that of its first word times this, and that of its second.
+STEP = 1_000_003
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -68,53 +71,37 @@ def repeated_words(words: Column) -> Column:
 
 
 def grams(words: Column, buckets: int) -> Column:
-    """Bucket numbers of a document's hashed unigrams and bigrams."""
-
-    def both(w: Column) -> Column:
-        uni = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-        bi = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.pmod(F.xxhash64(F.get(w, i - 1), F.get(w, i)), F.lit(buckets)).cast("int"))
-        return F.when(F.size(w) > 1, F.concat(uni, bi)).otherwise(uni)
-
-    return let(words, both)
+    """Bucket numbers of a document's unigrams and bigrams, from the crc32 of its words."""
 
+    def both(h: Column) -> Column:
+        uni = F.transform(h, lambda x: (x % buckets).cast("int"))
+        bi = F.transform(F.sequence(F.lit(1), F.size(h) - 1), lambda i: ((F.get(h, i - 1) * STEP + F.get(h, i)) % buckets).cast("int"))
+        return F.when(F.size(h) > 1, F.concat(uni, bi)).otherwise(uni)
 
-def shaped(text: Column) -> Column:
-    """The text with long words as "~" and words in capitals as "^".
-
-    Long words are mostly unique; what sets good text apart is how words are written, which
-    marks they carry and which short ones occur.
-    """
-    return F.regexp_replace(F.regexp_replace(text, r"\p{Lu}{2,}", "^"), r"[\p{L}\p{N}]{5,}", "~")
+    return let(F.transform(words, F.crc32), both)
 
 
-def text_grams(text: Column, buckets: int) -> Column:
-    return grams(words_column(shaped(text)), buckets)
-
-
-def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str, text_col: str) -> list[float]:
-    """log-likelihood ratio of every bucket, from one pass over all documents that adds up map-side first.
+def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
+    """(g, value): the log-likelihood ratio of every bucket that occurs, from one pass over all documents that adds up map-side first.
 
     The raw multinomial counts every document, the target one every trusted one.  Trusted
     ids grow with the corpus, so a merge join marks the documents at every size, which
-    shuffles the texts once.
+    shuffles the texts once.  The table has one row per bucket at most, whatever the input.
     """
     good = trusted.select(F.col(id_col).alias("good")).where("good is not null").distinct()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    bare = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    bare = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marked = bare.join(good.hint("merge"), F.col("id") == F.col("good"), "left")
-    rows = marked.select(F.col("good").isNotNull().cast("long").alias("good"), F.explode(text_grams(F.col("text"), buckets)).alias("g"))
-    raw, target = [PRIOR] * buckets, [PRIOR] * buckets
-    for r in rows.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")).collect():  # at most one row per bucket
-        raw[r["g"]] += r["raw"]
-        target[r["g"]] += r["good"]
-    a, b = math.log(sum(target)), math.log(sum(raw))
-    return [(math.log(g) - a) - (math.log(x) - b) for g, x in zip(target, raw, strict=True)]
+    rows = marked.select(F.col("good").isNotNull().cast("long").alias("good"), F.explode(grams(words_column(F.col("text")), buckets)).alias("g"))
+    counts = stored(rows.groupBy("g").agg((F.count(F.lit(1)) + PRIOR).alias("raw"), (F.sum("good") + PRIOR).alias("good")))
+    unseen = F.lit(buckets * PRIOR) - F.count(F.lit(1)) * PRIOR
+    all_raw, all_good = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)) + unseen, F.coalesce(F.sum("good"), F.lit(0)) + unseen).first()
+    return counts.select("g", (F.log(F.col("good") / F.lit(all_good)) - F.log(F.col("raw") / F.lit(all_raw))).alias("value"))
 
 
 def apply_quality_rules(
     docs: DataFrame,
     trusted: DataFrame,
-    threshold: float = -0.25,
+    threshold: float = -0.4,
     buckets: int = BUCKETS,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -122,26 +109,57 @@ def apply_quality_rules(
     """Rule counts, base_failed, the ratio and kept for every whole text.
 
     ``trusted``: ids of target documents.  ratio is the mean over a text's hashed unigrams
-    and bigrams (0 for a text without words); kept if the base rules hold and ratio >=
-    threshold.  Without trusted documents the target multinomial is uniform.
+    and bigrams, to six digits (0 for a text without words); kept if the base rules hold and
+    ratio >= threshold.  Without trusted documents the target multinomial is uniform.
     The usual edge cases; a null or empty text has no words and fails the base rules.
     """
     ratios = ratio_table(docs, trusted, buckets, id_col, text_col)
-    table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded to a constant
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.select(F.col(id_col), text.alias("text"), words_column(text).alias("w"))
-    mean = let(
-        table,
-        lambda t: let(text_grams(F.col("text"), buckets), lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(t, x)) / F.greatest(F.size(g), F.lit(1))),
-    )
-    counted = words.select(
-        F.col(id_col),
-        F.size("w").cast("long").alias("n_words"),
-        F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
-        (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        duplicate_lines(F.col("text")).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("w")).cast("long").alias("n_repeat_words"),
-        mean.alias("ratio"),
-    )
+    words = docs.select(F.col(id_col).alias("id"), text.alias("text"), words_column(text).alias("w"))
+    counts = {
+        "n_words": F.size("w").cast("long"),
+        "word_chars": F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)),
+        "n_symbols": (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long"),
+        "n_dup_lines": duplicate_lines(F.col("text")).cast("long"),
+        "n_repeat_words": repeated_words(F.col("w")).cast("long"),
+    }
+    # a text's n-grams stay in its task: they meet their ratios and are added up again before the shuffle, which has a row per text
+    counted = words.select("id", F.monotonically_increasing_id().alias("row"), *(c.alias(n) for n, c in counts.items()), grams(F.col("w"), buckets).alias("grams"))
+    spread = counted.select("id", "row", *counts, F.explode_outer("grams").alias("g"))
+    per = spread.join(F.broadcast(ratios), "g", "left").groupBy("row", "id", *counts).agg(F.sum("value").alias("total"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("ratio") >= threshold)).alias("kept"), "ratio")
+    ratio = F.round(F.coalesce(F.col("total") / (2 * F.col("n_words") - 1), F.lit(0.0)), 6)
+    out = per.select(F.col("id").alias(id_col), *counts, failed.alias("base_failed"), ratio.alias("ratio"))
+    return out.select(id_col, *counts, "base_failed", (~F.col("base_failed") & (F.col("ratio") >= threshold)).alias("kept"), "ratio")
+
+
+#: The query's rows in SQL: crc32 byte by byte over distinct words, then counts and sums.
+ORACLE = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1) AS good FROM documents d),
+numbered AS (SELECT row_number() OVER () AS r, * FROM docs),
+tokens AS (SELECT r, good, unnest(list_filter(string_split_regex(text, '[\x09-\x0D\x20]+'), lambda x: x <> '')) AS word,
+                  generate_subscripts(list_filter(string_split_regex(text, '[\x09-\x0D\x20]+'), lambda x: x <> ''), 1) AS k FROM numbered),
+bytes_of AS (SELECT word, hex(encode(word)) AS hx FROM (SELECT DISTINCT word FROM tokens)),
+tab AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+crc AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(hx) // 2),
+          lambda k: (instr('0123456789ABCDEF', substr(hx, 2 * k + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hx, 2 * k + 2, 1)) - 1)),
+          lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM bytes_of, tab),
+hashed AS (SELECT r, good, word, k, h, lag(word, 1) OVER w AS w1, lag(word, 2) OVER w AS w2, lag(h) OVER w AS h1 FROM tokens JOIN crc USING (word) WINDOW w AS (PARTITION BY r ORDER BY k)),
+grams AS (SELECT r, good, h % 262144 AS g FROM hashed UNION ALL SELECT r, good, (h1 * 1000003 + h) % 262144 FROM hashed WHERE h1 IS NOT NULL),
+counts AS (SELECT g, count(*) + 1 AS raw, count(*) FILTER (good) + 1 AS good FROM grams GROUP BY g),
+sums AS (SELECT (SELECT sum(raw - 1) FROM counts) + 262144 AS all_raw, (SELECT sum(good - 1) FROM counts) + 262144 AS all_good),
+ratios AS (SELECT g, ln(good / (all_good * 1e0)) - ln(raw / (all_raw * 1e0)) AS v FROM counts, sums),
+mean AS (SELECT r, avg(v) AS ratio FROM grams JOIN ratios USING (g) GROUP BY r),
+again AS (SELECT r, w2, w1, word FROM hashed WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT k) AS n FROM (
+  SELECT h.r, unnest([h.k - 2, h.k - 1, h.k]) AS k FROM hashed h JOIN again a ON h.r = a.r AND h.w2 = a.w2 AND h.w1 = a.w1 AND h.word = a.word) GROUP BY r),
+sizes AS (SELECT r, count(*) AS n, sum(length(word))::BIGINT AS chars FROM tokens GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM numbered) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+rows_ AS (SELECT d.doc_id, coalesce(s.n, 0) AS n_words, coalesce(s.chars, 0) AS word_chars,
+                 length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines,
+                 coalesce(c.n, 0) AS n_repeat_words, round(coalesce(m.ratio, 0), 6) AS ratio
+          FROM numbered d LEFT JOIN sizes s USING (r) LEFT JOIN lines l USING (r) LEFT JOIN covered c USING (r) LEFT JOIN mean m USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND ratio >= -4e-1 AS kept, ratio
+FROM rows_
+"""
