@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.bpe import bpe_encode
 from gridloom.llm.common import documents
 from gridloom.llm.decontaminate import find_leaks
-from gridloom.llm import licenses
-from gridloom.llm.licenses import document_files, scan_licenses
+from gridloom.llm import licenses, quality_rules
+from gridloom.llm.licenses import document_licenses
 from gridloom.llm.mixing_lm import score_documents
 from gridloom.llm.near_dups import find_near_duplicates
 from gridloom.llm.pii import find_pii
 from gridloom.llm.quality import fit_quality, score_quality
 from gridloom.llm.quality_rules import apply_quality_rules
-from gridloom.llm.secrets import scan_secrets
+from gridloom.llm.secrets import ranks, scan_secrets
 from gridloom.llm.token_counts import count_tokens
 
 
@@ -34,7 +34,7 @@ def op2_importance_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(documents(spark, sf_dir))
+    return scan_secrets(documents(spark, sf_dir), words=ranks(word_bpe()))
 
 
 def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op9_fast_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(document_files(documents(spark, sf_dir)), license_file_col="is_license_file")
+    return document_licenses(documents(spark, sf_dir))
 
 
 QUERIES = {
@@ -80,5 +80,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_importance_ratio": quality_rules.ORACLE,
     "op10_license_tfidf": licenses.ORACLE,
 }
