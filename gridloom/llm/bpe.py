@@ -22,9 +22,9 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import map_texts, words_of
+from gridloom.llm.common import MEMO_CHARS, map_texts
 
-#: Distinct words whose encodings a worker keeps in each of two generations; twice as many token pairs.
+#: Distinct words of at most MEMO_CHARS whose encodings a worker keeps in each of two generations; twice as many token pairs.
 CACHE_WORDS = 200_000
 
 
@@ -203,6 +203,11 @@ class TrieBpe:
                 self.old[name] = getattr(self, name)
                 setattr(self, name, {})
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.pairs, self.pieces_done, self.words_done = {}, {}, {}
+        self.old = {"pairs": {}, "pieces_done": {}, "words_done": {}}
+
     def known(self, name: str, wanted: set[str]) -> set[str]:
         """Bring what the old generation has into the cache; the rest is returned."""
         new, old = getattr(self, name), self.old[name]
@@ -219,6 +224,8 @@ class TrieBpe:
         done = self.pieces_done
         for w, parts in split.items():
             self.words_done[w] = done[parts[0]] if len(parts) == 1 and isinstance(parts[0], str) else b"".join([done[p] if isinstance(p, str) else packed([p]) for p in parts])
+        for p in [p for p in new if len(p) > MEMO_CHARS]:
+            done.pop(p)
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Ids as little-endian 32-bit integers, and the decoded text, of each text."""
@@ -231,6 +238,8 @@ class TrieBpe:
             self.learn(missing)
         done = self.words_done
         ids = [b"".join([done[w] for w in words]) for words in split]
+        for w in [w for w in distinct if len(w) > MEMO_CHARS]:  # the bytes of a cache are bounded, not only its entries
+            done.pop(w)
         return ids, [" ".join(self.names[np.frombuffer(i, "<i4")].tolist()) for i in ids]
 
     def decode(self, ids: list[int]) -> str:
@@ -297,6 +306,7 @@ def bpe_encode(
                 out["decoded_sha256"] = [hashlib.sha256(d.encode()).hexdigest() for d in decoded]
             return out
 
+        apply.cache = enc
         return apply
 
     return map_texts(df, make, ", ".join(f"{n} {FIELDS[n]}" for n in outputs), id_col, text_col)
