@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from gridloom.llm.common import ascii_lower, crc_mod, ship, stored, text_chunks, words_of
+from gridloom.llm.common import ascii_lower, crc_mod, parts as text_parts, prepare, stored, words_of
 
 #: Contexts in bytes back from the coded one; 0 is the whole prefix.  Hash bits of each table.
 ORDERS, BITS = (1, 2, 3, 4, 6, 0), (16, 18, 20, 20, 20, 21)
@@ -258,7 +258,7 @@ def word_hash(word: bytes) -> int:
 
 def word_counts(docs: DataFrame, id_col: str, text_col: str, held_out: int, modulus: int) -> DataFrame:
     """(word, n): occurrences in training texts, 0 for words of other texts only; '' counts training texts."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     source = docs.select((F.coalesce(crc_mod(id_col, modulus), F.lit(-1)) != held_out).alias("train"), F.col(text_col).alias("text"))
 
     def run(batches):
@@ -396,7 +396,7 @@ def score_documents(
     The usual edge cases, except that rows equal in id and text give one result row.
     """
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     vocabulary = stored(word_counts(docs, id_col, text_col, held_out, modulus))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     ends = (vocabulary.where("word = ''").agg(F.sum("n")).first()[0]) or 0
@@ -428,7 +428,8 @@ def score_documents(
         number, base, lp = hot.value
         known: dict[str, int] = {}  # hot words by their number, other words by -1 - hash
         for b in batches:
-            for ids, texts in text_chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for part, texts in text_parts(b, 1):
+                ids = part.column(0).to_pylist()
                 heads, rows, tails, owner = [], [], [], []
                 for k, t in enumerate(texts):
                     words = words_of(t)
