@@ -44,7 +44,7 @@ OPERATORS = {
     "counts": lambda s, d: token_counts.count_tokens(d, word_bpe()),
     "quality": lambda s, d: quality.score_quality(d, quality.fit_quality(d, labels(s))),
     "near": lambda s, d: near_dups.find_near_duplicates(d),
-    "licenses": lambda s, d: licenses.scan_licenses(licenses.document_files(d)),
+    "licenses": lambda s, d: licenses.document_licenses(d),
 }
 OTHERS = {
     "lm": lambda s, d: mixing_lm.score_documents(d),

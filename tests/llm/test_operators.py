@@ -88,6 +88,17 @@ def test_field_finds_entities_with_other_separators():
     assert not field.spans("from 1950\u20131990 on", [])
 
 
+@pytest.mark.parametrize("n", [38, 50, 54, 55])
+def test_long_entities_are_found_whole(n):
+    text = "write to " + "j" * n + "(at)ab.de and wait"
+    assert pii.trained().spans(text, []) == [(0, 9, 9 + n + 9)]
+
+
+def test_a_gold_entity_that_is_no_candidate_is_refused():
+    with pytest.raises(ValueError):
+        pii.SemiMarkovField().fit([("a bc", [(0, 2, 4)])])
+
+
 def test_decoding_is_the_best_of_all_segmentations():
     field = pii.trained()
     r = random.Random(5)
@@ -144,7 +155,28 @@ def test_every_trusted_document_counts(spark):
     docs = spark.range(2 * n).selectExpr("id doc_id", f"if(id < {n}, 'good', 'poor') text")
     trusted = spark.range(n).selectExpr("id doc_id")
     best = quality_rules.apply_quality_rules(docs, trusted).agg({"ratio": "max"}).first()[0]
-    assert best == pytest.approx(math.log((n + 1) / (n + quality_rules.BUCKETS)) - math.log((n + 1) / (2 * n + quality_rules.BUCKETS)))
+    assert best == pytest.approx(math.log((n + 1) / (n + quality_rules.BUCKETS)) - math.log((n + 1) / (2 * n + quality_rules.BUCKETS)), abs=1e-6)
+
+
+def test_quality_rules_equal_sql(spark, docs):
+    import duckdb
+
+    con = duckdb.connect()
+    odd = [(-1 - k, t, None, None, None) for k, t in enumerate([*ODD, None, "a b c " * 40, "x y", "one  two\x0bthree\n\none two", "\x1cq \x85 w"])]
+    both = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    both_rows = both.toArrow()  # noqa: F841
+    con.execute("create table documents as select * from both_rows")
+    con.execute(f"create view labels as select * from '{SF}/labels.parquet'")
+    got = quality_rules.apply_quality_rules(both, spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1")).toPandas()
+    want = con.execute(quality_rules.ORACLE).df()
+    plain = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(str).values.tolist()))
+    assert plain(got) == plain(want)
+
+
+def test_other_words_give_another_ratio(spark):
+    rows = [(k, " ".join(w * 1 for w in ("alpha beta gamma delta epsilon" if k % 2 else "omega sigma lambda kappa theta").split() * 3)) for k in range(20)]
+    got = quality_rules.apply_quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), spark.range(1, 20, 2).selectExpr("id doc_id")).collect()
+    assert all((r.ratio > 0) == bool(r.doc_id % 2) for r in got)
 
 
 # -- secrets --------------------------------------------------------------------------
@@ -183,9 +215,27 @@ def test_guess_cost_orders_passwords():
 
 
 def test_contexts_add_strong_values_only(spark):
-    rows = ["my password is Xk29vQz! and", "the secret is wonderful", "the pwd -> password1", "Authorization: Bearer abcD3fgh12Zx99"]
-    got = secrets.scan_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [r.n_method for r in got] == [1, 0, 0, 1]
+    rows = ["my password is Xk29vQz! and", "the secret is wonderful", "the pwd -> password1", "Authorization: Bearer abcD3fgh12Zx99", "passphrase: QwzXpLkVbnTrGhYs", "password is correcthorsebatterystaple", "pin passcode: 83920174650293"]
+    got = secrets.scan_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), words=secrets.ranks(word_bpe())).orderBy("doc_id").collect()
+    assert [r.n_method for r in got] == [1, 0, 0, 1, 1, 1, 1]
+
+
+def test_added_spans_reach_the_end_of_long_values(spark):
+    r = random.Random(9)
+    for n in (200, 440, 30_000):
+        value = "".join(r.choice("abcXYZ0189+/") for _ in range(n))
+        text = f"see: Bearer {value} and passphrase -> {value}!x, end"
+        (row,) = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        a, b = text.index("Bearer"), text.index("passphrase")
+        spans = set(row.spans.split(","))
+        assert {f"assign:{a}:{a + 7 + n}", f"assign:{b}:{b + 14 + n + 2}"} <= spans, (n, row.spans)
+
+
+def test_a_value_beyond_its_fixed_span_is_added_whole():
+    text = "password: hunter2!kq#Zx9vW8 end"
+    base = secrets.base_spans(text)
+    assert base == [(0, 0, 17)]
+    assert [m[:3] for m in secrets.context_spans(text, base, 9.0, None)] == [(0, 0, 27)]
 
 
 # -- tokens -------------------------------------------------------------------------------
@@ -232,6 +282,31 @@ def test_chunked_counts_equal_whole_ones(file, texts):
         assert token_counts.count_long(e, t, 1000, 20) == e.counts([t])[0]
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_texts_without_blanks_are_encoded_in_proportion(file):
+    import public_tokenizers
+
+    with open(public_tokenizers.path(file), "rb") as f:
+        e = token_counts.JsonEncoder(f.read())
+    seen, plain = [], e.chunk
+    e.chunk = lambda text, at: (seen.append(len(text)), plain(text, at))[1]
+    for t in ("abcde1" * 50_000, ("x" * 40_000 + " b ") * 5, "a b " * 20_000):
+        seen.clear()
+        assert token_counts.count_long(e, t, 4000, 100) == e.counts([t])[0]
+        assert sum(seen) < 6 * len(t)
+
+
+def test_other_replacements_prove_nothing():
+    import json
+
+    import public_tokenizers
+
+    spec = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    assert token_counts.blanks_part_words(spec)
+    spec["normalizer"]["normalizers"].append({"type": "Replace", "pattern": {"String": "a"}, "content": " "})
+    assert not token_counts.blanks_part_words(spec)
+
+
 def test_counts_by_words_equal_whole_ones(texts, monkeypatch):
     import public_tokenizers
 
@@ -317,6 +392,31 @@ def test_leaks_tolerate_substitutions(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(20)} and all(r.n_equal < r.n_words for r in got)
 
 
+def test_recall_under_random_substitution():
+    """Copies that fit the rule, by the rate of substituted words: the seeds may miss few of them."""
+    r = random.Random(12)
+    for rate, floor in ((0.1, 0.99), (0.2, 0.97)):
+        found = fit = 0
+        for _ in range(400):
+            n = r.choice((15, 20, 30))
+            item = [f"w{r.randrange(10**6)}" for _ in range(n)]
+            same = [r.random() >= rate for _ in item]
+            if not any(sum(same[a:b]) >= 10 and 10 * sum(same[a:b]) >= 7 * (b - a) for a in range(n) for b in range(a + 10, n + 1)):
+                continue
+            fit += 1
+            copy = [w if s else f"other{k}" for k, (w, s) in enumerate(zip(item, same, strict=True))]
+            seeds = decontaminate.Seeds.build([(1, " ".join(item))])
+            found += seeds.any(decontaminate.WordNumbers().of(" ".join(["before", *copy, "after"])), 10, 0.7)
+        assert found >= floor * fit and fit > 300
+
+
+def test_repetitive_texts_against_alike_items(monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEEN", 100)
+    seeds = decontaminate.Seeds.build([(k, "the same words come again and again " * 4 + f"end {k}") for k in range(20)])
+    words = decontaminate.WordNumbers().of("the same words come again and again " * 300)
+    assert set(seeds.found(words, 10, 0.7)) == set(range(20)) and seeds.any(words, 10, 0.7)
+
+
 def test_every_segment_of_a_diagonal_counts(spark):
     item = [f"w{k}" for k in range(15)]
     copy = [w if k not in (2, 12) else "other" for k, w in enumerate(item)]  # its best segment has 9 equal words of 9
@@ -355,6 +455,38 @@ def test_classifier_on_held_out_rows(spark):
     assert np.array_equal(quality.fit_quality(docs.repartition(7), labels.repartition(3))[0], model[0])
 
 
+def test_training_equals_plain_ftrl():
+    """The update written out for one coordinate at a time."""
+    r = np.random.default_rng(13)
+    bits, alpha, beta, l1, l2 = 6, 2.0, 1.0, 0.001, 0.01
+    rows = []
+    for _ in range(60):
+        at = np.sort(r.choice(64, 8, replace=False))
+        value = r.random(8).astype(np.float32)
+        rows.append(((at, value / np.linalg.norm(value)), int(r.random() < 0.5)))
+    z, n = [0.0] * 65, [0.0] * 65
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+    for _ in range(6):
+        for (at, value), label in rows:
+            x = [*zip(at.tolist(), value.tolist(), strict=True), (64, 1.0)]
+            w = {k: weight(k) for k, _ in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x)))
+            for k, v in x:
+                g = (p - label) * v
+                sigma = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha
+                z[k] += g - sigma * w[k]
+                n[k] += g * g
+    got, bias = quality.train_ftrl(rows, bits)
+    assert np.allclose(got, [weight(k) for k in range(64)], atol=1e-6) and abs(bias - weight(64)) < 1e-6
+
+
+def test_a_repeated_document_trains_once(spark):
+    docs = spark.createDataFrame([(k, f"word{k} good text here") for k in range(1, 40)], "doc_id long, text string")
+    marks = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality")
+    once, twice = quality.fit_quality(docs, marks), quality.fit_quality(docs.unionAll(docs), marks)
+    assert np.array_equal(once[0], twice[0]) and once[1] == twice[1]
+
+
 def test_without_labels_all_scores_are_even(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.score_quality(docs, quality.fit_quality(docs, none)).collect()} == {0.5}
@@ -400,6 +532,38 @@ def family(r, n, edits, words=120):
     return out
 
 
+def test_repeated_ids_lose_no_link(spark):
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    a, c = [word() for _ in range(60)], [word() for _ in range(60)]
+    rows = [(5, " ".join(a)), (5, " ".join(c)), (7, " ".join([*a[:-1], "x"])), (8, " ".join([*c[:-1], "y"]))]
+    got = near_dups.find_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == {(5, 5), (7, 5), (8, 5)}
+    left = near_dups.drop_near_duplicates(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, left)) == sorted(rows[:2])
+
+
+def test_random_repeated_ids_equal_brute_force(spark):
+    """Rows are numbered for the brute-force version; a component is that of the rows' sets, named by its least id."""
+    r = random.Random(11)
+    made = [t for n, edits in ((20, 8), (12, 4), (6, 2), (3, 1)) for t in family(r, n, edits, 60)]
+    rows = [(r.randrange(12), t) for t in made for _ in range(r.choice((1, 1, 2)))]
+    top = components_brute(shingle_sets(dict(enumerate(t for _, t in rows)), 5))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[top[k]] = min(least.get(top[k], i), i)
+    want = sorted((i, least[top[k]]) for k, (i, _) in enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((x.doc_id, x.component_id) for x in near_dups.find_near_duplicates(docs).collect()) == want
+    left = near_dups.drop_near_duplicates(docs).collect()
+    assert sorted(x.doc_id for x in left) == sorted(least.values())
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    with pytest.raises(TypeError):
+        near_dups.find_near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 @pytest.mark.parametrize("width", [4, 5])
 def test_near_duplicates_equal_brute_force(spark, texts, width, monkeypatch):
     monkeypatch.setattr(near_dups, "BLOCK", 16)  # several blocks per bucket
@@ -452,12 +616,37 @@ def test_licenses_equal_sql(spark, docs):
 
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
-    got = licenses.scan_licenses(licenses.document_files(docs), license_file_col="is_license_file").toPandas()
+    got = licenses.document_licenses(docs).toPandas()
+    assert (got["basis"] == "inherited").sum() > 0
     want = con.execute(licenses.ORACLE).df()
     plain = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).where(lambda x: x.notna(), -1).astype(str).values.tolist()))
     assert plain(got) == plain(want)
 
 
+def test_whole_texts_and_headers_are_matched(spark):
+    """Wrapped texts without their titles: the two BSD licences differ in one clause only, and ISC's has no cue but 'copyright'."""
+    by = {}
+    for name, body in licenses.TEMPLATES:
+        by.setdefault(name, []).append(body)
+    wrap = lambda t, mark: "\n".join(mark + " ".join(t.split()[k : k + 9]) for k in range(0, len(t.split()), 9))
+    rows = []
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"):
+        rows.append((len(rows), f"Copyright (c) 2020 A. Body\n\n{wrap(by[name][-1], '')}\n", f"{name}/LICENSE", name))
+        rows.append((len(rows), "int x;", f"{name}/src/a.c", name))
+    for name in ("Apache-2.0", "GPL-3.0", "GPL-2.0"):
+        rows.append((len(rows), f"{wrap(by[name][-1], '# ')}\n\nimport os\n", f"code/{name}.py", name))
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, path string, want string"), more=("want",)).collect()
+    assert len(got) == len(rows) and all(r.license == r.want for r in got)
+    assert {r.from_dir for r in got if r.basis == "inherited"} == {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"}
+
+
+def test_ties_go_to_the_first_name(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "TEMPLATES", (("B", "Licensed in some way."), ("A", "Licensed in some way."), ("C", "Other words.")))
+    rows = [(1, "Licensed in some way.", "x"), (2, "Licensed in some way. Licensed in some way.", "y")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, path string")).orderBy("doc_id").collect()
+    assert [(r.own_license, r.n_notices) for r in got] == [("A", 1), ("A", 2)]
+
+
 def test_licenses_come_from_the_nearest_directory(spark):
     rows = [
         (1, "Released under the MIT License.", "a/LICENSE"),
