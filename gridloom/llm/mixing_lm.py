@@ -1,24 +1,33 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is a sequence of word tokens and one end.  A word's bytes (and a closing blank) are
-coded bit by bit; for each bit several hashed contexts - the last one to six bytes and the
-whole prefix - predict from their counts.  A mixer adds the predictions in the logistic
-domain with weights that gates select: the longest context seen, and how often each context
-was seen.  Weights are refined online by gradient steps, and an adaptive probability map
-refines the mixed probability.  The sum of code lengths gives total bits per byte.
-
-Words are coded independently of their neighbours, so all learning runs over the table of
-distinct words with their counts, which is one pre-aggregated shuffle of the corpus.  In
-training a word's own occurrence is left out of the counts that predict it, as if it were
-met for the first time.  Sorted words share the coding of their common prefixes.
+A text is a sequence of word tokens and one end, coded as a stream of bits along the text:
+
+* Frequent words, the end and the escape to other words are the leaves of a binary tree.  For
+  each bit on the way to a leaf three contexts predict: the node alone, the node after the
+  previous word and the node after the two previous words; the latter two are hashed.  A
+  mixer adds the predictions in the logistic domain with weights that a gate selects by how
+  often the contexts were met.  Along each text, block by block, the weights follow the
+  gradient of the code length, and an adaptive map refines the mixed probability.
+* After an escape, a word that occurs elsewhere in training is coded by its share of such
+  words.  A new one is spelled: for each bit of its bytes the contexts of the last one to
+  six bytes and of the whole prefix are mixed in the same way.
+* Words are grouped into phrases, which end where a hash of a word says so.  A phrase that
+  occurs elsewhere in training may be coded as a whole, by its share of all phrases; how
+  likely that is follows what happened at the phrases before.
+
+The sum of code lengths gives total bits per byte.  A training text's own occurrences are
+left out of all counts that predict it but those of the tree's nodes, as if it were read for
+the first time.  The counts of words and phrases grow with the corpus; the tables of hashed
+contexts are broadcast and stay fixed in size.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections import Counter
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +37,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from gridloom.llm.common import ascii_lower, crc_mod, parts as text_parts, prepare, stored, words_of
+from gridloom.llm.common import Tables, ascii_lower, crc_mod, hold, parts, prepare, words_of
 
-#: Contexts in bytes back from the coded one; 0 is the whole prefix.  Hash bits of each table.
+#: Contexts of spelling in bytes back from the coded one; 0 is the whole prefix.  Hash bits of each table.
 ORDERS, BITS = (1, 2, 3, 4, 6, 0), (16, 18, 20, 20, 20, 21)
 STARTS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
 SLOTS = int(STARTS[-1])
 CHUNK = 1 << 13
 #: Bytes with a five-bit code; 31 is the escape before eight plain bits.
 COMMON = b" abcdefghijklmnopqrstuvwxyz.,-\xc3"
-#: Count classes of the gates, and buckets of the adaptive map.
+#: Count classes of the spelling gates, and buckets of the adaptive maps.
 CLASSES, BUCKETS = 12, 33
-#: Distinct words of a training task; words that are broadcast with their scores at most.
-TASK_WORDS, HOT_WORDS = 500_000, 200_000
-#: The prefix context keeps prefixes that are this share of training or more (twice at least).
-PREFIX_SHARE = 1 / (1 << 20)
-#: Bytes that are coded at once, and distinct words that a counting task holds.
-BATCH_BYTES, HELD_WORDS = 150_000, 400_000
+#: Distinct words that train the speller in one task; bytes that it codes at once.
+TASK_WORDS, BATCH_BYTES = 500_000, 150_000
+#: Words in the tree, and words whose counts are broadcast, at most.
+TREE_WORDS, KNOWN_WORDS = 8192, 65_536
+#: Hash bits of the tables of words before; their contexts.
+CONTEXT_BITS, CONTEXTS = 21, 2
+#: A word in so many ends a phrase; words of the longest phrase; tokens between two updates along a text.
+ANCHOR, LONGEST_PHRASE, BLOCK = 32, 96, 64
+#: Bytes of texts in a group, tokens that are coded at once, distinct words that a task holds.
+GROUP_BYTES, BATCH_TOKENS, HELD_WORDS = 16_000_000, 150_000, 300_000
+#: First chance of coding a phrase as a whole, and the chance after one.
+SELDOM, AGAIN = 0.02, 0.95
+#: Step of the weights, pseudo-count of the adaptive map and of hashed contexts.
+RATE, PRIOR, SMALL = 0.05, 16.0, 0.4
 _C = np.uint64(0x9E3779B97F4A7C15)
 _P = np.uint64(0xD1342543DE82EF95)
+END, ESCAPE = 0, 1
 
 
 def _code_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,6 +90,7 @@ def _code_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 LENGTH, NODES, CODE = _code_table()
 
 
+# -- spelling ------------------------------------------------------------------------
 @dataclass
 class Events:
     """The coded bits of the distinct prefixes of sorted words, one byte after another.
@@ -131,7 +150,7 @@ def events(words: list[bytes]) -> Events:
 
 
 def prefix_weights(e: Events, counts: np.ndarray) -> np.ndarray:
-    """Total count of the words that pass each new byte: a byte serves the words up to the next shorter common prefix."""
+    """Total weight of the words that pass each new byte: a byte serves the words up to the next shorter common prefix."""
     until = [len(counts)] * len(e.pos)
     path: list[int] = []
     at, shared = 0, e.shared.tolist()
@@ -157,8 +176,8 @@ def batches_of(words: list[bytes], counts: np.ndarray) -> Iterator[tuple[list[by
             begin, total = k + 1, 0
 
 
-class MixingModel:
-    """Counts of all slots, gated mixer weights and the adaptive probability map."""
+class Speller:
+    """Spells words: counts of all slots, gated mixer weights and the adaptive probability map."""
 
     def __init__(self, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray | None = None, seen: np.ndarray | None = None) -> None:
         self.zeros, self.ones = zeros, ones
@@ -232,12 +251,12 @@ class MixingModel:
             flat = (e.node * BUCKETS + near) * 2 + e.bit
             self.seen += np.bincount(flat, weight, self.seen.size).reshape(self.seen.shape)
 
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with its closing blank."""
+    def log10(self, words: list[bytes], leave_out: bool = False) -> np.ndarray:
+        """log10 probability of each word with its closing blank; ``leave_out`` if training held each of them once."""
         out = np.zeros(len(words))
         for part, _, numbers in batches_of(words, np.zeros(len(words))):
             e = events(part)
-            p = self.refined(self.mixed(e)[0], e.node)
+            p = self.refined(self.mixed(e, leave_out)[0], e.node)
             cost = np.bincount(e.byte, np.log10(np.where(e.bit == 1, p, 1 - p)), len(e.pos)).tolist()
             sizes = np.bincount(e.word, minlength=len(part)).tolist()
             path, at = [0.0], 0
@@ -252,138 +271,483 @@ class MixingModel:
         return out
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) >> 1
-
-
-def word_counts(docs: DataFrame, id_col: str, text_col: str, held_out: int, modulus: int) -> DataFrame:
-    """(word, n): occurrences in training texts, 0 for words of other texts only; '' counts training texts."""
-    prepare(docs.sparkSession)
-    source = docs.select((F.coalesce(crc_mod(id_col, modulus), F.lit(-1)) != held_out).alias("train"), F.col(text_col).alias("text"))
-
-    def run(batches):
-        trained, others, ends = Counter(), set(), 0
-
-        def flush():
-            low: Counter = Counter()
-            for w, n in trained.items():
-                low[ascii_lower(w)] += n
-            for w in others:
-                low.setdefault(ascii_lower(w), 0)
-            low[""] += ends
-            trained.clear()
-            others.clear()
-            words, counts = list(low), list(low.values())
-            for k in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_pydict({"word": pa.array(words[k : k + 50_000], pa.string()), "n": pa.array(counts[k : k + 50_000], pa.int64())})
-
-        for b in batches:
-            for train, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = words_of(t or "")
-                if train:
-                    trained.update(words)
-                    ends += 1
-                else:
-                    others.update(words)
-                if len(trained) + len(others) > HELD_WORDS:
-                    yield from flush()
-                    ends = 0
-        yield from flush()
-
-    return source.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def gathered(batches: Iterator[pa.RecordBatch], most: int = TASK_WORDS) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Words and counts of many small batches together: long sorted runs share more prefixes."""
-    words: list[bytes] = []
-    counts: list[int] = []
-    for b in batches:
-        words += [w.encode() for w in b.column(0).to_pylist()]
-        counts += b.column(1).to_pylist()
-        if len(words) >= most:
-            yield words, np.array(counts, np.float64)
-            words, counts = [], []
-    if words:
-        yield words, np.array(counts, np.float64)
-
-
-def add_events(zeros: np.ndarray, ones: np.ndarray, e: Events, counts: np.ndarray, least_prefix: float) -> None:
+def add_events(zeros: np.ndarray, ones: np.ndarray, e: Events, counts: np.ndarray) -> None:
     weight = prefix_weights(e, counts)[e.byte]
-    often = weight >= least_prefix
     for bit, table in ((0, zeros), (1, ones)):
         at = np.flatnonzero(e.bit == bit)
         w = weight[at]
-        for k, order in enumerate(ORDERS):
-            if order:
-                np.add.at(table, e.slot[k, at], w)
-            else:
-                kept = at[often[at]]
-                np.add.at(table, e.slot[k, kept], weight[kept])
+        for k in range(len(ORDERS)):
+            np.add.at(table, e.slot[k, at], w)
 
 
-def slot_counts(trained: DataFrame, least_prefix: float) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones met in every slot, added up chunk by chunk; the table's size is fixed."""
+def summed(parts_of: DataFrame, size: int) -> np.ndarray:
+    """Rows (chunk, counts) added up chunk by chunk; the table's size is fixed."""
 
-    def run(batches):
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(p, "<f4").astype(np.float64) for p in table["counts"].to_pylist())
+        return pa.table({"chunk": table["chunk"][:1].cast(pa.int32()), "counts": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+
+    out = np.zeros(size, np.float32)
+    for r in parts_of.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").toLocalIterator():  # 4 * size bytes in all
+        got = np.frombuffer(r["counts"], "<f4")
+        out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(got)] = got
+    return out
+
+
+def chunks_of(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(counts), CHUNK):
+        if counts[k : k + CHUNK].any():
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k // CHUNK], pa.int32()), "counts": pa.array([counts[k : k + CHUNK].astype("<f4").tobytes()], pa.binary())})
+
+
+def fit_speller(words: DataFrame) -> Speller:
+    """Train on a table (key) of distinct words, each counting once: slot counts, then mixer and map by averaged online passes.
+
+    Words are dealt by a hash into parts of bounded size, and sorted in each, so that the
+    model depends neither on the order nor on the partitions of the table.
+    """
+    spark = words.sparkSession
+    n_parts = max(1, math.ceil(words.count() / TASK_WORDS))
+    dealt = words.select("key", F.pmod(F.xxhash64("key"), F.lit(n_parts)).cast("int").alias("part"))
+
+    def count(table: pa.Table) -> pa.Table:
         zeros, ones = np.zeros(SLOTS), np.zeros(SLOTS)
-        for words, counts in gathered(batches):
-            for part, c, _ in batches_of(words, counts):
-                add_events(zeros, ones, events(part), c, least_prefix)
-        for k in range(0, SLOTS, CHUNK):
-            if zeros[k : k + CHUNK].any() or ones[k : k + CHUNK].any():
-                pair = np.stack([zeros[k : k + CHUNK], ones[k : k + CHUNK]]).astype("<f4")
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k // CHUNK], pa.int32()), "pair": pa.array([pair.tobytes()], pa.binary())})
+        own = [w.encode() for w in table["key"].to_pylist()]
+        for part, c, _ in batches_of(own, np.ones(len(own))):
+            add_events(zeros, ones, events(part), c)
+        return pa.Table.from_batches([*chunks_of(np.concatenate([zeros, ones]))], pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]))
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(p, "<f4").astype(np.float64) for p in table["pair"].to_pylist())
-        return pa.table({"chunk": table["chunk"][:1].cast(pa.int32()), "pair": pa.array([total.astype("<f4").tobytes()], pa.binary())})
-
-    parts = trained.mapInArrow(run, "chunk int, pair binary").groupBy("chunk").applyInArrow(add, "chunk int, pair binary")
-    zeros, ones = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
-    for r in parts.collect():  # SLOTS * 8 bytes at most
-        both = np.frombuffer(r["pair"], "<f4").reshape(2, -1)
-        zeros[r["chunk"] * CHUNK : r["chunk"] * CHUNK + both.shape[1]] = both[0]
-        ones[r["chunk"] * CHUNK : r["chunk"] * CHUNK + both.shape[1]] = both[1]
-    return zeros, ones
-
-
-def fit(vocabulary: DataFrame) -> MixingModel:
-    """Train on a table (word, n) of distinct words: slot counts, then mixer and map by averaged online passes."""
-    spark = vocabulary.sparkSession
-    known = vocabulary.where("n > 0 and word <> ''").select("word", "n")
-    tasks = max(1, math.ceil(known.count() / TASK_WORDS))
-    known = known.coalesce(tasks)
-    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    zeros, ones = slot_counts(known, max(2.0, total * PREFIX_SHARE))
+    both = summed(dealt.groupBy("part").applyInArrow(count, "chunk int, counts binary"), 2 * SLOTS)
+    zeros, ones = both[:SLOTS], both[SLOTS:]
     sent = spark.sparkContext.broadcast((zeros, ones))
 
+    def learn(table: pa.Table) -> pa.Table:
+        model = Speller(*sent.value)
+        own = [w.encode() for w in table["key"].to_pylist()]
+        model.learn(own, np.ones(len(own)))
+        return pa.table({"part": table["part"][:1].cast(pa.int32()), "weights": [model.weights.astype("<f4").tobytes()], "seen": [model.seen.astype("<f8").tobytes()], "total": [float(len(own))]})
+
+    plain = Speller(zeros, ones)
+    seen, weights = np.zeros(plain.seen.shape), []
+    for r in dealt.groupBy("part").applyInArrow(learn, "part int, weights binary, seen binary, total double").toLocalIterator():
+        seen += np.frombuffer(r["seen"], "<f8").reshape(seen.shape)  # whole numbers: any order gives the same
+        weights.append((r["part"], r["total"], np.frombuffer(r["weights"], "<f4").astype(np.float64)))
+    sent.unpersist()
+    if not weights:
+        return plain
+    mean = sum(w * n for _, n, w in sorted(weights, key=lambda x: x[0])) / sum(n for _, n, _ in weights)
+    return Speller(zeros, ones, mean.reshape(plain.weights.shape).astype(np.float32), seen)
+
+
+# -- words and phrases of a batch of texts -------------------------------------------------
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word) | 1
+
+
+class Lexicon(dict):
+    """Numbers of the words of a few texts, A-Z in lower case; ``add`` is told each new word once."""
+
+    def __init__(self, add) -> None:
+        super().__init__()
+        self.add, self.low, self.hashes = add, {}, array("Q")
+
+    def __missing__(self, word: str) -> int:
+        low = ascii_lower(word)
+        at = self.low.get(low)
+        if at is None:
+            at = self.low[low] = len(self.hashes)
+            self.hashes.append(word_hash(low))
+            self.add(low)
+        self[word] = at
+        return at
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def phrases(h: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the phrases of texts, from the hashes of their words and a mark at the last word of each."""
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    ends = np.flatnonzero(((h >> np.uint64(40)) % np.uint64(ANCHOR) == 0) | last) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    times = -(-(ends - starts) // LONGEST_PHRASE)
+    k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    starts = np.repeat(starts, times) + k * LONGEST_PHRASE
+    size = np.diff(np.append(starts, len(h)))
+    power = np.cumprod(np.full(LONGEST_PHRASE, _P), dtype=np.uint64)
+    place = np.arange(len(h)) - np.repeat(starts, size)
+    total = np.add.reduceat(h * power[place], starts) ^ size.astype(np.uint64)
+    total = (total ^ (total >> np.uint64(31))) * _C
+    return starts, total ^ (total >> np.uint64(29))
+
+
+def phrase_key(h: int) -> str:
+    """Begins with a blank, as no word does."""
+    return f" {h:016x}"
+
+
+@dataclass
+class Batch:
+    """The tokens of some texts one after another, each text closed by its end."""
+
+    number: np.ndarray  # of each word
+    place: np.ndarray  # of each word among the tokens
+    text: np.ndarray  # of each token
+    first: np.ndarray  # token at which each text begins
+    size: np.ndarray  # words of each text
+
+    @classmethod
+    def of(cls, numbers: list[np.ndarray]) -> Batch:
+        size = np.array([len(n) for n in numbers], np.int64)
+        number = np.concatenate([np.zeros(0, np.int64), *numbers])
+        return cls(number, np.arange(len(number)) + np.repeat(np.arange(len(size)), size), np.repeat(np.arange(len(size)), size + 1), np.cumsum(size + 1) - size - 1, size)
+
+    def last(self) -> np.ndarray:
+        """Marks the last word of each text."""
+        out = np.zeros(len(self.number), bool)
+        out[np.cumsum(self.size)[self.size > 0] - 1] = True
+        return out
+
+    def spread(self, values: np.ndarray, end) -> np.ndarray:
+        """Values of words as values of tokens."""
+        out = np.full(len(self.text), end, values.dtype)
+        out[self.place] = values
+        return out
+
+    def contexts(self, h: np.ndarray) -> np.ndarray:
+        """Hashes of the word before and of the two words before each token; no word has 0."""
+        token = self.spread(h, 0)
+        one, two = np.zeros_like(token), np.zeros_like(token)
+        one[1:], two[2:] = token[:-1], token[:-2]
+        one[self.first] = two[self.first] = 0
+        two[self.first[self.size > 0] + 1] = 0
+        return np.stack([(one + np.uint64(1)) * _C, ((one ^ np.uint64(7)) * _P + two) * _C])
+
+
+def text_batches(texts: list[str]) -> Iterator[tuple[slice, list[list[str]]]]:
+    """Words of runs of texts with a bounded number of tokens together, or one text."""
+    begin, held, n = 0, [], 0
+    for k, t in enumerate(texts):
+        words = words_of(t)
+        if held and n + len(words) > BATCH_TOKENS:
+            yield slice(begin, k), held
+            begin, held, n = k, [], 0
+        held.append(words)
+        n += len(words) + 1
+    if held:
+        yield slice(begin, len(texts)), held
+
+
+# -- the tree of frequent words ---------------------------------------------------------------
+def gates() -> np.ndarray:
+    """First weights by how often the two hashed contexts were met (never, once or twice, up to 15 times, more): the longer ones go first."""
+    trust = (0.0, 0.3, 0.6, 0.85)
+    return np.array([[(1 - b) * (1 - a), (1 - b) * a, b] for a in trust for b in trust], np.float32)
+
+
+@dataclass
+class Tree:
+    """Leaves for the end, the escape and frequent words, by a Huffman code of their training counts."""
+
+    words: list[str]
+    counts: np.ndarray  # of the end, the escape and the words
+    number: dict[str, int] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.number = {w: k + 2 for k, w in enumerate(self.words)}
+        heap = [(float(c) + 0.5, k) for k, c in enumerate(self.counts)]
+        n, below = len(heap), {}
+        heapq.heapify(heap)
+        total = {k: c for c, k in heap}
+        while len(heap) > 1:
+            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+            node = n + len(below)
+            below[node], total[node] = (x, y), a + b
+            heapq.heappush(heap, (a + b, node))
+        self.stretched = np.zeros(max(1, len(below)), np.float32)
+        ways: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        todo = [(heap[0][1], [])]
+        while todo:
+            at, way = todo.pop()
+            if at < n:
+                ways[at] = way
+                continue
+            zero, one = below[at]
+            self.stretched[at - n] = math.log(total[one] / total[zero])
+            todo += [(zero, [*way, (at - n, 0)]), (one, [*way, (at - n, 1)])]
+        self.length = np.array([len(w) for w in ways], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.node = np.array([x for w in ways for x, _ in w], np.int64)
+        self.bit = np.array([x for w in ways for _, x in w], np.int8)
+
+    def bits(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The coded bits of symbols: number of the symbol's token, node and bit."""
+        length = self.length[symbol]
+        token = np.repeat(np.arange(len(symbol)), length)
+        at = np.arange(len(token)) + np.repeat(self.start[symbol] - np.cumsum(length) + length, length)
+        return token, self.node[at], self.bit[at]
+
+
+def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return (((context ^ (node.astype(np.uint64) * _P)) * _C) >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
+
+
+def count_contexts(docs: DataFrame, tree) -> np.ndarray:
+    """Zeros and ones met in every slot of both hashed contexts along all training texts."""
+    size = CONTEXTS << (CONTEXT_BITS + 1)
+
+    def run(batches):
+        hold(None)
+        t, table, symbols = tree.value, np.zeros(size, np.uint32), array("q")
+        lexicon = Lexicon(lambda w: symbols.append(t.number.get(w, ESCAPE)))
+        for b in batches:
+            for _, texts in parts(b, 0):
+                for _, words in text_batches(texts):
+                    if len(lexicon) > HELD_WORDS:
+                        del symbols[:]
+                        lexicon = Lexicon(lexicon.add)
+                    batch = Batch.of([lexicon.numbers(w) for w in words])
+                    token, node, bit = t.bits(batch.spread(np.array(symbols, np.int64)[batch.number], END))
+                    for k, context in enumerate(batch.contexts(np.array(lexicon.hashes, np.uint64)[batch.number])):
+                        np.add.at(table, (k << (CONTEXT_BITS + 1)) + 2 * slots(context[token], node) + bit, np.uint32(1))
+        yield from chunks_of(table)
+
+    return summed(docs.where("own").select("text").mapInArrow(run, "chunk int, counts binary"), size)
+
+
+class Mixer:
+    """Codes the tree bits of texts: weights and an adaptive map for each text, refined along it."""
+
+    def __init__(self, tree: Tree, counts: np.ndarray) -> None:
+        self.tree = tree
+        self.counts = counts.reshape(CONTEXTS, -1, 2)
+        centre = 1 / (1 + np.exp(-(np.arange(BUCKETS) / (BUCKETS - 1) * 24 - 12)))
+        self.map = PRIOR * np.stack([1 - centre, centre], axis=1)
+
+    def costs(self, batch: Batch, symbol: np.ndarray, contexts: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Bits of every token; ``own`` marks texts that the counts include.
+
+        Block by block of each text, all texts of the batch side by side: what one text
+        learns no other one sees.
+        """
+        n = len(batch.size)
+        weights = np.repeat(gates()[None], n, axis=0).reshape(-1, CONTEXTS + 1)
+        squares = np.ones_like(weights)
+        seen = np.repeat(self.map[None], n, axis=0).reshape(-1, 2)
+        out = np.zeros(len(symbol))
+        block = (np.arange(len(symbol)) - batch.first[batch.text]) // BLOCK
+        order = np.argsort(block, kind="stable")
+        borders = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
+        n_gates = 16 * n
+        for begin, end in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+            at = order[begin:end]
+            token, node, bit = self.tree.bits(symbol[at])
+            if not len(token):
+                continue
+            one = bit.astype(np.float32)
+            text = batch.text[at][token]
+            left_out = own[text].astype(np.float32)
+            stretched, gate = [self.tree.stretched[node]], np.zeros(len(token), np.int64)
+            for k in range(CONTEXTS):
+                met = self.counts[k][slots(contexts[k][at][token], node)]
+                a = np.maximum(met[:, 0] - left_out * (1 - one), 0)
+                b = np.maximum(met[:, 1] - left_out * one, 0)
+                stretched.append(np.log((b + np.float32(SMALL)) / (a + np.float32(SMALL))))
+                total = a + b
+                gate = 4 * gate + (total > 0) + (total > 2) + (total > 15)
+            cell = 16 * text + gate
+            w = weights[cell]
+            s = np.clip(sum(w[:, k] * x for k, x in enumerate(stretched)), -12, 12).astype(np.float64)
+            p = 1 / (1 + np.exp(-s))
+            near = BUCKETS * text + np.rint((s + 12) / 24 * (BUCKETS - 1)).astype(np.int64)
+            q = seen[near]
+            refined = np.clip((p + q[:, 1] / (q[:, 0] + q[:, 1])) / 2, 1e-6, 1 - 1e-6)
+            out[at] = np.bincount(token, -np.log2(np.where(bit == 1, refined, 1 - refined)), len(at))
+            error = bit - p
+            for k, x in enumerate(stretched):
+                step = np.bincount(cell, error * x, n_gates)
+                squares[:, k] += step * step
+                weights[:, k] += RATE * step / np.sqrt(squares[:, k])
+            seen += np.bincount(2 * near + bit, minlength=seen.size).reshape(seen.shape)
+        return out
+
+
+# -- scoring --------------------------------------------------------------------------------
+@dataclass
+class Corpus:
+    """What is broadcast of a training corpus; its size is bounded by KNOWN_WORDS and the tables'."""
+
+    mixer: Mixer
+    known: dict[str, int]  # counts of the most frequent words
+    tokens: int
+    distinct: int
+    ends: int
+    escaped: int  # training tokens that are no leaf
+    new: float  # chance that an escaped token is a new word
+    phrases: int
+
+
+class GroupScorer:
+    """Scores the texts of a group, whose words and phrases come with their counts."""
+
+    def __init__(self, corpus: Corpus) -> None:
+        self.corpus = corpus
+        self.start({})
+
+    def start(self, counts: dict[str, tuple[int, float]]) -> None:
+        self.counts = counts
+        self.fresh()
+
+    def fresh(self) -> None:
+        self.symbol, self.n, self.spelled = array("q"), array("q"), array("d")
+        self.lexicon = Lexicon(self.add)
+
+    def add(self, word: str) -> None:
+        c = self.corpus
+        n, spelled = self.counts.get(word, (0, None)) if (often := c.known.get(word)) is None else (often, None)
+        self.symbol.append(c.mixer.tree.number.get(word, ESCAPE))
+        self.n.append(n)
+        self.spelled.append(spelled or 0.0)
+
+    def score(self, texts: list[list[str]], own: np.ndarray) -> dict[str, np.ndarray]:
+        """Sums of each text, given as its words; ``own`` marks training texts."""
+        c = self.corpus
+        if len(self.lexicon) > HELD_WORDS:
+            self.fresh()
+        batch = Batch.of([self.lexicon.numbers(w) for w in texts])
+        at, k = batch.number, len(texts)
+        of_word = np.repeat(np.arange(k), batch.size)
+        h = np.array(self.lexicon.hashes, np.uint64)[at]
+        n = np.array(self.n, np.int64)[at]
+        symbol = np.array(self.symbol, np.int64)[at]
+        cost = c.mixer.costs(batch, batch.spread(symbol, END), batch.contexts(h), own)
+        ends = cost[batch.first + batch.size]
+        cost = cost[batch.place]
+        elsewhere = n - own[of_word]
+        escaped = symbol == ESCAPE
+        met = escaped & (elsewhere > 0)
+        new = escaped & (elsewhere <= 0)
+        cost[met] -= np.log2((1 - c.new) * elsewhere[met] / max(c.escaped, 1))
+        cost[new] -= math.log2(c.new) + np.array(self.spelled)[at][new] * math.log2(10)
+        base = np.log10((n + 1) / (c.tokens + c.distinct + 1))
+        return {
+            "n_tokens": batch.size + 1,
+            "n_known": np.bincount(of_word, n > 0, k).astype(np.int64) + (c.ends > 0),
+            "base_score": np.bincount(of_word, base, k) + math.log10((c.ends + 1) / (c.tokens + c.distinct + 1)),
+            "bits": self.by_phrase(batch, h, cost, own) + ends,
+        }
+
+    def by_phrase(self, batch: Batch, h: np.ndarray, cost: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Bits of each text's words, where phrases that occur elsewhere may be coded as wholes."""
+        starts, hashes = phrases(h, batch.last())
+        size = np.diff(np.append(starts, len(h)))
+        plain = np.bincount(np.repeat(np.arange(len(starts)), size), cost, len(starts))
+        text = np.repeat(np.arange(len(batch.size)), batch.size)[starts]
+        get = self.counts.get
+        elsewhere = np.fromiter((get(phrase_key(x), (0,))[0] for x in hashes.tolist()), np.int64, len(starts)) - own[text]
+        miss = -math.log2(1 - SELDOM)
+        bits = np.bincount(text, plain + miss, len(batch.size))
+        for k in np.unique(text[elsewhere > 0]).tolist():
+            lo, hi = np.searchsorted(text, [k, k + 1])
+            bits[k] = self.along(plain[lo:hi].tolist(), elsewhere[lo:hi].tolist())
+        return bits
+
+    def along(self, plain: list[float], elsewhere: list[int]) -> float:
+        total, chance = 0.0, SELDOM
+        for bits, n in zip(plain, elsewhere, strict=True):
+            if n > 0:
+                whole, words = chance * n / self.corpus.phrases, (1 - chance) * 2.0**-bits
+                total -= math.log2(whole + words)
+                chance = SELDOM + (AGAIN - SELDOM) * whole / (whole + words)
+            else:
+                total += bits - math.log2(1 - chance)
+                chance = SELDOM
+        return total
+
+
+def group_counts(rows: DataFrame) -> DataFrame:
+    """(grp, key, n, others): occurrences in a group's training texts of words, of phrases and, under '', of ends, and of phrases in its other texts."""
+
+    def run(batches):
+        hold(None)
+        tallies: dict[int, Tally] = {}
+        for b in batches:
+            for part, texts in parts(b, 2):
+                group, own = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)
+                for g in np.unique(group).tolist():
+                    at = np.flatnonzero(group == g)
+                    tally = tallies.setdefault(g, Tally())
+                    tally.add([texts[k] for k in at], own[at])
+                if sum(len(t.lexicon) for t in tallies.values()) > HELD_WORDS:
+                    for g, t in tallies.items():
+                        yield from t.rows(g)
+                    tallies.clear()
+        for g, t in tallies.items():
+            yield from t.rows(g)
+
+    return rows.select("grp", "own", "text").repartition("grp").mapInArrow(run, "grp int, key string, n long, others long")
+
+
+class Tally:
+    """Counts of the words and phrases of some texts of one group."""
+
+    def __init__(self) -> None:
+        self.words: list[str] = []
+        self.lexicon = Lexicon(self.words.append)
+        self.n = np.zeros(0, np.int64)
+        self.phrases: list[np.ndarray] = []
+        self.marks: list[np.ndarray] = []
+        self.ends = 0
+
+    def add(self, texts: list[str], own: np.ndarray) -> None:
+        self.ends += int(own.sum())
+        for part, words in text_batches(texts):
+            batch = Batch.of([self.lexicon.numbers(w) for w in words])
+            mine = np.repeat(own[part], batch.size)
+            n = np.bincount(batch.number, mine, len(self.words)).astype(np.int64)
+            n[: len(self.n)] += self.n
+            self.n = n
+            starts, hashes = phrases(np.array(self.lexicon.hashes, np.uint64)[batch.number], batch.last())
+            self.phrases.append(hashes)
+            self.marks.append(mine[starts])
+
+    def rows(self, group: int) -> Iterator[pa.RecordBatch]:
+        hashes, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.phrases]), return_inverse=True)
+        marks = np.concatenate([np.zeros(0, bool), *self.marks])
+        keys = ["", *self.words, *map(phrase_key, hashes.tolist())]
+        n = np.concatenate([[self.ends], self.n, np.bincount(at, marks, len(hashes))]).astype(np.int64)
+        others = np.concatenate([np.zeros(1 + len(self.words)), np.bincount(at, ~marks, len(hashes))]).astype(np.int64)
+        for k in range(0, len(keys), 50_000):
+            own = keys[k : k + 50_000]
+            part = slice(k, k + 50_000)
+            yield pa.RecordBatch.from_pydict({"grp": pa.array(np.full(len(own), group), pa.int32()), "key": pa.array(own, pa.string()), "n": pa.array(n[part]), "others": pa.array(others[part])})
+
+
+def spelled(vocabulary: DataFrame, speller) -> DataFrame:
+    """(key, n, spelled): log10 probability of spelling each word that may be new where it stands; null for others and for phrases."""
+
     def run(batches):
-        model, total = MixingModel(*sent.value), 0.0
-        for words, counts in gathered(batches):
-            model.learn(words, counts)
-            total += counts.sum()
-        if total:
-            yield pa.RecordBatch.from_pydict({"weights": [model.weights.astype("<f4").tobytes()], "seen": [model.seen.astype("<f8").tobytes()], "total": [float(total)]})
-
-    got = known.mapInArrow(run, "weights binary, seen binary, total double")
-    model = MixingModel(zeros, ones)
-    weights, total, seen = np.zeros(model.weights.shape), 0.0, np.zeros(model.seen.shape)
-    for r in got.toLocalIterator():
-        weights += np.frombuffer(r["weights"], "<f4").reshape(weights.shape) * r["total"]
-        seen += np.frombuffer(r["seen"], "<f8").reshape(seen.shape)
-        total += r["total"]
-    return MixingModel(zeros, ones, (weights / total).astype(np.float32), seen) if total else model
+        hold(None)
+        for b in batches:
+            keys, n = b.column(0).to_pylist(), b.column(1).to_numpy()
+            out = np.full(len(keys), np.nan)
+            for trained in (0, 1):
+                if at := [k for k, w in enumerate(keys) if n[k] == trained and not w.startswith(" ")]:
+                    out[at] = speller.value.log10([keys[k].encode() for k in at], leave_out=bool(trained))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64(), from_pandas=True)], ["key", "n", "spelled"])
+
+    return vocabulary.select("key", "n").mapInArrow(run, "key string, n long, spelled double")
 
 
 def score_documents(
     docs: DataFrame,
     held_out: int = 2,
     modulus: int = 7,
-    hot_words: int = HOT_WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Scores of every whole text by an add-one word model and by the mixing model.
+    """Scores of every whole text by an add-one word model and by context mixing.
 
     Learns from the texts whose crc32(id as text) modulo ``modulus`` is not ``held_out``
     (a null id counts as training).  n_tokens counts words and one end, n_known those seen
@@ -391,94 +755,83 @@ def score_documents(
     tokens; score is the mixing model's log10 probability of the same tokens, and
     bits_per_byte its code length over the bytes of words with one blank or end each.
 
-    Words that make up more than 1 / hot_words of training are broadcast (there are at most
-    ``hot_words`` of them); all others are joined by a 64-bit hash, so no join key is hot.
-    The usual edge cases, except that rows equal in id and text give one result row.
+    Texts are dealt into groups by a hash.  A group's words and phrases meet their corpus
+    counts by a join on the word, but for the most frequent words, whose counts are broadcast
+    (at most KNOWN_WORDS), so no join key is hot; then its texts pass by, one after another.
+    The usual edge cases; an empty text is its end alone.
     """
     spark = docs.sparkSession
     prepare(spark)
-    vocabulary = stored(word_counts(docs, id_col, text_col, held_out, modulus))
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    ends = (vocabulary.where("word = ''").agg(F.sum("n")).first()[0]) or 0
-    model = spark.sparkContext.broadcast(fit(vocabulary))
-    divisor = total + distinct + 1
-    end_share = (ends + 0.5) / (total + 1.0)
-
-    def scored(batches):
-        for raw, counts in gathered(batches, TASK_WORDS // 4):
-            h = np.array([word_hash(w) for w in raw], np.int64)
-            lp = model.value.log10(raw) + math.log10(1 - end_share)
-            for k in range(0, len(raw), 20_000):
-                part = slice(k, k + 20_000)
-                yield pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in raw[part]]), "n": pa.array(counts[part].astype(np.int64)), "h": pa.array(h[part]), "lp": pa.array(lp[part])})
-
-    table = stored(vocabulary.where("word <> ''").mapInArrow(scored, "word string, n long, h long, lp double"))
-    least = max(1, -(-int(total) // hot_words))
-    hot_rows = table.where((F.col("n") > least)).toPandas()
-    base_of = lambda n: np.log10((n + 1.0) / divisor)
-    hot = spark.sparkContext.broadcast((dict(zip(hot_rows["word"], range(len(hot_rows)), strict=True)), base_of(hot_rows["n"].to_numpy(np.float64)), hot_rows["lp"].to_numpy(np.float64)))
-    end_base, end_lp = math.log10((ends + 1) / divisor), math.log10(end_share)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    stats = StructType.fromDDL("n_tokens long, n_known long, base double, lp double, bytes long, copies long")
-    schema = StructType([StructField("id", source.schema["id"].dataType), *StructType.fromDDL("row long, h long").fields, StructField("stats", stats)])
-    arrow = to_arrow_schema(schema)
-
-    def parts(batches):
-        """For each text one row with what its hot words give, and a row for each other word."""
-        number, base, lp = hot.value
-        known: dict[str, int] = {}  # hot words by their number, other words by -1 - hash
+    tables = Tables(spark)
+    own = F.coalesce(crc_mod(id_col, modulus), F.lit(-1)) != held_out
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    group = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 + int(size) // GROUP_BYTES)).cast("int")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), own.alias("own"), group.alias("grp"))
+
+    # what the corpus holds
+    pairs = tables.keep(group_counts(rows))
+    vocabulary = tables.keep(pairs.groupBy("key").agg(F.sum("n").alias("n")))
+    phrase = F.col("key").startswith(" ")
+    word = ~phrase & (F.col("key") != "")
+    total = lambda where, what=F.col("n"): F.coalesce(F.sum(F.when(where, what)), F.lit(0))
+    words, ends, n_phrases, distinct, once = vocabulary.agg(total(word), total(F.col("key") == ""), total(phrase), total(~phrase & (F.col("n") > 0), F.lit(1)), total(word & (F.col("n") == 1))).first()
+    least = max(1, -(-int(words) // KNOWN_WORDS))
+    often = vocabulary.where(word & (F.col("n") > least)).orderBy(F.desc("n"), "key")
+    known = {r["key"]: r["n"] for r in often.collect()}  # at most KNOWN_WORDS
+    leaves = list(known)[:TREE_WORDS]
+    escaped = int(words) - sum(known[w] for w in leaves)
+    tree = Tree(leaves, np.array([ends, escaped, *(known[w] for w in leaves)], np.float64))
+
+    # the models
+    speller = spark.sparkContext.broadcast(fit_speller(vocabulary.where(word & (F.col("n") > 0))))
+    table = tables.keep(spelled(vocabulary.where((word & (F.col("n") <= least)) | (phrase & (F.col("n") > 0))), speller))
+    speller.unpersist()
+    sent_tree = spark.sparkContext.broadcast(tree)
+    counts = count_contexts(rows, sent_tree)
+    new = (int(once) + 1) / (escaped + 2)
+    corpus = spark.sparkContext.broadcast(Corpus(Mixer(tree, counts), known, int(words) + int(ends), int(distinct), int(ends), escaped, new, int(n_phrases)))
+
+    # each group's counts before its texts
+    frequent = F.broadcast(often.select("key"))
+    here = pairs.select("grp", "key", "others").join(frequent, "key", "left_anti")
+    wanted = here.join(table, "key").where(~phrase | (F.col("n") > 1) | (F.col("others") > 0))  # a training text's only phrase has no other place
+    id_type = rows.schema["id"].dataType
+    both = wanted.select("grp", F.lit(0).alias("kind"), F.col("key").alias("body"), "n", "spelled", F.lit(None).cast(id_type).alias("id"), F.lit(False).alias("own"))
+    both = both.unionByName(rows.select("grp", F.lit(1).alias("kind"), F.col("text").alias("body"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("spelled"), "id", "own"))
+    full = StructType([StructField("id", id_type), *StructType.fromDDL("held_out boolean, n_tokens long, n_known long, base_score double, bits double, n_bytes long").fields])
+    arrow = to_arrow_schema(full)
+
+    def run(batches):
+        hold(None)
+        scorer, at, held = GroupScorer(corpus.value), None, {}
         for b in batches:
-            for part, texts in text_parts(b, 1):
-                ids = part.column(0).to_pylist()
-                heads, rows, tails, owner = [], [], [], []
-                for k, t in enumerate(texts):
-                    words = words_of(t)
-                    if len(known) > 250_000:
-                        known.clear()
-                    for w in set(words).difference(known):
-                        low = ascii_lower(w)
-                        at = number.get(low)
-                        known[w] = at if at is not None else -1 - word_hash(low.encode())
-                    got = np.array([known[w] for w in words], np.int64)
-                    at, rest = got[got >= 0], -1 - got[got < 0]
-                    raw = t.encode()
-                    blanks = len(t) - sum(map(len, words))
-                    rows.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
-                    heads.append({"n_tokens": len(words) + 1, "n_known": len(at) + (ends > 0), "base": float(base[at].sum()) + end_base, "lp": float(lp[at].sum()) + end_lp, "bytes": len(raw) - blanks + len(words) + 1, "copies": 1})
-                    tails.append(rest)
-                    owner.append(np.full(len(rest), k))
-                arrow_ids, row = pa.array(ids, arrow.field(0).type), np.array(rows, np.int64)
-                n = len(heads)
-                spread = np.array([-1 - word_hash(repr(i).encode()) for i in ids], np.int64)  # joins nothing
-                yield pa.RecordBatch.from_arrays([arrow_ids, pa.array(row), pa.array(spread), pa.array(heads, arrow.field(3).type)], schema=arrow)
-                own, h = np.concatenate(owner), np.concatenate(tails)
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([arrow_ids.take(pa.array(own)), pa.array(row[own]), pa.array(h), pa.nulls(len(own), arrow.field(3).type)], schema=arrow)
-
-    emitted = source.mapInArrow(parts, schema)
-    cold = table.where(F.col("n") <= least).select(F.col("h").alias("word_h"), (F.col("n") > 0).cast("long").alias("known"), F.log10((F.col("n") + 1.0) / F.lit(float(divisor))).alias("word_base"), F.col("lp").alias("word_lp"))
-    zero = F.lit(0).cast("long")
-    sums = (
-        emitted.join(cold, emitted["h"] == cold["word_h"], "left")
-        .groupBy("id", "row")
-        .agg(
-            F.sum("stats.n_tokens").alias("n_tokens"),
-            F.sum(F.coalesce("stats.n_known", "known", zero)).alias("n_known"),
-            F.sum(F.coalesce("stats.base", "word_base")).alias("base"),
-            F.sum(F.coalesce("stats.lp", "word_lp")).alias("lp"),
-            F.sum("stats.bytes").alias("bytes"),
-            F.sum("stats.copies").alias("copies"),
-        )
-    )
-    whole = lambda c: (F.col(c) / F.col("copies")).cast("long")
-    score = F.col("lp") / F.col("copies")
-    return sums.select(
+            for part, bodies in parts(b, 2):
+                group, kind = part.column(0).to_numpy(), part.column(1).to_numpy()
+                borders = np.flatnonzero(np.diff(2 * group.astype(np.int64) + kind, prepend=-1, append=-1))
+                for lo, hi in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+                    if group[lo] != at:
+                        at, held = group[lo], {}
+                        scorer.start(held)
+                    if kind[lo] == 0:
+                        held.update(zip(bodies[lo:hi], zip(part.column(3)[lo:hi].to_pylist(), part.column(4)[lo:hi].to_pylist(), strict=True), strict=True))
+                        continue
+                    ids, mine = part.column(5), part.column(6).to_numpy(zero_copy_only=False)
+                    texts = bodies[lo:hi]
+                    for run_of, words_in in text_batches(texts):
+                        a, z = lo + run_of.start, lo + run_of.stop
+                        got = scorer.score(words_in, mine[a:z])
+                        n_bytes = [len(t.encode()) - len(t) + sum(map(len, w)) + len(w) + 1 for t, w in zip(texts[run_of], words_in, strict=True)]
+                        cols = [ids[a:z].cast(arrow.field(0).type), pa.array(~mine[a:z]), *(pa.array(got[c]) for c in ("n_tokens", "n_known", "base_score", "bits")), pa.array(n_bytes, pa.int64())]
+                        yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+    done = both.repartition("grp").sortWithinPartitions("grp", "kind").mapInArrow(run, full)
+    return done.select(
         F.col("id").alias(id_col),
-        F.coalesce(crc_mod("id", modulus) == held_out, F.lit(False)).alias("held_out"),
-        whole("n_tokens").alias("n_tokens"),
-        whole("n_known").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("copies")).alias("base_score"),
-        score.alias("score"),
-        (-score * math.log2(10) / whole("bytes")).alias("bits_per_byte"),
+        "held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(int(words) + int(ends)).cast("long").alias("train_tokens"),
+        "base_score",
+        (F.col("bits") * -math.log10(2)).alias("score"),
+        (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
     )
