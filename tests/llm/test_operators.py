@@ -326,18 +326,162 @@ def test_token_counts(spark, docs, texts, library):
 
 
 # -- language model ---------------------------------------------------------------------
-def test_base_score_and_counts(spark, docs, texts):
-    got = mixing_lm.score_documents(docs, hot_words=50).collect()
-    words = {d: WORD.findall(ascii_lower(t)) for d, t in texts.items()}
-    train = [d for d in texts if zlib.crc32(str(d).encode()) % 7 != 2]
-    c = Counter(w for d in train for w in words[d])
-    n, v = sum(c.values()) + len(train), len(c) + 1
-    assert len(got) == len(texts)
-    for r in got:
-        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words[r.doc_id]) + math.log10((len(train) + 1) / (n + v + 1))
-        assert r.held_out == (r.doc_id not in train) and r.train_tokens == n and r.n_tokens == len(words[r.doc_id]) + 1
-        assert r.n_known == sum(c[w] > 0 for w in words[r.doc_id]) + 1 and abs(r.base_score - base) < 1e-6 * abs(base)
-        assert r.score < 0 and 0 < r.bits_per_byte < 9
+def lm(spark, rows, **more):
+    return {r.doc_id: r for r in mixing_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), **more).collect()}
+
+
+def trains(d):
+    return zlib.crc32(str(d).encode()) % 7 != 2
+
+
+def test_base_score_and_counts(spark, docs, texts, monkeypatch):
+    for known in (20, mixing_lm.KNOWN_WORDS):
+        monkeypatch.setattr(mixing_lm, "KNOWN_WORDS", known)
+        monkeypatch.setattr(mixing_lm, "TREE_WORDS", max(10, known // 2))
+        got = mixing_lm.score_documents(docs).collect()
+        words = {d: WORD.findall(ascii_lower(t)) for d, t in texts.items()}
+        train = [d for d in texts if trains(d)]
+        c = Counter(w for d in train for w in words[d])
+        n, v = sum(c.values()) + len(train), len(c) + 1
+        assert len(got) == len(texts)
+        for r in got:
+            base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words[r.doc_id]) + math.log10((len(train) + 1) / (n + v + 1))
+            assert r.held_out == (r.doc_id not in train) and r.train_tokens == n and r.n_tokens == len(words[r.doc_id]) + 1
+            assert r.n_known == sum(c[w] > 0 for w in words[r.doc_id]) + 1 and abs(r.base_score - base) < 1e-6 * abs(base)
+            size = sum(len(w.encode()) + 1 for w in words[r.doc_id]) + 1
+            assert r.score < 0 and abs(r.bits_per_byte + r.score * math.log2(10) / size) < 1e-9
+
+
+def mixed_brute(tree, counts, words, h, own):
+    """Bits of each token of one text, bit by bit in plain Python."""
+    sigmoid = lambda s: 1 / (1 + math.exp(-s))
+    weights = {g: [float(x) for x in row] for g, row in enumerate(mixing_lm.gates())}
+    squares = {g: [1.0] * 3 for g in weights}
+    seen = [[mixing_lm.PRIOR * (1 - sigmoid(k / 32 * 24 - 12)), mixing_lm.PRIOR * sigmoid(k / 32 * 24 - 12)] for k in range(33)]
+    table, out, steps, met = counts.reshape(2, -1, 2), [], {}, Counter()
+    symbols = [*(tree.number.get(w, mixing_lm.ESCAPE) for w in words), mixing_lm.END]
+    mask, c, p = (1 << 64) - 1, int(mixing_lm._C), int(mixing_lm._P)
+    for i, symbol in enumerate(symbols):
+        one, two = (h[i - 1] if i else 0), (h[i - 2] if i > 1 else 0)
+        contexts = [(one + 1) * c & mask, ((one ^ 7) * p + two) * c & mask]
+        bits = 0.0
+        for k in range(tree.start[symbol], tree.start[symbol] + tree.length[symbol]):
+            node, bit = int(tree.node[k]), int(tree.bit[k])
+            inputs, gate = [float(tree.stretched[node])], 0
+            for j in range(2):
+                slot = ((contexts[j] ^ (node * p & mask)) * c & mask) >> (64 - mixing_lm.CONTEXT_BITS)
+                zeros, ones = (float(x) for x in table[j, slot])
+                zeros, ones = max(zeros - own * (1 - bit), 0), max(ones - own * bit, 0)
+                inputs.append(math.log((ones + mixing_lm.SMALL) / (zeros + mixing_lm.SMALL)))
+                gate = 4 * gate + sum(zeros + ones > x for x in (0, 2, 15))
+            s = min(max(sum(w * x for w, x in zip(weights[gate], inputs, strict=True)), -12), 12)
+            near = round((s + 12) / 24 * 32)
+            refined = min(max((sigmoid(s) + seen[near][1] / sum(seen[near])) / 2, 1e-6), 1 - 1e-6)
+            bits -= math.log2(refined if bit else 1 - refined)
+            for j, x in enumerate(inputs):
+                steps.setdefault(gate, [0.0] * 3)[j] += (bit - sigmoid(s)) * x
+            met[near, bit] += 1
+        out.append(bits)
+        if i % mixing_lm.BLOCK == mixing_lm.BLOCK - 1:
+            for g, step in steps.items():
+                for j in range(3):
+                    squares[g][j] += step[j] ** 2
+                    weights[g][j] += mixing_lm.RATE * step[j] / math.sqrt(squares[g][j])
+            for (k, bit), n in met.items():
+                seen[k][bit] += n
+            steps, met = {}, Counter()
+    return out
+
+
+def test_mixing_equals_plain_python(texts):
+    some = [WORD.findall(ascii_lower(t)) for t in list(texts.values())[:25]] + [[], ["only"]]
+    common = Counter(w for words in some for w in words).most_common(40)
+    tree = mixing_lm.Tree([w for w, _ in common], np.array([len(some), 500, *(n for _, n in common)], np.float64))
+    lexicon = mixing_lm.Lexicon(lambda w: None)
+    batch = mixing_lm.Batch.of([lexicon.numbers(w) for w in some])
+    h = np.array(lexicon.hashes, np.uint64)
+    symbol = batch.spread(np.array([tree.number.get(w, mixing_lm.ESCAPE) for w in lexicon.low], np.int64)[batch.number], mixing_lm.END)
+    contexts = batch.contexts(h[batch.number])
+    counts = np.zeros(mixing_lm.CONTEXTS << (mixing_lm.CONTEXT_BITS + 1), np.float32)
+    token, node, bit = tree.bits(symbol)
+    for k in range(2):
+        np.add.at(counts, (k << (mixing_lm.CONTEXT_BITS + 1)) + 2 * mixing_lm.slots(contexts[k][token], node) + bit, 1)
+    own = np.arange(len(some)) % 3 > 0
+    cost = mixing_lm.Mixer(tree, counts).costs(batch, symbol, contexts, own)
+    for k, words in enumerate(some):
+        want = mixed_brute(tree, counts, words, [int(h[lexicon[w]]) for w in words], float(own[k]))
+        got = cost[batch.first[k] : batch.first[k] + len(words) + 1]
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-4) and abs(got.sum() - sum(want)) < 1e-6 * sum(want) + 1e-4
+    alone = mixing_lm.Batch.of([lexicon.numbers(some[3])])
+    place = slice(batch.first[3], batch.first[3] + len(some[3]) + 1)
+    assert np.array_equal(mixing_lm.Mixer(tree, counts).costs(alone, symbol[place], alone.contexts(h[alone.number]), own[3:4]), cost[place])
+
+
+def test_tree_is_a_code():
+    tree = mixing_lm.Tree([f"w{k}" for k in range(300)], np.concatenate([[5, 7], np.arange(300, 0, -1)]).astype(float))
+    assert sum(0.5**n for n in tree.length.tolist()) == pytest.approx(1)
+    ways = {tuple(zip(tree.node[a : a + n].tolist(), tree.bit[a : a + n].tolist(), strict=True)) for a, n in zip(tree.start, tree.length, strict=True)}
+    assert len(ways) == 302
+    total = sum(np.prod([1 / (1 + math.exp(-s if b else s)) for s, b in zip(tree.stretched[tree.node[a : a + n]], tree.bit[a : a + n], strict=True)]) for a, n in zip(tree.start, tree.length, strict=True))
+    assert total == pytest.approx(1)
+
+
+def test_phrases_cover_texts_and_repeat_with_them():
+    r = np.random.default_rng(14)
+    h = r.integers(1, 2**63, 1000).astype(np.uint64)
+    h[200:600] = h[0]  # no end in sight, or one at every word
+    batch = mixing_lm.Batch.of([np.arange(100), np.arange(0), np.arange(500), np.arange(400)])
+    starts, hashes = mixing_lm.phrases(h, batch.last())
+    size = np.diff(np.append(starts, 1000))
+    assert starts[0] == 0 and {0, 100, 600} <= set(starts.tolist()) and size.max() <= mixing_lm.LONGEST_PHRASE
+    again, same = mixing_lm.phrases(h[600:], np.arange(400) == 399)
+    assert np.array_equal(again + 600, starts[starts >= 600]) and np.array_equal(same, hashes[starts >= 600])
+    assert len(mixing_lm.phrases(h[:0], np.zeros(0, bool))[0]) == 0
+
+
+def natural(r, n):
+    """Sentences in which each word depends on the one before."""
+    after = {w: [f"{w}{x}" for x in "abc"] for w in ("the", "of", "in")} | {f"{w}{x}": ["the", "of", "in"][k : k + 2] for w in ("the", "of", "in") for k, x in enumerate("abc")}
+    w, out = "the", []
+    for _ in range(n):
+        out.append(w)
+        w = r.choice(after[w] or ["the"])
+    return out
+
+
+def test_order_counts_and_copies_are_known(spark):
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    rows = [(k, " ".join(natural(r, 300))) for k in range(200)]
+    held = [d for d in range(1000, 1200) if not trains(d)]
+    fluent = natural(r, 300)
+    salad = fluent[:]
+    r.shuffle(salad)
+    rows += [(held[0], " ".join(fluent)), (held[1], " ".join(salad))]
+    copied = " ".join(word() for _ in range(120))
+    learnt = [d for d in range(2000, 2100) if trains(d)]
+    rows += [(learnt[0], copied), (learnt[1], copied), (held[2], copied), (learnt[2], " ".join(word() for _ in range(120))), (held[3], " ".join(word() for _ in range(120)))]
+    got = lm(spark, rows)
+    assert got[held[0]].score > 0.8 * got[held[1]].score  # in bits the salad costs more by a quarter
+    assert all(got[d].bits_per_byte < 0.5 < 2 < got[e].bits_per_byte for d in (learnt[0], learnt[1], held[2]) for e in (learnt[2], held[3]))
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    try:
+        for n in (1, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append({r.doc_id: r.score for r in mixing_lm.score_documents(docs.repartition(n)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[0].keys() == got[1].keys() and all(abs(got[0][d] - s) < 1e-9 * abs(s) for d, s in got[1].items())
+
+
+def test_every_row_is_scored(spark):
+    rows = [(5, "the same row"), (5, "the same row"), (5, "another text"), (6, None), (7, "")]
+    got = mixing_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [5, 5, 5, 6, 7] and {r.n_tokens for r in got if r.doc_id > 5} == {1}
 
 
 def test_model_learns(spark, docs):
@@ -346,7 +490,7 @@ def test_model_learns(spark, docs):
 
 
 def test_word_costs_add_up_and_share_prefixes():
-    m = mixing_lm.MixingModel(np.zeros(mixing_lm.SLOTS, np.float32), np.zeros(mixing_lm.SLOTS, np.float32))
+    m = mixing_lm.Speller(np.zeros(mixing_lm.SLOTS, np.float32), np.zeros(mixing_lm.SLOTS, np.float32))
     words = [b"the", b"then", b"thin", b"a", b"x" * 200, "été".encode(), b"the!"]
     m.learn(words, np.array([5.0, 2, 1, 9, 1, 2, 1]))
     together = m.log10(words)
@@ -355,7 +499,7 @@ def test_word_costs_add_up_and_share_prefixes():
 
 def test_code_is_a_probability():
     """All one-byte words and the ways on after them share the mass of a model between them."""
-    m = mixing_lm.MixingModel(np.zeros(mixing_lm.SLOTS, np.float32), np.zeros(mixing_lm.SLOTS, np.float32))
+    m = mixing_lm.Speller(np.zeros(mixing_lm.SLOTS, np.float32), np.zeros(mixing_lm.SLOTS, np.float32))
     for b in range(256):
         assert (mixing_lm.NODES[b, : mixing_lm.LENGTH[b]] < 512).all()
     codes = {(tuple(mixing_lm.CODE[b, : mixing_lm.LENGTH[b]])) for b in range(256)}
