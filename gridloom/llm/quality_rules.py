@@ -64,23 +64,27 @@ def repeated_words(words: Column) -> Column:
         some = let(repeats, lambda few: F.when(F.size(few) <= 24, from_few(h, few)).otherwise(from_pairs(h)))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(some)
 
-    def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    def windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
 
-    return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(windows(words), count))
+    return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(windows(h), count)))
 
 
-def grams(words: Column, buckets: int) -> Column:
-    """Bucket numbers of a document's unigrams and bigrams, from the crc32 of its words."""
+def grams(words: Column) -> Column:
+    """Hashes of a document's unigrams and bigrams, from the crc32 of its words; a bucket is the remainder."""
 
     def both(h: Column) -> Column:
-        uni = F.transform(h, lambda x: (x % buckets).cast("int"))
-        bi = F.transform(F.sequence(F.lit(1), F.size(h) - 1), lambda i: ((F.get(h, i - 1) * STEP + F.get(h, i)) % buckets).cast("int"))
-        return F.when(F.size(h) > 1, F.concat(uni, bi)).otherwise(uni)
+        n = F.size(h) - 1
+        bi = F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: a * STEP + b)
+        return F.when(n > 0, F.concat(h, bi)).otherwise(h)
 
     return let(F.transform(words, F.crc32), both)
 
 
+def bucket(gram: Column, buckets: int) -> Column:
+    return (gram % buckets).cast("int")
+
+
 def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
     """(g, value): the log-likelihood ratio of every bucket that occurs, from one pass over all documents that adds up map-side first.
 
@@ -91,8 +95,8 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str,
     good = trusted.select(F.col(id_col).alias("good")).where("good is not null").distinct()
     bare = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marked = bare.join(good.hint("merge"), F.col("id") == F.col("good"), "left")
-    rows = marked.select(F.col("good").isNotNull().cast("long").alias("good"), F.explode(grams(words_column(F.col("text")), buckets)).alias("g"))
-    counts = stored(rows.groupBy("g").agg((F.count(F.lit(1)) + PRIOR).alias("raw"), (F.sum("good") + PRIOR).alias("good")))
+    rows = marked.select(F.col("good").isNotNull().cast("long").alias("good"), F.explode(grams(words_column(F.col("text")))).alias("gram"))
+    counts = stored(rows.groupBy(bucket(F.col("gram"), buckets).alias("g")).agg((F.count(F.lit(1)) + PRIOR).alias("raw"), (F.sum("good") + PRIOR).alias("good")))
     unseen = F.lit(buckets * PRIOR) - F.count(F.lit(1)) * PRIOR
     all_raw, all_good = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)) + unseen, F.coalesce(F.sum("good"), F.lit(0)) + unseen).first()
     return counts.select("g", (F.log(F.col("good") / F.lit(all_good)) - F.log(F.col("raw") / F.lit(all_raw))).alias("value"))
@@ -124,8 +128,8 @@ def apply_quality_rules(
         "n_repeat_words": repeated_words(F.col("w")).cast("long"),
     }
     # a text's n-grams stay in its task: they meet their ratios and are added up again before the shuffle, which has a row per text
-    counted = words.select("id", F.monotonically_increasing_id().alias("row"), *(c.alias(n) for n, c in counts.items()), grams(F.col("w"), buckets).alias("grams"))
-    spread = counted.select("id", "row", *counts, F.explode_outer("grams").alias("g"))
+    counted = words.select("id", F.monotonically_increasing_id().alias("row"), *(c.alias(n) for n, c in counts.items()), grams(F.col("w")).alias("grams"))
+    spread = counted.select("id", "row", *counts, F.explode_outer("grams").alias("gram")).withColumn("g", bucket(F.col("gram"), buckets))
     per = spread.join(F.broadcast(ratios), "g", "left").groupBy("row", "id", *counts).agg(F.sum("value").alias("total"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     ratio = F.round(F.coalesce(F.col("total") / (2 * F.col("n_words") - 1), F.lit(0.0)), 6)
