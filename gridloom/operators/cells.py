@@ -67,23 +67,22 @@ def upsample_bilinear(grid: DataFrame, columns: Sequence[str], keys: Sequence[st
 def box_count(cells: DataFrame, radius: int, shape: tuple[int, int], keys: Sequence[str] = ()) -> DataFrame:
     """Points within ``radius`` cells on both axes, for every cell of the grid with any: (ix, iy, n).
 
-    One axis after the other: each cell adds its count to the 2r + 1 cells along it, so that
-    two partial aggregations take the place of a (2r + 1) x (2r + 1) expansion.  Meant for
-    small radii; surfaces use the summed-area tables of the tile kernel.
+    One axis after the other: a cell's count begins ``radius`` cells before it and ends as
+    many after it, so running sums over these two steps per cell give the counts of whole
+    stretches at once, whatever the radius; only cells of the result are written out.
     """
-    reach = F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("d")
     out = cells.select(*keys, "ix", "iy", F.col("c").alias("n"))
-    for axis, other, n in (("ix", "iy", shape[0]), ("iy", "ix", shape[1])):
-        moved = out.select(*keys, "ix", "iy", "n", reach).select(*keys, (F.col(axis) + F.col("d")).alias(axis), other, "n")
-        out = moved.where((F.col(axis) >= 0) & (F.col(axis) < n)).groupBy(*keys, "ix", "iy").agg(F.sum("n").alias("n"))
+    for axis, other, size in (("ix", "iy", shape[0]), ("iy", "ix", shape[1])):
+        begin = F.struct(F.greatest(F.col(axis) - radius, F.lit(0)).cast("long").alias("at"), F.col("n").alias("d"))
+        end = F.struct((F.col(axis) + radius + 1).cast("long").alias("at"), (-F.col("n")).alias("d"))
+        steps = out.select(*keys, other, F.explode(F.array(begin, end)).alias("step")).groupBy(*keys, other, F.col("step.at").alias("at")).agg(F.sum("step.d").alias("d"))
+        line = Window.partitionBy(*keys, other).orderBy("at")
+        level = steps.select(*keys, other, "at", F.sum("d").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("n"), F.lead("at").over(line).alias("until"))
+        stretch = F.sequence("at", F.least("until", F.lit(size)) - 1)
+        out = level.where((F.col("n") > 0) & (F.col("at") < size)).select(*keys, F.explode(stretch).alias(axis), other, "n")
     return out.select(*keys, "ix", "iy", "n")
 
 
-def tile_of(index: Column, tile: int, count: int) -> Column:
-    """Tile number of a cell, held inside the grid."""
-    return F.greatest(F.lit(0), F.least(F.floor(index / F.lit(tile)).cast("long"), F.lit(count - 1)))
-
-
 def to_tiles(cells: DataFrame, tile: int, halo: int, shape: tuple[int, int], keys: Sequence[str] = ()) -> DataFrame:
     """Each cell once for every tile whose window, the tile with its halo, holds it: columns tx, ty.
 

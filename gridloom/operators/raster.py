@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.crs import project
@@ -18,7 +18,7 @@ def north_up(cells: DataFrame, ny: int) -> DataFrame:
     return cells.select((F.lit(ny) - 1 - F.col("iy")).cast("int").alias("row"), F.col("ix").cast("int").alias("col"), *rest)
 
 
-def quantised(surface: DataFrame, scale: int) -> DataFrame:
+def quantised(surface: DataFrame, scale: float) -> DataFrame:
     """(ix, iy, value_dn, support_dn) from percentiles ``pct`` and support ``sup`` in metres."""
     return surface.select("ix", "iy", encode_value(F.col("pct"), scale).alias("value_dn"), encode_support(F.col("sup")).alias("support_dn"))
 
@@ -35,7 +35,8 @@ def reprojected_grid(spec: GridSpec, work: int, out: int, spark) -> tuple[float,
     """(left, top, pixel size, rows, cols) of the output raster.
 
     The corners and edge middles of the source are projected; square pixels are sized so
-    that the diagonal has as many of them as in the source.
+    that the diagonal has as many of them as in the source, and sides are rounded to whole
+    pixels.
     """
     x1, y1 = spec.x0 + spec.nx * spec.res, spec.y0 + spec.ny * spec.res
     steps = [(a, b) for a in (0.0, 0.25, 0.5, 0.75, 1.0) for b in (0.0, 0.25, 0.5, 0.75, 1.0) if a in (0.0, 1.0) or b in (0.0, 1.0)]
@@ -43,17 +44,34 @@ def reprojected_grid(spec: GridSpec, work: int, out: int, spark) -> tuple[float,
     x, y = project(F.col("x"), F.col("y"), work, out)
     r = edge.select(x.alias("x"), y.alias("y")).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     pixel = math.hypot(r[2] - r[0], r[3] - r[1]) / math.hypot(spec.nx, spec.ny)
-    return r[0], r[3], pixel, max(1, math.ceil((r[3] - r[1]) / pixel)), max(1, math.ceil((r[2] - r[0]) / pixel))
+    return r[0], r[3], pixel, max(1, math.floor((r[3] - r[1]) / pixel + 0.5)), max(1, math.floor((r[2] - r[0]) / pixel + 0.5))
 
 
 def reproject_nearest(raster: DataFrame, spec: GridSpec, grid: tuple[float, float, float, int, int], work: int = 6933, out: int = 3857) -> DataFrame:
-    """The raster (ix, iy, bands) on another grid: each output pixel's centre is projected back and looked up.
+    """The raster (ix, iy, bands) on another grid: an output pixel has the bands of the cell in which its centre lies.
 
-    Output is sparse: pixels whose source cell is absent are absent.
+    Each cell's corners are projected, and of the few pixels between them those stay whose
+    centre falls back into the cell.  In all known systems x follows from the longitude and
+    y from the latitude alone, so that the corners bound the cell.  Cost follows the occupied
+    cells, not the extent, and nothing is joined; pixels without a source cell are absent.
     """
     left, top, pixel, rows, cols = grid
-    n = raster.sparkSession.range(rows * cols).select(F.expr(f"cast(id div {cols} as int)").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
-    x, y = project(F.lit(left) + (F.col("col") + 0.5) * F.lit(pixel), F.lit(top) - (F.col("row") + 0.5) * F.lit(pixel), out, work)
-    at = n.select("row", "col", F.floor((x - F.lit(spec.x0)) / F.lit(spec.res)).cast("long").alias("ix"), F.floor((y - F.lit(spec.y0)) / F.lit(spec.res)).cast("long").alias("iy"))
     bands = [c for c in raster.columns if c not in ("ix", "iy")]
-    return at.join(raster, ["ix", "iy"]).select("row", "col", *bands)
+    res, x0, y0 = F.lit(float(spec.res)), F.lit(float(spec.x0)), F.lit(float(spec.y0))
+
+    def corner(step: int, beyond: float) -> tuple[Column, Column]:
+        at = project(x0 + (F.col("ix") + step) * res, y0 + (F.col("iy") + step) * res, work, out)
+        return tuple(F.when(c.isNull() | F.isnan(c), F.lit(beyond)).otherwise(c) for c in at)  # a corner beyond the end of the map
+
+    def pixels(low: Column, high: Column, n: int) -> Column:
+        """Numbers of the pixels with centres between two places, in pixels; a little more for rounding."""
+        first = F.greatest(F.ceil(F.greatest(low, F.lit(-1.0)) - 0.5 - 1e-6), F.lit(0)).cast("int")
+        last = F.least(F.floor(F.least(high, F.lit(n + 1.0)) - 0.5 + 1e-6), F.lit(n - 1)).cast("int")
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    (xa, ya), (xb, yb) = corner(0, -math.inf), corner(1, math.inf)
+    near = raster.select("ix", "iy", *bands, F.explode(pixels((xa - left) / pixel, (xb - left) / pixel, cols)).alias("col"), pixels((F.lit(top) - yb) / pixel, (F.lit(top) - ya) / pixel, rows).alias("rows"))
+    near = near.select("ix", "iy", *bands, "col", F.explode("rows").alias("row"))
+    x, y = project(F.lit(left) + (F.col("col") + 0.5) * F.lit(pixel), F.lit(top) - (F.col("row") + 0.5) * F.lit(pixel), out, work)
+    inside = (F.floor((x - x0) / res) == F.col("ix")) & (F.floor((y - y0) / res) == F.col("iy"))
+    return near.where(inside).select("row", "col", *bands)
