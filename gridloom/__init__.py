@@ -7,7 +7,7 @@ __version__ = "0.1.0"
 #: Public names by module; they load on first use, so that Python workers load only what they run.
 _MODULES = {
     "gridloom.functions.transforms": ("PercentileTransform", "make_transform", "transforms"),
-    "gridloom.operators.calibrate": ("calibrate_fill_cap", "choose_transform"),
+    "gridloom.operators.calibrate": ("blocked_cv_skill", "calibrate_fill_cap", "choose_transform", "icc"),
     "gridloom.operators.cells": ("bin_points", "box_count", "downsample_sum", "upsample_bilinear", "upsample_nearest"),
     "gridloom.operators.surface": ("pull_push", "pull_push_frames", "surface"),
     "gridloom.plans.pipeline": ("Pipeline", "run"),

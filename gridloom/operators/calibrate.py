@@ -7,11 +7,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.transforms import Transform, transforms
-from gridloom.operators.cells import bin_points, cell_index
+from gridloom.operators.cells import cell_index
 from gridloom.operators.surface import surface
 from gridloom.sources.points import extent
 from gridloom.shipping import ship
@@ -44,6 +44,12 @@ def icc_table(points: DataFrame, origin: tuple[float, float], scales: Sequence[f
     return joined.select(*keys, "scale", F.when(total > 0, 1 - F.col("within") / total).otherwise(F.lit(0.0)).alias("icc"))
 
 
+def icc(points: DataFrame, res: float, value: str = "v") -> float:
+    """The correlation at one scale, over cells that begin at the least coordinates."""
+    x0, y0, _, _, _ = extent(points)
+    return icc_table(points, (x0, y0), (res,), value).first()["icc"]
+
+
 def transform_scores(points: DataFrame, scales: Sequence[float] = SCALES) -> tuple[DataFrame, dict[str, Transform]]:
     """(ordinal, name, scale, icc) of every applicable transform, and the fitted transforms."""
     x0, y0, _, _, _ = extent(points)
@@ -68,101 +74,148 @@ def choose_transform(points: DataFrame, scales: Sequence[float] = SCALES) -> tup
     return fitted[scored[0][0]], scored
 
 
-def block_folds(points: DataFrame, origin: tuple[float, float], block_m: float, n_folds: int = 4, seed: int = 0) -> DataFrame:
-    """(bx, by, fold): occupied blocks dealt to folds by a seeded permutation of their order.
+def block_folds(points: DataFrame, origin: tuple[float, float], block_m: float, n_folds: int = 4, seed: int = 0, deal: str = "permutation") -> DataFrame:
+    """(bx, by, fold): occupied blocks dealt to folds, the first folds one larger where they don't divide.
 
-    There are at most as many blocks as fit on the earth, so they are dealt on the driver.
+    ``permutation`` deals a seeded permutation of their order on the driver; there are at
+    most as many blocks as fit on the earth.  ``hash`` deals them in the order of a fixed
+    arithmetic hash, as SQL can.
     """
-    blocks = points.select(cell_index(F.col("x"), origin[0], block_m).alias("bx"), cell_index(F.col("y"), origin[1], block_m).alias("by")).distinct().orderBy("bx", "by").collect()
-    order = np.random.default_rng(seed).permutation(len(blocks))
-    rows = [(blocks[i]["bx"], blocks[i]["by"], f) for f, part in enumerate(np.array_split(order, n_folds)) for i in part]
-    return points.sparkSession.createDataFrame(rows, "bx long, by long, fold int")
+    blocks = points.select(cell_index(F.col("x"), origin[0], block_m).alias("bx"), cell_index(F.col("y"), origin[1], block_m).alias("by")).distinct()
+    if deal == "hash":
+        order = Window.orderBy((F.col("bx") * 7919 + F.col("by") * 104729 + seed) % 1009, "bx", "by")
+        return blocks.select("bx", "by", (F.ntile(n_folds).over(order) - 1).cast("int").alias("fold"))
+    if deal != "permutation":
+        raise ValueError(f"unknown way to deal folds: {deal!r}; known: hash, permutation")
+    rows = blocks.orderBy("bx", "by").collect()
+    order = np.random.default_rng(seed).permutation(len(rows))
+    dealt = [(rows[i]["bx"], rows[i]["by"], f) for f, part in enumerate(np.array_split(order, n_folds)) for i in part]
+    return points.sparkSession.createDataFrame(dealt, "bx long, by long, fold int")
 
 
 def cv_spec(origin: tuple[float, float], far: tuple[float, float], res: float, levels: int) -> GridSpec:
     return GridSpec.from_extent((*origin, *far), res, 0.0, levels, block=max(512, 1 << levels))
 
 
-def cv_predictions(points: DataFrame, res: float, levels: int, blocks_km: Sequence[float], n_folds: int = 4, seed: int = 0, folds: dict[float, DataFrame] | None = None) -> DataFrame:
-    """(block_km, act, pred, sup_km) of every held-out point, for all block sizes and folds in one plan.
+class CrossValidation:
+    """Spatially blocked cross-validation of all block sizes and folds in one plan.
 
-    A cell is binned once per block size and fold of its points; a fold's training cells are
-    those of all other folds.  Only cells that hold held-out points are read off the surface.
+    ``cells`` has a row per block size, fold and cell with held-out points: their count n,
+    the sums s and s2 of values and squares, the prediction and its support.  Skills need no
+    more, so that points meet one shuffle, as partial sums, and a crowded cell is one row.
+    ``points`` joins the predictions back to single points, for the bootstrap alone.  A
+    fold's training cells are those of all other folds; a fold without either is skipped.
     """
-    x0, y0, x1, y1, _ = extent(points)
-    spec = cv_spec((x0, y0), (x1, y1), res, levels)
-    ix, iy = cell_index(F.col("x"), x0, res), cell_index(F.col("y"), y0, res)
-    parts = []
-    for km in blocks_km:
-        deal = folds[km] if folds else block_folds(points, (x0, y0), km * 1000.0, n_folds, seed)
-        at = points.select(F.lit(float(km)).alias("block_km"), cell_index(F.col("x"), x0, km * 1000.0).alias("bx"), cell_index(F.col("y"), y0, km * 1000.0).alias("by"), ix.alias("ix"), iy.alias("iy"), "v")
-        parts.append(at.join(F.broadcast(deal), ["bx", "by"]))
-    dealt = parts[0]
-    for p in parts[1:]:
-        dealt = dealt.unionByName(p)
-    cells = dealt.groupBy("block_km", "fold", "ix", "iy").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("c"))
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: f != F.col("own"))).alias("fold")
-    train = cells.withColumnRenamed("fold", "own").select("block_km", others, "ix", "iy", "s", "c")
-    wanted = cells.select("block_km", "fold", "ix", "iy")
-    # a fold without training or without held-out points is skipped
-    usable = train.select("block_km", "fold").distinct().join(wanted.select("block_km", "fold").distinct(), ["block_km", "fold"])
-    keys = ["block_km", "fold"]
-    out = surface(train, spec, wanted=wanted.join(F.broadcast(usable), keys), keys=keys, mask=False)
-    got = dealt.join(out, [*keys, "ix", "iy"])
-    return got.select("block_km", F.col("v").alias("act"), F.col("val").alias("pred"), (F.col("sup") / 1000.0).alias("sup_km"))
-
 
-def skill_bins(predictions: DataFrame, edges: Sequence[float] = EDGES, min_n: int = 150) -> DataFrame:
-    """(block_km, lo_km, hi_km, n, skill) of each support bin with at least min_n points."""
+    def __init__(self, points: DataFrame, res: float, levels: int, blocks_km: Sequence[float], n_folds: int = 4, seed: int = 0, deal: str = "permutation", key: str | None = None) -> None:
+        x0, y0, x1, y1, _ = extent(points)
+        number = F.col(key).cast("long") if key else F.xxhash64("x", "y", "v")
+        ix, iy = cell_index(F.col("x"), x0, res), cell_index(F.col("y"), y0, res)
+        parts = []
+        for km in blocks_km:
+            folds = block_folds(points, (x0, y0), km * 1000.0, n_folds, seed, deal)
+            at = points.select(F.lit(float(km)).alias("block_km"), cell_index(F.col("x"), x0, km * 1000.0).alias("bx"), cell_index(F.col("y"), y0, km * 1000.0).alias("by"), ix.alias("ix"), iy.alias("iy"), "v", number.alias("key"))
+            parts.append(at.join(F.broadcast(folds), ["bx", "by"]))
+        dealt = parts[0]
+        for p in parts[1:]:
+            dealt = dealt.unionByName(p)
+        self.keys = ["block_km", "fold"]
+        self.dealt = dealt.select(*self.keys, "ix", "iy", "v", "key")
+        held = self.dealt.groupBy(*self.keys, "ix", "iy").agg(F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("s2"))
+        others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: f != F.col("own"))).alias("fold")
+        train = held.withColumnRenamed("fold", "own").select("block_km", others, "ix", "iy", "s", "c")
+        usable = train.select(*self.keys).distinct().join(held.select(*self.keys).distinct(), self.keys)
+        wanted = held.select(*self.keys, "ix", "iy").join(F.broadcast(usable), self.keys)
+        out = surface(train, cv_spec((x0, y0), (x1, y1), res, levels), wanted=wanted, keys=self.keys, mask=False)
+        self.cells = held.join(out, [*self.keys, "ix", "iy"]).select(*self.keys, "ix", "iy", F.col("c").alias("n"), "s", "s2", F.col("val").alias("pred"), (F.col("sup") / 1000.0).alias("sup_km"))
+
+    def points(self) -> DataFrame:
+        """(block_km, key, act, pred, sup_km) of every held-out point."""
+        return self.dealt.join(self.cells.select(*self.keys, "ix", "iy", "pred", "sup_km"), [*self.keys, "ix", "iy"]).select("block_km", "key", F.col("v").alias("act"), "pred", "sup_km")
+
+
+def cv_predictions(points: DataFrame, res: float, levels: int, blocks_km: Sequence[float], n_folds: int = 4, seed: int = 0, deal: str = "permutation", key: str | None = None) -> DataFrame:
+    """(block_km, key, act, pred, sup_km) of every held-out point; ``key`` names a column of whole numbers that tells points apart, else a hash of the point does."""
+    return CrossValidation(points, res, levels, blocks_km, n_folds, seed, deal, key).points()
+
+
+def support_bin(edges: Sequence[float]) -> Column:
+    """Number of the half-open support bin."""
     case = F.lit(None).cast("int")
     for k in range(len(edges) - 2, -1, -1):
         case = F.when((F.col("sup_km") >= edges[k]) & (F.col("sup_km") < edges[k + 1]), F.lit(k)).otherwise(case)
-    base = predictions.groupBy("block_km").agg(F.avg("act").alias("base"))
-    rows = predictions.withColumn("bin", case).where("bin is not null").join(F.broadcast(base), "block_km")
-    agg = rows.groupBy("block_km", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("act") - F.col("pred")) ** 2).alias("m"), F.avg((F.col("act") - F.col("base")) ** 2).alias("b"))
+    return case
+
+
+def squared_errors(predictions: DataFrame) -> DataFrame:
+    """(block_km, sup_km, n, m, b) of points or of the cells of a cross-validation: squared errors of the prediction and of the mean of all held-out values."""
+    if "act" in predictions.columns:
+        rows = predictions.select("block_km", "sup_km", F.lit(1).alias("n"), F.col("act").alias("s"), (F.col("act") - F.col("pred")) ** 2, F.col("act") * F.col("act")).toDF("block_km", "sup_km", "n", "s", "m", "s2")
+    else:
+        error = F.col("s2") - 2 * F.col("pred") * F.col("s") + F.col("n") * F.col("pred") * F.col("pred")
+        rows = predictions.select("block_km", "sup_km", "n", "s", F.greatest(error, F.lit(0.0)).alias("m"), "s2")
+    base = rows.groupBy("block_km").agg((F.sum("s") / F.sum("n")).alias("base"))
+    off = F.col("s2") - 2 * F.col("base") * F.col("s") + F.col("n") * F.col("base") * F.col("base")
+    return rows.join(F.broadcast(base), "block_km").select("block_km", "sup_km", "n", "m", F.greatest(off, F.lit(0.0)).alias("b"))
+
+
+def skill() -> Column:
+    return F.when(F.col("b") > 0, 1 - F.sqrt("m") / F.sqrt("b"))
+
+
+def skill_bins(predictions: DataFrame, edges: Sequence[float] = EDGES, min_n: int = 150) -> DataFrame:
+    """(block_km, lo_km, hi_km, n, skill) of each support bin with at least min_n points, from points or cells."""
+    rows = squared_errors(predictions).withColumn("bin", support_bin(edges)).where("bin is not null")
+    sums = rows.groupBy("block_km", "bin").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("b").alias("b"))
     low = F.array(*(F.lit(float(e)) for e in edges))
-    skill = F.when(F.col("b") > 0, 1 - F.sqrt("m") / F.sqrt("b"))
-    return agg.where(F.col("n") >= min_n).select("block_km", F.get(low, "bin").alias("lo_km"), F.get(low, F.col("bin") + 1).alias("hi_km"), "n", skill.alias("skill"))
+    return sums.where(F.col("n") >= min_n).select("block_km", F.get(low, "bin").alias("lo_km"), F.get(low, F.col("bin") + 1).alias("hi_km"), "n", skill().alias("skill"))
 
 
 def overall_skill(predictions: DataFrame) -> DataFrame:
-    """(block_km, skill) over all held-out points."""
-    base = predictions.groupBy("block_km").agg(F.avg("act").alias("base"))
-    agg = predictions.join(F.broadcast(base), "block_km").groupBy("block_km").agg(F.avg((F.col("act") - F.col("pred")) ** 2).alias("m"), F.avg((F.col("act") - F.col("base")) ** 2).alias("b"))
-    return agg.select("block_km", F.when(F.col("b") > 0, 1 - F.sqrt("m") / F.sqrt("b")).alias("skill"))
+    """(block_km, skill) over all held-out points, from points or cells."""
+    return squared_errors(predictions).groupBy("block_km").agg(F.sum("m").alias("m"), F.sum("b").alias("b")).select("block_km", skill().alias("skill"))
+
+
+#: Fixed values of the resampling: a prime modulus, factors, and rounds of squaring.
+MODULUS, FACTOR, STRIDE, ROUNDS = 2_147_483_647, 48_271, 69_621, 3
+#: Least uniform numbers (out of MODULUS) for weights of one, two and so on, by the Poisson law of mean one.
+POISSON = tuple(int(MODULUS * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))) for n in range(10))
+
+
+def poisson_weights(key: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
+    """Weight of each point in each replicate, from its key and the replicate's number alone."""
+    x = (np.mod(key, MODULUS)[None, :] * FACTOR + (np.arange(1, n_boot + 1) * STRIDE + seed)[:, None]) % MODULUS
+    for _ in range(ROUNDS):
+        x = (x * x + FACTOR) % MODULUS
+    return np.searchsorted(POISSON, x, side="right").astype(float)
 
 
 def bootstrap_ci(predictions: DataFrame, edges: Sequence[float] = EDGES, n_boot: int = 200, seed: int = 0, min_n: int = 150) -> DataFrame:
     """(block_km, hi_km, ci_lo, ci_hi): 5th and 95th percentile of the skill over resampled points.
 
-    Each task resamples by Poisson weights and sends the sums of every replicate, so a bin
-    of any size is resampled whole and nothing but sums is shuffled.
+    Points are resampled by Poisson weights that follow from their keys, so the result does
+    not depend on how they are dealt to tasks.  Each task sends the sums of every replicate:
+    a bin of any size is resampled whole, and nothing but sums is shuffled.
     """
-    case = F.lit(None).cast("int")
-    for k in range(len(edges) - 2, -1, -1):
-        case = F.when((F.col("sup_km") >= edges[k]) & (F.col("sup_km") < edges[k + 1]), F.lit(k)).otherwise(case)
     base = predictions.groupBy("block_km").agg(F.avg("act").alias("base"))
-    rows = predictions.join(F.broadcast(base), "block_km").select("block_km", case.alias("bin"), ((F.col("act") - F.col("pred")) ** 2).alias("m"), ((F.col("act") - F.col("base")) ** 2).alias("b")).where("bin is not null")
+    rows = predictions.join(F.broadcast(base), "block_km").select("block_km", support_bin(edges).alias("bin"), "key", ((F.col("act") - F.col("pred")) ** 2).alias("m"), ((F.col("act") - F.col("base")) ** 2).alias("b")).where("bin is not null")
 
     def replicate(batches):
         sums: dict[tuple[float, int], np.ndarray] = {}
-        for b in batches:
-            km, at, m, base_e = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            for key in set(zip(km.tolist(), at.tolist(), strict=True)):
-                mine = (km == key[0]) & (at == key[1])
-                mm, bb = m[mine], base_e[mine]
-                rng = np.random.default_rng([seed, int(key[0] * 1000), int(key[1]), len(mm), int(abs(mm.sum()) * 1e6) % (1 << 62)])
-                got = sums.setdefault(key, np.zeros((n_boot, 3)))
-                for k in range(0, len(mm), 4096):
-                    w = rng.poisson(1.0, (n_boot, len(mm[k : k + 4096])))
-                    got += np.stack([w @ mm[k : k + 4096], w @ bb[k : k + 4096], w.sum(axis=1)], axis=1)
-        for (km_, bin_), s in sums.items():
-            yield pa.RecordBatch.from_pydict({"block_km": np.full(n_boot, km_), "bin": np.full(n_boot, bin_, np.int32), "rep": np.arange(n_boot, dtype=np.int32), "m": s[:, 0], "b": s[:, 1], "n": s[:, 2]})
+        for batch in batches:
+            km, bins, keys, m, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            for begin in range(0, len(km), 4096):
+                part = slice(begin, begin + 4096)
+                weights = poisson_weights(keys[part], n_boot, seed)
+                for own in set(zip(km[part].tolist(), bins[part].tolist(), strict=True)):
+                    at = (km[part] == own[0]) & (bins[part] == own[1])
+                    sums.setdefault(own, np.zeros((n_boot, 2)))[:] += weights[:, at] @ np.stack([m[part][at], b[part][at]], axis=1)
+        for (km_, bin_), total in sums.items():
+            yield pa.RecordBatch.from_pydict({"block_km": np.full(n_boot, km_), "bin": np.full(n_boot, bin_, np.int32), "rep": np.arange(n_boot, dtype=np.int32), "m": total[:, 0], "b": total[:, 1]})
 
     ship(predictions.sparkSession)
-    reps = rows.mapInArrow(replicate, "block_km double, bin int, rep int, m double, b double, n double").groupBy("block_km", "bin", "rep").agg(F.sum("m").alias("m"), F.sum("b").alias("b"))
-    skill = F.when(F.col("b") > 0, 1 - F.sqrt("m") / F.sqrt("b"))
-    ci = reps.groupBy("block_km", "bin").agg(F.percentile(skill, F.array(F.lit(0.05), F.lit(0.95))).alias("ci"))
+    reps = rows.mapInArrow(replicate, "block_km double, bin int, rep int, m double, b double").groupBy("block_km", "bin", "rep").agg(F.sum("m").alias("m"), F.sum("b").alias("b"))
+    ci = reps.groupBy("block_km", "bin").agg(F.percentile(skill(), F.array(F.lit(0.05), F.lit(0.95))).alias("ci"))
     sizes = rows.groupBy("block_km", "bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_n)
     high = F.array(*(F.lit(float(e)) for e in edges[1:]))
     return ci.join(sizes, ["block_km", "bin"]).select("block_km", F.get(high, "bin").alias("hi_km"), F.get("ci", F.lit(0)).alias("ci_lo"), F.get("ci", F.lit(1)).alias("ci_hi"))
@@ -175,22 +228,34 @@ def cap_from_curve(curve: DataFrame, min_skill: float = 0.05, default_km: float
     first; the cap is the upper edge of the last bin before one whose bound is too low.
     The curve has a row per bin and block size, so one task orders it.
     """
-    from pyspark.sql import Window
-
     first = curve.where(F.col("hi_km") <= F.col("block_km") / 2).withColumn("k", F.row_number().over(Window.partitionBy("hi_km").orderBy("block_km"))).where("k = 1")
     holds = F.min(F.coalesce(F.col("ci_lo") > min_skill, F.lit(False))).over(Window.orderBy("hi_km").rowsBetween(Window.unboundedPreceding, 0))
     return first.select("hi_km", holds.alias("holds")).where("holds").agg(F.coalesce(F.max("hi_km"), F.lit(float(default_km))).alias("cap_km"))
 
 
-def calibrate_fill_cap(points: DataFrame, blocks_km: Sequence[float] = BLOCKS_KM, min_skill: float = 0.05, default_km: float = 25.0, res: float = 1000.0, levels: int = 9, n_folds: int = 4, seed: int = 0, edges: Sequence[float] = EDGES, n_boot: int = 200, min_n: int = 150) -> tuple[float, dict[float, dict]]:
-    """The fill cap in km and, per block size, its overall skill and bins."""
-    p = cv_predictions(points, res, levels, sorted(blocks_km), n_folds, seed).persist()
+def skill_curves(points: DataFrame, blocks_km: Sequence[float], res: float, levels: int, n_folds: int, seed: int, edges: Sequence[float], n_boot: int, min_n: int, deal: str, key: str | None) -> tuple[list, dict[float, float]]:
+    """Rows (block_km, lo_km, hi_km, n, skill, ci_lo, ci_hi) and the overall skill of each block size."""
+    cv = CrossValidation(points, res, levels, sorted(blocks_km), n_folds, seed, deal, key)
+    cv.cells = cv.cells.persist()
     try:
-        ci = bootstrap_ci(p, edges, n_boot, seed, min_n)
-        rows = skill_bins(p, edges, min_n).join(ci, ["block_km", "hi_km"]).orderBy("block_km", "hi_km").collect()
-        overall = {r["block_km"]: r["skill"] for r in overall_skill(p).collect()}
+        ci = bootstrap_ci(cv.points(), edges, n_boot, seed, min_n)
+        rows = skill_bins(cv.cells, edges, min_n).join(ci, ["block_km", "hi_km"]).orderBy("block_km", "hi_km").collect()
+        overall = {r["block_km"]: r["skill"] for r in overall_skill(cv.cells).collect()}
     finally:
-        p.unpersist()
+        cv.cells.unpersist()
+    return rows, overall
+
+
+def blocked_cv_skill(points: DataFrame, res: float = 1000.0, levels: int = 9, block_km: float = 100.0, n_folds: int = 4, seed: int = 0, edges: Sequence[float] = EDGES, n_boot: int = 200, min_n: int = 150, deal: str = "permutation", key: str | None = None) -> tuple[float, list[dict]]:
+    """Overall skill of one block size (NaN without held-out points) and its bins as dictionaries with bootstrap bounds."""
+    rows, overall = skill_curves(points, [block_km], res, levels, n_folds, seed, edges, n_boot, min_n, deal, key)
+    found = overall.get(float(block_km))
+    return math.nan if found is None else found, [r.asDict() for r in rows]
+
+
+def calibrate_fill_cap(points: DataFrame, blocks_km: Sequence[float] = BLOCKS_KM, min_skill: float = 0.05, default_km: float = 25.0, res: float = 1000.0, levels: int = 9, n_folds: int = 4, seed: int = 0, edges: Sequence[float] = EDGES, n_boot: int = 200, min_n: int = 150, deal: str = "permutation", key: str | None = None) -> tuple[float, dict[float, dict]]:
+    """The fill cap in km and, per block size, its overall skill and bins."""
+    rows, overall = skill_curves(points, blocks_km, res, levels, n_folds, seed, edges, n_boot, min_n, deal, key)
     curve = points.sparkSession.createDataFrame([(r["hi_km"], r["block_km"], r["ci_lo"]) for r in rows], "hi_km double, block_km double, ci_lo double")
     cap = cap_from_curve(curve, min_skill, default_km).first()[0]
     detail = {float(b): {"overall_skill": overall.get(float(b), math.nan), "rows": [r.asDict() for r in rows if r["block_km"] == b]} for b in sorted(blocks_km)}
