@@ -12,21 +12,22 @@ import gridloom
 from gridloom.plans.pipeline import AUTO, Pipeline
 
 
+#: The names, defaults and choices of the options are fixed values.
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("gridloom", description="Gap-filled, capped surfaces from scattered points.")
     p.add_argument("input", help="CSV with a header, or Parquet (.parquet, .pq)")
-    p.add_argument("--out", default="surface", help="output folder")
+    p.add_argument("-o", "--out", default="examples", help="folder for all results")
     p.add_argument("--value-col", default="value")
     p.add_argument("--lng-col", default="longitude")
     p.add_argument("--lat-col", default="latitude")
-    p.add_argument("--res", type=float, default=500.0, help="cell size in metres")
-    p.add_argument("--cap-km", default=AUTO, help="fill cap in km, or auto")
+    p.add_argument("--res", type=float, default=500.0, help="width of a cell on the ground, in m")
+    p.add_argument("--cap-km", default=AUTO, help="how far values reach from data, in km; auto takes the calibrated distance")
     p.add_argument("--transform", default=AUTO, choices=[AUTO, "identity", "log10", "sqrt", "percentile"])
-    p.add_argument("--saturation", type=float, default=1.0, help="points for a cell to trust itself fully")
-    p.add_argument("--block", type=int, default=2048, help="tile size in cells")
+    p.add_argument("--saturation", type=float, default=1.0, help="how many points make a cell rely on them alone")
+    p.add_argument("--block", type=int, default=2048, help="cells along the side of a tile")
     p.add_argument("--workers", type=int, default=4, help="local threads, where no cluster is named")
-    p.add_argument("--scale", type=int, default=100, help="steps per percent")
-    p.add_argument("--compress", default="ZSTD", help="Parquet codec")
+    p.add_argument("--scale", type=float, default=100, help="stored steps per percent")
+    p.add_argument("--compress", default="ZSTD", help="codec of the Parquet raster")
     p.add_argument("--calib-max-points", type=int, default=2_000_000)
     p.add_argument("--calibration", help="calibration file to use or make")
     p.add_argument("--src-crs", type=int, default=4326)

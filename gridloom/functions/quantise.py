@@ -11,7 +11,7 @@ from gridloom.spec import NODATA
 SUPPORT_STEPS, SUPPORT_FLOOR_KM, SUPPORT_LIMIT = 8, 1e-3, 32000
 
 
-def encode_value(percentile: Column, scale: int) -> Column:
+def encode_value(percentile: Column, scale: float) -> Column:
     """Percentile times scale, half to even."""
     return F.rint(F.round(percentile * F.lit(float(scale)), 9)).cast("short")
 
@@ -27,7 +27,7 @@ def masked(number: Column, near: Column) -> Column:
     return F.when(near, number).otherwise(F.lit(NODATA)).cast("short")
 
 
-def decode_value(number: Column, scale: int) -> Column:
+def decode_value(number: Column, scale: float) -> Column:
     return F.when(number != NODATA, number / F.lit(float(scale)))
 
 

@@ -11,7 +11,7 @@ from gridloom.operators.cells import bin_points
 from gridloom.operators.raster import north_up, quantised, reproject_nearest, reprojected_grid
 from gridloom.operators.surface import surface
 from gridloom.sources import sinks
-from gridloom.sources.points import extent, finite, project_points, read_table
+from gridloom.sources.points import exact_sample, extent, finite, project_points, read_table
 from gridloom.spec import GridSpec, check_scale
 
 #: The cap in km where nothing was calibrated, and the names of automatic choices.
@@ -41,7 +41,7 @@ class Pipeline:
         saturation: float = 1.0,
         block: int = 2048,
         workers: int = 4,
-        scale: int = 100,
+        scale: float = 100,
         compress: str = "ZSTD",
         calib_max_points: int = 2_000_000,
         calibration: str | None = None,
@@ -50,6 +50,7 @@ class Pipeline:
         out_crs: int = 3857,
         skip_calibration: bool = False,
         normalise: bool = False,
+        geotiff: bool = True,
         calibration_options: dict | None = None,
     ) -> None:
         check_scale(scale)
@@ -93,13 +94,12 @@ class Pipeline:
 
     def calibrated(self) -> dict:
         n = self.extent[4]
-        share = self.calib_max_points / n
-        sample = self.points if share >= 1 else self.points.sample(share, seed=0).persist()
+        sample = exact_sample(self.points, self.calib_max_points, n).persist()
         best, scores = choose_transform(sample)
         cap, detail = calibrate_fill_cap(sample.select("x", "y", best.fwd(F.col("v")).alias("v")), **(self.calibration_options or {}))
         return {
             "transform": best.name,
-            "n_calibration_points": n if share >= 1 else sample.count(),
+            "n_calibration_points": min(n, self.calib_max_points),
             "transform_scores": {name: {"mean": mean, **per} for name, mean, per in scores},
             "transform_state": best.state(),
             "percentile_quantiles": PercentileTransform().fit(self.points, "v").quantiles.tolist(),
@@ -121,7 +121,7 @@ class Pipeline:
         return quantised(value.select("ix", "iy", self.percentile.fwd(F.col("v")).alias("pct"), "sup"), self.scale)
 
     def run(self) -> str:
-        """All stages; writes ``<out>/raster`` and its metadata, and returns its path."""
+        """All stages; writes ``<out>/raster``, its metadata and, unless ``geotiff`` is off, ``<out>/value.tif`` and ``support.tif``, and returns the raster's path."""
         self.ingest()
         try:
             self.calibrate()
@@ -137,7 +137,14 @@ class Pipeline:
                 "transform": self.tf.name, "cap_km": self.cap, "res_m": self.res, "scale": self.scale, "units": "percentile", "decode": DECODING, "nodata": -32768,
                 "crs": f"EPSG:{self.out_crs}", "left": left, "top": top, "pixel": pixel, "rows": rows, "cols": cols,
             }
-            return sinks.write_raster(sparse, f"{self.out}/raster", about, self.compress)
+            path = sinks.write_raster(sparse, f"{self.out}/raster", about, self.compress)
+            if self.geotiff:
+                written = self.spark.read.parquet(path)
+                tags = {k: about[k] for k in ("transform", "cap_km", "res_m", "scale", "units")}
+                for band, factor in (("value", self.scale), ("support", None)):
+                    note = tags | {"decode": DECODING[band]}
+                    sinks.write_geotiff(written, f"{band}_dn", rows, cols, left, top, pixel, self.out_crs, f"{self.out}/{band}.tif", note, factor)
+            return path
         finally:
             self.points.unpersist()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +44,19 @@ def extent(points: DataFrame) -> tuple[float, float, float, float, int]:
     if not r[4]:
         raise ValueError("No valid points after dropping rows that are not finite")
     return tuple(r)
+
+
+def exact_sample(points: DataFrame, n: int, total: int, seed: int = 0) -> DataFrame:
+    """Exactly min(n, total) of the ``total`` rows, at random and without replacement.
+
+    A Bernoulli draw of a few more than n comes first, so that only about n rows are put
+    in random order; it is repeated with more should it fall short.
+    """
+    if n >= total:
+        return points
+    more = n + 6 * math.sqrt(n) + 10
+    while True:
+        drawn = points.withColumn("turn", F.rand(seed)).where(F.col("turn") < min(1.0, more / total))
+        if more >= total or drawn.count() >= n:
+            return drawn.orderBy("turn", *points.columns).limit(n).select(*points.columns)
+        more *= 2

@@ -6,10 +6,14 @@ import json
 import math
 import struct
 import zlib
+from xml.sax.saxutils import escape
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.shipping import ship
 from gridloom.spec import NODATA
 
 
@@ -49,70 +53,128 @@ def read_json(spark: SparkSession, path: str) -> dict:
 def write_raster(raster: DataFrame, path: str, metadata: dict, codec: str = "zstd", rows_per_strip: int = 512) -> str:
     """Parquet of (row, col, bands) in strips of rows, written aside and then renamed, with ``<path>.json``.
 
-    A failed write leaves what was there before untouched.
+    A failed write leaves what was there before untouched.  The old raster is renamed to
+    ``<path>.old`` and goes only when the new one is in place; if that fails it comes back.
     """
     spark = raster.sparkSession
-    aside = f"{path}.tmp"
     strip = raster.withColumn("strip", F.floor(F.col("row") / F.lit(rows_per_strip)).cast("int"))
-    strip.repartitionByRange("strip", "row", "col").sortWithinPartitions("row", "col").drop("strip").write.mode("overwrite").option("compression", codec.lower()).parquet(aside)
+    strip.repartitionByRange("strip", "row", "col").sortWithinPartitions("row", "col").drop("strip").write.mode("overwrite").option("compression", codec.lower()).parquet(f"{path}.tmp")
     fs, p = _path(spark, path)
-    _, tmp = _path(spark, aside)
-    if fs.exists(p):
-        fs.delete(p, True)
-    fs.rename(tmp, p)
+    (_, tmp), (_, old) = _path(spark, f"{path}.tmp"), _path(spark, f"{path}.old")
+    before = fs.exists(p)
+    if before:
+        fs.delete(old, True)
+        if not fs.rename(p, old):
+            raise OSError(f"cannot move {path} aside")
+    if not fs.rename(tmp, p):
+        if before and not fs.rename(old, p):
+            raise OSError(f"cannot put the new raster in place; the old one is {path}.old")
+        raise OSError(f"cannot move {path}.tmp to {path}")
     write_json(spark, metadata, f"{path}.json")
+    fs.delete(old, True)
     return path
 
 
-def write_geotiff(raster: DataFrame, band: str, rows: int, cols: int, left: float, top: float, pixel: float, epsg: int, path: str, tags: dict[str, str] | None = None, strip_rows: int = 256) -> str:
-    """A deflated int16 GeoTIFF of one band on a local path, strip by strip.
+#: Fixed values of TIFF: sizes and letters of the field types text, short, long, double and long8.
+TEXT, SHORT, LONG, DOUBLE, LONG8 = 2, 3, 4, 12, 16
+KINDS = {SHORT: "H", LONG: "I", DOUBLE: "d", LONG8: "Q"}
 
-    For rasters of a size that a desktop tool opens; the driver holds one strip at a time.
+
+def _directory(entries: list[tuple[int, int, list | bytes]], at: int, big: bool) -> bytes:
+    """An image file directory that begins at byte ``at``, with its longer values behind it."""
+    head, size, word = ("<Q", 20, 8) if big else ("<H", 12, 4)
+    behind = at + struct.calcsize(head) + size * len(entries) + word
+    table, values = b"", b""
+    for tag, kind, value in entries:
+        raw = value if kind == TEXT else struct.pack(f"<{len(value)}{KINDS[kind]}", *value)
+        if len(raw) > word:
+            place, raw = behind + len(values), raw + b"\0" * (-len(raw) % 8)
+            values += raw
+            raw = struct.pack("<Q" if big else "<I", place)
+        table += struct.pack("<HHQ" if big else "<HHI", tag, kind, len(value)) + raw.ljust(word, b"\0")
+    return struct.pack(head, len(entries)) + table + b"\0" * word + values
+
+
+def write_geotiff(raster: DataFrame, band: str, rows: int, cols: int, left: float, top: float, pixel: float, epsg: int, path: str, tags: dict[str, str] | None = None, scale: float | None = None, tile: int = 512, big: bool | None = None) -> str:
+    """A tiled, deflated int16 GeoTIFF of one band, through the file system that Spark uses.
+
+    Executors fill and compress the tiles; the driver knows their sizes and passes them on
+    one at a time, in order.  Tiles without data share one empty tile.  Files of 4 GB or
+    more are written as BigTIFF (``big`` forces either).  ``scale`` becomes the band's factor.
     """
-    import numpy as np
-
-    strips = -(-rows // strip_rows)
-    offsets, sizes = [], []
-    groups = raster.where(F.col(band).isNotNull()).select((F.col("row") / F.lit(strip_rows)).cast("int").alias("strip"), "row", "col", F.col(band).alias("dn")).orderBy("strip")
-    with open(path, "wb") as f:
-        f.write(struct.pack("<2sHI", b"II", 42, 0))
-        at, buffer = 0, np.full((strip_rows, cols), NODATA, "<i2")
-
-        def flush(k: int) -> None:
-            data = zlib.compress(buffer[: min(strip_rows, rows - k * strip_rows)].tobytes(), 6)
-            offsets.append(f.tell())
-            sizes.append(len(data))
-            f.write(data)
-            buffer.fill(NODATA)
-
-        for r in groups.toLocalIterator():
-            while r["strip"] > at:
-                flush(at)
-                at += 1
-            buffer[r["row"] - at * strip_rows, r["col"]] = r["dn"]
-        while at < strips:
-            flush(at)
-            at += 1
-        note = json.dumps(tags or {}).encode() + b"\0"
+    spark = raster.sparkSession
+    across, down = -(-cols // tile), -(-rows // tile)
+    pixels = raster.where(F.col(band).isNotNull()).select("row", "col", F.col(band).cast("short").alias("dn"), (F.expr(f"row div {tile}") * across + F.expr(f"col div {tile}")).cast("long").alias("number"))
+
+    def packed(table: pa.Table) -> pa.Table:
+        grid = np.full((tile, tile), NODATA, "<i2")
+        grid[table["row"].to_numpy() % tile, table["col"].to_numpy() % tile] = table["dn"].to_numpy()
+        return pa.table({"number": table["number"][:1], "data": pa.array([zlib.compress(grid.tobytes(), 6)], pa.binary())})
+
+    ship(spark)
+    fs, p = _path(spark, path)
+    aside = f"{path}.tiles"
+    pixels.groupBy("number").applyInArrow(packed, "number long, data binary").write.mode("overwrite").parquet(aside)
+    try:
+        tiles = spark.read.schema("number long, data binary").parquet(aside)
+        empty = zlib.compress(np.full((tile, tile), NODATA, "<i2").tobytes(), 6)
+        sizes = {r[0]: r[1] for r in tiles.select("number", F.octet_length("data")).collect()}  # 12 bytes for a quarter of a million pixels
+        if big is None:
+            big = sum(sizes.values()) + len(empty) + 32 * across * down > 4_000_000_000
+        items = "".join(f'<Item name="{k}">{escape(str(v))}</Item>' for k, v in (tags or {}).items())
+        items += f'<Item name="SCALE" sample="0" role="scale">{1 / scale!r}</Item>' if scale else ""
         keys = [1, 1, 0, 3, 1024, 0, 1, 2 if epsg == 4326 else 1, 1025, 0, 1, 1, 2048 if epsg == 4326 else 3072, 0, 1, epsg]
-        entries = [
-            (256, "I", [cols]), (257, "I", [rows]), (258, "H", [16]), (259, "H", [8]), (262, "H", [1]), (270, "s", note), (273, "I", offsets), (277, "H", [1]), (278, "I", [strip_rows]), (279, "I", sizes),
-            (339, "H", [2]), (33550, "d", [pixel, pixel, 0.0]), (33922, "d", [0.0, 0.0, 0.0, left, top, 0.0]), (34735, "H", keys), (42113, "s", str(NODATA).encode() + b"\0"),
-        ]
-        kinds = {"s": (2, 1), "H": (3, 2), "I": (4, 4), "d": (12, 8)}
-        table = []
-        for tag, kind, value in entries:
-            raw = value if kind == "s" else struct.pack(f"<{len(value)}{kind}", *value)
-            if len(raw) > 4:
-                f.seek(0, 2)
-                f.write(b"\0" * (f.tell() % 2))
-                where = f.tell()
-                f.write(raw)
-                raw = struct.pack("<I", where)
-            table.append(struct.pack("<HHI", tag, kinds[kind][0], len(value)) + raw.ljust(4, b"\0"))
-        f.write(b"\0" * (f.tell() % 2))
-        where = f.tell()
-        f.write(struct.pack("<H", len(table)) + b"".join(table) + struct.pack("<I", 0))
-        f.seek(4)
-        f.write(struct.pack("<I", where))
+        head = 16 if big else 8
+
+        def directory(begin: int) -> bytes:
+            offsets, counts, at = [], [], begin + len(empty)
+            for k in range(across * down):
+                offsets.append(at if k in sizes else begin)
+                counts.append(sizes.get(k, len(empty)))
+                at += sizes.get(k, 0)
+            return _directory([
+                (256, LONG, [cols]), (257, LONG, [rows]), (258, SHORT, [16]), (259, SHORT, [8]), (262, SHORT, [1]), (270, TEXT, json.dumps(tags or {}).encode() + b"\0"), (277, SHORT, [1]), (322, LONG, [tile]), (323, LONG, [tile]),
+                (324, LONG8 if big else LONG, offsets), (325, LONG, counts), (339, SHORT, [2]), (33550, DOUBLE, [pixel, pixel, 0.0]), (33922, DOUBLE, [0.0, 0.0, 0.0, left, top, 0.0]), (34735, SHORT, keys),
+                (42112, TEXT, f"<GDALMetadata>{items}</GDALMetadata>".encode() + b"\0"), (42113, TEXT, str(NODATA).encode() + b"\0"),
+            ], head, big)
+
+        table = directory(head + len(directory(0)))
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(struct.pack("<2sHHHQ", b"II", 43, 8, 0, head) if big else struct.pack("<2sHI", b"II", 42, head)))
+            out.write(bytearray(table + empty))
+            for r in tiles.orderBy("number").toLocalIterator():
+                out.write(r["data"])
+        finally:
+            out.close()
+    finally:
+        fs.delete(_path(spark, aside)[1], True)
     return path
+
+
+def read_geotiff(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """All pixels (row, col, dn) of a file that write_geotiff wrote, and its size and place.
+
+    For checks: the driver holds the file.
+    """
+    raw = spark.sparkContext.binaryFiles(path, 1).values().first()
+    big = struct.unpack_from("<H", raw, 2)[0] == 43
+    head, size, word = ("<Q", 20, 8) if big else ("<H", 12, 4)
+    at = struct.unpack_from("<Q" if big else "<I", raw, 8 if big else 4)[0]
+    tags = {}
+    for k in range(struct.unpack_from(head, raw, at)[0]):
+        entry = at + struct.calcsize(head) + size * k
+        tag, kind, count = struct.unpack_from("<HHQ" if big else "<HHI", raw, entry)
+        length = count * {TEXT: 1, SHORT: 2, LONG: 4, DOUBLE: 8, LONG8: 8}[kind]
+        place = entry + size - word if length <= word else struct.unpack_from("<Q" if big else "<I", raw, entry + size - word)[0]
+        tags[tag] = raw[place : place + count - 1].decode() if kind == TEXT else list(struct.unpack_from(f"<{count}{KINDS[kind]}", raw, place))
+    cols, rows, tile = tags[256][0], tags[257][0], tags[322][0]
+    grid = np.concatenate([np.concatenate([np.frombuffer(zlib.decompress(raw[o : o + n]), "<i2").reshape(tile, tile) for o, n in line], axis=1) for line in _lines(tags, -(-cols // tile))])[:rows, :cols]
+    row, col = np.indices(grid.shape)
+    pixels = spark.createDataFrame(pa.table({"row": row.ravel().astype(np.int32), "col": col.ravel().astype(np.int32), "dn": grid.ravel().astype(np.int16)}))
+    return pixels, {"rows": rows, "cols": cols, "left": tags[33922][3], "top": tags[33922][4], "pixel": tags[33550][0], "epsg": tags[34735][-1], "note": json.loads(tags[270])}
+
+
+def _lines(tags: dict, across: int) -> list[list[tuple[int, int]]]:
+    pairs = list(zip(tags[324], tags[325], strict=True))
+    return [pairs[k : k + across] for k in range(0, len(pairs), across)]

@@ -38,7 +38,7 @@ class GridSpec:
     cap_m: float
     block: int = 2048
     saturation: float = 1.0
-    scale: int = 100
+    scale: float = 100
 
     def __post_init__(self) -> None:
         for name, least in (("res", 0), ("saturation", 0), ("scale", 0)):
@@ -89,9 +89,9 @@ class GridSpec:
         return cls(x0, y0, res, nx, ny, levels_for(cap_m, res) if levels is None else levels, cap_m, **more)
 
 
-def check_scale(scale: int) -> None:
+def check_scale(scale: float) -> None:
     if scale * 100 > INT16_MAX:
-        raise ValueError(f"scale {scale} exceeds int16 max: 100 * scale must be at most {INT16_MAX}")
+        raise ValueError(f"scale {scale:g} exceeds int16 max: 100 * scale must be at most {INT16_MAX}")
 
 
 def check_divisible(shape: tuple[int, int], levels: int) -> None:
