@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import quantise
-from gridloom.functions.crs import to_equal_area, to_mercator
-from gridloom.functions.transforms import PercentileTransform, quantiles, strictly_rising, transforms
+from gridloom.functions.crs import project, to_equal_area, to_mercator
+from gridloom.functions.transforms import PercentileTransform, make_transform, quantiles, strictly_rising, transforms
 from gridloom.operators import calibrate, cells, raster
 from gridloom.operators.surface import pull_push_frames, surface
 from gridloom.plans import oracle, views
+from gridloom.plans.pipeline import Pipeline
 from gridloom.plans.views import with_views
-from gridloom.sources.points import finite
+from gridloom.sources import sinks
+from gridloom.sources.points import exact_sample, extent, finite, read_table
 from gridloom.spec import GridSpec, pad_to_pyramid
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,18 +235,8 @@ def q20_transform_scores(spark, sf_dir):
 
 @query(with_views(f"{_SCORES} SELECT name, round(avg(icc), 5) + 0e0 AS score FROM scores GROUP BY ordinal, name ORDER BY round(avg(icc), 9) DESC, ordinal LIMIT 1", "p_li"))
 def q21_choose_transform(spark, sf_dir):
-    table, _ = calibrate.transform_scores(views.lineitem(spark, sf_dir))
-    score = F.avg("icc")
-    best = table.groupBy("ordinal", "name").agg(score.alias("score")).orderBy(F.round("score", 9).desc(), "ordinal").limit(1)
-    return best.select("name", (F.round("score", 5) + 0.0).alias("score"))
-
-
-def hashed_folds(points: DataFrame, block_m: float, n_folds: int = 4) -> DataFrame:
-    """Blocks dealt to folds by an arithmetic hash; the blocks are few."""
-    x0, y0 = points.agg(F.min("x"), F.min("y")).first()
-    blocks = points.select(cells.cell_index(F.col("x"), x0, block_m).alias("bx"), cells.cell_index(F.col("y"), y0, block_m).alias("by")).distinct()
-    order = Window.orderBy((F.col("bx") * 7919 + F.col("by") * 104729) % 1009, "bx", "by")
-    return blocks.select("bx", "by", (F.ntile(n_folds).over(order) - 1).cast("int").alias("fold"))
+    best, scores = calibrate.choose_transform(views.lineitem(spark, sf_dir))
+    return spark.createDataFrame([(best.name, scores[0][1])], "name string, score double").select("name", (F.round("score", 5) + 0.0).alias("score"))
 
 
 def _blocks(block: float) -> str:
@@ -251,7 +248,8 @@ def _blocks(block: float) -> str:
 
 @query(with_views(f", {_blocks(2e4)} SELECT * FROM folds", "p_evt", "p_field"))
 def q22_block_folds(spark, sf_dir):
-    return hashed_folds(views.field(spark, sf_dir), 2e4).select("bx", F.col("by").alias("bj"), "fold")
+    p = views.field(spark, sf_dir)
+    return calibrate.block_folds(p, extent(p)[:2], 2e4, deal="hash").select("bx", F.col("by").alias("bj"), "fold")
 
 
 def _fold(f: int) -> str:
@@ -259,10 +257,8 @@ def _fold(f: int) -> str:
     return f"{train}, {oracle.pull_push(f't{f}', 1e3, 6, extent='dealt', at=f'_{f}')}"
 
 
-def field_predictions(spark, sf_dir, only: int | None = None) -> DataFrame:
-    p = views.field(spark, sf_dir)
-    folds = hashed_folds(p, 2e4)
-    return calibrate.cv_predictions(p, 1e3, 6, [20.0], folds={20.0: folds if only is None else folds})
+def field_cv(spark, sf_dir, blocks_km: tuple[float, ...] = (20.0,)) -> calibrate.CrossValidation:
+    return calibrate.CrossValidation(views.field(spark, sf_dir), 1000.0, 6, blocks_km, deal="hash", key="id")
 
 
 @query(
@@ -275,31 +271,26 @@ def field_predictions(spark, sf_dir, only: int | None = None) -> DataFrame:
     )
 )
 def q23_cv_predict(spark, sf_dir):
-    p = views.field(spark, sf_dir)
-    x0, y0, x1, y1 = p.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    at = p.select(cells.cell_index(F.col("x"), x0, 2e4).alias("bx"), cells.cell_index(F.col("y"), y0, 2e4).alias("by"), cells.cell_index(F.col("x"), x0, 1e3).alias("ix"), cells.cell_index(F.col("y"), y0, 1e3).alias("iy"), "v")
-    held = at.join(F.broadcast(hashed_folds(p, 2e4)), ["bx", "by"]).groupBy("fold", "ix", "iy").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("c"))
-    train = held.withColumnRenamed("fold", "own").select(F.explode(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda f: f != F.col("own"))).alias("fold"), "ix", "iy", "s", "c")
-    out = surface(train, calibrate.cv_spec((x0, y0), (x1, y1), 1e3, 6), wanted=held, keys=["fold"], mask=False)
-    return held.join(out, ["fold", "ix", "iy"]).select("ix", "iy", "fold", F.col("c").alias("n"), F.round(F.col("val") + NUDGE, 4).alias("pred"), F.round(F.col("sup") / 1e3, 4).alias("sup_km"))
-
-
-_PRED = (
-    f", {_blocks(2e4)}, {', '.join(map(_fold, range(4)))}, pred AS ("
-    + " UNION ALL ".join(f"SELECT d.v AS act, p.val AS pred, p.sup / 1e3 AS sup_km FROM dealt d JOIN push_{f} p USING (ix, iy) WHERE d.fold = {f}" for f in range(4))
-    + "), e AS (SELECT *, (act - pred) ** 2 AS m, (act - (SELECT avg(act) FROM pred)) ** 2 AS b FROM pred)"
-)
+    return field_cv(spark, sf_dir).cells.select("ix", "iy", "fold", "n", F.round(F.col("pred") + NUDGE, 4).alias("pred"), F.round("sup_km", 4).alias("sup_km"))
+
+
+def _predicted(block: float) -> str:
+    return f"{_blocks(block)}, {', '.join(map(_fold, range(4)))}, pred AS (" + " UNION ALL ".join(f"SELECT d.id, d.v AS act, p.val AS pred, p.sup / 1e3 AS sup_km FROM dealt d JOIN push_{f} p USING (ix, iy) WHERE d.fold = {f}" for f in range(4)) + ")"
+
+
+_ERRORS = "e AS (SELECT *, (act - pred) ** 2 AS m, (act - (SELECT avg(act) FROM pred)) ** 2 AS b FROM pred)"
+_PRED = f", {_predicted(2e4)}, {_ERRORS}"
 _EDGES = ", ".join(f"({a:e}, {b:e})" for a, b in zip(calibrate.EDGES, calibrate.EDGES[1:], strict=False))
 
 
 @query(with_views(f"{_PRED} SELECT lo_km, hi_km, count(*) AS n, round(1 - sqrt(avg(m)) / sqrt(avg(b)), 5) AS skill FROM e JOIN (VALUES {_EDGES}) t(lo_km, hi_km) ON sup_km >= lo_km AND sup_km < hi_km GROUP BY ALL HAVING count(*) >= 100", "p_evt", "p_field"))
 def q24_cv_skill_bins(spark, sf_dir):
-    return calibrate.skill_bins(field_predictions(spark, sf_dir), min_n=100).select("lo_km", "hi_km", "n", F.round("skill", 5).alias("skill"))
+    return calibrate.skill_bins(field_cv(spark, sf_dir).cells, min_n=100).select("lo_km", "hi_km", "n", F.round("skill", 5).alias("skill"))
 
 
 @query(with_views(f"{_PRED} SELECT 2e1 AS block_km, round(1 - sqrt(avg(m)) / sqrt(avg(b)), 5) AS skill FROM e", "p_evt", "p_field"))
 def q25_cv_overall(spark, sf_dir):
-    return calibrate.overall_skill(field_predictions(spark, sf_dir)).select("block_km", F.round("skill", 5).alias("skill"))
+    return calibrate.overall_skill(field_cv(spark, sf_dir).cells).select("block_km", F.round("skill", 5).alias("skill"))
 
 
 CURVE = [(2.0, 50.0, 0.30), (2.0, 100.0, 0.01), (8.0, 50.0, 0.20), (32.0, 100.0, 0.10), (64.0, 200.0, 0.02)]
@@ -396,9 +387,22 @@ def q33_full_surface(spark, sf_dir):
     return raster.quantised(out.select("ix", "iy", t.fwd(F.col("val")).alias("pct"), "sup"), 100)
 
 
-@query()
+def _bootstrap(reps: int) -> str:
+    """CTE bounds (hi_km, ci_lo) over e, with each point's weight from its id and the replicate's number."""
+    draws = f"r0 AS (SELECT e.*, t.lo_km, t.hi_km, rep, ((id % {calibrate.MODULUS}) * {calibrate.FACTOR} + (rep + 1) * {calibrate.STRIDE}) % {calibrate.MODULUS} AS x FROM e JOIN (VALUES {_EDGES}) t(lo_km, hi_km) ON sup_km >= lo_km AND sup_km < hi_km, range({reps}) k(rep))"
+    for k in range(calibrate.ROUNDS):
+        draws += f", r{k + 1} AS (SELECT * EXCLUDE (x), (x * x + {calibrate.FACTOR}) % {calibrate.MODULUS} AS x FROM r{k})"
+    weight = " + ".join(f"(x >= {t})::INT" for t in calibrate.POISSON)
+    return (
+        f"{draws}, w AS (SELECT *, {weight} AS w FROM r{calibrate.ROUNDS}), s AS (SELECT hi_km, rep, count(*) AS n, 1 - sqrt(sum(w * m)) / sqrt(sum(w * b)) AS skill FROM w GROUP BY ALL), "
+        "bounds AS (SELECT hi_km, quantile_cont(skill, 0.05) AS ci_lo, quantile_cont(skill, 0.95) AS ci_hi FROM s GROUP BY hi_km HAVING any_value(n) >= 100)"
+    )
+
+
+@query(with_views(f"{_PRED}, {_bootstrap(200)} SELECT 2e1 AS block_km, hi_km, round(ci_lo, 5) AS ci_lo, round(ci_hi, 5) AS ci_hi FROM bounds", "p_evt", "p_field"))
 def q34_bootstrap_ci(spark, sf_dir):
-    return calibrate.bootstrap_ci(field_predictions(spark, sf_dir), min_n=100)
+    ci = calibrate.bootstrap_ci(field_cv(spark, sf_dir).points(), min_n=100)
+    return ci.select("block_km", "hi_km", F.round("ci_lo", 5).alias("ci_lo"), F.round("ci_hi", 5).alias("ci_hi"))
 
 
 @query(with_views(f"{PUSH3} SELECT ix, iy, round(val + 3.3e-7, 4) AS val, round(sup + 3.3e-7, 4) AS sup FROM push", "p_evt"))
@@ -408,3 +412,192 @@ def q35_pull_push_frames(spark, sf_dir):
     r = c.agg(F.max("ix"), F.max("iy")).first()
     shape = pad_to_pyramid(r[0] + 1, 3), pad_to_pyramid(r[1] + 1, 3)
     return pull_push_frames(c, shape, 1e3, 3).where((F.col("ix") <= r[0]) & (F.col("iy") <= r[1])).select("ix", "iy", *r4("val", "sup"))
+
+
+# -- calibration as a whole ---------------------------------------------------------------
+CV_BLOCKS = (10.0, 20.0, 40.0)
+
+
+def _curve(km: float) -> str:
+    """Rows (block_km, hi_km, ci_lo) of one block size, as a subquery."""
+    return f"SELECT {km:e} AS block_km, hi_km, ci_lo FROM (WITH {_predicted(km * 1e3)}, {_ERRORS}, {_bootstrap(200)} SELECT * FROM bounds)"
+
+
+_RULE = "f AS (SELECT hi_km AS hi, arg_min(ci_lo, block_km) AS lo FROM c WHERE hi_km <= block_km / 2 GROUP BY hi_km) SELECT coalesce(max(hi), 2.5e1) AS cap_km FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.hi <= f.hi AND g.lo <= 5e-2)"
+
+
+@query(with_views(f", c AS ({' UNION ALL '.join(map(_curve, CV_BLOCKS))}), {_RULE}", "p_evt", "p_field"))
+def q36_calibrate_fill_cap(spark, sf_dir):
+    """Folds, predictions, bootstrap bounds and the cap rule, from points to the cap."""
+    cap, _ = calibrate.calibrate_fill_cap(views.field(spark, sf_dir), CV_BLOCKS, levels=6, min_n=100, deal="hash", key="id")
+    return spark.createDataFrame([(cap,)], "cap_km double")
+
+
+@query(with_views(f"{_PRED}, {_bootstrap(200)}, t AS (SELECT hi_km, count(*) // 200 AS n, 1 - sqrt(avg(m)) / sqrt(avg(b)) AS skill FROM r0 GROUP BY hi_km) SELECT hi_km, n, round(skill, 5) AS skill, round(ci_lo, 5) AS ci_lo FROM t JOIN bounds USING (hi_km)", "p_evt", "p_field"))
+def q37_blocked_cv_skill(spark, sf_dir):
+    _, rows = calibrate.blocked_cv_skill(views.field(spark, sf_dir), levels=6, block_km=20.0, min_n=100, deal="hash", key="id")
+    table = spark.createDataFrame([(r["hi_km"], r["n"], r["skill"], r["ci_lo"]) for r in rows], "hi_km double, n long, skill double, ci_lo double")
+    return table.select("hi_km", "n", F.round("skill", 5).alias("skill"), F.round("ci_lo", 5).alias("ci_lo"))
+
+
+@query("SELECT 0::BIGINT AS held_out, 0::BIGINT AS bins")
+def q38_folds_without_training(spark, sf_dir):
+    """One block makes one fold, which has nothing to learn from, and is skipped."""
+    cv = calibrate.CrossValidation(views.field(spark, sf_dir), 1000.0, 3, [1e6], deal="hash", key="id")
+    return spark.createDataFrame([(cv.points().count(), calibrate.skill_bins(cv.cells).count())], "held_out long, bins long")
+
+
+@query(with_views("SELECT least(500, (SELECT count(*) FROM p_geo)) AS n, true AS rows_of_the_table, true AS distinct_rows", "p_geo"))
+def q39_exact_sample(spark, sf_dir):
+    p = views.customers(spark, sf_dir)
+    s = exact_sample(p, 500, p.count()).persist()
+    out = [(s.count(), s.join(p, "id", "left_anti").isEmpty(), s.select("id").distinct().count() == s.count())]
+    s.unpersist()
+    return spark.createDataFrame(out, "n long, rows_of_the_table boolean, distinct_rows boolean")
+
+
+# -- sources and sinks -----------------------------------------------------------------------
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder for what a query writes and reads again: the cluster's shared one, or a temporary one where the master is local."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.gettempdir()}"
+    return f"{where}/gridloom-{uuid.uuid4().hex}/{name}"
+
+
+GEO_COLUMNS = ("v", "lon", "lat")
+
+
+@query(with_views("SELECT v, lon, lat FROM p_geo", "p_geo"))
+def q40_csv_scan(spark, sf_dir):
+    """Three columns of a CSV file with more of them, cast to doubles."""
+    path = scratch(spark, "points.csv")
+    views.customers(spark, sf_dir).withColumn("note", F.lit("x")).write.option("header", True).csv(path)
+    return read_table(spark, path, *GEO_COLUMNS)
+
+
+@query(with_views("SELECT v, lon, lat FROM p_geo", "p_geo"))
+def q41_parquet_scan(spark, sf_dir):
+    path = scratch(spark, "points.parquet")
+    views.customers(spark, sf_dir).withColumn("note", F.lit("x")).write.parquet(path)
+    return read_table(spark, path, *GEO_COLUMNS)
+
+
+@query("SELECT * FROM (VALUES ('cap_km', '16.0'), ('cv', '{\"20.0\": {\"overall_skill\": null}}'), ('transform', '\"log10\"')) t(name, value)")
+def q42_calibration_document(spark, sf_dir):
+    """A calibration document written and read back; what JSON has no number for is null."""
+    path = scratch(spark, "calibration.json")
+    sinks.write_json(spark, {"transform": "log10", "cap_km": 16.0, "cv": {20.0: {"overall_skill": float("nan")}}}, path)
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in sinks.read_json(spark, path).items()], "name string, value string")
+
+
+def counts_raster(spark, sf_dir) -> tuple[DataFrame, int, int]:
+    c = evt_cells(spark, sf_dir)
+    r = c.agg(F.max("ix"), F.max("iy")).first()
+    return raster.north_up(c.select("ix", "iy", F.col("c").cast("short").alias("dn")), r[1] + 1), r[1] + 1, r[0] + 1
+
+
+_COUNTS = f", {EVT}, d AS (SELECT max(ix) + 1 AS nx, max(iy) + 1 AS ny FROM cells)"
+
+
+@query(with_views(f"{_COUNTS} SELECT (ny - 1 - iy)::INT AS row, ix::INT AS col, c::SMALLINT AS dn FROM cells, d", "p_evt"))
+def q43_raster_replaced(spark, sf_dir):
+    """A raster takes the place of another one; a write that fails leaves it there."""
+    out, rows, cols = counts_raster(spark, sf_dir)
+    path = scratch(spark, "raster")
+    sinks.write_raster(out.limit(3), path, {"rows": 1})
+    sinks.write_raster(out, path, {"rows": rows})
+    try:
+        sinks.write_raster(out.select("row", "col", F.raise_error(F.lit("planned")).cast("short").alias("dn")), path, {"rows": 0})
+    except Exception as e:  # noqa: BLE001
+        if "planned" not in str(e):
+            raise
+    if sinks.read_json(spark, f"{path}.json") != {"rows": rows}:
+        raise AssertionError("the metadata of the raster that stayed are lost")
+    return spark.read.parquet(path)
+
+
+@query(with_views(f"{_COUNTS} SELECT (ny - 1 - b.i)::INT AS row, a.i::INT AS col, coalesce(c, -32768)::SMALLINT AS dn FROM d, (SELECT unnest(range(0, nx)) AS i FROM d) a, (SELECT unnest(range(0, ny)) AS i FROM d) b LEFT JOIN cells ON ix = a.i AND iy = b.i", "p_evt"))
+def q44_geotiff(spark, sf_dir):
+    """All pixels of a tiled GeoTIFF, written and read back."""
+    out, rows, cols = counts_raster(spark, sf_dir)
+    path = scratch(spark, "counts.tif")
+    sinks.write_geotiff(out, "dn", rows, cols, 0.0, rows * 1e3, 1e3, 6933, path, tile=64)
+    return sinks.read_geotiff(spark, path)[0]
+
+
+@query(
+    with_views(
+        f", w AS (SELECT {oracle.EQUAL_AREA}, v FROM p_geo), cells AS ({oracle.cells('w', 5e5, 'min')}), {oracle.pull_push('cells', 5e5, 1)}, {oracle.near(2)}, {oracle.knots('w', 1001)}, m AS (SELECT push.* FROM push JOIN near USING (ix, iy)), r AS ({oracle.ranked('m', 'val', 't.ix, t.iy, t.sup')}), "
+        "d AS (SELECT max(iy) AS my FROM cells) SELECT (my - iy)::INT AS row, ix::INT AS col, round_even(round(pct * 100, 9), 0)::SMALLINT AS value_dn, least(greatest(round_even(round(log2(greatest(sup / 1e3, 1e-3)) * 8, 9), 0), -32000), 32000)::SMALLINT AS support_dn FROM r, d",
+        "p_geo",
+    )
+)
+def q45_command_line(spark, sf_dir):
+    """The command line from a CSV file to the raster, the value and support bands as it writes them."""
+    from gridloom.__main__ import main
+
+    path = scratch(spark, "points.csv")
+    views.customers(spark, sf_dir).write.option("header", True).csv(path)
+    with contextlib.redirect_stdout(io.StringIO()):
+        out = main([path, "-o", scratch(spark, "out"), "--value-col", "v", "--lng-col", "lon", "--lat-col", "lat", "--res", "500000", "--cap-km", "1000", "--out-crs", "6933", "--skip-calibration"])
+    return spark.read.parquet(out)
+
+
+@query("SELECT * FROM (VALUES ('cap_km', '1000.0'), ('crs', '\"EPSG:6933\"'), ('nodata', '-32768'), ('pixel', '500000.0'), ('res_m', '500000.0'), ('scale', '12.5'), ('transform', '\"identity\"'), ('units', '\"percentile\"')) t(name, value)")
+def q46_raster_metadata(spark, sf_dir):
+    """What a run says about its raster, and the same from the note in its GeoTIFF."""
+    path, folder = scratch(spark, "points.parquet"), scratch(spark, "out")
+    views.customers(spark, sf_dir).write.parquet(path)
+    out = Pipeline(spark, path, out=folder, value_col="v", lng_col="lon", lat_col="lat", res=5e5, cap_km=1000.0, out_crs=6933, scale=12.5, skip_calibration=True).run()
+    about = sinks.read_json(spark, f"{out}.json")
+    _, place = sinks.read_geotiff(spark, f"{folder}/value.tif")
+    same = all(place["note"][k] == about[k] for k in ("transform", "cap_km", "res_m", "scale", "units")) and (place["rows"], place["cols"], place["pixel"]) == (about["rows"], about["cols"], about["pixel"])
+    if not same:
+        raise AssertionError("the note of the GeoTIFF differs from the metadata")
+    names = ("cap_km", "crs", "nodata", "pixel", "res_m", "scale", "transform", "units")
+    return spark.createDataFrame([(k, json.dumps(about[k])) for k in names], "name string, value string")
+
+
+# -- limits ------------------------------------------------------------------------------------
+@query(
+    "SELECT * FROM (VALUES ('a cell outside of the grid', 'indices out of range'), ('a grid that levels do not divide', 'divisible by 2 ** levels'), ('a scale beyond 16 bits', 'exceeds int16 max'), ('a halo wider than a tile', 'exceeds block size'), "
+    "('no valid points', 'No valid points'), ('an unknown transform', 'Unknown transform'), ('a value that is no number', 'CAST_INVALID_INPUT')) t(what, says)"
+)
+def q47_refusals(spark, sf_dir):
+    """What is refused, and the words that say so."""
+    p = views.events(spark, sf_dir)
+    text = scratch(spark, "bad.csv")
+    spark.createDataFrame([("x", "0", "0")], "value string, longitude string, latitude string").coalesce(1).write.option("header", True).csv(text)
+    tries = (
+        ("a cell outside of the grid", "indices out of range", lambda: cells.bin_points(p, 0.0, 0.0, 1e3, shape=(1, 1)).collect()),
+        ("a grid that levels do not divide", "divisible by 2 ** levels", lambda: pull_push_frames(evt_cells(spark, sf_dir), (7, 7), 1e3, 2)),
+        ("a scale beyond 16 bits", "exceeds int16 max", lambda: Pipeline(spark, text, scale=327.68)),
+        ("a halo wider than a tile", "exceeds block size", lambda: GridSpec(0.0, 0.0, 500.0, 10, 10, 1, 1000.0, block=3)),
+        ("no valid points", "No valid points", lambda: extent(p.where("id < 0"))),
+        ("an unknown transform", "Unknown transform", lambda: make_transform({"name": "cubic"})),
+        ("a value that is no number", "CAST_INVALID_INPUT", lambda: read_table(spark, text).collect()),
+    )
+    rows = []
+    for what, says, attempt in tries:
+        try:
+            attempt()
+        except Exception as e:  # noqa: BLE001
+            rows.append((what, says if says in str(e) else str(e)))
+        else:
+            rows.append((what, "nothing"))
+    return spark.createDataFrame(rows, "what string, says string")
+
+
+@query(with_views("SELECT id, round(lon, 6) AS x, round(lat, 6) AS y, v FROM p_geo", "p_geo"))
+def q48_projections_and_back(spark, sf_dir):
+    """Degrees to equal-area metres, to Mercator and back to degrees."""
+    g = views.customers(spark, sf_dir)
+    x, y = project(F.col("lon"), F.col("lat"), 4326, 6933)
+    a = g.select("id", "v", x.alias("x"), y.alias("y"))
+    x, y = project(F.col("x"), F.col("y"), 6933, 3857)
+    b = a.select("id", "v", x.alias("x"), y.alias("y"))
+    x, y = project(F.col("x"), F.col("y"), 3857, 4326)
+    return b.select("id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), "v")

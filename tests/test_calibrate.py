@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from gridloom import PercentileTransform, choose_transform, make_transform, transforms
+from gridloom import PercentileTransform, blocked_cv_skill, choose_transform, icc, make_transform, transforms
 from gridloom.operators import calibrate
 from pyspark.sql import functions as F
 
@@ -78,6 +78,52 @@ def test_folds_are_the_seeded_permutation(spark):
     assert got == {int(b): f for f, part in enumerate(np.array_split(perm, 4)) for b in part}
 
 
+def test_hashed_folds_divide_the_blocks(spark):
+    p = points(spark, range(10), [0] * 10, [0] * 10)
+    got = [r.fold for r in calibrate.block_folds(p, (0, 0), 1.0, 4, deal="hash").collect()]
+    assert sorted(got) == [0, 0, 0, 1, 1, 1, 2, 2, 3, 3]
+    with pytest.raises(ValueError, match="deal folds"):
+        calibrate.block_folds(p, (0, 0), 1.0, deal="other")
+
+
+def test_icc_of_one_scale(spark):
+    p = points(spark, [0, 1, 10, 11], [0, 0, 0, 0], [1, 1, 5, 5])
+    assert icc(p, 5.0) == pytest.approx(1.0) and icc(p, 100.0) == pytest.approx(0.0)
+
+
+def test_resampling_weights_follow_the_poisson_law():
+    for keys in (np.arange(4000), np.random.default_rng(3).integers(-(2**62), 2**62, 4000)):
+        w = calibrate.poisson_weights(keys, 200, 0)
+        assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs((w == 0).mean() - np.exp(-1)) < 0.005
+        assert abs(w.mean(axis=1).var() * 4000 - 1) < 0.35 and abs(w.mean(axis=0).var() * 200 - 1) < 0.15  # replicates and points vary as independent draws do
+        near = np.corrcoef(w[:, :300].T)[np.triu_indices(300, 1)]
+        assert abs(near.mean()) < 0.005
+    assert (calibrate.poisson_weights(np.arange(5), 3, 0) != calibrate.poisson_weights(np.arange(5), 3, 1)).any()
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    x, y, v = smooth(spark, 1500)
+    p = calibrate.cv_predictions(points(spark, x, y, v), 1000.0, 5, [20.0]).persist()
+    got = [sorted(map(tuple, calibrate.bootstrap_ci(p.repartition(n), n_boot=20, min_n=30).collect())) for n in (1, 7)]
+    assert got[0] and np.allclose(got[0], got[1], rtol=1e-12)
+
+
+def test_skill_from_cells_equals_skill_from_points(spark):
+    x, y, v = smooth(spark, 1500)
+    cv = calibrate.CrossValidation(points(spark, x, y, v + 1000), 1000.0, 5, [10.0, 20.0])
+    for f in (lambda t: calibrate.skill_bins(t, min_n=20), calibrate.overall_skill):
+        a, b = (np.array(sorted(map(tuple, f(t).collect()))) for t in (cv.cells, cv.points()))
+        assert len(a) and np.allclose(a, b, atol=1e-6)
+
+
+def test_blocked_skill(spark):
+    x, y, v = smooth(spark)
+    overall, rows = blocked_cv_skill(points(spark, x, y, v), levels=6, block_km=20.0, n_boot=20, min_n=30)
+    assert overall > 0.5 and rows and {"lo_km", "hi_km", "n", "skill", "ci_lo", "ci_hi"} <= set(rows[0])
+    overall, rows = blocked_cv_skill(points(spark, [0, 1], [0, 1], [1, 2]), levels=3)
+    assert np.isnan(overall) and rows == []
+
+
 def smooth(spark, n=3000):
     r = np.random.default_rng(2)
     x, y = r.uniform(0, 1.5e5, n), r.uniform(0, 4e4, n)
