@@ -72,26 +72,28 @@ def terms(text: Column) -> Column:
 
 
 def match_units(units: DataFrame, least_cosine: float, tables: Tables) -> DataFrame:
-    """(unit, license, cosine, n): the best template of each distinct unit that has one.
+    """(key, license, cosine, n): the best template of each distinct unit that has one.
 
-    ``units`` has distinct units with their counts n.  Document frequencies count every
-    unit as often as it occurs, and every template once.  Ties go to the first name.
+    ``units`` has distinct units with their keys and counts n; their texts go no further
+    than to their terms.  Document frequencies count every unit as often as it occurs, and
+    every template once.  Ties go to the first name.
     """
     sheet = units.sparkSession.createDataFrame(list(TEMPLATES), "license string, body string")
-    have = tables.keep(units.select("unit", "n", F.explode(terms(F.col("unit"))).alias("term")).groupBy("unit", "n", "term").agg(F.count(F.lit(1)).alias("tf")))
+    have = tables.keep(units.select("key", "n", F.explode(terms(F.col("unit"))).alias("term")).groupBy("key", "n", "term").agg(F.count(F.lit(1)).alias("tf")))
     model = sheet.select("license", "body", F.explode(terms(F.col("body"))).alias("term")).groupBy("license", "body", "term").agg(F.count(F.lit(1)).alias("tf"))
     total = float(units.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + len(TEMPLATES))
     frequency = have.select("term", "n").unionAll(model.select("term", F.lit(1).cast("long"))).groupBy("term").agg(F.sum("n").alias("df"))
     idf = tables.keep(frequency.select("term", (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1).alias("idf")))
     left = have.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
     right = model.join(idf, "term").withColumn("y", F.col("tf") * F.col("idf"))
-    left_norm = left.groupBy("unit", "n").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
+    left_norm = left.groupBy("key", "n").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
     right_norm = right.groupBy("license", "body").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("ny"))
-    weights = tables.keep(right.join(right_norm, ["license", "body"]).select("license", "body", "term", (F.col("y") / F.col("ny")).alias("y")))
-    dot = left.join(F.broadcast(weights), "term").groupBy("unit", "license", "body").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = dot.join(left_norm, "unit").select("unit", "n", "license", F.round(F.col("dot") / F.col("nx"), 6).alias("cosine")).where(F.col("cosine") >= least_cosine)
-    best = scored.groupBy("unit", "n").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), F.col("license"))).alias("b"))
-    out = tables.keep(best.select("unit", "n", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("cosine")))
+    weights = right.join(right_norm, ["license", "body"])
+    weights = tables.keep(weights.select("license", F.xxhash64("body").alias("template"), "term", (F.col("y") / F.col("ny")).alias("y")))
+    dot = left.join(F.broadcast(weights), "term").groupBy("key", "license", "template").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    scored = dot.join(left_norm, "key").select("key", "n", "license", F.round(F.col("dot") / F.col("nx"), 6).alias("cosine")).where(F.col("cosine") >= least_cosine)
+    best = scored.groupBy("key", "n").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), F.col("license"))).alias("b"))
+    out = tables.keep(best.select("key", "n", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("cosine")))
     tables.drop(have, idf, weights)
     return out
 
@@ -113,13 +115,14 @@ def own_licenses(files: DataFrame, least_cosine: float) -> DataFrame:
     parts = F.transform(F.filter(sentences(text), speaks), lambda s: unit("sentence", s))
     whole = F.array(F.when(speaks(header(text)), unit("header", header(text))), F.when(F.col("is_file"), unit("file", text)))
     found = files.where((hinted | F.col("is_file")) & F.col("id").isNotNull())
-    found = tables.keep(found.select("id", F.explode(F.concat(parts, F.filter(whole, lambda u: u.isNotNull()))).alias("u")).select("id", "u.kind", "u.unit"))
-    distinct = tables.keep(found.groupBy("unit").agg(F.count(F.lit(1)).alias("n")))
+    found = tables.keep(found.select("id", F.explode(F.concat(parts, F.filter(whole, lambda u: u.isNotNull()))).alias("u")).select("id", "u.kind", F.md5("u.unit").alias("key"), "u.unit"))
+    distinct = tables.keep(found.groupBy("key").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("n")))
     matched = match_units(distinct, least_cosine, tables)
     least = found.count() * FREQUENT
     often = F.broadcast(matched.where(F.col("n") > least).drop("n"))
-    seldom = found.join(often, "unit", "left_anti").join(matched.where(F.col("n") <= least).drop("n"), "unit")
-    every = found.join(often, "unit").unionByName(seldom)
+    carried = found.select("id", "kind", "key")
+    seldom = carried.join(often, "key", "left_anti").join(matched.where(F.col("n") <= least).drop("n"), "key")
+    every = carried.join(often, "key").unionByName(seldom)
     best = F.min(F.struct((-F.col("cosine")).alias("minus"), F.col("license"))).alias("b")
     per = every.groupBy("id").agg(best, F.count(F.when(F.col("kind") == "sentence", 1)).alias("n_notices"))
     out = tables.keep(per.select("id", F.col("b.license").alias("own_license"), (-F.col("b.minus")).alias("cosine"), "n_notices"))
