@@ -229,6 +229,9 @@ class Tables:
             _, files, at = self.paths.pop(id(t))
             files.delete(at, True)
 
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        self.drop(*(t for t, *_ in [*self.paths.values()] if all(t is not k for k in tables)))
+
 
 def stored(df: DataFrame) -> DataFrame:
     """One table that stays until the session's end."""
