@@ -2,14 +2,18 @@
 
 BENCH_SF_DIR names the tables, BENCH_CPUS the local threads.  Results are computed in full
 and discarded.  The surfaces at several resolutions have the shape of the published
-figures: a few thousand points over some 80 km, filled up to 10 km away.
+figures: 13,580 points over some 80 km, filled up to 10 km away, from reading the points
+to the percentile and support rasters in the output projection, written as Parquet and as
+two GeoTIFFs.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -17,8 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom import GridSpec, bin_points, surface
-from gridloom.functions.quantise import encode_support, encode_value
+import gridloom
 from gridloom.operators.calibrate import calibrate_fill_cap
 from gridloom.plans import views
 from gridloom.plans.queries import QUERIES
@@ -31,19 +34,28 @@ HEADLINES = (
 )
 
 
-def scattered(res: float):
-    """Value and support bands over the embedding points at one cell size, capped at 10 km."""
+#: Points of the published figures, and the resolutions in metres.
+POINTS, RESOLUTIONS = 13_580, (500, 250, 100, 50, 25, 10)
+
+
+def scattered(res: float, folder: str):
+    """The whole way from points to written rasters at one cell size, capped at 10 km."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        p = views.embeddings(spark, sf_dir)
-        r = p.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-        spec = GridSpec.from_extent(tuple(r), res, 10.0, block=2048)
-        out = surface(bin_points(p, spec.x0, spec.y0, res), spec)
-        return out.select("ix", "iy", encode_value(F.col("val"), 100), encode_support(F.col("sup")))
+        gridloom.run(spark, f"{folder}/points.parquet", out=f"{folder}/out", res=float(res), cap_km=10.0, skip_calibration=True)
+        return spark.range(1)
 
     return run
 
 
+def write_points(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Points that fill a square of some 80 km, with prices as values."""
+    k = F.col("c_custkey").cast("long")
+    at = lambda a, m: ((k * a) % m) / F.lit(float(m)) - 0.5
+    points = views.table(spark, sf_dir, "customer").orderBy("c_custkey").limit(POINTS)
+    points.select((F.lit(145.0) + 0.9 * at(7919, 100_003)).alias("longitude"), (F.lit(-37.8) + 0.72 * at(104_729, 99_991)).alias("latitude"), (F.col("c_acctbal").cast("double") + 2000).alias("value")).write.mode("overwrite").parquet(f"{folder}/points.parquet")
+
+
 def fill_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     cap, _ = calibrate_fill_cap(views.embeddings(spark, sf_dir))
     return spark.range(1).select(F.lit(cap))
@@ -63,7 +75,9 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     runs = {n: QUERIES[n] for n in HEADLINES}
-    runs |= {f"surface_{res:g}m": scattered(res) for res in (500, 250, 100, 50, 25)} | {"blocked_cv_4_sizes": fill_cap}
+    folder = tempfile.mkdtemp()
+    write_points(spark, SF_DIR, folder)
+    runs |= {f"surface_{res:g}m": scattered(res, folder) for res in RESOLUTIONS} | {"blocked_cv_4_sizes": fill_cap}
     times: dict[str, float] = {}
     for name, run in runs.items():
         best = []
@@ -72,6 +86,7 @@ def main() -> None:
             run(spark, SF_DIR).write.format("noop").mode("overwrite").save()
             best.append(time.perf_counter() - t)
         times[name] = round(min(best), 3)
+    shutil.rmtree(folder, ignore_errors=True)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"), "cpus": int(CPUS)}))
     spark.stop()
 
