@@ -4,7 +4,7 @@ A text is a sequence of word tokens and one end, coded as a stream of bits along
 
 * Frequent words, the end and the escape to other words are the leaves of a binary tree.  For
   each bit on the way to a leaf three contexts predict: the node alone, the node after the
-  previous word and the node after the two previous words; the latter two are hashed.  A
+  previous leaf and the node after the two previous leaves; the latter two are hashed.  A
   mixer adds the predictions in the logistic domain with weights that a gate selects by how
   often the contexts were met.  Along each text, block by block, the weights follow the
   gradient of the code length, and an adaptive map refines the mixed probability.
@@ -51,13 +51,13 @@ CLASSES, BUCKETS = 12, 33
 #: Distinct words that train the speller in one task; bytes that it codes at once.
 TASK_WORDS, BATCH_BYTES = 500_000, 150_000
 #: Words in the tree, and words whose counts are broadcast, at most.
-TREE_WORDS, KNOWN_WORDS = 8192, 65_536
-#: Hash bits of the tables of words before; their contexts.
+TREE_WORDS, KNOWN_WORDS = 2048, 65_536
+#: Hash bits of the tables of leaves before; their contexts.
 CONTEXT_BITS, CONTEXTS = 21, 2
 #: A word in so many ends a phrase; words of the longest phrase; tokens between two updates along a text.
-ANCHOR, LONGEST_PHRASE, BLOCK = 32, 96, 64
+ANCHOR, LONGEST_PHRASE, BLOCK = 64, 256, 64
 #: Bytes of texts in a group, tokens that are coded at once, distinct words that a task holds.
-GROUP_BYTES, BATCH_TOKENS, HELD_WORDS = 16_000_000, 150_000, 300_000
+GROUP_BYTES, BATCH_TOKENS, HELD_WORDS = 32_000_000, 40_000, 300_000
 #: First chance of coding a phrase as a whole, and the chance after one.
 SELDOM, AGAIN = 0.02, 0.95
 #: Step of the weights, pseudo-count of the adaptive map and of hashed contexts.
@@ -183,23 +183,18 @@ class Speller:
         self.zeros, self.ones = zeros, ones
         self.weights = np.full((len(ORDERS) + 1, len(ORDERS), CLASSES), 0.35, np.float32) if weights is None else weights
         self.seen = np.zeros((512, BUCKETS, 2)) if seen is None else seen
-        self.ready: tuple[np.ndarray, np.ndarray] | None = None
 
     def inputs(self, e: Events, leave_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Stretched predictions and gate numbers of each context, and the longest context seen."""
+        a, b = self.zeros[e.slot], self.ones[e.slot]
         if leave_out:
-            a, b = self.zeros[e.slot], self.ones[e.slot]
             one = e.bit.astype(np.float32)
             a, b = np.maximum(a - (1 - one), 0), np.maximum(b - one, 0)
-            stretched, gate = self.stretch(a, b), self.gate(a + b)
-        else:
-            if self.ready is None:
-                self.ready = self.stretch(self.zeros, self.ones), self.gate(self.zeros + self.ones)
-            stretched, gate = self.ready[0][e.slot], self.ready[1][e.slot]
+        gate = self.gate(a + b)
         longest = np.zeros(e.slot.shape[1], np.int64)
         for k in range(len(ORDERS)):
             longest[gate[k] > 0] = k + 1
-        return stretched, gate, longest
+        return self.stretch(a, b), gate, longest
 
     @staticmethod
     def stretch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -327,11 +322,18 @@ def fit_speller(words: DataFrame) -> Speller:
         model.learn(own, np.ones(len(own)))
         return pa.table({"part": table["part"][:1].cast(pa.int32()), "weights": [model.weights.astype("<f4").tobytes()], "seen": [model.seen.astype("<f8").tobytes()], "total": [float(len(own))]})
 
+    def together(table: pa.Table) -> pa.Table:
+        """The maps of some parts added up, whole numbers in any order; their weights side by side."""
+        seen = sum(np.frombuffer(x, "<f8") for x in table["seen"].to_pylist())
+        return pa.table({"parts": [table["part"].to_numpy().astype("<i4").tobytes()], "totals": [table["total"].to_numpy().astype("<f8").tobytes()], "weights": [b"".join(table["weights"].to_pylist())], "seen": [seen.tobytes()]})
+
+    learnt = dealt.groupBy("part").applyInArrow(learn, "part int, weights binary, seen binary, total double")
     plain = Speller(zeros, ones)
     seen, weights = np.zeros(plain.seen.shape), []
-    for r in dealt.groupBy("part").applyInArrow(learn, "part int, weights binary, seen binary, total double").toLocalIterator():
-        seen += np.frombuffer(r["seen"], "<f8").reshape(seen.shape)  # whole numbers: any order gives the same
-        weights.append((r["part"], r["total"], np.frombuffer(r["weights"], "<f4").astype(np.float64)))
+    for r in learnt.groupBy(F.col("part") % 16).applyInArrow(together, "parts binary, totals binary, weights binary, seen binary").collect():  # 2 kB of weights a part, 16 maps
+        seen += np.frombuffer(r["seen"], "<f8").reshape(seen.shape)
+        numbers = np.frombuffer(r["parts"], "<i4").tolist()
+        weights += zip(numbers, np.frombuffer(r["totals"], "<f8").tolist(), np.frombuffer(r["weights"], "<f4").astype(np.float64).reshape(len(numbers), -1), strict=True)
     sent.unpersist()
     if not weights:
         return plain
@@ -345,20 +347,18 @@ def word_hash(word: str) -> int:
 
 
 class Lexicon(dict):
-    """Numbers of the words of a few texts, A-Z in lower case; ``add`` is told each new word once."""
+    """Numbers of the words of a few texts, with A-Z in lower case, and their hashes."""
 
-    def __init__(self, add) -> None:
+    def __init__(self) -> None:
         super().__init__()
-        self.add, self.low, self.hashes = add, {}, array("Q")
+        self.low, self.words, self.hashes = {}, [], array("Q")
 
     def __missing__(self, word: str) -> int:
         low = ascii_lower(word)
-        at = self.low.get(low)
-        if at is None:
-            at = self.low[low] = len(self.hashes)
+        at = self[word] = self.low.setdefault(low, len(self.words))
+        if at == len(self.words):
+            self.words.append(low)
             self.hashes.append(word_hash(low))
-            self.add(low)
-        self[word] = at
         return at
 
     def numbers(self, words: list[str]) -> np.ndarray:
@@ -415,14 +415,14 @@ class Batch:
         out[self.place] = values
         return out
 
-    def contexts(self, h: np.ndarray) -> np.ndarray:
-        """Hashes of the word before and of the two words before each token; no word has 0."""
-        token = self.spread(h, 0)
+    def contexts(self, symbol: np.ndarray) -> np.ndarray:
+        """Hashes of the leaf before and of the two leaves before each token; where no word was it is 0."""
+        token = symbol.astype(np.uint64) + np.uint64(1)
         one, two = np.zeros_like(token), np.zeros_like(token)
         one[1:], two[2:] = token[:-1], token[:-2]
         one[self.first] = two[self.first] = 0
         two[self.first[self.size > 0] + 1] = 0
-        return np.stack([(one + np.uint64(1)) * _C, ((one ^ np.uint64(7)) * _P + two) * _C])
+        return np.stack([(one + np.uint64(1)) * _C, ((one + np.uint64(7)) * _P + two) * _C])
 
 
 def text_batches(texts: list[str]) -> Iterator[tuple[slice, list[list[str]]]]:
@@ -478,7 +478,7 @@ class Tree:
             todo += [(zero, [*way, (at - n, 0)]), (one, [*way, (at - n, 1)])]
         self.length = np.array([len(w) for w in ways], np.int64)
         self.start = np.cumsum(self.length) - self.length
-        self.node = np.array([x for w in ways for x, _ in w], np.int64)
+        self.node = np.array([x for w in ways for x, _ in w], np.int32)
         self.bit = np.array([x for w in ways for _, x in w], np.int8)
 
     def bits(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -489,8 +489,24 @@ class Tree:
         return token, self.node[at], self.bit[at]
 
 
+class Symbols(dict):
+    """Leaves of words as they stand in texts; a word of more than 64 characters is not kept."""
+
+    def __init__(self, tree: Tree) -> None:
+        super().__init__()
+        self.leaves = tree.number
+
+    def __missing__(self, word: str) -> int:
+        got = self.leaves.get(ascii_lower(word), ESCAPE)
+        if len(word) <= 64:
+            if len(self) >= HELD_WORDS:
+                self.clear()
+            self[word] = got
+        return got
+
+
 def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return (((context ^ (node.astype(np.uint64) * _P)) * _C) >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
+    return (((context ^ (node.astype(np.uint64) * _P)) * _C) >> np.uint64(64 - CONTEXT_BITS)).view(np.int64)
 
 
 def count_contexts(docs: DataFrame, tree) -> np.ndarray:
@@ -499,17 +515,15 @@ def count_contexts(docs: DataFrame, tree) -> np.ndarray:
 
     def run(batches):
         hold(None)
-        t, table, symbols = tree.value, np.zeros(size, np.uint32), array("q")
-        lexicon = Lexicon(lambda w: symbols.append(t.number.get(w, ESCAPE)))
+        t, table = tree.value, np.zeros(size, np.uint32)
+        symbols = Symbols(t)
         for b in batches:
             for _, texts in parts(b, 0):
                 for _, words in text_batches(texts):
-                    if len(lexicon) > HELD_WORDS:
-                        del symbols[:]
-                        lexicon = Lexicon(lexicon.add)
-                    batch = Batch.of([lexicon.numbers(w) for w in words])
-                    token, node, bit = t.bits(batch.spread(np.array(symbols, np.int64)[batch.number], END))
-                    for k, context in enumerate(batch.contexts(np.array(lexicon.hashes, np.uint64)[batch.number])):
+                    batch = Batch.of([np.fromiter(map(symbols.__getitem__, w), np.int64, len(w)) for w in words])
+                    symbol = batch.spread(batch.number, END)
+                    token, node, bit = t.bits(symbol)
+                    for k, context in enumerate(batch.contexts(symbol)):
                         np.add.at(table, (k << (CONTEXT_BITS + 1)) + 2 * slots(context[token], node) + bit, np.uint32(1))
         yield from chunks_of(table)
 
@@ -525,50 +539,61 @@ class Mixer:
         centre = 1 / (1 + np.exp(-(np.arange(BUCKETS) / (BUCKETS - 1) * 24 - 12)))
         self.map = PRIOR * np.stack([1 - centre, centre], axis=1)
 
-    def costs(self, batch: Batch, symbol: np.ndarray, contexts: np.ndarray, own: np.ndarray) -> np.ndarray:
+    def costs(self, batch: Batch, symbol: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Bits of every token; ``own`` marks texts that the counts include.
 
         Block by block of each text, all texts of the batch side by side: what one text
         learns no other one sees.
         """
         n = len(batch.size)
-        weights = np.repeat(gates()[None], n, axis=0).reshape(-1, CONTEXTS + 1)
-        squares = np.ones_like(weights)
+        weights = np.repeat(gates().T[:, None], n, axis=1).reshape(CONTEXTS + 1, -1)  # of each text and gate
+        squares = np.ones(weights.shape)
         seen = np.repeat(self.map[None], n, axis=0).reshape(-1, 2)
+        pairs = [c.view(np.int64).ravel() for c in self.counts]  # both counts of a slot are read at once
+        contexts = batch.contexts(symbol)
         out = np.zeros(len(symbol))
         block = (np.arange(len(symbol)) - batch.first[batch.text]) // BLOCK
         order = np.argsort(block, kind="stable")
         borders = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
-        n_gates = 16 * n
+        half, top = np.float32((BUCKETS - 1) / 24), np.float32((BUCKETS - 1) / 2)
         for begin, end in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
             at = order[begin:end]
             token, node, bit = self.tree.bits(symbol[at])
             if not len(token):
                 continue
-            one = bit.astype(np.float32)
             text = batch.text[at][token]
-            left_out = own[text].astype(np.float32)
-            stretched, gate = [self.tree.stretched[node]], np.zeros(len(token), np.int64)
+            one = bit.astype(np.float32)
+            mine = own[text].astype(np.float32)
+            in_ones = mine * one
+            in_zeros = mine - in_ones
+            stretched, gate = [self.tree.stretched.take(node)], np.zeros(len(token), np.int64)
             for k in range(CONTEXTS):
-                met = self.counts[k][slots(contexts[k][at][token], node)]
-                a = np.maximum(met[:, 0] - left_out * (1 - one), 0)
-                b = np.maximum(met[:, 1] - left_out * one, 0)
-                stretched.append(np.log((b + np.float32(SMALL)) / (a + np.float32(SMALL))))
+                met = pairs[k].take(slots(contexts[k][at][token], node)).view(np.float32)
+                a, b = met[0::2] - in_zeros, met[1::2] - in_ones
+                np.maximum(a, 0, out=a)
+                np.maximum(b, 0, out=b)
                 total = a + b
-                gate = 4 * gate + (total > 0) + (total > 2) + (total > 15)
+                gate *= 4
+                gate += (total > 0).view(np.int8) + (total > 2).view(np.int8) + (total > 15).view(np.int8)
+                a += np.float32(SMALL)
+                b += np.float32(SMALL)
+                b /= a
+                stretched.append(np.log(b, out=b))
             cell = 16 * text + gate
-            w = weights[cell]
-            s = np.clip(sum(w[:, k] * x for k, x in enumerate(stretched)), -12, 12).astype(np.float64)
+            s = weights[0].take(cell) * stretched[0]
+            for k in range(1, CONTEXTS + 1):
+                s += weights[k].take(cell) * stretched[k]
+            np.clip(s, -12, 12, out=s)
             p = 1 / (1 + np.exp(-s))
-            near = BUCKETS * text + np.rint((s + 12) / 24 * (BUCKETS - 1)).astype(np.int64)
-            q = seen[near]
-            refined = np.clip((p + q[:, 1] / (q[:, 0] + q[:, 1])) / 2, 1e-6, 1 - 1e-6)
-            out[at] = np.bincount(token, -np.log2(np.where(bit == 1, refined, 1 - refined)), len(at))
-            error = bit - p
+            near = BUCKETS * text + np.rint(s * half + top).astype(np.int64)
+            chance = (seen[:, 1] / seen.sum(axis=1)).astype(np.float32)
+            refined = np.clip((p + chance.take(near)) / 2, np.float32(1e-6), np.float32(1 - 1e-6))
+            wrong = one - p
+            out[at] = np.bincount(token, -np.log2(np.abs(1 - one - refined)), len(at))
             for k, x in enumerate(stretched):
-                step = np.bincount(cell, error * x, n_gates)
-                squares[:, k] += step * step
-                weights[:, k] += RATE * step / np.sqrt(squares[:, k])
+                step = np.bincount(cell, wrong * x, 16 * n)
+                squares[k] += step * step
+                weights[k] += RATE * step / np.sqrt(squares[k])
             seen += np.bincount(2 * near + bit, minlength=seen.size).reshape(seen.shape)
         return out
 
@@ -579,6 +604,7 @@ class Corpus:
     """What is broadcast of a training corpus; its size is bounded by KNOWN_WORDS and the tables'."""
 
     mixer: Mixer
+    speller: Speller
     known: dict[str, int]  # counts of the most frequent words
     tokens: int
     distinct: int
@@ -589,26 +615,42 @@ class Corpus:
 
 
 class GroupScorer:
-    """Scores the texts of a group, whose words and phrases come with their counts."""
+    """Scores the texts of a group.
+
+    ``counts`` has the corpus counts of the group's words and phrases, but for the most
+    frequent words and for those that occur nowhere but at one place of a training text, or
+    in no training text at all.
+    """
 
     def __init__(self, corpus: Corpus) -> None:
         self.corpus = corpus
         self.start({})
 
-    def start(self, counts: dict[str, tuple[int, float]]) -> None:
+    def start(self, counts: dict[str, int]) -> None:
         self.counts = counts
         self.fresh()
 
     def fresh(self) -> None:
-        self.symbol, self.n, self.spelled = array("q"), array("q"), array("d")
-        self.lexicon = Lexicon(self.add)
-
-    def add(self, word: str) -> None:
-        c = self.corpus
-        n, spelled = self.counts.get(word, (0, None)) if (often := c.known.get(word)) is None else (often, None)
-        self.symbol.append(c.mixer.tree.number.get(word, ESCAPE))
-        self.n.append(n)
-        self.spelled.append(spelled or 0.0)
+        self.lexicon = Lexicon()
+        self.symbol, self.n, self.spelled = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+
+    def look_up(self, at: np.ndarray, mine: np.ndarray) -> None:
+        """Bring leaves, counts and spelling costs up to the lexicon's new words; ``mine`` marks tokens of training texts."""
+        c, begin = self.corpus, len(self.symbol)
+        new = self.lexicon.words[begin:]
+        if not new:
+            return
+        trained = np.zeros(len(self.lexicon.words), bool)
+        trained[at[mine]] = True
+        leaf, known, counts = c.mixer.tree.number.get, c.known.get, self.counts.get
+        n = np.fromiter((known(w) or counts(w, -1) for w in new), np.int64, len(new))
+        n = np.where(n < 0, trained[begin:], n)
+        spelled = np.zeros(len(new))
+        for once in (False, True):  # a word that training held once is left out of the speller's counts
+            if len(which := np.flatnonzero(n == once)):
+                spelled[which] = c.speller.log10([new[k].encode() for k in which.tolist()], leave_out=once)
+        self.symbol = np.concatenate([self.symbol, np.fromiter((leaf(w, ESCAPE) for w in new), np.int64, len(new))])
+        self.n, self.spelled = np.concatenate([self.n, n]), np.concatenate([self.spelled, spelled])
 
     def score(self, texts: list[list[str]], own: np.ndarray) -> dict[str, np.ndarray]:
         """Sums of each text, given as its words; ``own`` marks training texts."""
@@ -618,19 +660,20 @@ class GroupScorer:
         batch = Batch.of([self.lexicon.numbers(w) for w in texts])
         at, k = batch.number, len(texts)
         of_word = np.repeat(np.arange(k), batch.size)
-        h = np.array(self.lexicon.hashes, np.uint64)[at]
-        n = np.array(self.n, np.int64)[at]
-        symbol = np.array(self.symbol, np.int64)[at]
-        cost = c.mixer.costs(batch, batch.spread(symbol, END), batch.contexts(h), own)
+        mine = own[of_word]
+        self.look_up(at, mine)
+        n, symbol = self.n[at], self.symbol[at]
+        cost = c.mixer.costs(batch, batch.spread(symbol, END), own)
         ends = cost[batch.first + batch.size]
         cost = cost[batch.place]
-        elsewhere = n - own[of_word]
+        elsewhere = n - mine
         escaped = symbol == ESCAPE
         met = escaped & (elsewhere > 0)
         new = escaped & (elsewhere <= 0)
         cost[met] -= np.log2((1 - c.new) * elsewhere[met] / max(c.escaped, 1))
-        cost[new] -= math.log2(c.new) + np.array(self.spelled)[at][new] * math.log2(10)
+        cost[new] -= math.log2(c.new) + self.spelled[at[new]] * math.log2(10)
         base = np.log10((n + 1) / (c.tokens + c.distinct + 1))
+        h = np.array(self.lexicon.hashes, np.uint64)[at]
         return {
             "n_tokens": batch.size + 1,
             "n_known": np.bincount(of_word, n > 0, k).astype(np.int64) + (c.ends > 0),
@@ -645,7 +688,7 @@ class GroupScorer:
         plain = np.bincount(np.repeat(np.arange(len(starts)), size), cost, len(starts))
         text = np.repeat(np.arange(len(batch.size)), batch.size)[starts]
         get = self.counts.get
-        elsewhere = np.fromiter((get(phrase_key(x), (0,))[0] for x in hashes.tolist()), np.int64, len(starts)) - own[text]
+        elsewhere = np.fromiter((get(phrase_key(x), 0) for x in hashes.tolist()), np.int64, len(starts)) - own[text]
         miss = -math.log2(1 - SELDOM)
         bits = np.bincount(text, plain + miss, len(batch.size))
         for k in np.unique(text[elsewhere > 0]).tolist():
@@ -667,7 +710,7 @@ class GroupScorer:
 
 
 def group_counts(rows: DataFrame) -> DataFrame:
-    """(grp, key, n, others): occurrences in a group's training texts of words, of phrases and, under '', of ends, and of phrases in its other texts."""
+    """(grp, key, n, others): occurrences in a group's training and other texts of words, of phrases and, under '', of ends."""
 
     def run(batches):
         hold(None)
@@ -677,8 +720,7 @@ def group_counts(rows: DataFrame) -> DataFrame:
                 group, own = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)
                 for g in np.unique(group).tolist():
                     at = np.flatnonzero(group == g)
-                    tally = tallies.setdefault(g, Tally())
-                    tally.add([texts[k] for k in at], own[at])
+                    tallies.setdefault(g, Tally()).add([texts[k] for k in at], own[at])
                 if sum(len(t.lexicon) for t in tallies.values()) > HELD_WORDS:
                     for g, t in tallies.items():
                         yield from t.rows(g)
@@ -693,21 +735,20 @@ class Tally:
     """Counts of the words and phrases of some texts of one group."""
 
     def __init__(self) -> None:
-        self.words: list[str] = []
-        self.lexicon = Lexicon(self.words.append)
-        self.n = np.zeros(0, np.int64)
+        self.lexicon = Lexicon()
+        self.counts = np.zeros((2, 0), np.int64)  # in training texts, in others
         self.phrases: list[np.ndarray] = []
         self.marks: list[np.ndarray] = []
-        self.ends = 0
+        self.ends = np.zeros(2, np.int64)
 
     def add(self, texts: list[str], own: np.ndarray) -> None:
-        self.ends += int(own.sum())
+        self.ends += [own.sum(), (~own).sum()]
         for part, words in text_batches(texts):
             batch = Batch.of([self.lexicon.numbers(w) for w in words])
             mine = np.repeat(own[part], batch.size)
-            n = np.bincount(batch.number, mine, len(self.words)).astype(np.int64)
-            n[: len(self.n)] += self.n
-            self.n = n
+            both = np.stack([np.bincount(batch.number[which], minlength=len(self.lexicon.words)) for which in (mine, ~mine)])
+            both[:, : self.counts.shape[1]] += self.counts
+            self.counts = both
             starts, hashes = phrases(np.array(self.lexicon.hashes, np.uint64)[batch.number], batch.last())
             self.phrases.append(hashes)
             self.marks.append(mine[starts])
@@ -715,29 +756,11 @@ class Tally:
     def rows(self, group: int) -> Iterator[pa.RecordBatch]:
         hashes, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.phrases]), return_inverse=True)
         marks = np.concatenate([np.zeros(0, bool), *self.marks])
-        keys = ["", *self.words, *map(phrase_key, hashes.tolist())]
-        n = np.concatenate([[self.ends], self.n, np.bincount(at, marks, len(hashes))]).astype(np.int64)
-        others = np.concatenate([np.zeros(1 + len(self.words)), np.bincount(at, ~marks, len(hashes))]).astype(np.int64)
+        keys = ["", *self.lexicon.words, *map(phrase_key, hashes.tolist())]
+        n, others = (np.concatenate([self.ends[k : k + 1], self.counts[k], np.bincount(at[which], minlength=len(hashes))]).astype(np.int64) for k, which in enumerate((marks, ~marks)))
         for k in range(0, len(keys), 50_000):
-            own = keys[k : k + 50_000]
             part = slice(k, k + 50_000)
-            yield pa.RecordBatch.from_pydict({"grp": pa.array(np.full(len(own), group), pa.int32()), "key": pa.array(own, pa.string()), "n": pa.array(n[part]), "others": pa.array(others[part])})
-
-
-def spelled(vocabulary: DataFrame, speller) -> DataFrame:
-    """(key, n, spelled): log10 probability of spelling each word that may be new where it stands; null for others and for phrases."""
-
-    def run(batches):
-        hold(None)
-        for b in batches:
-            keys, n = b.column(0).to_pylist(), b.column(1).to_numpy()
-            out = np.full(len(keys), np.nan)
-            for trained in (0, 1):
-                if at := [k for k, w in enumerate(keys) if n[k] == trained and not w.startswith(" ")]:
-                    out[at] = speller.value.log10([keys[k].encode() for k in at], leave_out=bool(trained))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64(), from_pandas=True)], ["key", "n", "spelled"])
-
-    return vocabulary.select("key", "n").mapInArrow(run, "key string, n long, spelled double")
+            yield pa.RecordBatch.from_pydict({"grp": pa.array(np.full(len(keys[part]), group), pa.int32()), "key": pa.array(keys[part], pa.string()), "n": pa.array(n[part]), "others": pa.array(others[part])})
 
 
 def score_documents(
@@ -770,7 +793,7 @@ def score_documents(
 
     # what the corpus holds
     pairs = tables.keep(group_counts(rows))
-    vocabulary = tables.keep(pairs.groupBy("key").agg(F.sum("n").alias("n")))
+    vocabulary = tables.keep(pairs.groupBy("key").agg(F.sum("n").alias("n"), F.max("others").alias("others")))
     phrase = F.col("key").startswith(" ")
     word = ~phrase & (F.col("key") != "")
     total = lambda where, what=F.col("n"): F.coalesce(F.sum(F.when(where, what)), F.lit(0))
@@ -783,21 +806,20 @@ def score_documents(
     tree = Tree(leaves, np.array([ends, escaped, *(known[w] for w in leaves)], np.float64))
 
     # the models
-    speller = spark.sparkContext.broadcast(fit_speller(vocabulary.where(word & (F.col("n") > 0))))
-    table = tables.keep(spelled(vocabulary.where((word & (F.col("n") <= least)) | (phrase & (F.col("n") > 0))), speller))
-    speller.unpersist()
+    speller = fit_speller(vocabulary.where(word & (F.col("n") > 0)))
     sent_tree = spark.sparkContext.broadcast(tree)
     counts = count_contexts(rows, sent_tree)
+    sent_tree.unpersist()
     new = (int(once) + 1) / (escaped + 2)
-    corpus = spark.sparkContext.broadcast(Corpus(Mixer(tree, counts), known, int(words) + int(ends), int(distinct), int(ends), escaped, new, int(n_phrases)))
+    corpus = spark.sparkContext.broadcast(Corpus(Mixer(tree, counts), speller, known, int(words) + int(ends), int(distinct), int(ends), escaped, new, int(n_phrases)))
 
-    # each group's counts before its texts
+    # each group's counts before its texts; what occurs at one place alone, or in no training text, needs none
     frequent = F.broadcast(often.select("key"))
-    here = pairs.select("grp", "key", "others").join(frequent, "key", "left_anti")
-    wanted = here.join(table, "key").where(~phrase | (F.col("n") > 1) | (F.col("others") > 0))  # a training text's only phrase has no other place
+    table = vocabulary.where((word & (F.col("n") <= least)) | phrase).where((F.col("n") > 1) | ((F.col("n") > 0) & (F.col("others") > 0))).select("key", "n")
+    wanted = pairs.select("grp", "key").join(frequent, "key", "left_anti").join(table, "key")
     id_type = rows.schema["id"].dataType
-    both = wanted.select("grp", F.lit(0).alias("kind"), F.col("key").alias("body"), "n", "spelled", F.lit(None).cast(id_type).alias("id"), F.lit(False).alias("own"))
-    both = both.unionByName(rows.select("grp", F.lit(1).alias("kind"), F.col("text").alias("body"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("spelled"), "id", "own"))
+    both = wanted.select("grp", F.lit(0).alias("kind"), F.col("key").alias("body"), "n", F.lit(None).cast(id_type).alias("id"), F.lit(False).alias("own"))
+    both = both.unionByName(rows.select("grp", F.lit(1).alias("kind"), F.col("text").alias("body"), F.lit(None).cast("long").alias("n"), "id", "own"))
     full = StructType([StructField("id", id_type), *StructType.fromDDL("held_out boolean, n_tokens long, n_known long, base_score double, bits double, n_bytes long").fields])
     arrow = to_arrow_schema(full)
 
@@ -813,15 +835,15 @@ def score_documents(
                         at, held = group[lo], {}
                         scorer.start(held)
                     if kind[lo] == 0:
-                        held.update(zip(bodies[lo:hi], zip(part.column(3)[lo:hi].to_pylist(), part.column(4)[lo:hi].to_pylist(), strict=True), strict=True))
+                        held.update(zip(bodies[lo:hi], part.column(3)[lo:hi].to_pylist(), strict=True))
                         continue
-                    ids, mine = part.column(5), part.column(6).to_numpy(zero_copy_only=False)
-                    texts = bodies[lo:hi]
+                    order = sorted(range(lo, hi), key=lambda k: len(bodies[k]))  # texts of like length go side by side
+                    mine, texts = part.column(5).to_numpy(zero_copy_only=False), [bodies[k] for k in order]
                     for run_of, words_in in text_batches(texts):
-                        a, z = lo + run_of.start, lo + run_of.stop
-                        got = scorer.score(words_in, mine[a:z])
+                        which = np.array(order[run_of], np.int64)
+                        got = scorer.score(words_in, mine[which])
                         n_bytes = [len(t.encode()) - len(t) + sum(map(len, w)) + len(w) + 1 for t, w in zip(texts[run_of], words_in, strict=True)]
-                        cols = [ids[a:z].cast(arrow.field(0).type), pa.array(~mine[a:z]), *(pa.array(got[c]) for c in ("n_tokens", "n_known", "base_score", "bits")), pa.array(n_bytes, pa.int64())]
+                        cols = [part.column(4).take(pa.array(which)).cast(arrow.field(0).type), pa.array(~mine[which]), *(pa.array(got[c]) for c in ("n_tokens", "n_known", "base_score", "bits")), pa.array(n_bytes, pa.int64())]
                         yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     done = both.repartition("grp").sortWithinPartitions("grp", "kind").mapInArrow(run, full)
