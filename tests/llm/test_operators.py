@@ -352,7 +352,7 @@ def test_base_score_and_counts(spark, docs, texts, monkeypatch):
             assert r.score < 0 and abs(r.bits_per_byte + r.score * math.log2(10) / size) < 1e-9
 
 
-def mixed_brute(tree, counts, words, h, own):
+def mixed_brute(tree, counts, words, own):
     """Bits of each token of one text, bit by bit in plain Python."""
     sigmoid = lambda s: 1 / (1 + math.exp(-s))
     weights = {g: [float(x) for x in row] for g, row in enumerate(mixing_lm.gates())}
@@ -362,8 +362,8 @@ def mixed_brute(tree, counts, words, h, own):
     symbols = [*(tree.number.get(w, mixing_lm.ESCAPE) for w in words), mixing_lm.END]
     mask, c, p = (1 << 64) - 1, int(mixing_lm._C), int(mixing_lm._P)
     for i, symbol in enumerate(symbols):
-        one, two = (h[i - 1] if i else 0), (h[i - 2] if i > 1 else 0)
-        contexts = [(one + 1) * c & mask, ((one ^ 7) * p + two) * c & mask]
+        one, two = (symbols[i - 1] + 1 if i else 0), (symbols[i - 2] + 1 if i > 1 else 0)
+        contexts = [(one + 1) * c & mask, ((one + 7) * p + two) * c & mask]
         bits = 0.0
         for k in range(tree.start[symbol], tree.start[symbol] + tree.length[symbol]):
             node, bit = int(tree.node[k]), int(tree.bit[k])
@@ -397,24 +397,23 @@ def test_mixing_equals_plain_python(texts):
     some = [WORD.findall(ascii_lower(t)) for t in list(texts.values())[:25]] + [[], ["only"]]
     common = Counter(w for words in some for w in words).most_common(40)
     tree = mixing_lm.Tree([w for w, _ in common], np.array([len(some), 500, *(n for _, n in common)], np.float64))
-    lexicon = mixing_lm.Lexicon(lambda w: None)
-    batch = mixing_lm.Batch.of([lexicon.numbers(w) for w in some])
-    h = np.array(lexicon.hashes, np.uint64)
-    symbol = batch.spread(np.array([tree.number.get(w, mixing_lm.ESCAPE) for w in lexicon.low], np.int64)[batch.number], mixing_lm.END)
-    contexts = batch.contexts(h[batch.number])
+    symbols = mixing_lm.Symbols(tree)
+    batch = mixing_lm.Batch.of([np.array([symbols[w] for w in words], np.int64) for words in some])
+    symbol = batch.spread(batch.number, mixing_lm.END)
+    contexts = batch.contexts(symbol)
     counts = np.zeros(mixing_lm.CONTEXTS << (mixing_lm.CONTEXT_BITS + 1), np.float32)
     token, node, bit = tree.bits(symbol)
     for k in range(2):
         np.add.at(counts, (k << (mixing_lm.CONTEXT_BITS + 1)) + 2 * mixing_lm.slots(contexts[k][token], node) + bit, 1)
     own = np.arange(len(some)) % 3 > 0
-    cost = mixing_lm.Mixer(tree, counts).costs(batch, symbol, contexts, own)
+    cost = mixing_lm.Mixer(tree, counts).costs(batch, symbol, own)
     for k, words in enumerate(some):
-        want = mixed_brute(tree, counts, words, [int(h[lexicon[w]]) for w in words], float(own[k]))
+        want = mixed_brute(tree, counts, words, float(own[k]))
         got = cost[batch.first[k] : batch.first[k] + len(words) + 1]
         assert np.allclose(got, want, rtol=1e-4, atol=1e-4) and abs(got.sum() - sum(want)) < 1e-6 * sum(want) + 1e-4
-    alone = mixing_lm.Batch.of([lexicon.numbers(some[3])])
+    alone = mixing_lm.Batch.of([np.array([symbols[w] for w in some[3]], np.int64)])
     place = slice(batch.first[3], batch.first[3] + len(some[3]) + 1)
-    assert np.array_equal(mixing_lm.Mixer(tree, counts).costs(alone, symbol[place], alone.contexts(h[alone.number]), own[3:4]), cost[place])
+    assert np.array_equal(mixing_lm.Mixer(tree, counts).costs(alone, symbol[place], own[3:4]), cost[place])
 
 
 def test_tree_is_a_code():
