@@ -47,31 +47,28 @@ def reprojected_grid(spec: GridSpec, work: int, out: int, spark) -> tuple[float,
     return r[0], r[3], pixel, max(1, math.floor((r[3] - r[1]) / pixel + 0.5)), max(1, math.floor((r[2] - r[0]) / pixel + 0.5))
 
 
+#: Rows and columns of an output grid that are broadcast at most; longer sides are joined by a shuffle.
+BROADCAST_LINES = 2_000_000
+
+
 def reproject_nearest(raster: DataFrame, spec: GridSpec, grid: tuple[float, float, float, int, int], work: int = 6933, out: int = 3857) -> DataFrame:
     """The raster (ix, iy, bands) on another grid: an output pixel has the bands of the cell in which its centre lies.
 
-    Each cell's corners are projected, and of the few pixels between them those stay whose
-    centre falls back into the cell.  In all known systems x follows from the longitude and
-    y from the latitude alone, so that the corners bound the cell.  Cost follows the occupied
-    cells, not the extent, and nothing is joined; pixels without a source cell are absent.
+    In all known systems x follows from the longitude and y from the latitude alone.  So the
+    centres of the output's columns give source columns and those of its rows source rows,
+    two small tables that the occupied cells meet one after the other.  Cost follows the
+    occupied cells, not the extent; pixels without a source cell are absent.
     """
     left, top, pixel, rows, cols = grid
+    spark = raster.sparkSession
     bands = [c for c in raster.columns if c not in ("ix", "iy")]
-    res, x0, y0 = F.lit(float(spec.res)), F.lit(float(spec.x0)), F.lit(float(spec.y0))
-
-    def corner(step: int, beyond: float) -> tuple[Column, Column]:
-        at = project(x0 + (F.col("ix") + step) * res, y0 + (F.col("iy") + step) * res, work, out)
-        return tuple(F.when(c.isNull() | F.isnan(c), F.lit(beyond)).otherwise(c) for c in at)  # a corner beyond the end of the map
-
-    def pixels(low: Column, high: Column, n: int) -> Column:
-        """Numbers of the pixels with centres between two places, in pixels; a little more for rounding."""
-        first = F.greatest(F.ceil(F.greatest(low, F.lit(-1.0)) - 0.5 - 1e-6), F.lit(0)).cast("int")
-        last = F.least(F.floor(F.least(high, F.lit(n + 1.0)) - 0.5 + 1e-6), F.lit(n - 1)).cast("int")
-        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-
-    (xa, ya), (xb, yb) = corner(0, -math.inf), corner(1, math.inf)
-    near = raster.select("ix", "iy", *bands, F.explode(pixels((xa - left) / pixel, (xb - left) / pixel, cols)).alias("col"), pixels((F.lit(top) - yb) / pixel, (F.lit(top) - ya) / pixel, rows).alias("rows"))
-    near = near.select("ix", "iy", *bands, "col", F.explode("rows").alias("row"))
-    x, y = project(F.lit(left) + (F.col("col") + 0.5) * F.lit(pixel), F.lit(top) - (F.col("row") + 0.5) * F.lit(pixel), out, work)
-    inside = (F.floor((x - x0) / res) == F.col("ix")) & (F.floor((y - y0) / res) == F.col("iy"))
-    return near.where(inside).select("row", "col", *bands)
+
+    def lines(n: int, name: str, x: Column, y: Column, pick: int, origin: float, index: str, size: int) -> DataFrame:
+        place = project(x, y, out, work)[pick]
+        table = spark.range(n).select(F.col("id").cast("int").alias(name), F.floor((place - F.lit(float(origin))) / F.lit(float(spec.res))).cast("long").alias(index))
+        table = table.where(f"{index} >= 0 and {index} < {size}")
+        return F.broadcast(table) if n <= BROADCAST_LINES else table
+
+    column = lines(cols, "col", F.lit(left) + (F.col("id") + 0.5) * F.lit(pixel), F.lit(0.0), 0, spec.x0, "ix", spec.nx)
+    row = lines(rows, "row", F.lit(0.0), F.lit(top) - (F.col("id") + 0.5) * F.lit(pixel), 1, spec.y0, "iy", spec.ny)
+    return raster.join(column, "ix").join(row, "iy").select("row", "col", *bands)
