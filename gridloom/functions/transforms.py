@@ -74,14 +74,22 @@ class PercentileTransform(Transform):
         return {"name": self.name, "quantiles": None if self.quantiles is None else self.quantiles.tolist()}
 
 
+#: Values that one task ranks.
+FEW = 200_000
+
+
 def quantiles(values: DataFrame, column: str, knots: int = KNOTS, accuracy: int | None = None) -> np.ndarray:
     """Evenly spaced quantiles of a column with linear interpolation, exact unless ``accuracy`` is given.
 
-    Approximate quantiles only part the values into buckets.  Each bucket ranks its distinct
-    values, offset by the counts of the buckets before, and a value tells by arithmetic which
-    knots its ranks hold; so no task sees more than a bucket, and the driver gets the knots.
+    Up to FEW values one aggregate ranks them all.  Beyond that approximate quantiles part the
+    values into buckets.  Each bucket ranks its distinct values, offset by the counts of the
+    buckets before, and a value tells by arithmetic which knots its ranks hold; so no task
+    sees more than a bucket, and the driver gets the knots.
     """
     v = values.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    if not accuracy and 0 < v.limit(FEW + 1).count() <= FEW:
+        every = F.split(F.lit(",".join(repr(i / (knots - 1)) for i in range(knots))), ",").cast("array<double>")
+        return np.array(v.agg(F.percentile("v", every)).first()[0], np.float64)
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / (knots - 1) for i in range(knots)] if accuracy else [(i + 1) / parts for i in range(parts - 1)] or [0.5]
     table = F.split(F.lit(",".join(map(repr, shares))), ",").cast("array<double>")

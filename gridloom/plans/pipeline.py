@@ -141,9 +141,8 @@ class Pipeline:
             if self.geotiff:
                 written = self.spark.read.parquet(path)
                 tags = {k: about[k] for k in ("transform", "cap_km", "res_m", "scale", "units")}
-                for band, factor in (("value", self.scale), ("support", None)):
-                    note = tags | {"decode": DECODING[band]}
-                    sinks.write_geotiff(written, f"{band}_dn", rows, cols, left, top, pixel, self.out_crs, f"{self.out}/{band}.tif", note, factor)
+                files = {f"{band}_dn": (f"{self.out}/{band}.tif", tags | {"decode": DECODING[band]}, factor) for band, factor in (("value", self.scale), ("support", None))}
+                sinks.write_geotiffs(written, files, rows, cols, left, top, pixel, self.out_crs)
             return path
         finally:
             self.points.unpersist()

@@ -10,6 +10,7 @@ from xml.sax.saxutils import escape
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,15 +51,15 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.sparkContext.wholeTextFiles(path, 1).values().first())
 
 
-def write_raster(raster: DataFrame, path: str, metadata: dict, codec: str = "zstd", rows_per_strip: int = 512) -> str:
-    """Parquet of (row, col, bands) in strips of rows, written aside and then renamed, with ``<path>.json``.
+def write_raster(raster: DataFrame, path: str, metadata: dict, codec: str = "zstd", tile: int = 512) -> str:
+    """Parquet of (row, col, bands), the pixels of a square tile together, written aside and then renamed, with ``<path>.json``.
 
     A failed write leaves what was there before untouched.  The old raster is renamed to
     ``<path>.old`` and goes only when the new one is in place; if that fails it comes back.
     """
     spark = raster.sparkSession
-    strip = raster.withColumn("strip", F.floor(F.col("row") / F.lit(rows_per_strip)).cast("int"))
-    strip.repartitionByRange("strip", "row", "col").sortWithinPartitions("row", "col").drop("strip").write.mode("overwrite").option("compression", codec.lower()).parquet(f"{path}.tmp")
+    down, across = F.expr(f"row div {tile}"), F.expr(f"col div {tile}")
+    raster.repartition(down, across).sortWithinPartitions(down, across, "row", "col").write.mode("overwrite").option("compression", codec.lower()).parquet(f"{path}.tmp")
     fs, p = _path(spark, path)
     (_, tmp), (_, old) = _path(spark, f"{path}.tmp"), _path(spark, f"{path}.old")
     before = fs.exists(p)
@@ -96,60 +97,81 @@ def _directory(entries: list[tuple[int, int, list | bytes]], at: int, big: bool)
 
 
 def write_geotiff(raster: DataFrame, band: str, rows: int, cols: int, left: float, top: float, pixel: float, epsg: int, path: str, tags: dict[str, str] | None = None, scale: float | None = None, tile: int = 512, big: bool | None = None) -> str:
-    """A tiled, deflated int16 GeoTIFF of one band, through the file system that Spark uses.
+    """One band as a GeoTIFF; see write_geotiffs."""
+    return write_geotiffs(raster, {band: (path, tags or {}, scale)}, rows, cols, left, top, pixel, epsg, tile, big)[0]
 
-    Executors fill and compress the tiles; the driver knows their sizes and passes them on
-    one at a time, in order.  Tiles without data share one empty tile.  Files of 4 GB or
-    more are written as BigTIFF (``big`` forces either).  ``scale`` becomes the band's factor.
+
+def write_geotiffs(raster: DataFrame, files: dict[str, tuple[str, dict, float | None]], rows: int, cols: int, left: float, top: float, pixel: float, epsg: int, tile: int = 512, big: bool | None = None) -> list[str]:
+    """Tiled, deflated int16 GeoTIFFs of some bands, through the file system that Spark uses.
+
+    ``files``: path, tags and scale by band; a scale becomes the band's factor.  Executors
+    fill and compress the tiles of all bands in one pass over the pixels; the driver knows
+    their sizes and passes them on one at a time, in order.  Tiles without data share one
+    empty tile.  Files of 4 GB or more are written as BigTIFF (``big`` forces either).
     """
     spark = raster.sparkSession
-    across, down = -(-cols // tile), -(-rows // tile)
-    pixels = raster.where(F.col(band).isNotNull()).select("row", "col", F.col(band).cast("short").alias("dn"), (F.expr(f"row div {tile}") * across + F.expr(f"col div {tile}")).cast("long").alias("number"))
+    bands = list(files)
+    across = -(-cols // tile)
+    number = (F.expr(f"row div {tile}") * across + F.expr(f"col div {tile}")).cast("long").alias("number")
+    pixels = raster.select("row", "col", *(F.col(b).cast("short").alias(f"b{k}") for k, b in enumerate(bands)), number)
 
     def packed(table: pa.Table) -> pa.Table:
-        grid = np.full((tile, tile), NODATA, "<i2")
-        grid[table["row"].to_numpy() % tile, table["col"].to_numpy() % tile] = table["dn"].to_numpy()
-        return pa.table({"number": table["number"][:1], "data": pa.array([zlib.compress(grid.tobytes(), 6)], pa.binary())})
+        at = table["row"].to_numpy() % tile, table["col"].to_numpy() % tile
+        out = {"number": table["number"][:1]}
+        for k in range(len(bands)):
+            grid = np.full((tile, tile), NODATA, "<i2")
+            grid[at] = pc.fill_null(table[f"b{k}"], NODATA).to_numpy()
+            out[f"d{k}"] = pa.array([zlib.compress(grid.tobytes(), 6)], pa.binary())
+        return pa.table(out)
 
     ship(spark)
+    schema = "number long, " + ", ".join(f"d{k} binary" for k in range(len(bands)))
+    first = files[bands[0]][0]
+    fs, aside = _path(spark, f"{first}.tiles")
+    pixels.groupBy("number").applyInArrow(packed, schema).write.mode("overwrite").parquet(f"{first}.tiles")
+    try:
+        tiles = spark.read.schema(schema).parquet(f"{first}.tiles")
+        for k, b in enumerate(bands):
+            path, tags, scale = files[b]
+            _write_tiles(spark, tiles.select("number", F.col(f"d{k}").alias("data")), path, rows, cols, left, top, pixel, epsg, tags, scale, tile, big)
+    finally:
+        fs.delete(aside, True)
+    return [f[0] for f in files.values()]
+
+
+def _write_tiles(spark: SparkSession, tiles: DataFrame, path: str, rows: int, cols: int, left: float, top: float, pixel: float, epsg: int, tags: dict, scale: float | None, tile: int, big: bool | None) -> None:
+    n = -(-cols // tile) * -(-rows // tile)
+    empty = zlib.compress(np.full((tile, tile), NODATA, "<i2").tobytes(), 6)
+    sizes = {r[0]: r[1] for r in tiles.select("number", F.octet_length("data")).collect()}  # 12 bytes for a quarter of a million pixels
+    if big is None:
+        big = sum(sizes.values()) + len(empty) + 32 * n > 4_000_000_000
+    items = "".join(f'<Item name="{k}">{escape(str(v))}</Item>' for k, v in tags.items())
+    items += f'<Item name="SCALE" sample="0" role="scale">{1 / scale!r}</Item>' if scale else ""
+    keys = [1, 1, 0, 3, 1024, 0, 1, 2 if epsg == 4326 else 1, 1025, 0, 1, 1, 2048 if epsg == 4326 else 3072, 0, 1, epsg]
+    head = 16 if big else 8
+
+    def directory(begin: int) -> bytes:
+        offsets, counts, at = [], [], begin + len(empty)
+        for k in range(n):
+            offsets.append(at if k in sizes else begin)
+            counts.append(sizes.get(k, len(empty)))
+            at += sizes.get(k, 0)
+        return _directory([
+            (256, LONG, [cols]), (257, LONG, [rows]), (258, SHORT, [16]), (259, SHORT, [8]), (262, SHORT, [1]), (270, TEXT, json.dumps(tags).encode() + b"\0"), (277, SHORT, [1]), (322, LONG, [tile]), (323, LONG, [tile]),
+            (324, LONG8 if big else LONG, offsets), (325, LONG, counts), (339, SHORT, [2]), (33550, DOUBLE, [pixel, pixel, 0.0]), (33922, DOUBLE, [0.0, 0.0, 0.0, left, top, 0.0]), (34735, SHORT, keys),
+            (42112, TEXT, f"<GDALMetadata>{items}</GDALMetadata>".encode() + b"\0"), (42113, TEXT, str(NODATA).encode() + b"\0"),
+        ], head, big)
+
+    table = directory(head + len(directory(0)))
     fs, p = _path(spark, path)
-    aside = f"{path}.tiles"
-    pixels.groupBy("number").applyInArrow(packed, "number long, data binary").write.mode("overwrite").parquet(aside)
+    out = fs.create(p, True)
     try:
-        tiles = spark.read.schema("number long, data binary").parquet(aside)
-        empty = zlib.compress(np.full((tile, tile), NODATA, "<i2").tobytes(), 6)
-        sizes = {r[0]: r[1] for r in tiles.select("number", F.octet_length("data")).collect()}  # 12 bytes for a quarter of a million pixels
-        if big is None:
-            big = sum(sizes.values()) + len(empty) + 32 * across * down > 4_000_000_000
-        items = "".join(f'<Item name="{k}">{escape(str(v))}</Item>' for k, v in (tags or {}).items())
-        items += f'<Item name="SCALE" sample="0" role="scale">{1 / scale!r}</Item>' if scale else ""
-        keys = [1, 1, 0, 3, 1024, 0, 1, 2 if epsg == 4326 else 1, 1025, 0, 1, 1, 2048 if epsg == 4326 else 3072, 0, 1, epsg]
-        head = 16 if big else 8
-
-        def directory(begin: int) -> bytes:
-            offsets, counts, at = [], [], begin + len(empty)
-            for k in range(across * down):
-                offsets.append(at if k in sizes else begin)
-                counts.append(sizes.get(k, len(empty)))
-                at += sizes.get(k, 0)
-            return _directory([
-                (256, LONG, [cols]), (257, LONG, [rows]), (258, SHORT, [16]), (259, SHORT, [8]), (262, SHORT, [1]), (270, TEXT, json.dumps(tags or {}).encode() + b"\0"), (277, SHORT, [1]), (322, LONG, [tile]), (323, LONG, [tile]),
-                (324, LONG8 if big else LONG, offsets), (325, LONG, counts), (339, SHORT, [2]), (33550, DOUBLE, [pixel, pixel, 0.0]), (33922, DOUBLE, [0.0, 0.0, 0.0, left, top, 0.0]), (34735, SHORT, keys),
-                (42112, TEXT, f"<GDALMetadata>{items}</GDALMetadata>".encode() + b"\0"), (42113, TEXT, str(NODATA).encode() + b"\0"),
-            ], head, big)
-
-        table = directory(head + len(directory(0)))
-        out = fs.create(p, True)
-        try:
-            out.write(bytearray(struct.pack("<2sHHHQ", b"II", 43, 8, 0, head) if big else struct.pack("<2sHI", b"II", 42, head)))
-            out.write(bytearray(table + empty))
-            for r in tiles.orderBy("number").toLocalIterator():
-                out.write(r["data"])
-        finally:
-            out.close()
+        out.write(bytearray(struct.pack("<2sHHHQ", b"II", 43, 8, 0, head) if big else struct.pack("<2sHI", b"II", 42, head)))
+        out.write(bytearray(table + empty))
+        for r in tiles.orderBy("number").toLocalIterator():
+            out.write(r["data"])
     finally:
-        fs.delete(_path(spark, aside)[1], True)
-    return path
+        out.close()
 
 
 def read_geotiff(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:

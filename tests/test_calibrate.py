@@ -173,8 +173,11 @@ def test_cap_rule(spark, rows, want):
 
 @pytest.mark.parametrize("v", [[5.0], [1.0, 2.0], [3.0] * 40 + [1.0, 9.0], list(np.random.default_rng(9).normal(size=5000)), list(np.arange(1001.0)), [0.0] * 5 + [2.0] * 700])
 @pytest.mark.parametrize("knots", [11, 1001])
-def test_quantiles_equal_numpy(spark, v, knots):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_quantiles_equal_numpy(spark, v, knots, few, monkeypatch):
+    from gridloom.functions import transforms as t
     from gridloom.functions.transforms import quantiles
 
+    monkeypatch.setattr(t, "FEW", few)
     df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double").repartition(3)
     assert np.allclose(quantiles(df, "v", knots), np.quantile(v, np.linspace(0, 1, knots)), rtol=0, atol=1e-9)
