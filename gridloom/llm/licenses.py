@@ -78,7 +78,7 @@ def match_units(units: DataFrame, least_cosine: float, tables: Tables) -> DataFr
     than to their terms.  Document frequencies count every unit as often as it occurs, and
     every template once.  Ties go to the first name.
     """
-    sheet = units.sparkSession.createDataFrame(list(TEMPLATES), "license string, body string")
+    sheet = units.sparkSession.range(1).select(F.inline(F.array(*(F.struct(F.lit(k).alias("license"), F.lit(v).alias("body")) for k, v in TEMPLATES))))
     have = tables.keep(units.select("key", "n", F.explode(terms(F.col("unit"))).alias("term")).groupBy("key", "n", "term").agg(F.count(F.lit(1)).alias("tf")))
     model = sheet.select("license", "body", F.explode(terms(F.col("body"))).alias("term")).groupBy("license", "body", "term").agg(F.count(F.lit(1)).alias("tf"))
     total = float(units.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + len(TEMPLATES))
@@ -98,27 +98,29 @@ def match_units(units: DataFrame, least_cosine: float, tables: Tables) -> DataFr
     return out
 
 
-def own_licenses(files: DataFrame, least_cosine: float) -> DataFrame:
-    """(id, own_license, cosine, n_notices): the best unit of every file that has one, of ``files`` (id, text, is_file).
-
-    Texts are searched once; what is found in them is written to a table.  A unit that many
-    files carry is no hot join key: such units are few, and their matches are broadcast.
-    """
-    tables = Tables(files.sparkSession)
-    text = F.coalesce("text", F.lit(""))
+def units_of(text: Column, is_file: Column) -> Column:
+    """What is compared of a file, as an array of (kind, key, unit): null where nothing speaks of licensing."""
     low = F.lower(text)
     hinted = low.contains(CUES[0])
     for c in CUES[1:]:
         hinted = hinted | low.contains(c)
     speaks = lambda s: F.lower(s).rlike(CUE)
-    unit = lambda kind, s: F.struct(F.lit(kind).alias("kind"), s.alias("unit"))
-    parts = F.transform(F.filter(sentences(text), speaks), lambda s: unit("sentence", s))
-    whole = F.array(F.when(speaks(header(text)), unit("header", header(text))), F.when(F.col("is_file"), unit("file", text)))
-    found = files.where((hinted | F.col("is_file")) & F.col("id").isNotNull())
-    found = tables.keep(found.select("id", F.explode(F.concat(parts, F.filter(whole, lambda u: u.isNotNull()))).alias("u")).select("id", "u.kind", F.md5("u.unit").alias("key"), "u.unit"))
+    unit = lambda kind, s: F.struct(F.lit(kind).alias("kind"), F.md5(s).alias("key"), s.alias("unit"))
+    single = F.transform(F.filter(sentences(text), speaks), lambda s: unit("sentence", s))
+    whole = F.array(F.when(speaks(header(text)), unit("header", header(text))), F.when(is_file, unit("file", text)))
+    return F.when(hinted | is_file, F.concat(single, F.filter(whole, lambda u: u.isNotNull())))
+
+
+def own_licenses(files: DataFrame, least_cosine: float, tables: Tables) -> DataFrame:
+    """(id, own_license, cosine, n_notices): the best unit of every file that has one, of ``files`` (id, units).
+
+    A unit that many files carry is no hot join key: such units are few, and their matches
+    are broadcast.
+    """
+    found = files.where("units is not null and id is not null").select("id", F.explode("units").alias("u")).select("id", "u.kind", "u.key", "u.unit")
     distinct = tables.keep(found.groupBy("key").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("n")))
     matched = match_units(distinct, least_cosine, tables)
-    least = found.count() * FREQUENT
+    least = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * FREQUENT
     often = F.broadcast(matched.where(F.col("n") > least).drop("n"))
     carried = found.select("id", "kind", "key")
     seldom = carried.join(often, "key", "left_anti").join(matched.where(F.col("n") <= least).drop("n"), "key")
@@ -126,7 +128,7 @@ def own_licenses(files: DataFrame, least_cosine: float) -> DataFrame:
     best = F.min(F.struct((-F.col("cosine")).alias("minus"), F.col("license"))).alias("b")
     per = every.groupBy("id").agg(best, F.count(F.when(F.col("kind") == "sentence", 1)).alias("n_notices"))
     out = tables.keep(per.select("id", F.col("b.license").alias("own_license"), (-F.col("b.minus")).alias("cosine"), "n_notices"))
-    tables.drop(found, distinct, matched)
+    tables.drop(distinct, matched)
     return out
 
 
@@ -161,13 +163,15 @@ def scan_licenses(
     The usual edge cases; a null path has no directory and inherits nothing, and a row with
     a null id has no notices.  Rows that repeat an id share the notices of all its texts.
     """
+    tables = Tables(files.sparkSession)
     path = F.col(path_col)
     directory = F.when(path.isNotNull(), F.regexp_replace(F.regexp_replace(path, r"[^/]*$", ""), r"^/+|/+$", ""))
-    base = files.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), directory.alias("dir"), F.rlike(file_name(path), F.lit(FILE_NAMES)).alias("is_file"), *(F.col(c).alias(f"m{k}") for k, c in enumerate(more)))
-    own = own_licenses(base.select("id", "text", "is_file"), least_cosine)
-    rows = base.drop("text").join(own, "id", "left")
-    of_dir = base.where("is_file and dir is not null").select("id", "dir").join(own, "id").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), F.col("own_license").alias("license"))).alias("b")).select(F.col("dir").alias("path"), F.col("b.license").alias("dir_license"))
-    lookup = base.where("dir is not null").select("dir").distinct().select("dir", F.explode(ancestors(F.col("dir"))).alias("up")).select("dir", F.col("up.path").alias("path"), F.col("up.depth").alias("depth"))
+    base = files.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), directory.alias("dir"), F.rlike(file_name(path), F.lit(FILE_NAMES)).alias("is_file"), *(F.col(c).alias(f"m{k}") for k, c in enumerate(more)))
+    held = tables.keep(base.withColumn("units", units_of(F.col("text"), F.col("is_file"))).drop("text"))  # texts are read and searched once
+    own = own_licenses(held.select("id", "units"), least_cosine, tables)
+    rows = held.drop("units").join(own, "id", "left")
+    of_dir = held.where("is_file and dir is not null").select("id", "dir").join(own, "id").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), F.col("own_license").alias("license"))).alias("b")).select(F.col("dir").alias("path"), F.col("b.license").alias("dir_license"))
+    lookup = held.where("dir is not null").select("dir").distinct().select("dir", F.explode(ancestors(F.col("dir"))).alias("up")).select("dir", F.col("up.path").alias("path"), F.col("up.depth").alias("depth"))
     nearest = lookup.join(of_dir, "path").groupBy("dir").agg(F.max(F.struct("depth", "path", "dir_license")).alias("near"))
     done = rows.join(nearest, "dir", "left")
     own_null = F.col("own_license").isNull()
