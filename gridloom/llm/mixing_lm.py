@@ -279,20 +279,30 @@ def summed(parts_of: DataFrame, size: int) -> np.ndarray:
     """Rows (chunk, counts) added up chunk by chunk; the table's size is fixed."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(p, "<f4").astype(np.float64) for p in table["counts"].to_pylist())
-        return pa.table({"chunk": table["chunk"][:1].cast(pa.int32()), "counts": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+        total = sum(unpacked(p).astype(np.uint64) for p in table["counts"].to_pylist())
+        return pa.table({"chunk": table["chunk"][:1].cast(pa.int32()), "counts": pa.array([packed(total)], pa.binary())})
 
     out = np.zeros(size, np.float32)
-    for r in parts_of.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").toLocalIterator():  # 4 * size bytes in all
-        got = np.frombuffer(r["counts"], "<f4")
-        out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(got)] = got
+    for r in parts_of.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").toLocalIterator():  # 8 * size bytes in all at most
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = unpacked(r["counts"])
     return out
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A chunk of whole numbers by the fewest bytes that hold its greatest."""
+    top = int(counts.max())
+    return counts.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // CHUNK}")
+
+
 def chunks_of(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The chunks that hold anything; a table's size is a multiple of the chunk's."""
     for k in range(0, len(counts), CHUNK):
         if counts[k : k + CHUNK].any():
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k // CHUNK], pa.int32()), "counts": pa.array([counts[k : k + CHUNK].astype("<f4").tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k // CHUNK], pa.int32()), "counts": pa.array([packed(counts[k : k + CHUNK])], pa.binary())})
 
 
 def fit_speller(words: DataFrame) -> Speller:
