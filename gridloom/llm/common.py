@@ -44,11 +44,9 @@ def words_of(text: str) -> list[str]:
     return [w for w in text.split(" ") if w]
 
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def ascii_lower(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(LOWER)
+    """A-Z in lower case, all else as it is."""
+    return text.lower() if text.isascii() else text.encode().lower().decode()
 
 
 def prepare(spark: SparkSession) -> None:

@@ -25,9 +25,11 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +59,7 @@ CONTEXT_BITS, CONTEXTS = 21, 2
 #: A word in so many ends a phrase; words of the longest phrase; tokens between two updates along a text.
 ANCHOR, LONGEST_PHRASE, BLOCK = 64, 256, 64
 #: Bytes of texts in a group, tokens that are coded at once, distinct words that a task holds.
-GROUP_BYTES, BATCH_TOKENS, HELD_WORDS = 32_000_000, 40_000, 300_000
+GROUP_BYTES, BATCH_TOKENS, HELD_WORDS = 32_000_000, 40_000, 500_000
 #: First chance of coding a phrase as a whole, and the chance after one.
 SELDOM, AGAIN = 0.02, 0.95
 #: Step of the weights, pseudo-count of the adaptive map and of hashed contexts.
@@ -176,9 +178,26 @@ def batches_of(words: list[bytes], counts: np.ndarray) -> Iterator[tuple[list[by
             begin, total = k + 1, 0
 
 
+def shrunk(counts: np.ndarray) -> tuple[bytes, tuple[int, ...]]:
+    """A table of whole numbers as few bytes, since a broadcast lies on the disk of every executor."""
+    return zlib.compress(packed(counts.ravel()), 1), counts.shape
+
+
+def restored(data: bytes, shape: tuple[int, ...]) -> np.ndarray:
+    raw = zlib.decompress(data)
+    return np.frombuffer(raw, f"<u{len(raw) // math.prod(shape)}").astype(np.float32).reshape(shape)
+
+
 class Speller:
     """Spells words: counts of all slots, gated mixer weights and the adaptive probability map."""
 
+    def __getstate__(self) -> tuple:
+        return shrunk(np.stack([self.zeros, self.ones])), self.weights, self.seen
+
+    def __setstate__(self, state: tuple) -> None:
+        both, self.weights, self.seen = state
+        self.zeros, self.ones = restored(*both)
+
     def __init__(self, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray | None = None, seen: np.ndarray | None = None) -> None:
         self.zeros, self.ones = zeros, ones
         self.weights = np.full((len(ORDERS) + 1, len(ORDERS), CLASSES), 0.35, np.float32) if weights is None else weights
@@ -324,10 +343,10 @@ def fit_speller(words: DataFrame) -> Speller:
 
     both = summed(dealt.groupBy("part").applyInArrow(count, "chunk int, counts binary"), 2 * SLOTS)
     zeros, ones = both[:SLOTS], both[SLOTS:]
-    sent = spark.sparkContext.broadcast((zeros, ones))
+    sent = spark.sparkContext.broadcast(Speller(zeros, ones))
 
     def learn(table: pa.Table) -> pa.Table:
-        model = Speller(*sent.value)
+        model = Speller(sent.value.zeros, sent.value.ones)
         own = [w.encode() for w in table["key"].to_pylist()]
         model.learn(own, np.ones(len(own)))
         return pa.table({"part": table["part"][:1].cast(pa.int32()), "weights": [model.weights.astype("<f4").tobytes()], "seen": [model.seen.astype("<f8").tobytes()], "total": [float(len(own))]})
@@ -344,7 +363,7 @@ def fit_speller(words: DataFrame) -> Speller:
         seen += np.frombuffer(r["seen"], "<f8").reshape(seen.shape)
         numbers = np.frombuffer(r["parts"], "<i4").tolist()
         weights += zip(numbers, np.frombuffer(r["totals"], "<f8").tolist(), np.frombuffer(r["weights"], "<f4").astype(np.float64).reshape(len(numbers), -1), strict=True)
-    sent.unpersist()
+    sent.destroy()
     if not weights:
         return plain
     mean = sum(w * n for _, n, w in sorted(weights, key=lambda x: x[0])) / sum(n for _, n, _ in weights)
@@ -357,18 +376,16 @@ def word_hash(word: str) -> int:
 
 
 class Lexicon(dict):
-    """Numbers of the words of a few texts, with A-Z in lower case, and their hashes."""
+    """Numbers of the words of a few texts, and their hashes."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.low, self.words, self.hashes = {}, [], array("Q")
+        self.words, self.hashes = [], array("Q")
 
     def __missing__(self, word: str) -> int:
-        low = ascii_lower(word)
-        at = self[word] = self.low.setdefault(low, len(self.words))
-        if at == len(self.words):
-            self.words.append(low)
-            self.hashes.append(word_hash(low))
+        at = self[word] = len(self.words)
+        self.words.append(word)
+        self.hashes.append(word_hash(word))
         return at
 
     def numbers(self, words: list[str]) -> np.ndarray:
@@ -436,10 +453,10 @@ class Batch:
 
 
 def text_batches(texts: list[str]) -> Iterator[tuple[slice, list[list[str]]]]:
-    """Words of runs of texts with a bounded number of tokens together, or one text."""
+    """Words, A-Z in lower case, of runs of texts with a bounded number of tokens together, or one text."""
     begin, held, n = 0, [], 0
     for k, t in enumerate(texts):
-        words = words_of(t)
+        words = words_of(ascii_lower(t))
         if held and n + len(words) > BATCH_TOKENS:
             yield slice(begin, k), held
             begin, held, n = k, [], 0
@@ -491,6 +508,10 @@ class Tree:
         self.node = np.array([x for w in ways for x, _ in w], np.int32)
         self.bit = np.array([x for w in ways for _, x in w], np.int8)
 
+    def symbols(self, words: list[str]) -> np.ndarray:
+        """Leaves of words, or the escape."""
+        return np.fromiter(map(self.number.get, words, repeat(ESCAPE)), np.int64, len(words))
+
     def bits(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The coded bits of symbols: number of the symbol's token, node and bit."""
         length = self.length[symbol]
@@ -499,22 +520,6 @@ class Tree:
         return token, self.node[at], self.bit[at]
 
 
-class Symbols(dict):
-    """Leaves of words as they stand in texts; a word of more than 64 characters is not kept."""
-
-    def __init__(self, tree: Tree) -> None:
-        super().__init__()
-        self.leaves = tree.number
-
-    def __missing__(self, word: str) -> int:
-        got = self.leaves.get(ascii_lower(word), ESCAPE)
-        if len(word) <= 64:
-            if len(self) >= HELD_WORDS:
-                self.clear()
-            self[word] = got
-        return got
-
-
 def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     return (((context ^ (node.astype(np.uint64) * _P)) * _C) >> np.uint64(64 - CONTEXT_BITS)).view(np.int64)
 
@@ -526,11 +531,10 @@ def count_contexts(docs: DataFrame, tree) -> np.ndarray:
     def run(batches):
         hold(None)
         t, table = tree.value, np.zeros(size, np.uint32)
-        symbols = Symbols(t)
         for b in batches:
             for _, texts in parts(b, 0):
                 for _, words in text_batches(texts):
-                    batch = Batch.of([np.fromiter(map(symbols.__getitem__, w), np.int64, len(w)) for w in words])
+                    batch = Batch.of([t.symbols(w) for w in words])
                     symbol = batch.spread(batch.number, END)
                     token, node, bit = t.bits(symbol)
                     for k, context in enumerate(batch.contexts(symbol)):
@@ -549,6 +553,12 @@ class Mixer:
         centre = 1 / (1 + np.exp(-(np.arange(BUCKETS) / (BUCKETS - 1) * 24 - 12)))
         self.map = PRIOR * np.stack([1 - centre, centre], axis=1)
 
+    def __getstate__(self) -> tuple:
+        return self.tree, shrunk(self.counts)
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(state[0], restored(*state[1]))
+
     def costs(self, batch: Batch, symbol: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Bits of every token; ``own`` marks texts that the counts include.
 
@@ -652,14 +662,14 @@ class GroupScorer:
             return
         trained = np.zeros(len(self.lexicon.words), bool)
         trained[at[mine]] = True
-        leaf, known, counts = c.mixer.tree.number.get, c.known.get, self.counts.get
+        known, counts = c.known.get, self.counts.get
         n = np.fromiter((known(w) or counts(w, -1) for w in new), np.int64, len(new))
         n = np.where(n < 0, trained[begin:], n)
         spelled = np.zeros(len(new))
         for once in (False, True):  # a word that training held once is left out of the speller's counts
             if len(which := np.flatnonzero(n == once)):
                 spelled[which] = c.speller.log10([new[k].encode() for k in which.tolist()], leave_out=once)
-        self.symbol = np.concatenate([self.symbol, np.fromiter((leaf(w, ESCAPE) for w in new), np.int64, len(new))])
+        self.symbol = np.concatenate([self.symbol, c.mixer.tree.symbols(new)])
         self.n, self.spelled = np.concatenate([self.n, n]), np.concatenate([self.spelled, spelled])
 
     def score(self, texts: list[list[str]], own: np.ndarray) -> dict[str, np.ndarray]:
@@ -819,7 +829,7 @@ def score_documents(
     speller = fit_speller(vocabulary.where(word & (F.col("n") > 0)))
     sent_tree = spark.sparkContext.broadcast(tree)
     counts = count_contexts(rows, sent_tree)
-    sent_tree.unpersist()
+    sent_tree.destroy()
     new = (int(once) + 1) / (escaped + 2)
     corpus = spark.sparkContext.broadcast(Corpus(Mixer(tree, counts), speller, known, int(words) + int(ends), int(distinct), int(ends), escaped, new, int(n_phrases)))
 
