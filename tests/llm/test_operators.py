@@ -397,8 +397,7 @@ def test_mixing_equals_plain_python(texts):
     some = [WORD.findall(ascii_lower(t)) for t in list(texts.values())[:25]] + [[], ["only"]]
     common = Counter(w for words in some for w in words).most_common(40)
     tree = mixing_lm.Tree([w for w, _ in common], np.array([len(some), 500, *(n for _, n in common)], np.float64))
-    symbols = mixing_lm.Symbols(tree)
-    batch = mixing_lm.Batch.of([np.array([symbols[w] for w in words], np.int64) for words in some])
+    batch = mixing_lm.Batch.of([tree.symbols(words) for words in some])
     symbol = batch.spread(batch.number, mixing_lm.END)
     contexts = batch.contexts(symbol)
     counts = np.zeros(mixing_lm.CONTEXTS << (mixing_lm.CONTEXT_BITS + 1), np.float32)
@@ -411,7 +410,7 @@ def test_mixing_equals_plain_python(texts):
         want = mixed_brute(tree, counts, words, float(own[k]))
         got = cost[batch.first[k] : batch.first[k] + len(words) + 1]
         assert np.allclose(got, want, rtol=1e-4, atol=1e-4) and abs(got.sum() - sum(want)) < 1e-6 * sum(want) + 1e-4
-    alone = mixing_lm.Batch.of([np.array([symbols[w] for w in some[3]], np.int64)])
+    alone = mixing_lm.Batch.of([tree.symbols(some[3])])
     place = slice(batch.first[3], batch.first[3] + len(some[3]) + 1)
     assert np.array_equal(mixing_lm.Mixer(tree, counts).costs(alone, symbol[place], own[3:4]), cost[place])
 
