@@ -34,7 +34,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -53,13 +53,13 @@ CLASSES, BUCKETS = 12, 33
 #: Distinct words that train the speller in one task; bytes that it codes at once.
 TASK_WORDS, BATCH_BYTES = 500_000, 150_000
 #: Words in the tree, and words whose counts are broadcast, at most.
-TREE_WORDS, KNOWN_WORDS = 2048, 65_536
+TREE_WORDS, KNOWN_WORDS = 1024, 65_536
 #: Hash bits of the tables of leaves before; their contexts.
 CONTEXT_BITS, CONTEXTS = 21, 2
 #: A word in so many ends a phrase; words of the longest phrase; tokens between two updates along a text.
 ANCHOR, LONGEST_PHRASE, BLOCK = 64, 256, 64
 #: Bytes of texts in a group, tokens that are coded at once, distinct words that a task holds.
-GROUP_BYTES, BATCH_TOKENS, HELD_WORDS = 32_000_000, 40_000, 500_000
+GROUP_BYTES, BATCH_TOKENS, HELD_WORDS = 32_000_000, 40_000, 250_000
 #: First chance of coding a phrase as a whole, and the chance after one.
 SELDOM, AGAIN = 0.02, 0.95
 #: Step of the weights, pseudo-count of the adaptive map and of hashed contexts.
@@ -729,7 +729,21 @@ class GroupScorer:
         return total
 
 
-def group_counts(rows: DataFrame) -> DataFrame:
+def group_numbers(docs: DataFrame, n: int, *columns: str) -> Column:
+    """Group of each row among n, by a hash of some columns, numbered so that ``repartition(n, group)`` gives each its own partition.
+
+    Of very many groups the numbers are plain, and a partition gets one on average.
+    """
+    index = F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+    if n > 4096:
+        return index
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("place")
+    first = docs.sparkSession.range(100 * n).select("id", place).groupBy("place").agg(F.min("id").alias("number")).collect()
+    number = {r["place"]: r["number"] for r in first}
+    return F.get(F.array(*(F.lit(number.get(k, k)).cast("int") for k in range(n))), index)
+
+
+def group_counts(rows: DataFrame, n_groups: int) -> DataFrame:
     """(grp, key, n, others): occurrences in a group's training and other texts of words, of phrases and, under '', of ends."""
 
     def run(batches):
@@ -741,14 +755,14 @@ def group_counts(rows: DataFrame) -> DataFrame:
                 for g in np.unique(group).tolist():
                     at = np.flatnonzero(group == g)
                     tallies.setdefault(g, Tally()).add([texts[k] for k in at], own[at])
-                if sum(len(t.lexicon) for t in tallies.values()) > HELD_WORDS:
+                if sum(len(t.lexicon) for t in tallies.values()) > 2 * HELD_WORDS:
                     for g, t in tallies.items():
                         yield from t.rows(g)
                     tallies.clear()
         for g, t in tallies.items():
             yield from t.rows(g)
 
-    return rows.select("grp", "own", "text").repartition("grp").mapInArrow(run, "grp int, key string, n long, others long")
+    return rows.select("grp", "own", "text").repartition(n_groups, "grp").mapInArrow(run, "grp int, key string, n long, others long")
 
 
 class Tally:
@@ -808,11 +822,12 @@ def score_documents(
     tables = Tables(spark)
     own = F.coalesce(crc_mod(id_col, modulus), F.lit(-1)) != held_out
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    group = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 + int(size) // GROUP_BYTES)).cast("int")
+    n_groups = 1 + int(size) // GROUP_BYTES
+    group = group_numbers(docs, n_groups, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), own.alias("own"), group.alias("grp"))
 
     # what the corpus holds
-    pairs = tables.keep(group_counts(rows))
+    pairs = tables.keep(group_counts(rows, n_groups))
     vocabulary = tables.keep(pairs.groupBy("key").agg(F.sum("n").alias("n"), F.max("others").alias("others")))
     phrase = F.col("key").startswith(" ")
     word = ~phrase & (F.col("key") != "")
@@ -866,7 +881,7 @@ def score_documents(
                         cols = [part.column(4).take(pa.array(which)).cast(arrow.field(0).type), pa.array(~mine[which]), *(pa.array(got[c]) for c in ("n_tokens", "n_known", "base_score", "bits")), pa.array(n_bytes, pa.int64())]
                         yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    done = both.repartition("grp").sortWithinPartitions("grp", "kind").mapInArrow(run, full)
+    done = both.repartition(n_groups, "grp").sortWithinPartitions("grp", "kind").mapInArrow(run, full)
     return done.select(
         F.col("id").alias(id_col),
         "held_out",
