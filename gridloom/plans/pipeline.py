@@ -108,9 +108,17 @@ class Pipeline:
         }
 
     def grid(self) -> GridSpec:
-        """The geometry; a halo wider than a tile raises."""
-        self.spec = GridSpec.from_extent(self.extent[:4], self.res, self.cap, block=self.block, saturation=self.saturation, scale=self.scale)
-        return self.spec
+        """The geometry; a halo wider than a tile raises.
+
+        ``block`` is the greatest side of a tile.  Results don't depend on it, so tiles are
+        halved, down to twice their halo, while there are fewer than two for each core.
+        """
+        about = lambda block: GridSpec.from_extent(self.extent[:4], self.res, self.cap, block=block, saturation=self.saturation, scale=self.scale)
+        spec = about(self.block)
+        while -(-spec.nx // spec.tile) * -(-spec.ny // spec.tile) < 2 * self.spark.sparkContext.defaultParallelism and spec.tile // 2 >= 2 * spec.halo:
+            spec = about(spec.tile // 2)
+        self.spec = spec
+        return spec
 
     def raster(self) -> DataFrame:
         """(ix, iy, value_dn, support_dn) of all cells within the cap: one lazy plan."""
@@ -137,13 +145,9 @@ class Pipeline:
                 "transform": self.tf.name, "cap_km": self.cap, "res_m": self.res, "scale": self.scale, "units": "percentile", "decode": DECODING, "nodata": -32768,
                 "crs": f"EPSG:{self.out_crs}", "left": left, "top": top, "pixel": pixel, "rows": rows, "cols": cols,
             }
-            path = sinks.write_raster(sparse, f"{self.out}/raster", about, self.compress)
-            if self.geotiff:
-                written = self.spark.read.parquet(path)
-                tags = {k: about[k] for k in ("transform", "cap_km", "res_m", "scale", "units")}
-                files = {f"{band}_dn": (f"{self.out}/{band}.tif", tags | {"decode": DECODING[band]}, factor) for band, factor in (("value", self.scale), ("support", None))}
-                sinks.write_geotiffs(written, files, rows, cols, left, top, pixel, self.out_crs)
-            return path
+            tags = {k: about[k] for k in ("transform", "cap_km", "res_m", "scale", "units")}
+            files = {f"{band}_dn": (f"{self.out}/{band}.tif", tags | {"decode": DECODING[band]}, factor) for band, factor in (("value", self.scale), ("support", None))}
+            return sinks.write_tiled(sparse, f"{self.out}/raster", about, self.compress, files if self.geotiff else {}, rows, cols, left, top, pixel, self.out_crs)
         finally:
             self.points.unpersist()
 

@@ -57,9 +57,13 @@ def write_raster(raster: DataFrame, path: str, metadata: dict, codec: str = "zst
     A failed write leaves what was there before untouched.  The old raster is renamed to
     ``<path>.old`` and goes only when the new one is in place; if that fails it comes back.
     """
-    spark = raster.sparkSession
     down, across = F.expr(f"row div {tile}"), F.expr(f"col div {tile}")
-    raster.repartition(down, across).sortWithinPartitions(down, across, "row", "col").write.mode("overwrite").option("compression", codec.lower()).parquet(f"{path}.tmp")
+    return _replace(raster.repartition(down, across).sortWithinPartitions(down, across, "row", "col"), path, metadata, codec)
+
+
+def _replace(rows: DataFrame, path: str, metadata: dict, codec: str) -> str:
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").option("compression", codec.lower()).parquet(f"{path}.tmp")
     fs, p = _path(spark, path)
     (_, tmp), (_, old) = _path(spark, f"{path}.tmp"), _path(spark, f"{path}.old")
     before = fs.exists(p)
@@ -101,21 +105,12 @@ def write_geotiff(raster: DataFrame, band: str, rows: int, cols: int, left: floa
     return write_geotiffs(raster, {band: (path, tags or {}, scale)}, rows, cols, left, top, pixel, epsg, tile, big)[0]
 
 
-def write_geotiffs(raster: DataFrame, files: dict[str, tuple[str, dict, float | None]], rows: int, cols: int, left: float, top: float, pixel: float, epsg: int, tile: int = 512, big: bool | None = None) -> list[str]:
-    """Tiled, deflated int16 GeoTIFFs of some bands, through the file system that Spark uses.
-
-    ``files``: path, tags and scale by band; a scale becomes the band's factor.  Executors
-    fill and compress the tiles of all bands in one pass over the pixels; the driver knows
-    their sizes and passes them on one at a time, in order.  Tiles without data share one
-    empty tile.  Files of 4 GB or more are written as BigTIFF (``big`` forces either).
-    """
-    spark = raster.sparkSession
-    bands = list(files)
-    across = -(-cols // tile)
-    number = (F.expr(f"row div {tile}") * across + F.expr(f"col div {tile}")).cast("long").alias("number")
+def packed_tiles(raster: DataFrame, bands: list[str], cols: int, tile: int) -> DataFrame:
+    """(number, d0, d1, ...): the compressed pixels of each tile with data, band by band."""
+    number = (F.expr(f"row div {tile}") * -(-cols // tile) + F.expr(f"col div {tile}")).cast("long").alias("number")
     pixels = raster.select("row", "col", *(F.col(b).cast("short").alias(f"b{k}") for k, b in enumerate(bands)), number)
 
-    def packed(table: pa.Table) -> pa.Table:
+    def pack(table: pa.Table) -> pa.Table:
         at = table["row"].to_numpy() % tile, table["col"].to_numpy() % tile
         out = {"number": table["number"][:1]}
         for k in range(len(bands)):
@@ -124,13 +119,63 @@ def write_geotiffs(raster: DataFrame, files: dict[str, tuple[str, dict, float |
             out[f"d{k}"] = pa.array([zlib.compress(grid.tobytes(), 6)], pa.binary())
         return pa.table(out)
 
+    spark = raster.sparkSession
     ship(spark)
-    schema = "number long, " + ", ".join(f"d{k} binary" for k in range(len(bands)))
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return pixels.repartition(most, "number").groupBy("number").applyInArrow(pack, "number long, " + ", ".join(f"d{k} binary" for k in range(len(bands))))
+
+
+def unpacked_tiles(tiles: DataFrame, bands: list[str], cols: int, tile: int) -> DataFrame:
+    """(row, col, bands) of the pixels that have data in any band; a band without is null."""
+    across = -(-cols // tile)
+    schema = pa.schema([("row", pa.int32()), ("col", pa.int32()), *((b, pa.int16()) for b in bands)])
+
+    def unpack(batches):
+        for batch in batches:
+            for k, number in enumerate(batch.column(0).to_pylist()):
+                grids = [np.frombuffer(zlib.decompress(batch.column(j + 1)[k].as_py()), "<i2") for j in range(len(bands))]
+                at = np.flatnonzero(np.any([g != NODATA for g in grids], axis=0))
+                row, col = (number // across) * tile + at // tile, (number % across) * tile + at % tile
+                values = [pa.array(g[at], pa.int16(), mask=g[at] == NODATA) for g in grids]
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(col, pa.int32()), *values], schema=schema)
+
+    ship(tiles.sparkSession)
+    return tiles.mapInArrow(unpack, "row int, col int, " + ", ".join(f"`{b}` short" for b in bands))
+
+
+def write_tiled(raster: DataFrame, path: str, metadata: dict, codec: str, files: dict[str, tuple[str, dict, float | None]], rows: int, cols: int, left: float, top: float, pixel: float, epsg: int, tile: int = 512) -> str:
+    """A raster as write_raster leaves it and GeoTIFFs of some bands; pixels are shuffled once, for both."""
+    spark = raster.sparkSession
+    bands = [c for c in raster.columns if c not in ("row", "col")]
+    fs, aside = _path(spark, f"{path}.tiles")
+    packed = packed_tiles(raster, bands, cols, tile)
+    packed.write.mode("overwrite").parquet(f"{path}.tiles")
+    try:
+        tiles = spark.read.schema(packed.schema).parquet(f"{path}.tiles")
+        _replace(unpacked_tiles(tiles, bands, cols, tile), path, metadata, codec)
+        for b, (name, tags, scale) in files.items():
+            _write_tiles(spark, tiles.select("number", F.col(f"d{bands.index(b)}").alias("data")), name, rows, cols, left, top, pixel, epsg, tags, scale, tile, None)
+    finally:
+        fs.delete(aside, True)
+    return path
+
+
+def write_geotiffs(raster: DataFrame, files: dict[str, tuple[str, dict, float | None]], rows: int, cols: int, left: float, top: float, pixel: float, epsg: int, tile: int = 512, big: bool | None = None) -> list[str]:
+    """Tiled, deflated int16 GeoTIFFs of some bands, through the file system that Spark uses.
+
+    ``files``: path, tags and scale by band; a scale becomes the band's factor.  Executors
+    fill and compress the tiles of all bands in one pass over the pixels; the driver knows
+    their sizes and passes them on one at a time, in order.  Tiles without data share one
+    empty tile.  Files of 4 GB or more are written as BigTIFF (``big`` forces either).
+    """
+    spark = raster.sparkSession
+    bands = list(files)
     first = files[bands[0]][0]
     fs, aside = _path(spark, f"{first}.tiles")
-    pixels.groupBy("number").applyInArrow(packed, schema).write.mode("overwrite").parquet(f"{first}.tiles")
+    packed = packed_tiles(raster, bands, cols, tile)
+    packed.write.mode("overwrite").parquet(f"{first}.tiles")
     try:
-        tiles = spark.read.schema(schema).parquet(f"{first}.tiles")
+        tiles = spark.read.schema(packed.schema).parquet(f"{first}.tiles")
         for k, b in enumerate(bands):
             path, tags, scale = files[b]
             _write_tiles(spark, tiles.select("number", F.col(f"d{k}").alias("data")), path, rows, cols, left, top, pixel, epsg, tags, scale, tile, big)
