@@ -8,8 +8,9 @@ Outline, all in tables:
    the pivot; every member is verified against it on the full sets.  This is linear in the
    bucket's size and joins most of a group of near copies at once.
 3. Buckets that still hold several components are compared in blocks of bounded size:
-   pairs of different components whose longer verification sketch allows the similarity
-   are verified on the full sets as well.  A pair is taken in its first common band only.
+   pairs of different components whose sizes and parity sketches allow the similarity
+   are verified on the full sets as well; both bounds are sure.  A pair is taken in its first
+   common band only.
 4. Components of all verified links, mapped back to documents, give the result.
 
 Nothing is capped: blocks bound the size of a task, not the pairs that are considered.
@@ -35,9 +36,8 @@ from gridloom.llm.components import connected_components
 #: all 32 bands with probability 5e-8.
 COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
-#: Verification sketch: coordinates of one bit each.  At similarity 0.8 nine tenths of them
-#: agree, with a standard deviation of 0.0066; SLACK is 5.5 of those.
-FINE, SLACK = 2048, 5.5
+#: Bins of a parity sketch: the least power of two that is twice the set's size, within these.
+FEWEST, MOST = 1 << 11, 1 << 16
 #: Members of a block; shingles of the sets that meet in one verifying task, about.
 BLOCK, PART_SHINGLES = 384, 2_000_000
 #: Share of the entries of all shared buckets from which a bucket counts as crowded: there are fewer of these than its inverse.
@@ -117,7 +117,27 @@ def banding_sketch(s: np.ndarray) -> bytes:
 
 
 def fine_sketch(s: np.ndarray) -> bytes:
-    return np.packbits((mix(similarity_sketch(s, FINE)) & np.uint64(1)).astype(bool)).tobytes()
+    """Parity sketch: whether the number of shingles is odd, for each bin of their low bits.
+
+    Shingles of both sets cancel, so two sketches of equal length differ in at most as many
+    bits as the sets do in shingles: a bound that never fails.  Halves laid over each other
+    by exclusive or are the sketch of half as many bins.
+    """
+    bins = min(MOST, max(FEWEST, 1 << (2 * len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The words of each parity sketch, and for each length that occurs all sketches folded to it; shorter ones are left zero."""
+    own = [np.frombuffer(f, np.uint64) for f in sketches]
+    length = np.array([len(f) for f in own], np.int64)
+    levels = {}
+    for w in np.unique(length).tolist():
+        levels[w] = np.zeros((len(own), w), np.uint64)
+        for k in np.flatnonzero(length >= w).tolist():
+            levels[w][k] = np.bitwise_xor.reduce(own[k].reshape(-1, w), axis=0)
+    return length, levels
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
@@ -155,15 +175,14 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def fine_sketches(sets: DataFrame) -> DataFrame:
-    """rep, the verification sketch and 32 bits of each band."""
+    """rep and the parity sketch."""
 
     def run(batches):
         for b in batches:
             own = [np.frombuffer(m.as_py(), np.uint64) for m in b.column(1)]
-            marks = [np.frombuffer(banding_sketch(s), "<i8").astype(np.uint32).tobytes() for s in own]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(fine_sketch, own), pa.binary()), pa.array(marks, pa.binary())], ["rep", "fine", "marks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(fine_sketch, own), pa.binary())], ["rep", "fine"])
 
-    return sets.select("rep", "members").mapInArrow(run, "rep long, fine binary, marks binary")
+    return sets.select("rep", "members").mapInArrow(run, "rep long, fine binary")
 
 
 def by_bucket(entries: DataFrame, buckets: DataFrame, least: float) -> DataFrame:
@@ -200,20 +219,19 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, n_parts: int) -> D
 
 
 def block_pairs(percent: int):
-    """Candidate pairs of one block pair: different components, first common band, sketch and sizes allow it.
+    """Candidate pairs of one block pair: different components, first common band, sizes and parities allow it.
 
-    An earlier band counts as common if 32 bits of it are, which loses a pair with probability 7e-9.
+    100 * intersection >= percent * union means that the sets differ in at most
+    (100 - percent) / (100 + percent) of the sum of their sizes, and no fewer shingles than
+    bits differ; so no pair that links is left out.
     """
-    share = (1 + percent / 100) / 2
-    least = FINE * share - SLACK * (share * (1 - share) * FINE) ** 0.5
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, block = (np.array(table[c].to_pylist(), np.int64) for c in ("rep", "component", "block"))
-        size = np.array(table["n_shingles"].to_pylist(), np.float64)
+        ids, comp, block, size = (np.array(table[c].to_pylist(), np.int64) for c in ("rep", "component", "block", "n_shingles"))
         pivot = np.array(table["is_pivot"].to_pylist(), bool)
-        bands = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint32).reshape(-1, BANDS)
-        fine = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint64).reshape(-1, FINE // 64)
+        length, levels = folded(table["fine"].to_pylist())
         band, low, high = table["band"][0].as_py(), table["low"][0].as_py(), table["high"][0].as_py()
+        earlier = np.array(table["earlier"].to_pylist(), np.int64) if band else None
         out_a, out_b = [], []
         for i in np.flatnonzero((block == low) & ~pivot):
             may = (block == high) & ~pivot & (comp != comp[i]) & (np.minimum(size, size[i]) * 100 >= percent * np.maximum(size, size[i]))
@@ -221,9 +239,14 @@ def block_pairs(percent: int):
                 may &= ids > ids[i]
             at = np.flatnonzero(may)
             if band and len(at):
-                at = at[~(bands[at, :band] == bands[i, :band]).any(axis=1)]
+                at = at[~(earlier[at] == earlier[i]).any(axis=1)]
             if len(at):
-                at = at[FINE - np.bitwise_count(fine[at] ^ fine[i]).sum(axis=1, dtype=np.int64) >= least]
+                differ = np.zeros(len(at), np.int64)
+                shorter = np.minimum(length[at], length[i])
+                for w in np.unique(shorter).tolist():
+                    here = np.flatnonzero(shorter == w)
+                    differ[here] = np.bitwise_count(levels[w][at[here]] ^ levels[w][i]).sum(axis=1, dtype=np.int64)
+                at = at[differ * (100 + percent) <= (size[at] + size[i]) * (100 - percent)]
             out_a += [int(min(ids[i], ids[j])) for j in at]
             out_b += [int(max(ids[i], ids[j])) for j in at]
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
@@ -299,9 +322,9 @@ def components(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     rest = tables.keep(by_bucket(held, open_buckets, least).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
     tables.drop(buckets)
     still = sets.join(rest.select("rep").distinct(), "rep", "left_semi")
-    traits = tables.keep(fine_sketches(still).join(classes.select("rep", "n_shingles"), "rep"))
+    traits = tables.keep(fine_sketches(still).join(classes.select("rep", "n_shingles", "bands"), "rep"))
     spread = rest.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.join(traits, "rep").select("band", "value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component", (F.col("rep") == F.col("pivot")).alias("is_pivot"), "n_shingles", "marks", "fine")
+    spread = spread.join(traits, "rep").select("band", "value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component", (F.col("rep") == F.col("pivot")).alias("is_pivot"), "n_shingles", F.slice("bands", F.lit(1), F.col("band")).alias("earlier"), "fine")
     second_pairs = spread.groupBy("band", "value", "low", "high").applyInArrow(block_pairs(percent), "a long, b long")
     second_pairs = tables.keep(second_pairs)
     more = tables.keep(verified(second_pairs, sets, percent, n_parts))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from gridloom.llm import bpe, decontaminate, licenses, mixing_lm, near_dups, pii, quality, quality_rules, secrets, token_counts
 from gridloom.llm.common import ascii_lower, words_of
@@ -747,6 +748,45 @@ def test_sketch_rounds_at_once_equal_rounds_in_turn():
     assert near_dups.similarity_sketch(e, t).tolist() == want
 
 
+def block_of(sets, band=0, **columns):
+    """One block as block_pairs takes it, each set a component of its own."""
+    n = len(sets)
+    same = {"rep": range(n), "component": range(n), "block": [0] * n, "band": [band] * n, "low": [0] * n, "high": [0] * n, "is_pivot": [False] * n}
+    return pa.table({k: list(v) for k, v in same.items()} | {"n_shingles": [len(s) for s in sets], "fine": [near_dups.fine_sketch(s) for s in sets]} | columns)
+
+
+def test_no_link_is_pruned_by_a_sketch():
+    r = np.random.default_rng(9)
+
+    def draw(n):
+        return r.integers(0, 2**63, n).astype(np.uint64)
+
+    def bits(s):  # of a similarity sketch of 2,048 coordinates
+        return near_dups.mix(near_dups.similarity_sketch(np.unique(s), 2048)) & np.uint64(1)
+
+    # 40 shingles, 32 of them common: a similarity of 0.8, made so that an estimate from these bits is far too low
+    a = b = draw(32)
+    for _ in range(4):
+        a = np.append(a, max(draw(300), key=lambda x: (bits(np.append(a, x)) != bits(b)).sum()))
+        b = np.append(b, max(draw(300), key=lambda x: (bits(np.append(b, x)) != bits(a)).sum()))
+    a, b = np.unique(a), np.unique(b)
+    assert (bits(a) != bits(b)).sum() > 2048 * 0.1 + 5.5 * (2048 * 0.9 * 0.1) ** 0.5
+    assert near_dups.block_pairs(80)(block_of([a, b], marks=[bytes(128), bytes(128)])).to_pylist() == [{"a": 0, "b": 1}]
+
+    # just similar enough, and one shingle less; sizes on both sides of where the sketch's length doubles
+    for common in (4, 900, 1000, 1800, 4000, 40000):
+        c, d = draw(common), draw(common // 4)
+        for more in (d, np.append(d, draw(1))):
+            whole = np.unique(np.append(c, more))
+            got = near_dups.block_pairs(80)(block_of([np.unique(c), whole])).num_rows
+            assert got == 1 if len(more) == len(d) else got in (0, 1)
+    assert near_dups.block_pairs(80)(block_of([draw(300), draw(300)])).num_rows == 0
+
+    # an earlier band is common only if all its bits are
+    for other, n in (((7 << 32) + 5, 1), (5, 0)):
+        assert near_dups.block_pairs(80)(block_of([a, b], 1, earlier=[[5], [other]])).num_rows == n
+
+
 def test_lower_similarity_is_refused(docs):
     with pytest.raises(ValueError):
         near_dups.find_near_duplicates(docs, percent=50)
