@@ -185,6 +185,17 @@ def fine_sketches(sets: DataFrame) -> DataFrame:
     return sets.select("rep", "members").mapInArrow(run, "rep long, fine binary")
 
 
+def sifted(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows whose place may be among those of keys (left_semi), or surely is not (left_anti).
+
+    A bit stands for each place, in 2^18 numbers that are broadcast: texts need not be
+    shuffled to find that they are not meant.  Of more places more pass; an exact join follows.
+    """
+    word, bit = F.expr("shiftrightunsigned(place, 46)"), F.expr("shiftleft(1L, cast(place & 63 as int))")
+    bits = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return rows.join(F.broadcast(bits), (word == F.col("word")) & (bit.bitwiseAND(F.col("bits")) != 0), how)
+
+
 def by_bucket(entries: DataFrame, buckets: DataFrame, least: float) -> DataFrame:
     """Join entries (band, value, n, ...) with rows of their buckets; those of the few crowded ones are broadcast, so no join key is hot."""
     keys = ["band", "value", "n"]
@@ -309,8 +320,9 @@ def components(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     first_pairs = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
 
     # full sets of one text of each class that shares a bucket
-    wanted = buckets.select("rep").distinct().join(classes.select("rep", "least.place"), "rep").select("place")
-    sets = tables.keep(full_sets(source.join(wanted, "place", "left_semi").dropDuplicates(["place"]), width))
+    wanted = tables.keep(buckets.select("rep").distinct().join(classes.select("rep", "least.place"), "rep").select("place"))
+    sets = tables.keep(full_sets(sifted(source, wanted, "left_semi").join(wanted, "place", "left_semi").dropDuplicates(["place"]), width))
+    tables.drop(wanted)
     shingles = sets.agg(F.coalesce(F.sum(F.length("members")), F.lit(0))).first()[0] // 8
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(shingles) // PART_SHINGLES))
     links = tables.keep(verified(first_pairs, sets, percent, n_parts))
@@ -361,4 +373,5 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_
         whole = whole.where("id is not null").dropDuplicates(["id", "place"]).unionAll(whole.where("id is null"))
     gone = tables.keep(found.where(~F.col("stays")).select("id", "place").distinct())
     tables.drop_all_but(gone)
-    return whole.join(gone, ["id", "place"], "left_anti").select("all.*")
+    left = sifted(whole, gone, "left_semi").join(gone, ["id", "place"], "left_anti").select("all")
+    return sifted(whole, gone, "left_anti").select("all").unionAll(left).select("all.*")

@@ -787,6 +787,28 @@ def test_no_link_is_pruned_by_a_sketch():
         assert near_dups.block_pairs(80)(block_of([a, b], 1, earlier=[[5], [other]])).num_rows == n
 
 
+def test_texts_without_near_copies_are_not_shuffled(spark):
+    r = random.Random(11)
+    made = [" ".join(f"{r.getrandbits(64):x}" for _ in range(1500)) for _ in range(200)]
+    made += [t + " and more" for t in made[:4]] + [made[5]]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").localCheckpoint()
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        executors = store.executorList(True)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    joins = "spark.sql.autoBroadcastJoinThreshold"
+    before, threshold = written(), spark.conf.get(joins)
+    spark.conf.set(joins, "-1")  # as if all tables were large
+    try:
+        left = {x.doc_id for x in near_dups.drop_near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set(joins, threshold)
+    assert left == set(range(200))
+    assert written() - before < sum(map(len, made)) / 4
+
+
 def test_lower_similarity_is_refused(docs):
     with pytest.raises(ValueError):
         near_dups.find_near_duplicates(docs, percent=50)
