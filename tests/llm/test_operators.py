@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -814,6 +815,34 @@ def test_lower_similarity_is_refused(docs):
         near_dups.find_near_duplicates(docs, percent=50)
 
 
+def test_spelling_equals_sums_along_each_word_and_takes_no_step_per_byte():
+    r = random.Random(12)
+    words = {"".join(r.choices("abcdxyz\u00e9", k=r.choice((1, 2, 3, 40, 60)))) for _ in range(2000)}
+    words = sorted(w.encode() for w in words | {w[:20] + "qq" for w in words})
+    zeros, ones = np.zeros(mixing_lm.SLOTS), np.zeros(mixing_lm.SLOTS)
+    e = mixing_lm.events(words)
+    mixing_lm.add_events(zeros, ones, e, np.ones(len(words)))
+    model = mixing_lm.Speller(zeros.astype(np.float32), ones.astype(np.float32))
+    model.learn(words[::2], np.ones(len(words[::2])))
+    n = np.arange(5000, dtype=np.float32)
+    assert mixing_lm.Speller.gate(n).tolist() == [min(int(x).bit_length() if x else 0, 11) for x in [0, *range(2, 5001)]]
+    for once in (False, True):
+        p = model.refined(model.mixed(e, once)[0], e.node)
+        cost = np.bincount(e.byte, np.log10(np.where(e.bit == 1, p, 1 - p)), len(e.pos))
+        want, path = [], []
+        for w in range(len(words)):
+            path = path[: e.shared[w]] + cost[e.word == w].tolist()
+            want.append(sum(path))
+        calls = Counter()
+        sys.setprofile(lambda frame, event, arg: calls.update([event]))
+        try:
+            got = model.log10(words, once)
+        finally:
+            sys.setprofile(None)
+        assert np.allclose(got, want, rtol=1e-9, atol=0)
+        assert calls["c_call"] < 10 * len(words)
+
+
 # -- licences ------------------------------------------------------------------------------------
 def test_licenses_equal_sql(spark, docs):
     import duckdb
