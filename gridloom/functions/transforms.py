@@ -43,7 +43,7 @@ class PercentileTransform(Transform):
 
     def fit(self, values: DataFrame, column: str, accuracy: int | None = None) -> PercentileTransform:
         """Exact quantiles, or approximate ones of the given accuracy where the exact sort is too much."""
-        return PercentileTransform(strictly_rising(quantiles(values, column, KNOTS, accuracy)))
+        return PercentileTransform(rising(quantiles(values, column, KNOTS, accuracy)))
 
     @property
     def _knots(self) -> np.ndarray:
@@ -52,13 +52,17 @@ class PercentileTransform(Transform):
         return self.quantiles
 
     def _fwd(self, v: Column) -> Column:
-        """Linear interpolation in the table, by binary search over Arrow batches."""
+        """Linear interpolation between the last knot below a value and the next one, by binary search over Arrow batches."""
         q = self._knots
         p = np.linspace(0.0, 100.0, len(q))
 
         @F.pandas_udf("double")
         def rank(s: pd.Series) -> pd.Series:
-            return pd.Series(np.interp(s, q, p), index=s.index).where(s.notna())
+            v = s.to_numpy()
+            b = np.clip(np.searchsorted(q, v), 1, len(q) - 1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                inside = p[b - 1] + (p[b] - p[b - 1]) * (v - q[b - 1]) / (q[b] - q[b - 1])
+            return pd.Series(np.where(v > q[0], np.where(v > q[-1], 100.0, inside), 0.0), index=s.index).where(s.notna())
 
         return rank(v)
 
@@ -126,10 +130,9 @@ def quantiles(values: DataFrame, column: str, knots: int = KNOTS, accuracy: int
     return out
 
 
-def strictly_rising(q: np.ndarray) -> np.ndarray:
-    """Running maximum plus a least step per knot, so that the table can be inverted."""
-    q = np.maximum.accumulate(np.asarray(q, np.float64))
-    return q + np.arange(len(q)) * np.spacing(np.abs(q).max() + 1.0)
+def rising(q: np.ndarray) -> np.ndarray:
+    """Running maximum.  Ties stay: a least step per knot would move ranks off exact halves."""
+    return np.maximum.accumulate(np.asarray(q, np.float64))
 
 
 def transforms() -> list[Transform]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import quantise
 from gridloom.functions.crs import project, to_equal_area, to_mercator
-from gridloom.functions.transforms import PercentileTransform, make_transform, quantiles, strictly_rising, transforms
+from gridloom.functions.transforms import PercentileTransform, make_transform, quantiles, rising, transforms
 from gridloom.operators import calibrate, cells, raster
 from gridloom.operators.surface import pull_push_frames, surface
 from gridloom.plans import oracle, views
@@ -181,7 +181,7 @@ def q13_quantile_lut(spark, sf_dir):
 
 
 def percentile101(points: DataFrame) -> PercentileTransform:
-    return PercentileTransform(strictly_rising(quantiles(points, "v", 101)))
+    return PercentileTransform(rising(quantiles(points, "v", 101)))
 
 
 @query(with_views(f", {oracle.knots('p_li', 101)}, r AS ({oracle.ranked('p_li', 'v', 't.x, t.y, t.v')}) SELECT x, y, v, round(pct, 4) AS pct FROM r", "p_li"))

@@ -26,6 +26,22 @@ def test_percentile_ties_take_the_low_end(spark):
     assert got == {1.0: 0.0, 2.0: 25.2, 3.0: 50.3}
 
 
+def test_percentile_of_exact_halves_is_exact(spark):
+    """Values of two decimals half-way between two knots of the table, which a step added to each knot would move."""
+    from gridloom.functions.transforms import rising
+
+    q = np.arange(101) / 100 + 5000
+    half = q[:-1] + 0.005
+    got = points(spark, half, half, half).select("v", PercentileTransform(rising(q)).fwd(F.col("v")).alias("p")).toPandas()
+    assert np.allclose(got.p, np.arange(100) + (got.v - q[:-1]) / (q[1:] - q[:-1]), rtol=0, atol=1e-12)
+
+
+def test_percentile_between_ties(spark):
+    t = PercentileTransform([1.0, 1.0, 2.0, 2.0, 2.0, 4.0])
+    df = spark.createDataFrame([(v,) for v in (0.0, 1.0, 1.5, 2.0, 3.0, 4.0, 9.0, float("nan"), None)], "v double")
+    assert [r.p for r in df.select(t.fwd(F.col("v")).alias("p")).collect()] == [0.0, 0.0, 30.0, 40.0, 90.0, 100.0, 100.0, None, None]
+
+
 def test_unfitted_percentile_raises():
     with pytest.raises(ValueError, match="not fitted"):
         PercentileTransform().fwd(F.lit(1.0))
