@@ -401,7 +401,8 @@ def _bootstrap(reps: int) -> str:
 
 @query(with_views(f"{_PRED}, {_bootstrap(200)} SELECT 2e1 AS block_km, hi_km, round(ci_lo, 5) AS ci_lo, round(ci_hi, 5) AS ci_hi FROM bounds", "p_evt", "p_field"))
 def q34_bootstrap_ci(spark, sf_dir):
-    ci = calibrate.bootstrap_ci(field_cv(spark, sf_dir).points(), min_n=100)
+    cv = field_cv(spark, sf_dir)
+    ci = calibrate.bootstrap_ci(cv.by_point(), min_n=100, cells=cv.cells)
     return ci.select("block_km", "hi_km", F.round("ci_lo", 5).alias("ci_lo"), F.round("ci_hi", 5).alias("ci_hi"))
 
 

@@ -150,6 +150,30 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     assert got[0] and np.allclose(got[0], got[1], rtol=1e-12)
 
 
+def test_weights_are_drawn_once_for_all_block_sizes(spark):
+    """Bounds by point are those of each block size by itself, from a single draw of weights for each point."""
+    x, y, v = smooth(spark, 900)
+    cv = calibrate.CrossValidation(points(spark, x, y, v), 1000.0, 5, [10.0, 20.0, 35.5])
+    cv.cells = cv.cells.persist()
+    rows = cv.by_point().persist()
+    assert rows.count() == 900 and cv.points().count() == 2700
+    got = sorted(map(tuple, calibrate.bootstrap_ci(rows, n_boot=20, min_n=30, cells=cv.cells).collect()))
+    want = []
+    for km in (10.0, 20.0, 35.5):
+        p = cv.points().where(F.col("block_km") == km).toPandas()
+        w = calibrate.poisson_weights(p.key.to_numpy(), 20, 0)
+        x0 = (p.key.to_numpy() % calibrate.MODULUS)[None, :] * calibrate.FACTOR + (np.arange(1, 21) * calibrate.STRIDE)[:, None]
+        for _ in range(calibrate.ROUNDS):
+            x0 = (x0 % calibrate.MODULUS) ** 2 + calibrate.FACTOR
+        assert (w == np.searchsorted(calibrate.POISSON, x0 % calibrate.MODULUS, side="right")).all()
+        m, b = (p.act - p.pred).to_numpy() ** 2, (p.act - p.act.mean()).to_numpy() ** 2
+        for lo, hi in zip(calibrate.EDGES, calibrate.EDGES[1:], strict=False):
+            at = ((p.sup_km >= lo) & (p.sup_km < hi)).to_numpy()
+            if at.sum() >= 30:
+                want.append((km, hi, *np.quantile(1 - np.sqrt(w[:, at] @ m[at]) / np.sqrt(w[:, at] @ b[at]), [0.05, 0.95])))
+    assert len(got) > 5 and np.allclose(got, sorted(want), rtol=1e-9)
+
+
 def test_skill_from_cells_equals_skill_from_points(spark):
     x, y, v = smooth(spark, 1500)
     cv = calibrate.CrossValidation(points(spark, x, y, v + 1000), 1000.0, 5, [10.0, 20.0])
