@@ -33,11 +33,31 @@ def downsample_sum(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return cells.select(*keys, F.shiftright("ix", 1).alias("ix"), F.shiftright("iy", 1).alias("iy"), "s", "c").groupBy(*keys, "ix", "iy").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
 
 
+#: Levels summed at once, and bytes of input for a task of them.
+STEP, TASK_BYTES = 5, 2 << 20
+
+
 def pyramid(cells: DataFrame, levels: int, keys: Sequence[str] = ()) -> DataFrame:
-    """All levels 0..levels stacked, with a column ``level``: one explode and one shuffle instead of one per level."""
-    at = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
-    every = cells.select(*keys, at, "ix", "iy", "s", "c")
-    return every.groupBy(*keys, "level", F.expr("shiftright(ix, level)").alias("ix"), F.expr("shiftright(iy, level)").alias("iy")).agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    """All levels 0..levels stacked, with a column ``level``.
+
+    Cells are dealt by the coarsest cell they belong to, so that all levels are summed where
+    they are: one shuffle of the cells as they come, instead of one of every level's.  The
+    number of tasks follows the input, and with it what one of them holds.  More than STEP
+    levels go on from the last of these, so that a coarsest cell stays small.
+    """
+    step = min(levels, STEP)
+    spark = cells.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    size = int(str(cells._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(1, size // TASK_BYTES if size < 1 << 60 else most)  # rows that the driver made have no known size
+    above = [F.shiftright(c, step).alias(f"_{c}") for c in ("ix", "iy")]
+    dealt = cells.select(*keys, *above, "ix", "iy", "s", "c").repartition(tasks, *keys, "_ix", "_iy")
+    every = dealt.select(*keys, "_ix", "_iy", F.explode(F.sequence(F.lit(0), F.lit(step))).alias("level"), "ix", "iy", "s", "c")
+    out = every.groupBy(*keys, "_ix", "_iy", "level", F.expr("shiftright(ix, level)").alias("ix"), F.expr("shiftright(iy, level)").alias("iy")).agg(F.sum("s").alias("s"), F.sum("c").alias("c")).drop("_ix", "_iy")
+    if levels == step:
+        return out
+    rest = pyramid(out.where(F.col("level") == step).drop("level"), levels - step, keys).where("level > 0")
+    return out.unionByName(rest.withColumn("level", F.col("level") + step))
 
 
 def upsample_nearest(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

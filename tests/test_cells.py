@@ -75,6 +75,23 @@ def test_pyramid_conserves_sums(spark):
     assert len(levels) == 4 and {(r["sum(s)"], r["sum(c)"]) for r in levels} == {(c.sum() * 2.5, c.sum())}
 
 
+@pytest.mark.parametrize("levels", [0, 2, 7])
+def test_pyramid_sums_every_level_where_its_cells_are(spark, levels):
+    """Values of all levels, deeper than one step too; cells given twice add up; levels are not shuffled."""
+    c = np.random.default_rng(2).poisson(0.2, (150, 40))
+    df = cell_frame(spark, c, c * 0.5)
+    got = {(r.level, r.ix, r.iy): (r.s, r.c) for r in pyramid(df.unionAll(df), levels).collect()}
+    want = {}
+    for k in range(levels + 1):
+        for i, j in zip(*map(lambda a: a.tolist(), np.nonzero(c)), strict=True):
+            at = (k, i >> k, j >> k)
+            s, n = want.get(at, (0.0, 0))
+            want[at] = (s + float(c[i, j]), n + 2 * int(c[i, j]))
+    assert got == want
+    plan = pyramid(df, min(levels, 4))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+
+
 def test_tiles_hold_their_halo(spark):
     c = np.ones((20, 12), int)
     got = to_tiles(cell_frame(spark, c), 8, 3, (20, 12)).groupBy("tx", "ty").count().collect()
