@@ -843,6 +843,54 @@ def test_spelling_equals_sums_along_each_word_and_takes_no_step_per_byte():
         assert calls["c_call"] < 10 * len(words)
 
 
+def test_words_of_a_batch_equal_those_of_each_text():
+    odd = ["", None, "one", " \t\n\x0b\x0c\r", "Two TWO two", "\x1cA\x85b\u2003C \u00c9t\u00c9 \u0130\U0001f600", "a" * 3000 + "\rB", None, "z\x00z", " end ", "start"]
+    for texts in (pa.array(odd), pa.array(["before", *odd, "after"])[1:-1], pa.array(odd, pa.large_string()), pa.array([], pa.string()), pa.array([None, None], pa.string())):
+        got = mixing_lm.Words.of(texts)
+        want = [WORD.findall(ascii_lower(t or "")) for t in texts.to_pylist()]
+        own = mixing_lm.strings(got.distinct)
+        assert [own[k] for k in got.number.tolist()] == [w for words in want for w in words] and len(own) == len(set(own))
+        assert got.size.tolist() == [len(words) for words in want] and got.n_bytes.tolist() == [sum(len(w.encode()) for w in words) for words in want]
+
+
+def test_tallies_and_scores_take_no_step_per_word_and_give_each_word_once(monkeypatch):
+    r = random.Random(16)
+    texts = [" ".join(f"{r.choice('aB')}{int(r.paretovariate(0.3)) % 30_000}" for _ in range(400)) for _ in range(100)]
+    own = np.array([r.random() < 0.8 for _ in texts])
+    count = [Counter(w for t, mine in zip(texts, own, strict=True) if mine == which for w in ascii_lower(t).split()) for which in (True, False)]
+    calls, tally, rows = Counter(), mixing_lm.Tally(), []
+
+    def counted(make):
+        sys.setprofile(lambda frame, event, arg: calls.update([event]))
+        try:
+            return make()
+        finally:
+            sys.setprofile(None)
+
+    for k in range(0, len(texts), 10):
+        counted(lambda k=k: tally.add(mixing_lm.Words.of(pa.array(texts[k : k + 10])), own[k : k + 10]))
+    for b in counted(lambda: [*tally.rows(3)]):
+        assert set(b["grp"].to_pylist()) == {3}
+        rows += zip(*(b[c].to_pylist() for c in ("key", "n", "others")), strict=True)
+    words = {k: (n, others) for k, n, others in rows if k and k[0] != " "}
+    assert words == {w: (count[0][w], count[1][w]) for w in count[0] | count[1]} and len({k for k, _, _ in rows}) == len(rows)
+    assert rows[0] == ("", own.sum(), (~own).sum())
+
+    leaves = [w for w, _ in count[0].most_common(50)]
+    tree = mixing_lm.Tree(leaves, np.array([own.sum(), 1000, *(count[0][w] for w in leaves)], np.float64))
+    speller = mixing_lm.Speller(np.zeros(mixing_lm.SLOTS, np.float32), np.zeros(mixing_lm.SLOTS, np.float32))
+    monkeypatch.setattr(speller, "log10", lambda words, leave_out: np.full(len(words), -5.0))
+    total = count[0].total()
+    corpus = mixing_lm.Corpus(mixing_lm.Mixer(tree, np.zeros(mixing_lm.CONTEXTS << (mixing_lm.CONTEXT_BITS + 1), np.float32)), speller, {w: count[0][w] for w in leaves}, total + int(own.sum()), len(count[0]) + 1, int(own.sum()), 1000, 0.1, 1)
+    scorer = mixing_lm.GroupScorer(corpus, {w: n for w, n in count[0].items() if n > 1 or count[1][w]})
+    got = counted(lambda: scorer.score(mixing_lm.Words.of(pa.array(texts)), own))
+    for k, t in enumerate(texts):
+        known = [count[0][w] for w in ascii_lower(t).split()]
+        assert got["n_tokens"][k] == 401 and got["n_known"][k] == sum(n > 0 for n in known) + 1
+        assert got["base_score"][k] == pytest.approx(sum(math.log10((n + 1) / (corpus.tokens + corpus.distinct + 1)) for n in [*known, corpus.ends]))
+    assert calls["call"] < len(words) / 2
+
+
 # -- licences ------------------------------------------------------------------------------------
 def test_licenses_equal_sql(spark, docs):
     import duckdb
